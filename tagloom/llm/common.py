@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +60,30 @@ def drop_staged() -> None:
 atexit.register(drop_staged)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application."""
+    if (app := spark.sparkContext.applicationId) in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="tagloom-"), "tagloom.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(top)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
+def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+    """df.mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def bucket_bits(rows: int, per_bucket: int = 2048, least: int = 6, most: int = 30) -> int:
     """Bits so that 2**bits hash buckets hold about per_bucket rows each."""
     return max(least, min(most, (max(rows, 1) // per_bucket).bit_length()))

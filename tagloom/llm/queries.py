@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, sharding
+from . import fingerprint, langid, mixing, quality, sharding, toxicity
 from .common import read
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
@@ -19,6 +19,18 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS, TABLE_SIZE).select("doc_id", "source", "slot", "shard")
 
@@ -26,6 +38,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op4_mix": op4_mix,
+    "op5_quality": op5_quality,
+    "op7_toxicity": op7_toxicity,
+    "op8_langid": op8_langid,
     "op10_sharding": op10_sharding,
 }
 

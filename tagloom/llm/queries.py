@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, mixing, quality, sharding, toxicity
+from . import fingerprint, langid, mixing, packing, quality, sharding, token_store, toxicity
 from .common import read
+from .tokenization import public
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE_SIZE = 65537
@@ -15,6 +16,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_against_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.scan(token_store.write(read(spark, sf_dir, "documents"), public("byte_bpe_50k.json"), end_id=0))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,6 +28,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public("word_bpe_49k.json"), end_id=1)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -37,8 +46,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_fingerprints": op2_fingerprints,
+    "op3_token_store": op3_token_store,
     "op4_mix": op4_mix,
     "op5_quality": op5_quality,
+    "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
     "op10_sharding": op10_sharding,

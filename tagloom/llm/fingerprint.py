@@ -39,21 +39,29 @@ def paragraphs(text: Column) -> Column:
     return F.filter(parts, lambda p: p != F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: it is bound as a lambda's variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def vector(parts: Column) -> Column:
     """array<bigint> of LANES components from an array of paragraphs."""
-    return vector_of_hashes(F.transform(parts, lambda p: F.xxhash64(p)))
+    return let(F.transform(parts, lambda p: F.xxhash64(p)), vector_of_hashes)
 
 
 def vector_of_hashes(hashes: Column) -> Column:
-    value = lambda h: F.shiftrightunsigned(h, 3)
+    zero = F.lit(0).cast("bigint")
+    total = lambda hs: F.aggregate(hs, zero, lambda a, h: (a + F.shiftrightunsigned(h, 3)).bitwiseAND(F.lit(MASK)))
+    bits = lambda h, shift, many: F.shiftright(h, shift).bitwiseAND(F.lit(many - 1)) if shift else h.bitwiseAND(F.lit(many - 1))
 
-    def lanes(hs: Column, first: int, many: int) -> Column:
-        lane = lambda h: F.pmod(h, F.lit(many))
-        total = lambda j: F.aggregate(F.filter(hs, lambda h: lane(h) == j), F.lit(0).cast("bigint"), lambda a, h: (a + value(h)).bitwiseAND(F.lit(MASK)))
-        return F.transform(F.sequence(F.lit(0), F.lit(many - 1)), total)
+    def lanes(hs: Column, shift: int, wide: int, deep: int) -> Column:
+        """wide * deep components: the hashes are dealt into wide groups first, so that each is looked at wide + deep times."""
+        group = lambda g: F.filter(hs, lambda h: bits(h, shift, wide) == g)
+        rows = lambda own: F.transform(F.sequence(zero, F.lit(deep - 1).cast("bigint")), lambda k: total(F.filter(own, lambda h: bits(h, shift + 8, deep) == k)))
+        return F.flatten(F.transform(F.sequence(zero, F.lit(wide - 1).cast("bigint")), lambda g: let(group(g), rows)))
 
-    sampled = F.filter(hashes, lambda h: F.pmod(F.shiftright(h, 8), F.lit(SAMPLED)) == 0)
-    return F.concat(lanes(hashes, 0, FINE), lanes(sampled, FINE, COARSE), F.array(F.size(hashes).cast("bigint")))
+    sampled = F.filter(hashes, lambda h: bits(h, 20, SAMPLED) == zero)
+    return F.concat(lanes(hashes, 0, 8, FINE // 8), let(sampled, lambda s: lanes(s, 32, 4, COARSE // 4)), F.array(F.size(hashes).cast("bigint")))
 
 
 def add(a: Column, b: Column, sign: int = 1) -> Column:
@@ -82,16 +90,16 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def followers(table: DataFrame) -> DataFrame:
-    """table's rows (k, n, v; k unique) with next_k, next_v, prev_k, prev_n in descending order of k, as a ring.
+    """table's rows (k, n; k unique) as a ring in descending order of k: k, next_k, prev_k, prev_n.
 
     Range partitions are sorted each on its own; only the first and last row
     of every partition go on to one task.
     """
     ranged = staged(table.repartitionByRange(F.col("k").desc()).withColumn("pid", F.spark_partition_id()), "ranged")
     w = Window.partitionBy("pid").orderBy(F.col("k").desc())
-    row = F.struct("k", "v")
-    inner = ranged.select("pid", "k", "n", "v", F.lead(row).over(w).alias("nx"), F.lag(F.struct("k", "n")).over(w).alias("pv"))
-    edge = ranged.groupBy("pid").agg(F.max_by(row, "k").alias("head"), F.min_by(F.struct("k", "n"), "k").alias("tail"))
+    row = F.struct("k", "n")
+    inner = ranged.select("pid", "k", F.lead("k").over(w).alias("nx"), F.lag(row).over(w).alias("pv"))
+    edge = ranged.groupBy("pid").agg(F.max("k").alias("head"), F.min(row).alias("tail"))
     ring = Window.orderBy("pid")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     edge = edge.select(
@@ -100,8 +108,8 @@ def followers(table: DataFrame) -> DataFrame:
         F.coalesce(F.lag("tail").over(ring), F.last("tail").over(whole)).alias("pv_tail"),
     )
     out = inner.join(edge, F.col("pid") == F.col("edge_pid"))
-    nx, pv = F.coalesce("nx", "nx_head"), F.coalesce("pv", "pv_tail")
-    return out.select("k", "v", nx["k"].alias("next_k"), nx["v"].alias("next_v"), pv["k"].alias("prev_k"), pv["n"].alias("prev_n"))
+    pv = F.coalesce("pv", "pv_tail")
+    return out.select("k", F.coalesce("nx", "nx_head").alias("next_k"), pv["k"].alias("prev_k"), pv["n"].alias("prev_n"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -110,6 +118,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), v.alias("vector")).withColumn("fingerprint", text_form(F.col("vector")))
 
 
+#: Stands for a null doc_id where rows are ordered.
+NO_ID = -(1 << 63)
+
+
 def edited_against_next(docs: DataFrame) -> DataFrame:
     """Every document against an edit of itself and against its neighbour.
 
@@ -118,28 +130,32 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
     is followed by the first.  A null doc_id sorts last.  Rows that repeat a
     doc_id each get a result; as another row's neighbour, the text with the
     smallest SHA-256 digest stands for them.
+
+    Texts are shuffled once, by doc_id; of each, the beginning that its
+    predecessor needs and the vector are shuffled once more.
     """
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(key.alias("k"), "doc_id", text.alias("text"))
-    own = staged(base.select("k", F.length("text").alias("n"), vector(paragraphs(F.col("text"))).alias("v")), "vectors")
-    repeated = bool(own.groupBy("k").count().where("count > 1").limit(1).count())
-    digest = F.sha2("text", 256)
-    if repeated:
-        chosen = base.withColumn("sha", digest).groupBy("k").agg(F.max(F.length("text")).alias("n"), F.min("sha").alias("sha"))
-        ring = staged(followers(base.withColumn("sha", digest).join(chosen.withColumnRenamed("sha", "chosen"), "k").where("sha = chosen").dropDuplicates(["k"]).select("k", "n", vector(paragraphs(F.col("text"))).alias("v"))), "ring")
-    else:
-        ring = staged(followers(own), "ring")
+    kind = docs.schema["doc_id"].dataType
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
+    base = docs.select(key.alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    sizes = staged(base.groupBy("k").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("many")), "sizes")
+    ring = staged(followers(sizes.select("k", "n")), "ring")
     heads = base.join(ring.select("k", "prev_k", "prev_n"), "k")
-    if repeated:
-        heads = heads.withColumn("sha", digest).join(chosen.select("k", F.col("sha").alias("chosen")), "k").where("sha = chosen").dropDuplicates(["k"])
-    heads = heads.select(F.col("prev_k").alias("k"), F.expr("left(text, cast(floor(prev_n / 2) as int))").alias("head"))
-    links = ring.select("k", "next_v") if repeated else ring.select("k", "v", "next_v")
-    rows = base.join(links, "k").join(heads, "k")
-    if repeated:
-        rows = rows.withColumn("v", vector(paragraphs(F.col("text"))))
-    rows = rows.withColumn("n_chars", F.length("text")).withColumn("edited", F.expr("concat(left(text, n_chars - cast(floor(n_chars / 2) as int)), left(head, cast(floor(n_chars / 2) as int)))"))
-    rows = rows.select("doc_id", F.col("n_chars").cast("bigint"), F.sha2("edited", 256).alias("edited_sha256"), "v", "next_v", vector(paragraphs(F.col("edited"))).alias("w"))
+    if sizes.where("many > 1").limit(1).count():
+        digest = F.sha2("text", 256)
+        chosen = base.select("k", digest.alias("sha")).groupBy("k").agg(F.min("sha").alias("sha"))
+        heads = heads.join(chosen, "k").where(digest == F.col("sha")).dropDuplicates(["k"])
+    heads = heads.select(F.col("prev_k").alias("k"), F.expr("left(text, cast(floor(prev_n / 2) as int))").alias("head"), vector(paragraphs(F.col("text"))).alias("next_v"))
+    rows = base.join(heads, "k").withColumn("n_chars", F.length("text"))
+    half = "cast(floor(n_chars / 2) as int)"
+    rows = rows.withColumn("edited", F.expr(f"concat(left(text, n_chars - {half}), left(head, {half}))"))
+    rows = rows.select(
+        F.when(F.col("k") != NO_ID, F.col("k")).cast(kind).alias("doc_id"),
+        F.col("n_chars").cast("bigint"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        vector(paragraphs(F.col("text"))).alias("v"),
+        vector(paragraphs(F.col("edited"))).alias("w"),
+        "next_v",
+    )
     return rows.select(
         "doc_id",
         "n_chars",

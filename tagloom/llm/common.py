@@ -78,7 +78,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow, with this package on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)

@@ -231,3 +231,15 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", "text", (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out"))
     return map_batches(base, scored, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, **options) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least `least`."""
+    model = learn(docs, labels, **options)
+
+    def chosen(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(model.score(features(part.column("text"))) >= least))
+
+    return map_batches(docs, chosen, docs.schema)

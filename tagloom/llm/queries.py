@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, mixing, packing, quality, sharding, token_store, toxicity
+from . import fingerprint, langid, mixing, near_dedup, packing, quality, sharding, token_store, toxicity
 from .common import read
 from .tokenization import public
 
@@ -12,6 +12,10 @@ SHARDS = [f"shard-{i:03d}" for i in range(64)]
 TABLE_SIZE = 65537
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.dedup(read(spark, sf_dir, "documents"), near_dedup.Setting(words=4))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_against_next(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,6 +49,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_fingerprints": op2_fingerprints,
     "op3_token_store": op3_token_store,
     "op4_mix": op4_mix,

@@ -84,7 +84,7 @@ class Words:
             if b - a >= k:
                 out.append(np.unique(whole[a : b - k + 1]))
             elif b > a:
-                out.append(mixed((h[a:b] * np.array(weigh[: b - a], dtype=np.uint64)).sum(keepdims=True, dtype=np.uint64) + weigh[k] * np.uint64(b - a)))
+                out.append(mixed((h[a:b] * np.array(weigh[: b - a], dtype=np.uint64)).sum(keepdims=True, dtype=np.uint64) ^ weigh[b - a]))
             else:
                 out.append(np.zeros(0, np.uint64))
         return out

@@ -160,27 +160,55 @@ def learn_lexicon(rows: DataFrame, min_support: int = 5, min_odds: float = 2.5,
     return kept
 
 
-def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, most_rows: int = 20_000, **lexicon) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; learns from labels.toxic where crc32(doc_id) % modulus isn't held_out."""
+class Scorer:
+    """A lexicon and the coefficients of its logistic curve."""
+
+    def __init__(self, lexicon: Lexicon, coefficients: np.ndarray):
+        self.lexicon, self.coefficients = lexicon, coefficients
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        m = np.array([self.lexicon.measures(t or "") for t in texts]).reshape(-1, 3)
+        return 1 / (1 + np.exp(-np.clip(self.coefficients[0] + _features(m) @ self.coefficients[1:], -30, 30)))
+
+
+def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, most_rows: int = 20_000, **lexicon) -> Scorer:
+    """Learns from labels.toxic where crc32(doc_id) % modulus isn't held_out; most_rows bounds the sample."""
     rows = staged(labelled(docs, labels, "toxic", remainder(F.col("doc_id"), modulus) != held_out, most_rows), "toxic")
-    model = Lexicon(learn_lexicon(rows, **lexicon))
+    words = Lexicon(learn_lexicon(rows, **lexicon))
 
     def measured(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                m = [model.measures(t or "") for t in part.column("text").to_pylist()]
+                m = [words.measures(t or "") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("y"), *(pa.array([x[i] for x in m], pa.float64()) for i in range(3))], names=["y", "total", "many", "words"])
 
     seen = map_batches(rows.select("text", "y"), measured, "y int, total double, many double, words double").toPandas()
-    coefficients = logistic(_features(seen[["total", "many", "words"]].to_numpy(float).reshape(-1, 3)), seen["y"].to_numpy(float))
+    seen = seen.sort_values(["y", "total", "many", "words"])  # rows come in any order; sums of doubles depend on it
+    return Scorer(words, logistic(_features(seen[["total", "many", "words"]].to_numpy(float).reshape(-1, 3)), seen["y"].to_numpy(float)))
+
+
+def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, **options) -> DataFrame:
+    """doc_id, held_out, score, predicted for every row of docs."""
+    model = learn(docs, labels, modulus, held_out, **options)
 
     def scored(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                m = np.array([model.measures(t or "") for t in part.column("text").to_pylist()]).reshape(-1, 3)
-                p = 1 / (1 + np.exp(-np.clip(coefficients[0] + _features(m) @ coefficients[1:], -30, 30)))
+                p = model.scores(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = docs.select("doc_id", "text", (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out"))
     return map_batches(base, scored, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, most: float = 0.5, **options) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below `most`."""
+    model = learn(docs, labels, **options)
+
+    def chosen(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield part.filter(pa.array(model.scores(part.column("text").to_pylist()) < most))
+
+    return map_batches(docs, chosen, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, langid, mixing, near_dedup, packing, quality, sharding, token_store, toxicity
+from . import embed_dedup, fingerprint, langid, mixing, near_dedup, packing, quality, sharding, token_store, toxicity
 from .common import read
 from .tokenization import public
 
@@ -44,6 +44,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.dedup(read(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS, TABLE_SIZE).select("doc_id", "source", "slot", "shard")
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op7_toxicity": op7_toxicity,
     "op8_langid": op8_langid,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sharding": op10_sharding,
 }
 

@@ -2,88 +2,22 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-import zipfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word is a maximal run of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+from ..storage import drop_staged, map_batches, shared_dir, ship, staged
 
-_OPEN: list[tuple[SparkSession, str]] = []
+__all__ = ["WORD", "bucket_bits", "drop_staged", "hash_bucket", "map_batches", "read", "shared_dir", "ship", "slices", "staged", "utf8"]
 
+#: A word is a maximal run of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tagloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
-
-    This cuts the lineage: later jobs survive lost executors without running
-    the plan again, and the reread table has a known size for the planner.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tagloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _OPEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged() -> None:
-    """Delete the staged tables; call it once the results that read them are written."""
-    while _OPEN:
-        spark, path = _OPEN.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
-
-
-atexit.register(drop_staged)
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
-    if (app := spark.sparkContext.applicationId) in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tagloom-"), "tagloom.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(top):
-            for name in names:
-                if name.endswith(".py"):
-                    out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), os.path.dirname(top)))
-    spark.sparkContext.addPyFile(path)
-    _SHIPPED.add(app)
-
-
-def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow, with this package on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
-
-
 def bucket_bits(rows: int, per_bucket: int = 2048, least: int = 6, most: int = 30) -> int:
     """Bits so that 2**bits hash buckets hold about per_bucket rows each."""
     return max(least, min(most, (max(rows, 1) // per_bucket).bit_length()))

@@ -39,6 +39,16 @@ def letters(text: str | None) -> str:
     return f" {found} " if found else ""
 
 
+_SHARED: dict[tuple, Encoder] = {}
+
+
+def shared(*setting: int) -> Encoder:
+    """One encoder for all tasks of a worker, so that its table serves them all."""
+    if setting not in _SHARED:
+        _SHARED[setting] = Encoder(*setting)
+    return _SHARED[setting]
+
+
 class Encoder:
     """Hypervectors of texts."""
 
@@ -51,12 +61,8 @@ class Encoder:
         self.codes = np.zeros(0, np.uint64)
         self.table = np.zeros((0, self.dims), np.float32)
 
-    def __getstate__(self):
-        return self.dims, self.n, self.seed, self.most_grams
-
-    def __setstate__(self, state):
-        self.dims, self.n, self.seed, self.most_grams = state
-        self._reset()
+    def __reduce__(self):
+        return shared, (self.dims, self.n, self.seed, self.most_grams)
 
     def letter_vector(self, code: int) -> np.ndarray:
         if code not in self.letter:

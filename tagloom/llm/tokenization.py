@@ -3,40 +3,52 @@
 The library encodes a text piece by piece: a pattern cuts the text, and each
 piece's ids depend on the piece alone.  So pieces are encoded by the library once
 per worker and kept in a table of bounded size, and a text's ids are the pieces'
-ids in order.  Texts with code points for which the pattern could be read in
-another way here than in the library, or with a special token's string, go to
-the library whole.  Either way the ids are the library's.
+ids in order.  As no piece goes on after white space, whole stretches between
+blanks are kept too, so that the pattern is only run on new ones.  Texts with code
+points for which the pattern could be read in another way here than in the
+library, with white space that a piece may share, or with a special token's
+string, are cut whole or go to the library.  Either way the ids are the library's.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The two patterns as the tokenizer files state them (fixed values).
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Code points on whose classes all agree.
-_ODD = regex.compile(r"[^\t\n\r -~ -ɏͰ-ϿЀ-ԯ‐-‧₠-₿]")
+_ODD = re.compile("[^\t\n\r -~\u00a0-\u024f\u0370-\u03ff\u0400-\u052f\u2010-\u2027\u20a0-\u20bf]")
+#: White space that holds two blanks, which byte-level pieces may share.
+_WIDE = re.compile(r" [\t\n\r\u00a0]+ |  | $")
 
 
-class PieceEncoder:
-    """ids of texts as little-endian unsigned 16-bit integers. path: a tokenizer file with at most 65536 ids."""
+_SHARED: dict[tuple[str, int], PieceEncoder] = {}
 
-    def __init__(self, path: str, most_pieces: int = 400_000):
-        self.path, self.most_pieces = path, most_pieces
-        self._tokenizer = None
 
-    def __getstate__(self):
-        return self.path, self.most_pieces
+def shared(path: str, most: int) -> PieceEncoder:
+    """One encoder for all tasks of a worker, so that its tables serve them all."""
+    return _SHARED.setdefault((path, most), PieceEncoder(path, most))
+
 
-    def __setstate__(self, state):
-        self.path, self.most_pieces = state
+class PieceEncoder:
+    """ids of texts as little-endian unsigned 16-bit integers. path: a tokenizer file with at most 65536 ids; most: entries of each table."""
+
+    def __init__(self, path: str, most: int = 300_000):
+        self.path, self.most = path, most
         self._tokenizer = None
 
+    def __reduce__(self):
+        return shared, (self.path, self.most)
+
     @property
     def tokenizer(self):
         if self._tokenizer is None:
@@ -47,45 +59,97 @@ class PieceEncoder:
             if self._tokenizer.get_vocab_size() > 1 << 16:
                 raise ValueError("ids don't fit into 16 bits")
             self._normalizer = self._tokenizer.normalizer
-            self._find = regex.compile(WORD_LEVEL if self._normalizer is not None else BYTE_LEVEL).findall
+            self._bytes = self._normalizer is None
+            self._find = regex.compile(BYTE_LEVEL if self._bytes else WORD_LEVEL).findall
             self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-            self._known: dict[str, bytes] = {}
+            self._pieces: dict[str, bytes] = {}
+            self._stretches: dict[str, bytes] = {}
         return self._tokenizer
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """As _whole, but for pieces of the pattern, which are many and short: one call for all."""
-        found = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        raw = np.array(found.ids, dtype="<u2").tobytes()
-        cut = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(pieces) + 1)).tolist()
-        return [raw[2 * a : 2 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    def _pieces_of(self, text: str) -> list[str]:
+        """The pattern's pieces; letters with at most one other code point at the end need no pattern."""
+        blank = self._bytes and text[:1] == " "
+        body = text[1:] if blank else text
+        if body.isalpha():
+            return [text]
+        if body[:-1].isalpha():
+            return [text[:-1], text[-1]]
+        return self._find(text)
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """ids of texts by their pieces; pieces not seen before are encoded in one call."""
+        cut = list(map(self._pieces_of, texts))
+        every = set().union(*cut)
+        fresh = list(every.difference(self._pieces))
+        if len(self._pieces) + len(fresh) > self.most:
+            self._pieces = {p: self._pieces[p] for p in every if p in self._pieces}  # keeps what is frequent
+        if fresh:
+            found = self.tokenizer.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(found.ids, dtype="<u2").tobytes()
+            ends = (2 * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(fresh) + 1))).tolist()
+            self._pieces.update(zip(fresh, (raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)), strict=True))
+        known = self._pieces.__getitem__
+        return [b"".join(map(known, pieces)) for pieces in cut]
+
+    def _by_stretches(self, texts: list[str]) -> list[bytes]:
+        """ids of texts whose stretches between blanks (byte level) or white space can be encoded one by one."""
+        if not texts:
+            return []
+        column = pa.array(texts, pa.large_string())
+        lists = pc.split_pattern(column, " ") if self._bytes else pc.utf8_split_whitespace(column)
+        ends = np.diff(lists.offsets.to_numpy()).cumsum()
+        words = lists.flatten().dictionary_encode()
+        which, names = words.indices.to_numpy(), words.dictionary.to_pylist()
+        heads: list[bytes] = []
+        if self._bytes:  # all but a text's first stretch have their blank before them
+            first = np.concatenate([[0], ends[:-1]])
+            heads = self._cut([names[i] for i in which[first].tolist()])
+        fresh = [w for w in names if w not in self._stretches]
+        if len(self._stretches) + len(fresh) > self.most:
+            self._stretches = {w: self._stretches[w] for w in names if w in self._stretches}
+        self._stretches.update(zip(fresh, self._cut([" " + w for w in fresh] if self._bytes else fresh), strict=True))
+        ids = list(map(self._stretches.__getitem__, names))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        pool = np.frombuffer(b"".join(ids), "<u2")
+        start = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
+        many = size[which]
+        if self._bytes:
+            many[first] = 0
+        upto = np.cumsum(many)
+        flat = pool[np.repeat(start[which] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
+        stop = (2 * np.concatenate([[0], upto])[ends]).tolist()
+        out = [flat[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
+        return [h + t for h, t in zip(heads, out, strict=True)] if self._bytes else out
+
+    def _lower(self, text: str) -> str:
+        """As the tokenizer's normalizer does it, but for runs of white space."""
+        if text.isascii():
+            return text.lower()
+        if "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+            return self._normalizer.normalize_str(text)
+        return text.lower()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         _ = self.tokenizer  # loads what is used below
         out: list[bytes | None] = [None] * len(texts)
-        odd = []
+        odd, cut, plain = [], [], []
         for i, text in enumerate(texts):
             text = text or ""
             if _ODD.search(text) or any(s in text for s in self._special):
-                odd.append(i)
-                continue
-            if self._normalizer is not None:
-                text = text.lower() if text.isascii() else self._normalizer.normalize_str(text)
-            pieces = self._find(text)
-            try:
-                out[i] = b"".join(map(self._known.__getitem__, pieces))
-            except KeyError:
-                fresh = list(set(pieces).difference(self._known))
-                if len(self._known) + len(fresh) > self.most_pieces:
-                    self._known.clear()
-                    fresh = list(set(pieces))
-                for piece, ids in zip(fresh, self._pieces(fresh), strict=True):
-                    self._known[piece] = ids
-                out[i] = b"".join(map(self._known.__getitem__, pieces))
-        for i, ids in zip(odd, self._whole([texts[i] or "" for i in odd]) if odd else [], strict=True):
-            out[i] = ids
+                odd.append((i, text))
+            elif not self._bytes:
+                plain.append((i, self._lower(text)))
+            elif _WIDE.search(text):
+                cut.append((i, text))
+            else:
+                plain.append((i, text))
+        for rows, how in ((plain, self._by_stretches), (cut, self._cut), (odd, self._whole)):
+            if rows:
+                for (i, _), ids in zip(rows, how([t for _, t in rows]), strict=True):
+                    out[i] = ids
         return out
 
 

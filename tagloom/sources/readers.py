@@ -22,6 +22,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def stream_parquet(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A stream of the Parquet files of a folder, or of one file."""
+    where, fs = _fs(spark, path)
+    reader = spark.readStream.schema(schema)
+    if fs.getFileStatus(where).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
+
+
 def first_bytes(spark: SparkSession, path: str, most: int = 1 << 20) -> bytes:
     row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, most)).head()
     return bytes(row[0]) if row else b""

@@ -41,7 +41,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 8_000_000):
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000):
     """Consecutive slices of a batch whose texts hold about most_bytes at most (one row at least)."""
     sizes = batch.column(column).cast(pa.large_binary()).fill_null(b"")
     ends = np.diff(np.frombuffer(sizes.buffers()[1], dtype=np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]).cumsum() if len(sizes) else []

@@ -175,8 +175,9 @@ def confirm(docs: DataFrame, pairs: DataFrame, setting: Setting) -> DataFrame:
 
     base = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(setting.parts)))
-    partners = base.join(pairs, F.col("id") == F.col("b")).select("a", "part", "b", "text")
-    centres = base.join(pairs.select("a", "part").distinct(), F.col("id") == F.col("a")).select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
+    # a merge join whatever the sizes: texts are shuffled once, for both joins
+    partners = base.join(pairs.hint("merge"), F.col("id") == F.col("b")).select("a", "part", "b", "text")
+    centres = base.join(pairs.select("a", "part").distinct().hint("merge"), F.col("id") == F.col("a")).select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
     rows = centres.union(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return map_batches(rows, compare, "a bigint, b bigint").distinct()
 

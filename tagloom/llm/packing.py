@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 409
 
     def cut(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2_000_000):
                 rows = []
                 for doc_id, raw in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
                     ids = np.concatenate([np.frombuffer(raw, "<u2"), end])

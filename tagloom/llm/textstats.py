@@ -26,8 +26,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _byte_values() -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+def _byte_values(which: int) -> np.ndarray:
+    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(which))
 
 
 _POWERS: list[np.ndarray] = []
@@ -47,24 +47,26 @@ class Words:
 
     def __init__(self, column: pa.Array):
         self.raw, self.offsets = utf8(column)
-        raw, off = self.raw, self.offsets
-        n = len(raw)
-        solid = ~_SPACE[raw]
-        head = np.zeros(n + 1, dtype=bool)
-        head[off] = True
-        before = np.empty(n, dtype=bool)
-        if n:
-            before[0], before[1:] = False, solid[:-1]
-        after = np.empty(n, dtype=bool)
-        if n:
-            after[-1], after[:-1] = False, solid[1:]
+        head = np.zeros(len(self.raw) + 1, dtype=bool)
+        head[self.offsets] = True
+        self._bounded(~_SPACE[self.raw], head)
+        self.hash = self._hashed(_byte_values(1)[_LOWER[self.raw]])
+
+    def _bounded(self, solid: np.ndarray, head: np.ndarray) -> None:
+        """Words are runs of solid bytes; head marks where one ends at the latest and another begins."""
+        n = len(solid)
+        before, after = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        before[1:], after[:-1] = solid[:-1], solid[1:]
         self.start = np.flatnonzero(solid & (~before | head[:n]))
         self.end = np.flatnonzero(solid & (~after | head[1:])) + 1
-        self.first = np.searchsorted(self.start, off)
+        self.first = np.searchsorted(self.start, self.offsets)
+
+    def _hashed(self, values: np.ndarray) -> np.ndarray:
+        n = len(values)
         power, inverse = _powers(n + 1)
         total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_byte_values()[_LOWER[raw]] * power[:n], out=total[1:])
-        self.hash = mixed((total[self.end] - total[self.start]) * inverse[self.start])
+        np.cumsum(np.multiply(values, power[:n], out=values), out=total[1:])
+        return mixed((total[self.end] - total[self.start]) * inverse[self.start])
 
     def __len__(self) -> int:
         return len(self.offsets) - 1

@@ -122,7 +122,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = 1 <
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", 2_000_000):
                 for k, ids in zip(piece.column("key").to_pylist(), encoder.encode(piece.column("text").to_pylist()), strict=True):
                     keys.append(k)
                     held.append(ids + end)

@@ -19,16 +19,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 
+from .common import utf8
+from .textstats import Words, _byte_values
+
 #: The two patterns as the tokenizer files state them (fixed values).
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Code points on whose classes all agree.
-_ODD = re.compile("[^\t\n\r -~\u00a0-\u024f\u0370-\u03ff\u0400-\u052f\u2010-\u2027\u20a0-\u20bf]")
+_ODD = re.compile("[^\t\n\r -~\u00a1-\u024f\u0370-\u03ff\u0400-\u052f\u2010-\u2027\u20a0-\u20bf]")
 #: White space that holds two blanks, which byte-level pieces may share.
-_WIDE = re.compile(r" [\t\n\r\u00a0]+ |  | $")
+_WIDE = re.compile(r" [\t\n\r]+ |  | $")
 
 
 _SHARED: dict[tuple[str, int], PieceEncoder] = {}
@@ -39,10 +41,82 @@ def shared(path: str, most: int) -> PieceEncoder:
     return _SHARED.setdefault((path, most), PieceEncoder(path, most))
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ",.!?;:"]] = True
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 13]] = True
+
+
+class Segments(Words):
+    """Stretches of texts that no piece crosses, with two hashes.
+
+    White space (byte level: blanks) bounds them; so does a sign after a letter at
+    their end; and, at byte level, a line end between two other characters, which
+    is a stretch of its own.  bare: no blank stands before the stretch.
+    """
+
+    def __init__(self, texts: list[str], byte_level: bool):
+        self.raw, self.offsets = utf8(pa.array(texts, pa.large_string()))
+        raw, n = self.raw, len(self.raw)
+        head = np.zeros(n + 1, bool)
+        head[self.offsets] = True
+        blank = _BLANK[raw]
+        solid = raw != 32 if byte_level else ~blank
+        # a sign that ends its stretch and follows a letter
+        last = np.ones(n, bool)
+        last[:-1] = blank[1:] | head[1:n]
+        sign = np.zeros(n, bool)
+        sign[1:] = _MARK[raw[1:]] & _LETTER[raw[:-1]] & last[1:] & ~head[1:n]
+        cut = head.copy()
+        cut[:n] |= sign
+        if byte_level:
+            line = np.zeros(n, bool)
+            line[1:-1] = (raw[1:-1] == 10) & ~blank[:-2] & ~blank[2:] & ~head[1 : n - 1] & ~head[2:n]
+            cut[:n] |= line
+            cut[1:] |= line
+        self._bounded(solid, cut)
+        self.bare = np.ones(len(self.start), bool)
+        inner = self.start > 0
+        self.bare[inner] = (raw[self.start[inner] - 1] != 32) | head[self.start[inner]]
+        self.hash, self.second = self._hashed(_byte_values(1)[raw]), self._hashed(_byte_values(2)[raw])
+
+
+class Stretches:
+    """ids of stretches of text by two hashes, in sorted arrays: some twenty bytes for each."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size, self.pool = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, "<u2")
+
+    def find(self, h: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted hashes, and whether they are there."""
+        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        return at, (self.hash[at] == h) & (self.second[at] == second) if len(self.hash) else np.zeros(len(h), bool)
+
+    def add(self, h: np.ndarray, second: np.ndarray, ids: list[bytes]) -> None:
+        """New entries by sorted hashes."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        start = len(self.pool) + np.concatenate([[0], np.cumsum(size)[:-1]])
+        at = np.searchsorted(self.hash, h)
+        self.hash, self.second = np.insert(self.hash, at, h), np.insert(self.second, at, second)
+        self.start, self.size = np.insert(self.start, at, start.astype(np.uint32)), np.insert(self.size, at, size.astype(np.uint32))
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u2")])
+
+
 class PieceEncoder:
-    """ids of texts as little-endian unsigned 16-bit integers. path: a tokenizer file with at most 65536 ids; most: entries of each table."""
+    """ids of texts as little-endian unsigned 16-bit integers.
+
+    path: a tokenizer file with at most 65536 ids.  most: entries of the table of
+    pieces; that of stretches, which are smaller, has ten times as many.
+    """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 150_000):
         self.path, self.most = path, most
         self._tokenizer = None
 
@@ -63,7 +137,7 @@ class PieceEncoder:
             self._find = regex.compile(BYTE_LEVEL if self._bytes else WORD_LEVEL).findall
             self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
             self._pieces: dict[str, bytes] = {}
-            self._stretches: dict[str, bytes] = {}
+            self._stretches = Stretches(10 * self.most)
         return self._tokenizer
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -96,33 +170,33 @@ class PieceEncoder:
 
     def _by_stretches(self, texts: list[str]) -> list[bytes]:
         """ids of texts whose stretches between blanks (byte level) or white space can be encoded one by one."""
-        if not texts:
-            return []
-        column = pa.array(texts, pa.large_string())
-        lists = pc.split_pattern(column, " ") if self._bytes else pc.utf8_split_whitespace(column)
-        ends = np.diff(lists.offsets.to_numpy()).cumsum()
-        words = lists.flatten().dictionary_encode()
-        which, names = words.indices.to_numpy(), words.dictionary.to_pylist()
-        heads: list[bytes] = []
-        if self._bytes:  # all but a text's first stretch have their blank before them
-            first = np.concatenate([[0], ends[:-1]])
-            heads = self._cut([names[i] for i in which[first].tolist()])
-        fresh = [w for w in names if w not in self._stretches]
-        if len(self._stretches) + len(fresh) > self.most:
-            self._stretches = {w: self._stretches[w] for w in names if w in self._stretches}
-        self._stretches.update(zip(fresh, self._cut([" " + w for w in fresh] if self._bytes else fresh), strict=True))
-        ids = list(map(self._stretches.__getitem__, names))
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
-        pool = np.frombuffer(b"".join(ids), "<u2")
-        start = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-        many = size[which]
-        if self._bytes:
-            many[first] = 0
+        w = Segments(texts, self._bytes)
+        key = np.where(w.bare, ~w.hash, w.hash) if self._bytes else w.hash
+        key, first, back = np.unique(key, return_index=True, return_inverse=True)
+        second = w.second[first]
+        table = self._stretches
+        at, known = table.find(key, second)
+        if not known.all():
+            if len(table.hash) + len(key) > table.most:
+                table.clear()
+                known[:] = False
+            new = first[~known]
+            raw = w.raw.tobytes()
+            names = [raw[a:b].decode() for a, b in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)]
+            if self._bytes:
+                names = [n if b else " " + n for n, b in zip(names, w.bare[new].tolist(), strict=True)]
+            ids = []
+            for i in range(0, len(names), 20_000):
+                ids += self._cut(names[i : i + 20_000])
+            table.add(key[~known], second[~known], ids)
+            at, known = table.find(key, second)
+        size = table.size[at].astype(np.int64)
+        many = size[back]
         upto = np.cumsum(many)
-        flat = pool[np.repeat(start[which] - (upto - many), many) + np.arange(upto[-1] if len(upto) else 0)].tobytes()
-        stop = (2 * np.concatenate([[0], upto])[ends]).tolist()
-        out = [flat[a:b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
-        return [h + t for h, t in zip(heads, out, strict=True)] if self._bytes else out
+        total = int(upto[-1]) if len(upto) else 0
+        flat = table.pool[np.repeat(table.start[at].astype(np.int64)[back] - (upto - many), many) + np.arange(total)].tobytes()
+        stop = (2 * np.concatenate([[0], upto])[w.first]).tolist()
+        return [flat[a:b] for a, b in zip(stop[:-1], stop[1:], strict=True)]
 
     def _lower(self, text: str) -> str:
         """As the tokenizer's normalizer does it, but for runs of white space."""

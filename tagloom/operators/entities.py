@@ -40,19 +40,24 @@ def tall(df: DataFrame, key: str, text: str, mapping: DataFrame, encoder: DataFr
 
 
 def wide(df: DataFrame, key: str, text: str, entities: DataFrame) -> DataFrame:
-    """row_id, text, NER_raw, NER_clean (distinct), spans_json, Ingredients (ids, not distinct), also for rows without entity."""
+    """row_id, text, NER_raw, NER_clean (distinct), spans_json, Ingredients (ids, not distinct), also for rows without entity.
+
+    Column names are compared in any case, so the ids are encoded_ingredients where the text column is called ingredients.
+    """
+    ids = "encoded_ingredients" if text.lower() == "ingredients" else "Ingredients"
     span = F.struct("pos", "nth", "ent_text", "start", "end", "label", "norm", "canonical", "id")
     lists = entities.groupBy("row_id").agg(F.array_sort(F.collect_list(span)).alias("s"))
     out = df.select(F.col(key).alias("row_id"), F.col(text)).join(lists, "row_id", "left").withColumn("s", F.coalesce("s", F.from_json(F.lit("[]"), lists.schema["s"].dataType)))
     spans = F.transform("s", lambda x: F.struct(x["ent_text"].alias("raw"), x["start"].alias("start"), x["end"].alias("end"), x["label"].alias("label"), x["norm"].alias("norm"), x["canonical"].alias("canonical"), x["id"].alias("id")))
-    return out.select("row_id", text, F.col("s.ent_text").alias("NER_raw"), F.array_distinct("s.canonical").alias("NER_clean"), F.to_json(spans).alias("spans_json"), F.col("s.id").alias("Ingredients"))
+    return out.select("row_id", text, F.col("s.ent_text").alias("NER_raw"), F.array_distinct("s.canonical").alias("NER_clean"), F.to_json(spans).alias("spans_json"), F.col("s.id").alias(ids))
 
 
 def diagnostics(wide_rows: DataFrame) -> DataFrame:
     """zero_id_share, single_id_share: shares of ids that are 0, and of rows with one id."""
-    ids = F.sum(F.size("Ingredients"))
-    zero = F.sum(F.size(F.filter("Ingredients", lambda x: x == 0)))
-    return wide_rows.agg((zero / F.greatest(ids, F.lit(1))).alias("zero_id_share"), F.avg((F.size("Ingredients") == 1).cast("double")).alias("single_id_share"))
+    column = "encoded_ingredients" if "encoded_ingredients" in wide_rows.columns else "Ingredients"
+    ids = F.sum(F.size(column))
+    zero = F.sum(F.size(F.filter(column, lambda x: x == 0)))
+    return wide_rows.agg((zero / F.greatest(ids, F.lit(1))).alias("zero_id_share"), F.avg((F.size(column) == 1).cast("double")).alias("single_id_share"))
 
 
 def described(wide_rows: DataFrame, top: int = 20) -> tuple[DataFrame, DataFrame]:

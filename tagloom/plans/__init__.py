@@ -1,0 +1 @@
+"""Configured stages and their runner."""

@@ -36,9 +36,12 @@ def first_bytes(spark: SparkSession, path: str, most: int = 1 << 20) -> bytes:
     return bytes(row[0]) if row else b""
 
 
+WINDOWS = "windows-1252"
+
+
 def charset(sample: bytes) -> str:
     """UTF-8 where the sample is, else windows-1252 where all its bytes are defined, else ISO-8859-1."""
-    for name, spark_name in (("utf-8", "UTF-8"), ("cp1252", "windows-1252")):
+    for name, spark_name in (("utf-8", "UTF-8"), ("cp1252", WINDOWS)):
         try:
             sample.decode(name)
             return spark_name
@@ -50,7 +53,12 @@ def charset(sample: bytes) -> str:
 
 def read_csv(spark: SparkSession, path: str, rows: int | None = None, drop_malformed: bool = False) -> DataFrame:
     """All columns as strings, in the file's charset, quoted fields over lines."""
-    df = spark.read.csv(path, header=True, inferSchema=False, encoding=charset(first_bytes(spark, path)), multiLine=True, escape='"', mode="DROPMALFORMED" if drop_malformed else "PERMISSIVE")
+    found = charset(first_bytes(spark, path))
+    df = spark.read.csv(path, header=True, inferSchema=False, encoding="ISO-8859-1" if found == WINDOWS else found, multiLine=True, escape='"', mode="DROPMALFORMED" if drop_malformed else "PERMISSIVE")
+    if found == WINDOWS:  # differs from ISO-8859-1 in 27 characters; Spark has no reader for it
+        codes = [(chr(i), bytes([i]).decode("cp1252", "ignore")) for i in range(0x80, 0xA0)]
+        old, new = ("".join(x) for x in zip(*[c for c in codes if c[1]], strict=True))
+        df = df.select(*[F.translate(f"`{c}`", old, new).alias(c.translate(str.maketrans(old, new))) for c in df.columns])
     return df if rows is None else df.limit(rows)
 
 

@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a batch for Python: texts can be long, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
+
 _OPEN: list[tuple[SparkSession, str]] = []
 _OWN: dict[str, str] = {}
 
@@ -60,7 +66,9 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
+    """Give the executors' Python workers this package, once per application, and bound the rows of a batch."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if (app := spark.sparkContext.applicationId) in _SHIPPED:
         return
     top = os.path.dirname(os.path.abspath(__file__))
@@ -74,7 +82,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def release() -> None:
+    """Give memory that a Python worker has freed back to the system: workers live on between tasks."""
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def map_batches(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow, with this package on the executors."""
+    """df.mapInArrow, with this package on the executors and memory given back after each task."""
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(run, schema)

@@ -6,14 +6,17 @@ Documents with equal sets are one class from the start.  Of each class the
 minima of many hash functions are taken: groups of `rows` of them make band
 keys, which name candidate pairs; the lowest b bits of each are kept as a packed
 signature.  Candidates whose signatures agree in too few bits, corrected for
-chance agreement, are dropped, the rest are compared on their full sets, and
-linked with a Jaccard similarity of `threshold` or more.
+chance agreement, are dropped, as are those whose bitmaps (a bit for each of
+`bits_wide` parts of the hash space) show that too many shingles aren't shared,
+which is a bound and loses nothing; the rest are compared on their full sets,
+and linked with a Jaccard similarity of `threshold` or more.
 
 Pairs inside a bucket aren't listed.  First every member meets two centres of
-its bucket, the smallest and the largest id.  Only for buckets that still hold
-several components all cross pairs are looked at, inside a join over blocks of
-members, so that a large bucket is many tasks; nothing but pairs whose signatures
-agree leaves the join.  So every pair that shares a band is linked, already
+its bucket, the smallest and the largest id.  While buckets hold members of
+several components in large numbers, each gets another centre, which meets the
+members of other components.  When few pairs across components are left, all of
+them are looked at, inside a join over blocks of members, so that a large bucket
+is many tasks; nothing but pairs whose signatures agree leaves the join.  So every pair that shares a band is linked, already
 connected, or known to differ.  A pair with a similarity of exactly 0.8 shares
 none of the bands with a probability of (1 - 0.8**5)**28, 1.5 in 100,000.
 
@@ -47,9 +50,14 @@ class Setting:
     seed: int = 41
     #: Standard deviations below the threshold at which signatures still count as candidates.
     slack: float = 5.0
+    #: Parts of the hash space in the bitmaps, a multiple of 64.
+    bits_wide: int = 1024
     #: Members of a bucket in a block, and parts over which a centre's comparisons are dealt.
     block: int = 256
     parts: int = 256
+    #: Pairs across components for each row of a bucket up to which all are looked at, and rounds of centres before that at most.
+    few: int = 8
+    turns: int = 8
 
     @property
     def hashes(self) -> int:
@@ -101,6 +109,25 @@ def signatures(m: np.ndarray, setting: Setting) -> np.ndarray:
     return np.hstack(planes) if planes else np.zeros((len(m), 0), np.int64)
 
 
+def bitmaps(sets: list[np.ndarray], setting: Setting) -> np.ndarray:
+    """A row of longs for each set: a bit for every part of the hash space that has a shingle."""
+    on = np.zeros((len(sets), setting.bits_wide), np.uint8)
+    for i, s in enumerate(sets):
+        on[i, (s % np.uint64(setting.bits_wide)).astype(np.int64)] = 1
+    return np.packbits(on, axis=1, bitorder="little").view(np.int64)
+
+
+def can_reach(a: Column, b: Column, na: Column, nb: Column, setting: Setting) -> Column:
+    """Whether sets of sizes na and nb with these bitmaps can have the threshold's similarity: a bit that one lacks is a shingle it lacks."""
+    t = setting.threshold
+    x = y = None
+    for i in range(setting.bits_wide // 64):
+        p, q = F.get(a, F.lit(i)), F.get(b, F.lit(i))
+        only_p, only_q = F.bit_count(p.bitwiseAND(F.bitwise_not(q))), F.bit_count(q.bitwiseAND(F.bitwise_not(p)))
+        x, y = (only_p, only_q) if x is None else (x + only_p, y + only_q)
+    return ((na - x) * t.denominator >= (na + y) * t.numerator) & ((nb - y) * t.denominator >= (nb + x) * t.numerator)
+
+
 def equal_minima(a: Column, b: Column, setting: Setting) -> Column:
     """How many b-bit minima two signatures share, by bit counts."""
     apart = None
@@ -120,7 +147,7 @@ def similarity(a: Column, b: Column, setting: Setting) -> Column:
 
 
 def sketches(docs: DataFrame, setting: Setting) -> DataFrame:
-    """doc_id, n (set size), f1, f2 (fingerprint of the set), bands, signature of every row."""
+    """doc_id, n (set size), f1, f2 (fingerprint of the set), bands, signature, bitmap of every row."""
 
     def sketch(batches):
         for batch in batches:
@@ -129,12 +156,12 @@ def sketches(docs: DataFrame, setting: Setting) -> DataFrame:
                 m = minima(sets, setting)
                 prints = [np.array([mixed(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (1, 2)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, prints), pa.array(list(band_keys(m, setting)), pa.list_(pa.int64())), pa.array(list(signatures(m, setting)), pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "f1", "f2", "bands", "signature"],
+                    [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), *map(pa.array, prints), pa.array(list(band_keys(m, setting)), pa.list_(pa.int64())), pa.array(list(signatures(m, setting)), pa.list_(pa.int64())), pa.array(list(bitmaps(sets, setting)), pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "f1", "f2", "bands", "signature", "bitmap"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return map_batches(rows, sketch, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, signature array<bigint>")
+    return map_batches(rows, sketch, "doc_id bigint, n bigint, f1 bigint, f2 bigint, bands array<bigint>, signature array<bigint>, bitmap array<bigint>")
 
 
 def _near_sizes(a: Column, b: Column, setting: Setting) -> Column:
@@ -183,34 +210,67 @@ def confirm(docs: DataFrame, pairs: DataFrame, setting: Setting) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
-    """Links (a, b) between classes (rid, n, bands, signature) that connect all that is similar, and the components they make."""
-    near = equal_minima(F.col("sa"), F.col("sb"), setting) >= setting.least_equal()
+    """id, component: the components of all links between classes (rid, n, bands, signature, bitmap)."""
+    near = _near_sizes(F.col("na"), F.col("nb"), setting) & (equal_minima(F.col("sa"), F.col("sb"), setting) >= setting.least_equal()) & can_reach(F.col("ma"), F.col("mb"), F.col("na"), F.col("nb"), setting)
     keyed = classes.select("rid", F.explode("bands").alias("band"))
     buckets = staged(keyed.groupBy("band").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi"), "buckets")
     members = staged(keyed.join(buckets, "band"), "members")
+    signs = lambda side, i: classes.select(F.col("rid").alias(i), F.col("n").alias(f"n{side}"), F.col("signature").alias(f"s{side}"), F.col("bitmap").alias(f"m{side}"))
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        """Pairs (x < y) that are candidates by size and signature; x is the side that meets its partners."""
+        met = pairs.join(signs("a", "x"), "x").join(signs("b", "y"), "y").where(near)
+        return staged(met.select(F.col("x").alias("a"), F.col("y").alias("b")), "candidates")
+
+    ordered = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
     centres = F.explode(F.array(F.col("lo"), F.col("hi")))
-    met = members.select("rid", centres.alias("a")).where("rid <> a").select(F.least("a", "rid").alias("x"), F.greatest("a", "rid").alias("y")).distinct()
-    seen = staged(met, "met")
-    signs = lambda s, n, i: classes.select(F.col("rid").alias(i), F.col("n").alias(n), F.col("signature").alias(s))
-    # the centre is the side that more pairs share; the larger id where it was a bucket's largest
-    first = seen.join(signs("sa", "na", "x"), "x").join(signs("sb", "nb", "y"), "y").where(near & _near_sizes(F.col("na"), F.col("nb"), setting)).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    linked = staged(confirm(docs, staged(first.distinct(), "first"), setting), "linked")
-    labels = components(linked)
-    own = members.join(labels, F.col("rid") == F.col("id"), "left").select("band", "rid", F.coalesce("component", "rid").alias("label"))
-    own = staged(own, "own")
-    mixed_buckets = staged(own.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("many")).where("l < h and many > 2").select("band", "many"), "mixed")
+    seen = staged(members.select("rid", centres.alias("a")).where("rid <> a").select(*ordered("a", "rid")).distinct(), "met")
+    linked = staged(confirm(docs, tried(seen), setting), "linked")
+    before = float("inf")
+    for turn in range(setting.turns + 1):
+        labels = components(linked)
+        own = members.join(labels, F.col("rid") == F.col("id"), "left").select("band", "rid", F.coalesce("component", "rid").alias("label"))
+        own = staged(own, "own")
+        held = own.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("many"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        split = staged(held.where("many * many > same and many > 2"), "split")
+        cross, rows = split.agg(F.sum((F.col("many") * F.col("many") - F.col("same")) / 2), F.sum("many")).first()
+        if not cross:
+            return labels
+        rest = own.join(split.select("band", "many"), "band")
+        # more centres help while they join components; else all pairs have to be looked at
+        last = cross <= setting.few * rows or turn == setting.turns or cross > 0.8 * before
+        before = float(cross)
+        if last:
+            pairs = _across(rest, classes, near, setting)
+        else:  # another centre for each bucket: it meets the members of other components
+            order = F.xxhash64("rid", "band", F.lit(turn))
+            chosen = staged(rest.groupBy("band").agg(F.min(F.struct(order.alias("o"), "rid", "label")).alias("c")).select("band", F.col("c.rid").alias("a"), F.col("c.label").alias("l")), "centres")
+            pairs = rest.join(chosen, "band").where("label <> l").select(*ordered("a", "rid")).distinct()
+        fresh = staged(pairs.join(seen, ["x", "y"], "left_anti"), "met")
+        candidates = fresh.select(F.col("x").alias("a"), F.col("y").alias("b")) if last else tried(fresh)
+        if last and not candidates.limit(1).count():
+            return labels
+        linked = staged(linked.union(confirm(docs, candidates, setting)), "linked")
+        if last:
+            return components(linked)
+        seen = staged(seen.union(fresh), "met")
+    raise AssertionError("the last turn returns")
+
+
+def _across(rest: DataFrame, classes: DataFrame, near: Column, setting: Setting) -> DataFrame:
+    """All pairs (x < y) of a bucket (band, rid, label, many) with different labels whose signatures agree.
+
+    Members are dealt into blocks; each pair of blocks is a key of the join, so a
+    large bucket is many tasks, and the condition is part of the join.
+    """
     blocks = F.floor((F.col("many") + (setting.block - 1)) / setting.block).cast("int")
-    rest = own.join(mixed_buckets, "band").join(classes.select("rid", "n", "signature"), "rid").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid", F.lit(setting.seed)), F.col("blocks")).cast("int"))
-    rest = staged(rest.select("band", "rid", "label", "n", "signature", "blocks", "block"), "rest")
+    rows = rest.join(classes.select("rid", "n", "signature", "bitmap"), "rid").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid", F.lit(setting.seed)), F.col("blocks")).cast("int"))
+    rows = staged(rows.select("band", "rid", "label", "n", "signature", "bitmap", "blocks", "block"), "rest")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rest.select("band", F.col("block").alias("i"), every.alias("j"), F.col("rid").alias("x"), F.col("label").alias("lx"), F.col("n").alias("na"), F.col("signature").alias("sa")).where("i <= j")
-    right = rest.select("band", every.alias("i"), F.col("block").alias("j"), F.col("rid").alias("y"), F.col("label").alias("ly"), F.col("n").alias("nb"), F.col("signature").alias("sb")).where("i <= j")
-    on = [left["band"] == right["band"], left["i"] == right["i"], left["j"] == right["j"], F.col("lx") != F.col("ly"), (left["i"] < right["j"]) | (F.col("x") < F.col("y")), _near_sizes(F.col("na"), F.col("nb"), setting), near]
-    cross = left.join(right, on).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(seen, ["x", "y"], "left_anti")
-    cross = staged(cross.select(F.col("x").alias("a"), F.col("y").alias("b")), "cross")
-    if not cross.limit(1).count():
-        return labels
-    return components(linked.union(staged(confirm(docs, cross, setting), "linked")))
+    left = rows.select("band", F.col("block").alias("i"), every.alias("j"), F.col("rid").alias("x"), F.col("label").alias("lx"), F.col("n").alias("na"), F.col("signature").alias("sa"), F.col("bitmap").alias("ma")).where("i <= j")
+    right = rows.select("band", every.alias("i"), F.col("block").alias("j"), F.col("rid").alias("y"), F.col("label").alias("ly"), F.col("n").alias("nb"), F.col("signature").alias("sb"), F.col("bitmap").alias("mb")).where("i <= j")
+    on = [left["band"] == right["band"], left["i"] == right["i"], left["j"] == right["j"], F.col("lx") != F.col("ly"), (left["i"] < right["j"]) | (F.col("x") < F.col("y")), near]
+    return left.join(right, on).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def dedup(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
@@ -219,7 +279,7 @@ def dedup(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     sets = sketched.where("n > 0 and doc_id is not null")
     classes = staged(sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rid")), "classes")
     keys = classes.select(F.col("rid").alias("doc_id"), "f1", "f2")
-    chosen = staged(sets.join(keys, ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("rid"), "n", "bands", "signature"), "chosen")
+    chosen = staged(sets.join(keys, ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("rid"), "n", "bands", "signature", "bitmap"), "chosen")
     labels = links(docs, chosen, setting)
     named = staged(classes.join(labels, F.col("rid") == F.col("id"), "left").select("f1", "f2", F.coalesce("component", "rid").alias("component")), "named")
     out = sketched.select("doc_id", "n", "f1", "f2").join(named.withColumnRenamed("f1", "g1").withColumnRenamed("f2", "g2"), (F.col("n") > 0) & F.col("doc_id").isNotNull() & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")

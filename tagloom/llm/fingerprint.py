@@ -139,13 +139,14 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
     base = docs.select(key.alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sizes = staged(base.groupBy("k").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("many")), "sizes")
     ring = staged(followers(sizes.select("k", "n")), "ring")
-    heads = base.join(ring.select("k", "prev_k", "prev_n"), "k")
+    # k is unique on the built sides, so a partition's table is as small as the partition; sorting the texts would cost more
+    heads = base.join(ring.select("k", "prev_k", "prev_n").hint("shuffle_hash"), "k")
     if sizes.where("many > 1").limit(1).count():
         digest = F.sha2("text", 256)
         chosen = base.select("k", digest.alias("sha")).groupBy("k").agg(F.min("sha").alias("sha"))
         heads = heads.join(chosen, "k").where(digest == F.col("sha")).dropDuplicates(["k"])
     heads = heads.select(F.col("prev_k").alias("k"), F.expr("left(text, cast(floor(prev_n / 2) as int))").alias("head"), vector(paragraphs(F.col("text"))).alias("next_v"))
-    rows = base.join(heads, "k").withColumn("n_chars", F.length("text"))
+    rows = base.join(heads.hint("shuffle_hash"), "k").withColumn("n_chars", F.length("text"))
     half = "cast(floor(n_chars / 2) as int)"
     rows = rows.withColumn("edited", F.expr(f"concat(left(text, n_chars - {half}), left(head, {half}))"))
     rows = rows.select(

@@ -128,13 +128,13 @@ def dedup(rows: DataFrame, cosine: float = 0.93, per_cell: int = 4096, block: in
     met = as_left.union(as_right.where("i <> j")).repartition("grp", "cell", "i", "j").sortWithinPartitions("grp", "cell", "i", "j", "side")
 
     def joined(batches):
-        def closed(held):
+        def closed(at, held):
             left = held[0]
-            if not left[0]:
-                return None
+            if not left[0] or (at[2] != at[3] and not held[1][0]):
+                return None  # a block without rows
             x = np.frombuffer(b"".join(left[3]), "<f8").reshape(len(left[0]), -1)
             f, rid, many = (np.array(left[k]) for k in range(3))
-            if held[1][0]:
+            if at[2] != at[3]:
                 right = held[1]
                 y, g, qid, mult = np.frombuffer(b"".join(right[3]), "<f8").reshape(len(right[0]), -1), np.array(right[0]), np.array(right[1]), np.array(right[2])
             else:
@@ -165,12 +165,12 @@ def dedup(rows: DataFrame, cosine: float = 0.93, per_cell: int = 4096, block: in
             cols = {c: batch.column(c).to_pylist() for c in ("grp", "cell", "i", "j", "side", "f1", "rid", "many", "vec")}
             for key, side, *values in zip(zip(cols["grp"], cols["cell"], cols["i"], cols["j"], strict=True), cols["side"], cols["f1"], cols["rid"], cols["many"], cols["vec"], strict=True):
                 if key != at:
-                    if held and (out := closed(held)):
+                    if held and (out := closed(at, held)):
                         yield out
                     at, held = key, [[[], [], [], []], [[], [], [], []]]
                 for k, v in enumerate(values):
                     held[side][k].append(v)
-        if held and (out := closed(held)):
+        if held and (out := closed(at, held)):
             yield out
 
     found = staged(map_batches(met, joined, "f1 bigint, a bigint, b bigint, n bigint"), "found")

@@ -18,12 +18,11 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     label = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p")), "label")
     for _ in range(rounds):
-        near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("p").alias("m"))
-        step = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.col("p").alias("old"), F.least("p", F.coalesce("m", "p")).alias("q"))
+        heard = both.join(label.hint("shuffle_hash"), F.col("b") == F.col("id")).select(F.col("a").alias("id"), "p", F.lit(None).cast("bigint").alias("old"))
+        step = heard.union(label.select("id", "p", F.col("p").alias("old"))).groupBy("id").agg(F.min("p").alias("q"), F.max("old").alias("old"))
         up = label.select(F.col("id").alias("q_id"), F.col("p").alias("q_p"))
-        fresh = staged(step.join(up, F.col("q") == F.col("q_id"), "left").select("id", "old", F.least("q", F.coalesce("q_p", "q")).alias("p")), "label")
-        changed = fresh.where("p <> old").limit(1).count()
+        fresh = staged(step.join(up.hint("shuffle_hash"), F.col("q") == F.col("q_id"), "left").select("id", "old", F.least("q", F.coalesce("q_p", "q")).alias("p")), "label")
         label = fresh.select("id", "p")
-        if not changed:
+        if not fresh.where("p <> old").limit(1).count():
             return label.select("id", F.col("p").alias("component"))
     raise RuntimeError(f"labels still change after {rounds} rounds")

@@ -214,12 +214,15 @@ def links(docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
     near = _near_sizes(F.col("na"), F.col("nb"), setting) & (equal_minima(F.col("sa"), F.col("sb"), setting) >= setting.least_equal()) & can_reach(F.col("ma"), F.col("mb"), F.col("na"), F.col("nb"), setting)
     keyed = classes.select("rid", F.explode("bands").alias("band"))
     buckets = staged(keyed.groupBy("band").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi"), "buckets")
-    members = staged(keyed.join(buckets, "band"), "members")
+    members = staged(keyed.join(buckets.hint("shuffle_hash"), "band"), "members")
+    # only these texts are compared: they are shuffled and written once, whatever the number of rounds
+    meant = members.select(F.col("rid").alias("doc_id")).distinct()
+    docs = staged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(meant.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     signs = lambda side, i: classes.select(F.col("rid").alias(i), F.col("n").alias(f"n{side}"), F.col("signature").alias(f"s{side}"), F.col("bitmap").alias(f"m{side}"))
 
     def tried(pairs: DataFrame) -> DataFrame:
         """Pairs (x < y) that are candidates by size and signature; x is the side that meets its partners."""
-        met = pairs.join(signs("a", "x"), "x").join(signs("b", "y"), "y").where(near)
+        met = pairs.join(signs("a", "x").hint("shuffle_hash"), "x").join(signs("b", "y").hint("shuffle_hash"), "y").where(near)
         return staged(met.select(F.col("x").alias("a"), F.col("y").alias("b")), "candidates")
 
     ordered = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
@@ -229,14 +232,14 @@ def links(docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
     before = float("inf")
     for turn in range(setting.turns + 1):
         labels = components(linked)
-        own = members.join(labels, F.col("rid") == F.col("id"), "left").select("band", "rid", F.coalesce("component", "rid").alias("label"))
+        own = members.join(labels.hint("shuffle_hash"), F.col("rid") == F.col("id"), "left").select("band", "rid", F.coalesce("component", "rid").alias("label"))
         own = staged(own, "own")
         held = own.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("many"), F.sum(F.col("k") * F.col("k")).alias("same"))
         split = staged(held.where("many * many > same and many > 2"), "split")
         cross, rows = split.agg(F.sum((F.col("many") * F.col("many") - F.col("same")) / 2), F.sum("many")).first()
         if not cross:
             return labels
-        rest = own.join(split.select("band", "many"), "band")
+        rest = own.join(split.select("band", "many").hint("shuffle_hash"), "band")
         # more centres help while they join components; else all pairs have to be looked at
         last = cross <= setting.few * rows or turn == setting.turns or cross > 0.8 * before
         before = float(cross)
@@ -264,7 +267,7 @@ def _across(rest: DataFrame, classes: DataFrame, near: Column, setting: Setting)
     large bucket is many tasks, and the condition is part of the join.
     """
     blocks = F.floor((F.col("many") + (setting.block - 1)) / setting.block).cast("int")
-    rows = rest.join(classes.select("rid", "n", "signature", "bitmap"), "rid").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid", F.lit(setting.seed)), F.col("blocks")).cast("int"))
+    rows = rest.join(classes.select("rid", "n", "signature", "bitmap").hint("shuffle_hash"), "rid").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rid", F.lit(setting.seed)), F.col("blocks")).cast("int"))
     rows = staged(rows.select("band", "rid", "label", "n", "signature", "bitmap", "blocks", "block"), "rest")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = rows.select("band", F.col("block").alias("i"), every.alias("j"), F.col("rid").alias("x"), F.col("label").alias("lx"), F.col("n").alias("na"), F.col("signature").alias("sa"), F.col("bitmap").alias("ma")).where("i <= j")
@@ -277,11 +280,11 @@ def dedup(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept, for every row of docs."""
     sketched = staged(sketches(docs, setting), "sketches")
     sets = sketched.where("n > 0 and doc_id is not null")
-    classes = staged(sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rid")), "classes")
-    keys = classes.select(F.col("rid").alias("doc_id"), "f1", "f2")
-    chosen = staged(sets.join(keys, ["doc_id", "f1", "f2"]).dropDuplicates(["doc_id", "f1", "f2"]).select(F.col("doc_id").alias("rid"), "n", "bands", "signature", "bitmap"), "chosen")
+    sketch = F.struct("bands", "signature", "bitmap")
+    classes = staged(sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rid"), F.min_by(sketch, "doc_id").alias("s")).select("rid", "n", "f1", "f2", "s.bands", "s.signature", "s.bitmap"), "classes")
+    chosen = classes.select("rid", "n", "bands", "signature", "bitmap")
     labels = links(docs, chosen, setting)
-    named = staged(classes.join(labels, F.col("rid") == F.col("id"), "left").select("f1", "f2", F.coalesce("component", "rid").alias("component")), "named")
+    named = staged(classes.select("rid", "f1", "f2").join(labels.hint("shuffle_hash"), F.col("rid") == F.col("id"), "left").select("f1", "f2", F.coalesce("component", "rid").alias("component")), "named")
     out = sketched.select("doc_id", "n", "f1", "f2").join(named.withColumnRenamed("f1", "g1").withColumnRenamed("f2", "g2"), (F.col("n") > 0) & F.col("doc_id").isNotNull() & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
     component = F.coalesce(F.least("component", "doc_id"), "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))

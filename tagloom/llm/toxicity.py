@@ -34,7 +34,7 @@ from .learning import labelled, logistic, remainder
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
-    "а": "a", "в": "b", "е": "e", "з": "e", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "һ": "h", "ӏ": "i",
+    "а": "a", "в": "b", "д": "d", "е": "e", "з": "e", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "һ": "h", "ӏ": "i",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c",
     "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "i", "ո": "n", "օ": "o", "ս": "u", "ց": "g", "հ": "h", "ƚ": "i", "ł": "i", "ø": "o", "đ": "d",
 }
@@ -67,7 +67,9 @@ def fold(text: str) -> str:
     text = text.lower()
     if _SIGN.search(text):
         text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    if _DIGIT_IN_WORD.search(text):
+    for _ in range(2):  # a letter made of a digit can be what another digit needs beside it
+        if not _DIGIT_IN_WORD.search(text):
+            break
         text = _DIGIT_IN_WORD.sub(lambda m: m[0].translate(_DIGIT_TABLE), text)
     return f" {_BREAK.sub(' ', text.translate(_table())).strip()} "
 

@@ -14,8 +14,9 @@ def literal_list(s: Column) -> Column:
     t = strip(s)
     t = F.when(t.startswith("(") & t.endswith(")"), F.concat(F.lit("["), F.substring(t, 2, 10_000_000).substr(F.lit(1), F.length(t) - 2), F.lit("]"))).otherwise(t)
     t = F.regexp_replace(t, r",\s*\]$", "]")
-    t = F.regexp_replace(t, r"(?<=[\[,]\s{0,8})(None|True|False)(?=\s{0,8}[,\]])", '"$1"')
-    return F.when(t.startswith("[") & t.endswith("]"), F.from_json(t, "array<string>"))
+    # bare words only where the text can't be read without: they could stand inside a quoted item
+    bare = F.regexp_replace(t, r"(?<=[\[,]\s{0,8})(None|True|False)(?=\s{0,8}[,\]])", '"$1"')
+    return F.when(t.startswith("[") & t.endswith("]"), F.coalesce(F.from_json(t, "array<string>"), F.from_json(bare, "array<string>")))
 
 
 def filled(items: Column, trimmed: bool = False) -> Column:

@@ -46,7 +46,7 @@ def charset(sample: bytes) -> str:
             sample.decode(name)
             return spark_name
         except UnicodeDecodeError as e:
-            if name == "utf-8" and e.start >= len(sample) - 3:  # the sample cuts a character
+            if name == "utf-8" and e.reason == "unexpected end of data":  # the sample cuts a character
                 return "UTF-8"
     return "ISO-8859-1"
 

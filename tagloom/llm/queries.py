@@ -75,6 +75,29 @@ SELECT doc_id, source, slot, 'shard-' || o[slot + 1] AS shard FROM placed, owner
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Components by walking links from every row; fine for the group sizes of the small tables.
+_WALK = "reach AS (SELECT a AS id, b AS other FROM both_ UNION SELECT r.id, e.b FROM reach r JOIN both_ e ON r.other = e.a), low AS (SELECT id, min(other) AS m FROM reach GROUP BY 1)"
+
+_OP1 = rf"""
+WITH RECURSIVE split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM split),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), {_WALK}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id, d.doc_id <= coalesce(m, d.doc_id) AS kept FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN low ON low.id = d.doc_id
+"""
+
+_OP9 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), {_WALK}
+SELECT d.vec_id, (SELECT count(*) FROM both_ WHERE a = d.vec_id) AS n_links, least(d.vec_id, coalesce(m, d.vec_id)) AS component_id, d.vec_id <= coalesce(m, d.vec_id) AS kept FROM embeddings d LEFT JOIN low ON low.id = d.vec_id
+"""
+
 SQL = {
+    "op1_near_dedup": _OP1,
+    "op9_embedding_dedup": _OP9,
     "op10_sharding": _op10_sql(),
 }

@@ -36,7 +36,7 @@ _CODES = 21  # bits of a code point
 def letters(text: str | None) -> str:
     """Lower-cased letters with one blank at both ends of every word; empty without letters."""
     found = _BREAK.sub(" ", text.lower()).strip() if text else ""
-    return f" {found} " if found else ""
+    return f" {found} " if any(map(str.isalpha, found)) else ""  # numbers such as a superscript two count as word characters
 
 
 _SHARED: dict[tuple, Encoder] = {}

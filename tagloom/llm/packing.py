@@ -69,19 +69,20 @@ def knapsack(lengths: list[int], values: list[float], most: list[int], capacity:
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4000, rate: float = 0.2, step: float = 0.5, priced: int = 48, copies: int = 7, enough: float = 0.97, tight: float = 0.9995, seed: int = 3) -> list[tuple[dict[int, int], float]]:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4000, rate: float = 0.2, step: float = 0.5, priced: int = 48, copies: int = 7, enough: float = 0.97, tight: float = 0.9995, patience: int = 200, seed: int = 3) -> list[tuple[dict[int, int], float]]:
     """Configurations (counts by place in lengths) and their fractional amounts; no length is covered beyond its count.
 
     A length's value for the knapsack is the length times a weight that falls
     exponentially with the share of its count that is covered.  Each round
     prices `priced` lengths, half of them with the largest weights and half from
     all that are open (partial pricing).  A configuration with a value below
-    `tight` of the dual bound, which is a full sequence, isn't used.
+    `tight` of the dual bound, which is a full sequence, isn't used; after
+    `patience` of them in a row the rest is left to best fit.
     """
     covered = np.zeros(len(lengths))
     rng = np.random.default_rng(seed)
     out: list[tuple[dict[int, int], float]] = []
-    total, volume = float((lengths * counts).sum()), 0.0
+    total, volume, missed = float((lengths * counts).sum()), 0.0, 0
     for _ in range(rounds):
         share = covered / counts
         open_ = np.flatnonzero(share < 1 - 1e-9)
@@ -93,7 +94,11 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
         found = knapsack(lengths[open_].tolist(), (lengths[open_] * weight).tolist(), np.minimum(copies, counts[open_]).tolist(), capacity)
         used = {int(open_[i]): n for i, n in found.items()}
         if sum(int(lengths[i]) * n for i, n in used.items()) < tight * capacity:
+            missed += 1
+            if missed > patience:
+                break
             continue
+        missed = 0
         room = min((counts[i] - covered[i]) / n for i, n in used.items())
         amount = min(room, max(1.0, step * min(counts[i] / n for i, n in used.items())))
         out.append((used, amount))

@@ -106,7 +106,7 @@ def language_rows(n, seed=1):
 
 
 def test_languages_of_held_out_rows(make_docs):
-    rows = language_rows(240) + [(1000, "12 345 !!", "en"), (1001, None, "de"), (1002, "the and of", None)]
+    rows = language_rows(240) + [(1000, "12 345 ² !!", "en"), (1001, None, "de"), (1002, "the and of", None)]
     got = {r["doc_id"]: r for r in langid.predict(make_docs(rows)).collect()}
     assert all(r["held_out"] == (held(i, 3) == 1) for i, r in got.items())
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows[:240] if got[i]["held_out"])

@@ -25,15 +25,16 @@ def fit_encoder(df: DataFrame, column: str, row_key: list[str], min_freq: int =
     return numbered(seen, [F.col("first")], "id").select("id", "token", "count")
 
 
-def encode_lists(df: DataFrame, column: str, encoder: DataFrame, row_key: list[str], out: str = "ids", empty_as_unknown: bool = False, any_case: bool = True, most_broadcast: int = 200_000) -> DataFrame:
+def encode_lists(df: DataFrame, column: str, encoder: DataFrame, row_key: list[str], out: str = "ids", empty_as_unknown: bool = False, any_case: bool = True, most_sent: int = 256) -> DataFrame:
     """df with the ids of a list column's tokens in order; unknown tokens are 0.
 
     any_case: look tokens up in lower case; else as they are and then with
-    single blanks.  A small encoder is sent along as one map, a larger one joined.
+    single blanks.  A very small encoder is sent along as one map (Spark looks maps
+    up entry by entry), a larger one is joined.
     """
     forms = (lambda t: [F.lower(strip(t))]) if any_case else (lambda t: [t, collapse(t)])
     zero = F.lit(0).cast("bigint")
-    if encoder.limit(most_broadcast + 1).count() <= most_broadcast:
+    if encoder.limit(most_sent + 1).count() <= most_sent:
         table = F.broadcast(encoder.agg(F.map_from_entries(F.collect_list(F.struct("token", F.col("id").cast("bigint")))).alias("__map")))
         ids = F.transform(F.col(column), lambda t: F.coalesce(*[F.try_element_at(F.col("__map"), f) for f in forms(t)], zero))
         result = df.crossJoin(table).withColumn(out, ids).drop("__map")  # one row on the right

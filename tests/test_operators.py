@@ -129,7 +129,7 @@ def test_encoders(spark):
     encoder = vocab.fit_encoder(df, "items", ["row"])
     assert {(r["id"], r["token"], r["count"]) for r in encoder.collect()} == {(1, "b", 2), (2, "a", 2), (3, "c", 1)}
     for most in (100, 0):  # sent along, and joined
-        got = {r["row"]: r["ids"] for r in vocab.encode_lists(df, "items", encoder.where("id < 3"), ["row"], most_broadcast=most).collect()}
+        got = {r["row"]: r["ids"] for r in vocab.encode_lists(df, "items", encoder.where("id < 3"), ["row"], most_sent=most).collect()}
         assert got == {1: [1, 2, 1, 0], 2: [0, 2], 3: [], 4: []}
     got = {r["row"]: r["ids"] for r in vocab.encode_lists(df, "items", encoder, ["row"], empty_as_unknown=True).collect()}
     assert got[3] == [0] and got[4] == [0]
@@ -161,6 +161,10 @@ def test_pmi_of_hand_made_baskets(spark):
     assert got[("a", "b")] == (2, pytest.approx(math.log((2 / 4) / (2 / 4 * 2 / 4))))
     assert got[("a", "c")] == (1, pytest.approx(math.log((1 / 4) / (2 / 4 * 2 / 4))))
     assert pairs.pmi(lists, min_count=9).collect() == []
+    keep = spark.createDataFrame([("a",), ("c",)], "item string")
+    for most in (10, 0):  # sent along, and joined
+        left = sorted(r["items"] for r in pairs.among(lists, "items", keep, most).collect())
+        assert [x for x in left if len(x) > 1] == [["a", "c"]]
     many = spark.createDataFrame([([f"i{k:03d}" for k in range(90)],)], "items array<string>")
     assert pairs.pair_counts(pairs.trimmed(many, "items")).count() == 60 * 59 // 2
 

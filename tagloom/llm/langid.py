@@ -92,21 +92,26 @@ class Encoder:
                 gram = gram | (code[place : len(code) - self.n + 1 + place] << np.uint64(_CODES * place))
             counted.append(np.unique(gram, return_counts=True))
         for i, (gram, count) in enumerate(counted):
-            if not len(gram):
-                continue
-            at = np.searchsorted(self.codes, gram)
-            known = (at < len(self.codes)) & (self.codes[np.minimum(at, max(len(self.codes) - 1, 0))] == gram) if len(self.codes) else np.zeros(len(gram), bool)
-            if not known.all():
-                self._learn(gram[~known])
-                at = np.searchsorted(self.codes, gram)
-            out[i] = count.astype(np.float32) @ self.table[at]
+            for first in range(0, len(gram), self.most_grams):  # pieces that fit into the table
+                piece = slice(first, first + self.most_grams)
+                out[i] += count[piece].astype(np.float32) @ self._rows(gram[piece])
         return out
 
+    def _rows(self, gram: np.ndarray) -> np.ndarray:
+        """The vectors of at most most_grams distinct n-grams; a table without room for the new ones is emptied and takes all of gram."""
+        at = np.searchsorted(self.codes, gram)
+        known = (at < len(self.codes)) & (self.codes[np.minimum(at, max(len(self.codes) - 1, 0))] == gram) if len(self.codes) else np.zeros(len(gram), bool)
+        if not known.all():
+            if len(self.codes) + np.count_nonzero(~known) > self.most_grams:
+                self.codes, self.table, known = self.codes[:0], self.table[:0], np.zeros(len(gram), bool)
+            self._learn(gram[~known])
+            at = np.searchsorted(self.codes, gram)
+        return self.table[at]
+
     def _learn(self, fresh: np.ndarray) -> None:
-        codes, table = (self.codes, self.table) if len(self.codes) + len(fresh) <= self.most_grams else (self.codes[:0], self.table[:0])
-        codes = np.concatenate([codes, fresh])
+        codes = np.concatenate([self.codes, fresh])
         order = np.argsort(codes)
-        self.codes, self.table = codes[order], np.concatenate([table, self.gram_vectors(fresh)])[order]
+        self.codes, self.table = codes[order], np.concatenate([self.table, self.gram_vectors(fresh)])[order]
 
 
 def unit(v: np.ndarray) -> np.ndarray:

@@ -131,3 +131,13 @@ def test_vectors_equal_plain_binding():
     assert (e.vectors(["Abc ab"])[0] == want).all()
     small = langid.Encoder(dims=64, most_grams=4)
     assert (small.vectors(["Abc ab", "other words"]) == e.vectors(["Abc ab", "other words"])).all()
+
+
+def test_known_and_new_grams_at_the_cap():
+    e = langid.Encoder(dims=64)
+    texts = ["Abc ab", "abc other words", "ab", "words abc ab and yet more of them", "Abc ab"]
+    for most in (1, 4, 9, 14, 20):
+        small = langid.Encoder(dims=64, most_grams=most)
+        for text in [*texts, *texts[::-1]]:
+            assert (small.vectors([text]) == e.vectors([text])).all()
+            assert len(small.codes) == len(small.table) <= most

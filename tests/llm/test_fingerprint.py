@@ -65,3 +65,17 @@ def test_likeness(make_docs):
     assert got[3]["near_next"] < 0.35  # 40 of 400 shared: 0.1
     assert got[1]["near_next"] == 1.0 and got[1]["near_edited"] == 1.0  # both without paragraphs
     assert all(0 <= r[c] <= 1 for r in got.values() for c in ("near_edited", "near_next"))
+
+
+def test_likeness_of_very_long_texts(make_docs):
+    text = lambda first, n: ". ".join(f"Sentence number {i} stands here" for i in range(first, first + n))
+    cases = [  # of both texts first sentence and number, and the likeness
+        ((0, 5_000), (900_000, 40), 0), ((0, 10_000), (900_000, 40), 0), ((0, 10_000), (900_000, 10_000), 0),
+        ((0, 10_000), (5_000, 10_000), 1 / 3), ((0, 100_000), (50_000, 100_000), 1 / 3), ((0, 100_000), (900_000, 100_000), 0),
+        ((0, 10_000), (0, 20_000), 1 / 2), ((0, 10_000), (0, 10_001), 10_000 / 10_001), ((0, 100_000), (2_000, 100_000), 98 / 102),
+    ]
+    docs = P.fingerprints(make_docs([(2 * i + k, text(*case[k])) for i, case in enumerate(cases) for k in (0, 1)])).select("doc_id", "vector")
+    pairs = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("vector").alias("v")).join(docs, "doc_id")
+    got = {r[0]: r[1] for r in pairs.select("doc_id", P.likeness(F.col("v"), F.col("vector"))).collect()}
+    for i, (_, _, want) in enumerate(cases):
+        assert abs(got[2 * i + 1] - want) < 0.2, (i, got[2 * i + 1], want)

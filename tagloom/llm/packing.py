@@ -6,7 +6,10 @@ share a sequence.  The linear program over configurations is solved by
 multiplicative weights: every length has a weight that falls as it gets covered,
 and a knapsack dynamic program finds the configuration with the largest value
 for the weights.  The fractional solution is rounded down; what is left is
-packed best-fit decreasing, again on the histogram.  Pieces then get their
+packed best-fit decreasing, again on the histogram.  Where that stays above the
+volume's bound, as it does with few lengths that fill no sequence, the linear
+program is solved by the simplex method with exact prices instead, up to EXACT
+lengths; the plan with fewest sequences counts.  Pieces then get their
 places by arithmetic from their rank within their length, so that placing is
 spread over all tasks however many pieces share a length.
 
@@ -26,6 +29,9 @@ from pyspark.sql import functions as F
 from .common import map_batches, slices, staged
 from .tokenization import PieceEncoder, crc_of
 
+#: So many lengths at most have their linear program solved to the end: a pivot costs their number's square.
+EXACT = 256
+
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: documents' ids and an end id, longer ones cut into pieces."""
@@ -69,15 +75,15 @@ def knapsack(lengths: list[int], values: list[float], most: list[int], capacity:
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4000, rate: float = 0.2, step: float = 0.5, priced: int = 48, copies: int = 7, enough: float = 0.97, tight: float = 0.9995, patience: int = 200, seed: int = 3) -> list[tuple[dict[int, int], float]]:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4000, rate: float = 0.2, step: float = 0.5, priced: int = 48, enough: float = 0.97, tight: float = 0.9995, patience: int = 200, seed: int = 3) -> list[tuple[dict[int, int], float]]:
     """Configurations (counts by place in lengths) and their fractional amounts; no length is covered beyond its count.
 
     A length's value for the knapsack is the length times a weight that falls
     exponentially with the share of its count that is covered.  Each round
     prices `priced` lengths, half of them with the largest weights and half from
-    all that are open (partial pricing).  A configuration with a value below
-    `tight` of the dual bound, which is a full sequence, isn't used; after
-    `patience` of them in a row the rest is left to best fit.
+    all that are open (partial pricing).  A configuration that fills less than
+    `tight` of a sequence isn't used; after `patience` of them in a row the rest
+    is left to best fit, or to `solve_exactly` where full sequences are no bound.
     """
     covered = np.zeros(len(lengths))
     rng = np.random.default_rng(seed)
@@ -91,7 +97,7 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
         first = open_[np.argsort(share[open_] + rng.random(len(open_)) * 0.25, kind="stable")]
         open_ = np.concatenate([first[: priced // 2], rng.permutation(first[priced // 2 :])[: priced - priced // 2]])
         weight = np.exp(-rate * (share[open_] - share[open_].min()))
-        found = knapsack(lengths[open_].tolist(), (lengths[open_] * weight).tolist(), np.minimum(copies, counts[open_]).tolist(), capacity)
+        found = knapsack(lengths[open_].tolist(), (lengths[open_] * weight).tolist(), counts[open_].tolist(), capacity)
         used = {int(open_[i]): n for i, n in found.items()}
         if sum(int(lengths[i]) * n for i, n in used.items()) < tight * capacity:
             missed += 1
@@ -108,6 +114,38 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int =
     return out
 
 
+def solve_exactly(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 5e-4) -> list[tuple[dict[int, int], float]]:
+    """As solve, by the simplex method: every pivot prices all lengths, and it ends within `gap` of the dual bound.
+
+    The prices divided by the value of the best configuration are a solution of
+    the dual program, so their worth is a lower bound for the sequences.
+    """
+    n = len(lengths)
+    fit = np.minimum(capacity // lengths, counts)
+    base = [{i: int(fit[i])} for i in range(n)]
+    inverse, amount = np.diag(1.0 / fit), counts / fit
+    bound = float((lengths * counts).sum()) / capacity
+    while True:
+        price = inverse.sum(axis=0)
+        found = knapsack(lengths.tolist(), np.maximum(price, 0).tolist(), counts.tolist(), capacity)
+        used = {i: k for i, k in found.items() if price[i] > 0}
+        value = sum(price[i] * k for i, k in used.items())
+        bound = max(bound, float(price @ counts) / max(value, 1.0))
+        if value <= 1 + 1e-9 or amount.sum() <= bound * (1 + gap):
+            break
+        column = inverse[:, list(used)] @ np.array(list(used.values()), float)
+        able = np.flatnonzero(column > 1e-9)
+        ratio = amount[able] / column[able]
+        out = int(able[np.flatnonzero(ratio <= ratio.min() + 1e-12)[0]])
+        base[out] = used
+        row, inverse[out] = inverse[out] / column[out], 0
+        share, amount[out] = amount[out] / column[out], 0
+        column[out] = -1
+        inverse -= np.outer(column, row)
+        amount = np.maximum(amount - column * share, 0)
+    return [(used, float(x)) for used, x in zip(base, amount, strict=True) if x > 1e-9]
+
+
 def best_fit(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
     """Best-fit decreasing on a histogram: configurations (counts by length) and how many sequences have each."""
     bins: dict[int, list[tuple[dict[int, int], int]]] = {}
@@ -164,15 +202,19 @@ def rounded(fractional: list[tuple[dict[int, int], float]], size: np.ndarray, ma
 def plan(lengths: list[int], counts: list[int], capacity: int = 4096, **options) -> list[tuple[dict[int, int], int]]:
     """Configurations (counts by length) and numbers of sequences that hold exactly the counted lengths.
 
-    The solution is rounded with all of its configurations and with its first
-    half and quarter; the one with fewest sequences counts.
+    The solution is rounded with all of its configurations, with its first half
+    and quarter, and with none; the one with fewest sequences counts.
     """
     if not lengths:
         return []
     order = np.argsort(lengths)
     size, many = np.array(lengths, np.int64)[order], np.array(counts, np.int64)[order]
     found = solve(size, many, capacity, **options)
-    return min((rounded(found[: -(-len(found) // k)], size, many, capacity) for k in (1, 2, 4)), key=lambda x: sum(n for _, n in x))
+    sequences = lambda made: sum(n for _, n in made)
+    best = min((rounded(found[:k], size, many, capacity) for k in (len(found), -(-len(found) // 2), -(-len(found) // 4), 0)), key=sequences)
+    if len(size) <= EXACT and sequences(best) > 1.0005 * int((size * many).sum()) / capacity + 1:  # else as near to the bound as the simplex goes
+        best = min(best, rounded(solve_exactly(size, many, capacity), size, many, capacity), key=sequences)
+    return best
 
 
 def ranked(rows: DataFrame, by: str, counts: list[tuple[int, int]], order: list[str], per_bucket: int = 256, salt: int = 23) -> DataFrame:

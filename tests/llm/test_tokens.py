@@ -125,3 +125,15 @@ def test_packing_is_gapless_and_whole(make_docs):
             at += length
         assert at <= 64
     assert len(bins) <= 1.03 * -(-sum(r["length"] for r in got) // 64) + 1
+
+
+def test_few_lengths_reach_the_linear_programs_optimum():
+    n = 1200
+    made = packing.plan([2040, 1030, 1020], [n] * 3)  # no sequence is full; best fit alone takes n / 2 + n / 3 + n / 4
+    assert sum(m for _, m in made) == n
+    assert packing.plan([96, 400], [1000, 10_000]) and sum(m for _, m in packing.plan([96, 400], [1000, 10_000])) == 1000
+    lengths, counts = np.array([40, 250, 333, 700, 900, 1300, 1500]), np.array([500, 8000, 9000, 2000, 4000, 5000, 3000])
+    found = packing.solve_exactly(lengths, counts, 4096, gap=0)
+    held = sum(x * np.array([used.get(i, 0) for i in range(7)]) for used, x in found)
+    assert np.allclose(held, counts) and all(sum(lengths[i] * k for i, k in used.items()) <= 4096 for used, _ in found)
+    assert sum(m for _, m in packing.plan(lengths.tolist(), counts.tolist())) <= sum(x for _, x in found) + 7

@@ -9,8 +9,8 @@ anything else is one blank at word edges.
 
 Vectors come from seeds, so every executor makes the same ones.  The vectors of
 n-grams are made once per worker and kept in a table of bounded size.
-Prototypes are sums of unit vectors over a bounded sample of the texts to learn
-from; every text is compared whole.
+Prototypes are sums of unit vectors over a sample of the texts to learn from,
+a bounded number for each language; every text is compared whole.
 
 Null texts and texts without a letter are `und` with score 0; so is every text
 when there is nothing to learn from.  Repeated rows are predicted each.
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, staged
-from .learning import remainder, sample
+from .common import map_batches, slices
+from .learning import remainder
 
 UNKNOWN = "und"
 _BREAK = re.compile(r"[\W\d_]+")
@@ -119,33 +119,45 @@ def unit(v: np.ndarray) -> np.ndarray:
     return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
 
 
-def learn(docs: DataFrame, modulus: int = 3, held_out: int = 1, most_rows: int = 20_000, most_langs: int = 1000, encoder: Encoder | None = None) -> tuple[list[str], np.ndarray]:
+def even(counts: list[int], most: int) -> int:
+    """The largest number for each that takes at most `most` in all, where nothing gives more than it has."""
+    left = most
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) >= left:
+            return left // (len(counts) - i)
+        left -= n
+    return max(counts, default=0)
+
+
+def learn(docs: DataFrame, modulus: int = 3, held_out: int = 1, most_rows: int = 20_000, least: int = 100, encoder: Encoder | None = None) -> tuple[list[str], np.ndarray]:
     """Languages (by name) and their prototypes as unit vectors.
 
-    Learns from text and lang of a sample of about most_rows rows where
-    crc32(doc_id) % modulus isn't held_out.  Beyond most_langs languages, those
-    with the fewest sampled rows are left out.
+    Learns from text and lang of a sample of the rows where crc32(doc_id) %
+    modulus isn't held_out: all rows of a language with few, and about the same
+    number of every other, so that about most_rows are taken, but never fewer
+    than about `least` of a language that has them.
     """
     encoder = encoder or Encoder()
     dims = encoder.dims
-    ids = docs.where(remainder(F.col("doc_id"), modulus) != held_out).where("lang is not null and text is not null and doc_id is not null").select("doc_id")
-    chosen = staged(sample(ids.distinct(), "doc_id", most_rows), "langs")
+    rows = docs.where(remainder(F.col("doc_id"), modulus) != held_out).where("lang is not null and text is not null and doc_id is not null").select("doc_id", "text", "lang")
+    counts = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().collect()]  # a row for each language
+    share = max(least, even([n for _, n in counts], most_rows))
+    steps = 1 << 40
+    limits = docs.sparkSession.createDataFrame([(lang, min(steps, steps * share // n)) for lang, n in counts], "lang string, limit bigint")
+    rows = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(steps)) < F.col("limit")).select("text", "lang")
 
     def summed(batches):
         held: dict[str, np.ndarray] = {}
-        many: dict[str, int] = {}
         for batch in batches:
             for part in slices(batch, "text"):
                 langs = part.column("lang").to_pylist()
                 for lang, v in zip(langs, unit(encoder.vectors(part.column("text").to_pylist())), strict=True):
                     held[lang] = held[lang] + v if lang in held else v.astype(np.float64)
-                    many[lang] = many.get(lang, 0) + 1
         for lang in held:
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(held[lang]), pa.array([many[lang]] * dims, pa.int64())], names=["lang", "dim", "v", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(held[lang])], names=["lang", "dim", "v"])
 
-    rows = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").join(F.broadcast(chosen), "doc_id").select("text", "lang")
-    sums = map_batches(rows, summed, "lang string, dim int, v double, n bigint").groupBy("lang", "dim").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
-    found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("v"), F.max("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
+    sums = map_batches(rows, summed, "lang string, dim int, v double").groupBy("lang", "dim").agg(F.sum("v").alias("v"))
+    found = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("v")).collect()
     found.sort(key=lambda r: r["lang"])
     table = np.array([[x["v"] for x in r["v"]] for r in found], dtype=np.float64).reshape(-1, dims)
     # sums of doubles come in any order: rounding makes reruns agree

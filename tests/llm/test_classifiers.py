@@ -141,3 +141,12 @@ def test_known_and_new_grams_at_the_cap():
         for text in [*texts, *texts[::-1]]:
             assert (small.vectors([text]) == e.vectors([text])).all()
             assert len(small.codes) == len(small.table) <= most
+
+
+def test_rare_and_many_languages_are_learned(make_docs):
+    rows = [(i, "the and of to in that", "en") for i in range(3000)] + [(5000 + i, "der die und das nicht ein", "de") for i in range(8)]
+    assert langid.learn(make_docs(rows), most_rows=60)[0] == ["de", "en"]
+    many = [(i, f"word{chr(97 + i % 26)}", f"x{i:04d}") for i in range(1800)]
+    langs = langid.learn(make_docs(many), encoder=langid.Encoder(dims=8))[0]
+    assert langs == [lang for i, _, lang in many if held(i, 3) != 1] and len(langs) > 1000
+    assert [langid.even(x, 10) for x in ([], [3], [2, 100], [1, 4, 50], [20, 20])] == [0, 3, 8, 5, 5]

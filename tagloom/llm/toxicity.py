@@ -135,15 +135,16 @@ def _terms(batches):
 def learn_lexicon(rows: DataFrame, min_support: int = 5, min_odds: float = 2.5, most_terms: int = 5000) -> dict[str, float]:
     """Weights of the terms that tell toxic rows (y = 1) from others: log odds, at least min_odds, at most most_terms terms.
 
-    A term is in at least min_support toxic rows, and in 1 of 150 of them, so that copies of one row don't make a term.
+    A term is in at least min_support distinct toxic texts; repeated texts count once, so that copies of one row don't make a term.
     """
+    rows = rows.select("text", "y").dropDuplicates(["text", "y"])
     docs = dict(rows.groupBy("y").count().collect())
     pos, neg = docs.get(1, 0), docs.get(0, 0)
     if not pos or not neg:
         return {}
     counts = map_batches(rows.select("text", "y"), _terms, "term string, y int, n bigint").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
     odds = F.log((F.col("p") + 0.5) / pos) - F.log((F.col("q") + 0.5) / neg)
-    found = counts.where(F.col("p") >= max(min_support, pos // 150)).withColumn("w", odds).where(F.col("w") >= min_odds).orderBy(F.desc(F.col("w") * F.sqrt("p")), "term").limit(most_terms).collect()
+    found = counts.where(F.col("p") >= min_support).withColumn("w", odds).where(F.col("w") >= min_odds).orderBy(F.desc(F.col("w") * F.sqrt("p")), "term").limit(most_terms).collect()
     support = {r["term"]: r["p"] for r in found}
     weight = {r["term"]: r["w"] for r in found}
     kept: dict[str, float] = {}

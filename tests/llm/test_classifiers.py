@@ -150,3 +150,12 @@ def test_rare_and_many_languages_are_learned(make_docs):
     langs = langid.learn(make_docs(many), encoder=langid.Encoder(dims=8))[0]
     assert langs == [lang for i, _, lang in many if held(i, 3) != 1] and len(langs) > 1000
     assert [langid.even(x, 10) for x in ([], [3], [2, 100], [1, 4, 50], [20, 20])] == [0, 3, 8, 5, 5]
+
+
+def test_rare_toxic_words_are_terms_and_copies_are_not(spark):
+    toxic = [f"plain number{chr(97 + i % 26)} idiot here{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000)]
+    toxic = [t + (" vermin" if i % 300 == 0 else "") for i, t in enumerate(toxic)] + ["copied sentence about harmless gardens"] * 30
+    rows = [(t, 1) for t in toxic] + [(f"plain text of row{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", 0) for i in range(2000)]
+    lexicon = toxicity.Lexicon(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int")))
+    assert lexicon.measures("vermin")[1] and lexicon.measures("idiot")[1]
+    assert not lexicon.measures("gardens")[1]

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from .common import utf8
 
@@ -13,9 +12,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-#: Odd multipliers; any odd values serve.
-_BASE = 0x9E3779B97F4A7C15 | 3
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: Longs of a packed stretch; SHORT bytes fit, as the last byte holds the length.
+LONGS = 3
+SHORT = 8 * LONGS - 1
+#: Masks of the first 0 to 8 bytes of a little-endian long.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Odd multipliers; any odd values serve.
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xD6E8FEB86659FD93], np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -25,21 +29,26 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@cache
-def _byte_values(which: int) -> np.ndarray:
-    return mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(which))
-
+def packed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """LONGS longs for each stretch raw[start:end] of at most SHORT bytes: its bytes and its length, so equal longs are equal stretches.
 
-_POWERS: list[np.ndarray] = []
+    Of a longer stretch the first SHORT bytes are packed, with a length of SHORT + 1.
+    """
+    held = np.zeros(len(raw) + 8 * LONGS, np.uint8)
+    held[: len(raw)] = raw
+    words = np.ndarray((len(raw) + 8 * LONGS - 7,), "<u8", held, 0, (1,))
+    size = np.minimum(end - start, SHORT + 1)
+    out = [words[start + 8 * k] & _FIRST[np.clip(size - 8 * k, 0, 8 if k < LONGS - 1 else 7)] for k in range(LONGS)]
+    out[-1] |= size.astype(np.uint64) << np.uint64(56)
+    return out
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64, for i below n."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        inverse = pow(_BASE, -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, np.uint64(b))])) for b in (_BASE, inverse)]
-    return _POWERS[0][:n], _POWERS[1][:n]
+def folded(longs: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of packed stretches."""
+    h = mixed(longs[0] * _ODD[0])
+    for x, odd in zip(longs[1:], _ODD[1:], strict=True):
+        h = mixed(h ^ (x * odd))
+    return h
 
 
 class Words:
@@ -50,7 +59,7 @@ class Words:
         head = np.zeros(len(self.raw) + 1, dtype=bool)
         head[self.offsets] = True
         self._bounded(~_SPACE[self.raw], head)
-        self.hash = self._hashed(_byte_values(1)[_LOWER[self.raw]])
+        self.hash = self._hashed(_LOWER[self.raw])
 
     def _bounded(self, solid: np.ndarray, head: np.ndarray) -> None:
         """Words are runs of solid bytes; head marks where one ends at the latest and another begins."""
@@ -61,12 +70,11 @@ class Words:
         self.end = np.flatnonzero(solid & (~after | head[1:])) + 1
         self.first = np.searchsorted(self.start, self.offsets)
 
-    def _hashed(self, values: np.ndarray) -> np.ndarray:
-        n = len(values)
-        power, inverse = _powers(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(np.multiply(values, power[:n], out=values), out=total[1:])
-        return mixed((total[self.end] - total[self.start]) * inverse[self.start])
+    def _hashed(self, raw: np.ndarray) -> np.ndarray:
+        h = folded(packed(raw, self.start, self.end))
+        for i in np.flatnonzero(self.end - self.start > SHORT).tolist():
+            h[i] = xxhash.xxh3_64_intdigest(raw[self.start[i] : self.end[i]].data)
+        return h
 
     def __len__(self) -> int:
         return len(self.offsets) - 1

@@ -7,7 +7,8 @@ ids in order.  As no piece goes on after white space, whole stretches between
 blanks are kept too, so that the pattern is only run on new ones.  Texts with code
 points for which the pattern could be read in another way here than in the
 library, with white space that a piece may share, or with a special token's
-string, are cut whole or go to the library.  Either way the ids are the library's.
+string, are cut whole or go to the library.  Stretches are known by their bytes, not
+by a hash of them alone.  Either way the ids are the library's.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 import regex
 
 from .common import utf8
-from .textstats import Words, _byte_values
+from .textstats import LONGS, SHORT, Words, folded, packed
 
 #: The two patterns as the tokenizer files state them (fixed values).
 BYTE_LEVEL = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,7 +51,7 @@ _BLANK[[32, 9, 10, 13]] = True
 
 
 class Segments(Words):
-    """Stretches of texts that no piece crosses, with two hashes.
+    """Stretches of texts that no piece crosses, packed.
 
     White space (byte level: blanks) bounds them; so does a sign after a letter at
     their end; and, at byte level, a line end between two other characters, which
@@ -80,33 +81,64 @@ class Segments(Words):
         self.bare = np.ones(len(self.start), bool)
         inner = self.start > 0
         self.bare[inner] = (raw[self.start[inner] - 1] != 32) | head[self.start[inner]]
-        self.hash, self.second = self._hashed(_byte_values(1)[raw]), self._hashed(_byte_values(2)[raw])
+        self.longs = packed(raw, self.start, self.end)
+        if byte_level:
+            self.longs[-1] |= self.bare.astype(np.uint64) << np.uint64(63)
+
+    def bytes_of(self, which: np.ndarray) -> list[bytes]:
+        raw = self.raw.tobytes()
+        return [raw[a:b] for a, b in zip(self.start[which].tolist(), self.end[which].tolist(), strict=True)]
 
 
 class Stretches:
-    """ids of stretches of text by two hashes, in sorted arrays: some twenty bytes for each."""
+    """ids of stretches of text: short ones by their packed bytes in sorted arrays, some forty bytes for each; longer ones by their bytes."""
 
     def __init__(self, most: int):
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.hash, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.hash, self.longs = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)] * LONGS
         self.start, self.size, self.pool = np.zeros(0, np.uint32), np.zeros(0, np.uint32), np.zeros(0, "<u2")
+        self.long: dict[bytes, tuple[int, int]] = {}
 
-    def find(self, h: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of sorted hashes, and whether they are there."""
-        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
-        return at, (self.hash[at] == h) & (self.second[at] == second) if len(self.hash) else np.zeros(len(h), bool)
+    def __len__(self) -> int:
+        return len(self.hash) + len(self.long)
 
-    def add(self, h: np.ndarray, second: np.ndarray, ids: list[bytes]) -> None:
-        """New entries by sorted hashes."""
+    def find(self, h: np.ndarray, longs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted hashes, and whether those very stretches are there."""
+        at = np.minimum(np.searchsorted(self.hash, h), max(len(self.hash) - 1, 0))
+        if not len(self.hash):
+            return at, np.zeros(len(h), bool)
+        known = self.hash[at] == h
+        for mine, x in zip(self.longs, longs, strict=True):
+            known &= mine[at] == x
+        return at, known
+
+    def _pooled(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
         start = len(self.pool) + np.concatenate([[0], np.cumsum(size)[:-1]])
-        at = np.searchsorted(self.hash, h)
-        self.hash, self.second = np.insert(self.hash, at, h), np.insert(self.second, at, second)
-        self.start, self.size = np.insert(self.start, at, start.astype(np.uint32)), np.insert(self.size, at, size.astype(np.uint32))
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u2")])
+        return start, size
+
+    def add(self, h: np.ndarray, longs: list[np.ndarray], ids: list[bytes]) -> None:
+        """New short entries by sorted hashes; one whose hash another stretch has takes its place."""
+        start, size = self._pooled(ids)
+        at = np.searchsorted(self.hash, h)
+        taken = np.zeros(len(h), bool)
+        if len(self.hash):
+            taken = self.hash[np.minimum(at, len(self.hash) - 1)] == h
+        for name, fresh in (("start", start), ("size", size)):
+            held = getattr(self, name)
+            held[at[taken]] = fresh[taken]
+            setattr(self, name, np.insert(held, at[~taken], fresh[~taken].astype(np.uint32)))
+        for k, x in enumerate(longs):
+            self.longs[k][at[taken]] = x[taken]
+            self.longs[k] = np.insert(self.longs[k], at[~taken], x[~taken])
+        self.hash = np.insert(self.hash, at[~taken], h[~taken])
+
+    def add_long(self, names: list[bytes], ids: list[bytes]) -> None:
+        self.long.update(zip(names, zip(*(x.tolist() for x in self._pooled(ids)), strict=True), strict=True))
 
 
 class PieceEncoder:
@@ -168,33 +200,45 @@ class PieceEncoder:
         known = self._pieces.__getitem__
         return [b"".join(map(known, pieces)) for pieces in cut]
 
+    def _named(self, raw: list[bytes], bare: list[bool]) -> list[str]:
+        return [x.decode() if b else " " + x.decode() for x, b in zip(raw, bare, strict=True)] if self._bytes else [x.decode() for x in raw]
+
+    def _cut_all(self, names: list[str]) -> list[bytes]:
+        return [ids for i in range(0, len(names), 20_000) for ids in self._cut(names[i : i + 20_000])]
+
     def _by_stretches(self, texts: list[str]) -> list[bytes]:
         """ids of texts whose stretches between blanks (byte level) or white space can be encoded one by one."""
         w = Segments(texts, self._bytes)
-        key = np.where(w.bare, ~w.hash, w.hash) if self._bytes else w.hash
-        key, first, back = np.unique(key, return_index=True, return_inverse=True)
-        second = w.second[first]
         table = self._stretches
-        at, known = table.find(key, second)
+        long = w.end - w.start > SHORT
+        short = np.flatnonzero(~long)
+        key, first, back = np.unique(folded([x[short] for x in w.longs]), return_index=True, return_inverse=True)
+        first = short[first]
+        longs = [x[first] for x in w.longs]
+        same = np.ones(len(short), bool)  # two stretches with one hash: only the first is looked up by it
+        for x, mine in zip(w.longs, longs, strict=True):
+            same &= x[short] == mine[back]
+        at, known = table.find(key, longs)
+        far, other = np.flatnonzero(long), short[~same]
+        spelt = np.concatenate([far, other])
+        names = [x + (b"\x01" if b else b"\x00") for x, b in zip(w.bytes_of(spelt), w.bare[spelt].tolist(), strict=True)] if len(spelt) else []
+        fresh = list(set(names).difference(table.long))
+        if len(table) + np.count_nonzero(~known) + len(fresh) > table.most:
+            table.clear()
+            known[:], fresh = False, list(set(names))
         if not known.all():
-            if len(table.hash) + len(key) > table.most:
-                table.clear()
-                known[:] = False
             new = first[~known]
-            raw = w.raw.tobytes()
-            names = [raw[a:b].decode() for a, b in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)]
-            if self._bytes:
-                names = [n if b else " " + n for n, b in zip(names, w.bare[new].tolist(), strict=True)]
-            ids = []
-            for i in range(0, len(names), 20_000):
-                ids += self._cut(names[i : i + 20_000])
-            table.add(key[~known], second[~known], ids)
-            at, known = table.find(key, second)
-        size = table.size[at].astype(np.int64)
-        many = size[back]
+            table.add(key[~known], [x[~known] for x in longs], self._cut_all(self._named(w.bytes_of(new), w.bare[new].tolist())))
+            at, known = table.find(key, longs)
+        if fresh:
+            table.add_long(fresh, self._cut_all(self._named([x[:-1] for x in fresh], [x[-1:] == b"\x01" for x in fresh])))
+        begin, many = np.zeros(len(w.start), np.int64), np.zeros(len(w.start), np.int64)
+        begin[short], many[short] = table.start[at].astype(np.int64)[back], table.size[at].astype(np.int64)[back]
+        for i, name in zip(spelt.tolist(), names, strict=True):
+            begin[i], many[i] = table.long[name]
         upto = np.cumsum(many)
         total = int(upto[-1]) if len(upto) else 0
-        flat = table.pool[np.repeat(table.start[at].astype(np.int64)[back] - (upto - many), many) + np.arange(total)].tobytes()
+        flat = table.pool[np.repeat(begin - (upto - many), many) + np.arange(total)].tobytes()
         stop = (2 * np.concatenate([[0], upto])[w.first]).tolist()
         return [flat[a:b] for a, b in zip(stop[:-1], stop[1:], strict=True)]
 

@@ -137,3 +137,21 @@ def test_few_lengths_reach_the_linear_programs_optimum():
     held = sum(x * np.array([used.get(i, 0) for i in range(7)]) for used, x in found)
     assert np.allclose(held, counts) and all(sum(lengths[i] * k for i, k in used.items()) <= 4096 for used, _ in found)
     assert sum(m for _, m in packing.plan(lengths.tolist(), counts.tolist())) <= sum(x for _, x in found) + 7
+
+
+def thue_morse(n, a, b):
+    s = a
+    for _ in range(n):
+        s += s.translate(str.maketrans(a + b, b + a))
+    return s
+
+
+def test_long_words_that_differ_by_pattern_keep_their_ids(both):
+    same(both, [f"q {thue_morse(10, 'a', 'b')}", f"q {thue_morse(10, 'b', 'a')}", f"{'x' * 22} {'x' * 23} {'x' * 24} y" * 2, "a\0b a\0 a"])
+
+
+def test_colliding_hashes_keep_their_ids(both, monkeypatch):
+    monkeypatch.setattr("tagloom.llm.tokenization.folded", lambda longs: np.asarray(longs[0] % np.uint64(3)))
+    texts = [f"word{i} and number{i % 7}, then" for i in range(200)]
+    same((PieceEncoder(both[0].path, 50), both[1]), texts)
+    same((PieceEncoder(both[0].path), both[1]), texts + texts[::-1])

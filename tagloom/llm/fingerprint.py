@@ -1,25 +1,32 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
-A paragraph is a stretch of text up to a line end or a sentence end, without
-the white space around it.  Every paragraph has a 64-bit hash that picks one
-component of a wide vector and a value; a document's vector is the sum of its
-paragraphs' vectors, each component modulo 2**61.  So order doesn't matter,
-documents can be joined by adding vectors, and a paragraph is inserted or
-deleted by adding or subtracting its vector.  The components form LEVELS levels
-of WIDTH: the first level takes all paragraphs, every further one those of 1/8
-of the hash values of the level before, for documents that touch all of its
-components.  One more component counts the paragraphs.
+A paragraph is a stretch of text up to a line end, or up to and with a sentence
+end, without the blanks around it.  Every paragraph is hashed twice (128 bits),
+and from those two hashes into every one of WIDE components; a document's vector
+is the sum of its paragraphs' vectors, each component modulo 2**61.  So order
+doesn't matter, documents can be joined by adding vectors, and a paragraph is
+inserted or deleted by adding or subtracting its vector.  Equal wide parts mean
+equal multisets of paragraphs, but for a collision of 128-bit hashes.
+
+For likeness the vector goes on with LEVELS levels of WIDTH components, in which
+a paragraph is added to one component only: the first level takes all
+paragraphs, every further one those of 1/8 of the hash values of the level
+before, for documents that touch all of its components.  The last component
+counts the paragraphs.
 
 The difference of two fingerprints tells how many paragraphs they don't share:
-each unshared one changes one component, so the share of equal components gives
-the number, and with the counts the Jaccard likeness of the multisets.  The
-first level is read alone while it isn't full, and the sum over all levels
-after that.  The number is off by about a quarter (standard deviation) from
-some 30 up to more than 100 million unshared paragraphs, and never less than
-the difference of the counts.
+each unshared one changes one component of the first level, so the share of
+equal components gives the number, and with the counts the Jaccard likeness of
+the multisets.  The first level is read alone while it isn't full, and the sum
+over all levels after that.  The number is off by about a quarter (standard
+deviation) from some 30 up to more than 100 million unshared paragraphs, and
+never less than the difference of the counts.
 
 Null and empty texts, and texts of white space, have no paragraph: their vector
-is zero, and two such are alike (1.0).  Everything here is native expressions.
+is zero, and two such are alike (1.0).  Repeated paragraphs count each, repeated rows
+get a result each, an empty table gives an empty result, and only doc_id and text
+are read, whatever else the table has.  Very long texts are hashed paragraph by
+paragraph.  Everything here is native expressions.
 """
 
 from __future__ import annotations
@@ -32,11 +39,12 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+WIDE = 8  # components that every paragraph changes
 WIDTH, LEVELS, SAMPLED = 32, 8, 3  # components, levels, bits of the hash that thin out a level
-LANES = WIDTH * LEVELS + 1
+LANES = WIDE + WIDTH * LEVELS + 1
 MASK = (1 << 61) - 1
 #: Ends of paragraphs.
-ENDS = r"[.!?]+\s+|[\r\n]+"
+ENDS = r"(?<=[.!?])\s+|[\r\n]+"
 
 
 def paragraphs(text: Column) -> Column:
@@ -51,10 +59,11 @@ def let(value: Column, use) -> Column:
 
 def vector(parts: Column) -> Column:
     """array<bigint> of LANES components from an array of paragraphs."""
-    return let(F.transform(parts, lambda p: F.xxhash64(p)), vector_of_hashes)
+    return let(F.transform(parts, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit(1), p).alias("b"))), vector_of_hashes)
 
 
-def vector_of_hashes(hashes: Column) -> Column:
+def vector_of_hashes(pairs: Column) -> Column:
+    """The vector from two hashes (a, b) of each paragraph."""
     zero = F.lit(0).cast("bigint")
     total = lambda hs: F.aggregate(hs, zero, lambda a, h: (a + F.shiftrightunsigned(h, 3)).bitwiseAND(F.lit(MASK)))
     bits = lambda h, shift, many: F.shiftright(h, shift).bitwiseAND(F.lit(many - 1)) if shift else h.bitwiseAND(F.lit(many - 1))
@@ -74,7 +83,11 @@ def vector_of_hashes(hashes: Column) -> Column:
         thinned = F.filter(hs, lambda h: bits(h, 20 + SAMPLED * level, 1 << SAMPLED) == zero)
         return F.concat(own, let(thinned, lambda s: F.when(F.size(s) == 0, none).otherwise(levels(s, level + 1))))
 
-    return F.concat(levels(hashes, 0), F.array(F.size(hashes).cast("bigint")))
+    value = lambda k, h: F.shiftrightunsigned(F.xxhash64(F.lit(k), h["a"], h["b"]), 3)
+    summed = lambda k: F.aggregate(pairs, zero, lambda total, h: (total + value(k, h)).bitwiseAND(F.lit(MASK)))
+    wide = [summed(k) for k in range(WIDE)]
+    narrow = let(F.transform(pairs, lambda h: h["a"]), lambda hs: levels(hs, 0))
+    return F.concat(F.array(*wide), narrow, F.array(F.size(pairs).cast("bigint")))
 
 
 def add(a: Column, b: Column, sign: int = 1) -> Column:
@@ -89,7 +102,7 @@ def text_form(v: Column) -> Column:
 
 @cache
 def unshared_by_equal() -> list[float]:
-    """For 0, 1, ... LANES - 1 equal components of all levels: the number of unshared paragraphs that leaves as many on average."""
+    """For 0, 1, ... WIDTH * LEVELS equal components of all levels: the number of unshared paragraphs that leaves as many on average."""
 
     def equal(n: float) -> float:
         return sum(WIDTH * math.exp(n / (1 << SAMPLED * k) * math.log(1 - 1 / WIDTH)) for k in range(LEVELS))
@@ -101,7 +114,7 @@ def unshared_by_equal() -> list[float]:
             low, high = (middle, high) if equal(2**middle) > total else (low, middle)
         return 2**low
 
-    return [solved(max(total, 0.5)) for total in range(LANES)]
+    return [solved(max(total, 0.5)) for total in range(WIDTH * LEVELS + 1)]
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -117,7 +130,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     many = [F.element_at(v, LANES).cast("double") for v in (a, b)]
     both = many[0] + many[1]
-    same = F.transform(F.array(*(F.lit(1 + WIDTH * k) for k in range(LEVELS))), equal)
+    same = F.transform(F.array(*(F.lit(WIDE + 1 + WIDTH * k) for k in range(LEVELS))), equal)
     apart = F.greatest(F.abs(many[0] - many[1]), F.least(both, let(same, unshared)))
     return F.when(a == b, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (both - apart) / (both + apart))))
 
@@ -151,7 +164,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), v.alias("vector")).withColumn("fingerprint", text_form(F.col("vector")))
 
 
-#: Stands for a null doc_id where rows are ordered.
+#: Stands for a null doc_id where rows are ordered; a row with this very doc_id is ordered as a tie with null.
 NO_ID = -(1 << 63)
 
 
@@ -165,11 +178,12 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
     smallest SHA-256 digest stands for them.
 
     Texts are shuffled once, by doc_id; of each, the beginning that its
-    predecessor needs and the vector are shuffled once more.
+    predecessor needs and the vector are shuffled once more.  A text's vector is
+    computed on both sides of that exchange: it is as large as most texts.
     """
     kind = docs.schema["doc_id"].dataType
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    base = docs.select(key.alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    base = docs.select(key.alias("k"), F.col("doc_id").isNull().alias("absent"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sizes = staged(base.groupBy("k").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("many")), "sizes")
     ring = staged(followers(sizes.select("k", "n")), "ring")
     # k is unique on the built sides, so a partition's table is as small as the partition; sorting the texts would cost more
@@ -183,7 +197,7 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
     half = "cast(floor(n_chars / 2) as int)"
     rows = rows.withColumn("edited", F.expr(f"concat(left(text, n_chars - {half}), left(head, {half}))"))
     rows = rows.select(
-        F.when(F.col("k") != NO_ID, F.col("k")).cast(kind).alias("doc_id"),
+        F.when(~F.col("absent"), F.col("k")).cast(kind).alias("doc_id"),
         F.col("n_chars").cast("bigint"),
         F.sha2("edited", 256).alias("edited_sha256"),
         vector(paragraphs(F.col("text"))).alias("v"),

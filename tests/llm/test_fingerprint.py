@@ -1,5 +1,8 @@
 import hashlib
+import re
+import struct
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -18,8 +21,47 @@ def test_order_doesnt_matter_and_content_does(make_docs):
     assert a == b and len({a, c, d, e}) == 4
 
 
+def test_sentence_ends_count(make_docs):
+    assert len(set(prints(make_docs, ["a b! c d? e", "a b. c d. e", "a b. c d? e"]))) == 3
+
+
+def hashed(*values):
+    """xxhash64 of ints (bigint above 32 bits marked as a tuple) and strings, one seeding the next."""
+    seed = 42
+    for v in values:
+        raw = v.encode() if isinstance(v, str) else struct.pack("<i", v) if isinstance(v, int) else struct.pack("<Q", v[0])
+        seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed
+
+
+def by_hand(text):
+    """The vector's definition, paragraph by paragraph."""
+    parts = [p.strip(" ") for p in re.split(r"(?<=[.!?])\s+|[\r\n]+", text or "")]
+    wide, levels, n = [0] * P.WIDE, [0] * (P.WIDTH * P.LEVELS), 0
+    for p in filter(None, parts):
+        a, b = hashed(p), hashed(1, p)
+        n += 1
+        for k in range(P.WIDE):
+            wide[k] = (wide[k] + (hashed(k, (a,), (b,)) >> 3)) & P.MASK
+        for level in range(P.LEVELS):
+            if level and (a >> (20 + P.SAMPLED * (level - 1))) & 7:
+                break
+            shift = 44 if level else 0
+            lane = ((a >> shift) & 7) * 4 + ((a >> (shift + 8)) & 3)
+            levels[P.WIDTH * level + lane] = (levels[P.WIDTH * level + lane] + (a >> 3)) & P.MASK
+    return [*wide, *levels, n]
+
+
+def test_vectors_equal_brute_force(make_docs, spark, sf):
+    texts = [t for _, t in ODD] + ["One. Two! Three?\r\nFour  \n\n five", ". ! ?", "é. ü! " * 400]
+    texts += [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
+    got = {r["doc_id"]: r["vector"] for r in P.fingerprints(make_docs(list(enumerate(texts)))).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == by_hand(text), text
+
+
 def test_add_and_remove(make_docs):
-    df = P.fingerprints(make_docs([(0, "One. Two. Three"), (1, "Four. Five"), (2, "One. Two. Three. Four. Five"), (3, "")])).select("doc_id", "vector")
+    df = P.fingerprints(make_docs([(0, "One. Two. Three."), (1, "Four. Five"), (2, "One. Two. Three. Four. Five"), (3, "")])).select("doc_id", "vector")
     v = {r["doc_id"]: r["vector"] for r in df.collect()}
     one = df.sparkSession.createDataFrame([(v[0], v[1], v[2])], "a array<bigint>, b array<bigint>, c array<bigint>")
     row = one.select(P.add(F.col("a"), F.col("b")).alias("sum"), P.add(F.col("c"), F.col("b"), -1).alias("less"), P.add(F.col("a"), F.col("a"), -1).alias("none")).first()
@@ -29,7 +71,7 @@ def test_add_and_remove(make_docs):
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(["Alpha", "Beta", "Gamma", "Delta"]), max_size=12), min_size=2, max_size=12))
 def test_equal_exactly_for_equal_multisets(make_docs, lists):
-    got = prints(make_docs, [". ".join(x) for x in lists])
+    got = prints(make_docs, ["".join(f"{p}. " for p in x) for x in lists])
     for x, p in zip(lists, got, strict=True):
         for y, q in zip(lists, got, strict=True):
             assert (p == q) == (sorted(x) == sorted(y))

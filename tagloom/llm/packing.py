@@ -3,23 +3,29 @@
 Only the histogram of lengths (one count per length, at most `capacity` of them)
 is gathered on the driver.  A configuration says how many pieces of each length
 share a sequence.  The linear program over configurations is solved by
-multiplicative weights: every length has a weight that falls as it gets covered,
-and a knapsack dynamic program finds the configuration with the largest value
-for the weights.  The fractional solution is rounded down; what is left is
-packed best-fit decreasing, again on the histogram.  Where that stays above the
-volume's bound, as it does with few lengths that fill no sequence, the linear
-program is solved by the simplex method with exact prices instead, up to EXACT
-lengths; the plan with fewest sequences counts.  Pieces then get their
-places by arithmetic from their rank within their length, so that placing is
-spread over all tasks however many pieces share a length.
+multiplicative weights: every length has a weight that falls as it gets covered.
+Each round a knapsack dynamic program over all open lengths gives the value of
+every room for the weights, and for each open length configurations are traced
+through it as long as pieces are left; those near the best value, or nearly
+full, are tight for a solution of the dual program and are used.  The fractional
+solution is rounded down; what is left is packed best-fit decreasing, again on
+the histogram.  Where that stays above the dual bound, as it does with few
+lengths that fill no sequence, the linear program is solved by the simplex
+method with exact prices as well, up to EXACT lengths.  The plan with fewest
+sequences counts, best fit alone among them, so it never takes more than that.
+Pieces then get their places by arithmetic from their rank within their length,
+so that placing is spread over all tasks however many pieces share a length.
 
 Null texts are empty: the end id alone.  Rows that repeat a document are packed
-each.  An empty table gives an empty result.
+each; a null doc_id is one like others.  Very long texts are cut into pieces of
+`capacity`.  Only doc_id and text are read, whatever else the table has.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -75,46 +81,74 @@ def knapsack(lengths: list[int], values: list[float], most: list[int], capacity:
     return out
 
 
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 4000, rate: float = 0.2, step: float = 0.5, priced: int = 48, enough: float = 0.97, tight: float = 0.9995, patience: int = 200, seed: int = 3) -> list[tuple[dict[int, int], float]]:
-    """Configurations (counts by place in lengths) and their fractional amounts; no length is covered beyond its count.
+def room_values(values: np.ndarray, capacity: int) -> np.ndarray:
+    """The largest value of any multiset of lengths that fits into 0, 1, ... capacity; values holds each length's, minus infinity where there is none."""
+    known = np.flatnonzero(values > 0)
+    short, long = int(known[0]), int(known[-1])
+    best = np.zeros(capacity + 1)
+    back = np.ascontiguousarray(values[::-1])  # back[capacity - length]
+    held = np.empty(capacity)
+    for room in range(short, capacity + 1):
+        low, high = max(0, room - long), room - short + 1
+        total = np.add(best[low:high], back[capacity - room + low : capacity - room + high], out=held[: high - low])
+        best[room] = max(best[room - 1], total.max())
+    return best
+
+
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rate: float = 1e-3, near: float = 2e-4, enough: float = 0.99, rounds: int = 200) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Configurations (counts by place in lengths, which ascend) with their fractional amounts, and a lower bound for the sequences.
 
-    A length's value for the knapsack is the length times a weight that falls
-    exponentially with the share of its count that is covered.  Each round
-    prices `priced` lengths, half of them with the largest weights and half from
-    all that are open (partial pricing).  A configuration that fills less than
-    `tight` of a sequence isn't used; after `patience` of them in a row the rest
-    is left to best fit, or to `solve_exactly` where full sequences are no bound.
+    No length is covered beyond its count; copies are bounded by that and the
+    capacity alone.  A length's value is the length times a weight that falls
+    exponentially with the share of its count that is covered; the values
+    divided by that of the best configuration solve the dual program, so their
+    worth is a bound.  A configuration is used when its value is within `near`
+    of the best one's, or its fill of a full sequence, which is the volume's
+    dual solution; `near` doubles when a round adds little.  It ends when
+    `enough` of the volume is covered or eight rounds added little.
     """
-    covered = np.zeros(len(lengths))
-    rng = np.random.default_rng(seed)
-    out: list[tuple[dict[int, int], float]] = []
-    total, volume, missed = float((lengths * counts).sum()), 0.0, 0
+    left, out = counts.astype(float), []
+    total = float((lengths * counts).sum())
+    bound, covered, idle = total / capacity, 0.0, 0
     for _ in range(rounds):
-        share = covered / counts
-        open_ = np.flatnonzero(share < 1 - 1e-9)
-        if not len(open_) or volume >= enough * total:
+        open_ = np.flatnonzero(left >= 1)
+        if covered >= enough * total or not len(open_) or idle == 8:
             break
-        first = open_[np.argsort(share[open_] + rng.random(len(open_)) * 0.25, kind="stable")]
-        open_ = np.concatenate([first[: priced // 2], rng.permutation(first[priced // 2 :])[: priced - priced // 2]])
-        weight = np.exp(-rate * (share[open_] - share[open_].min()))
-        found = knapsack(lengths[open_].tolist(), (lengths[open_] * weight).tolist(), counts[open_].tolist(), capacity)
-        used = {int(open_[i]): n for i, n in found.items()}
-        if sum(int(lengths[i]) * n for i, n in used.items()) < tight * capacity:
-            missed += 1
-            if missed > patience:
-                break
-            continue
-        missed = 0
-        room = min((counts[i] - covered[i]) / n for i, n in used.items())
-        amount = min(room, max(1.0, step * min(counts[i] / n for i, n in used.items())))
-        out.append((used, amount))
-        for i, n in used.items():
-            covered[i] += amount * n
-            volume += amount * n * lengths[i]
-    return out
-
-
-def solve_exactly(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 5e-4) -> list[tuple[dict[int, int], float]]:
+        size, room_for, before = lengths[open_], left[open_], covered
+        worth = size * np.exp(-rate * (1 - room_for / counts[open_]))
+        values = np.full(capacity + 1, -np.inf)
+        values[size] = worth
+        best = room_values(values, capacity)
+        bound = max(bound, float((worth * counts[open_]).sum()) / best[capacity])
+        for first in range(len(open_) - 1, -1, -1):
+            while room_for[first] >= 1:
+                used, room, value = {first: 1}, capacity - int(size[first]), worth[first]
+                while room >= size[0]:
+                    fit = int(np.searchsorted(size, room, side="right"))
+                    further = np.where(room_for[:fit] >= 1, best[room - size[:fit]] + worth[:fit], -1.0)
+                    for i, n in used.items():
+                        if i < fit and room_for[i] < n + 1:
+                            further[i] = -1
+                    as_good = np.flatnonzero(further >= best[room] * (1 - 1e-9) - 1e-9)
+                    i = int(as_good[-1]) if len(as_good) else int(further.argmax())  # of equals the longest: short ones fit later, too
+                    if further[i] <= 0:
+                        break
+                    used[i] = used.get(i, 0) + 1
+                    room, value = room - int(size[i]), value + worth[i]
+                amount = min(room_for[i] / n for i, n in used.items())
+                if amount < 1 or (value < (1 - near) * best[capacity] and capacity - room < (1 - near) * capacity):
+                    break
+                out.append(({int(open_[i]): n for i, n in used.items()}, float(amount)))
+                for i, n in used.items():
+                    room_for[i] -= amount * n
+                covered += amount * (capacity - room)
+        left[open_] = room_for
+        if covered - before < 2e-3 * total:
+            idle, near = idle + 1, 2 * near
+    return out, bound
+
+
+def solve_exactly(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: float = 5e-4) -> tuple[list[tuple[dict[int, int], float]], float]:
     """As solve, by the simplex method: every pivot prices all lengths, and it ends within `gap` of the dual bound.
 
     The prices divided by the value of the best configuration are a solution of
@@ -143,7 +177,7 @@ def solve_exactly(lengths: np.ndarray, counts: np.ndarray, capacity: int, gap: f
         column[out] = -1
         inverse -= np.outer(column, row)
         amount = np.maximum(amount - column * share, 0)
-    return [(used, float(x)) for used, x in zip(base, amount, strict=True) if x > 1e-9]
+    return [(used, float(x)) for used, x in zip(base, amount, strict=True) if x > 1e-9], bound
 
 
 def best_fit(lengths: list[int], counts: list[int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -185,8 +219,8 @@ def best_fit(lengths: list[int], counts: list[int], capacity: int) -> list[tuple
     return [x for room in rooms for x in bins[room]]
 
 
-def rounded(fractional: list[tuple[dict[int, int], float]], size: np.ndarray, many: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Whole amounts, largest first and rounded down, and best-fit decreasing for what they leave."""
+def rounded(fractional: list[tuple[dict[int, int], float]], size: np.ndarray, many: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Whole amounts, largest first and rounded down, and best-fit decreasing for what they leave; and the volume's share of the former."""
     left = many.copy()
     out = []
     for used, amount in sorted(fractional, key=lambda x: -x[1]):
@@ -196,25 +230,40 @@ def rounded(fractional: list[tuple[dict[int, int], float]], size: np.ndarray, ma
             for i, k in used.items():
                 left[i] -= n * k
     rest = np.flatnonzero(left)
-    return out + best_fit(size[rest].tolist(), left[rest].tolist(), capacity)
+    return out + best_fit(size[rest].tolist(), left[rest].tolist(), capacity), 1 - float((left * size).sum()) / float((many * size).sum())
 
 
-def plan(lengths: list[int], counts: list[int], capacity: int = 4096, **options) -> list[tuple[dict[int, int], int]]:
-    """Configurations (counts by length) and numbers of sequences that hold exactly the counted lengths.
+@dataclass(frozen=True)
+class Plan:
+    """Configurations (counts by length) and numbers of sequences; the sequences of best fit alone, a lower bound for any plan, and the volume's share that the linear program placed."""
 
-    The solution is rounded with all of its configurations, with its first half
-    and quarter, and with none; the one with fewest sequences counts.
-    """
+    made: list[tuple[dict[int, int], int]]
+    best_fit: int
+    bound: float
+    share: float
+
+    @property
+    def sequences(self) -> int:
+        return sum(n for _, n in self.made)
+
+
+def plan(lengths: list[int], counts: list[int], capacity: int = 4096, gap: float = 5e-4, **options) -> Plan:
+    """A plan that holds exactly the counted lengths; the linear program's where best fit alone isn't better."""
     if not lengths:
-        return []
+        return Plan([], 0, 0.0, 0.0)
     order = np.argsort(lengths)
     size, many = np.array(lengths, np.int64)[order], np.array(counts, np.int64)[order]
-    found = solve(size, many, capacity, **options)
-    sequences = lambda made: sum(n for _, n in made)
-    best = min((rounded(found[:k], size, many, capacity) for k in (len(found), -(-len(found) // 2), -(-len(found) // 4), 0)), key=sequences)
-    if len(size) <= EXACT and sequences(best) > 1.0005 * int((size * many).sum()) / capacity + 1:  # else as near to the bound as the simplex goes
-        best = min(best, rounded(solve_exactly(size, many, capacity), size, many, capacity), key=sequences)
-    return best
+    plain = best_fit(size.tolist(), many.tolist(), capacity)
+    alone = sum(n for _, n in plain)
+    found, bound = solve(size, many, capacity, **options)
+    tried = [rounded(found, size, many, capacity), (plain, 0.0)]
+    fewest = min(sum(n for _, n in made) for made, _ in tried)
+    if len(size) <= EXACT and fewest > bound * (1 + gap) + 1:  # as near to the dual bound as the simplex goes
+        found, dual = solve_exactly(size, many, capacity, gap)
+        bound = max(bound, dual)
+        tried.insert(0, rounded(found, size, many, capacity))
+    made, share = min(tried, key=lambda t: sum(n for _, n in t[0]))
+    return Plan(made, alone, bound, share)
 
 
 def ranked(rows: DataFrame, by: str, counts: list[tuple[int, int]], order: list[str], per_bucket: int = 256, salt: int = 23) -> DataFrame:
@@ -244,7 +293,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096,
     made = plan([c[0] for c in counts], [c[1] for c in counts], capacity, **options)
     # for each length, in order of its ranks: the configuration, how many of the length in a sequence, first sequence, place in the sequence
     base, rows, seen = 0, [], {}
-    for used, n in made:
+    for used, n in made.made:
         place = 0
         for length, k in sorted(used.items(), reverse=True):
             rows.append((length, seen.get(length, 0), k, base, place))

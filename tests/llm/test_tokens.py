@@ -83,7 +83,7 @@ def test_plans_hold_exactly_the_lengths(n):
     rng = random.Random(n)
     lengths = [min(256, max(1, int(rng.lognormvariate(3, 1)))) for _ in range(n)]
     counts = {x: lengths.count(x) for x in lengths}
-    made = packing.plan(list(counts), list(counts.values()), 256)
+    made = packing.plan(list(counts), list(counts.values()), 256).made
     held = {}
     for used, many in made:
         assert sum(k * v for k, v in used.items()) <= 256
@@ -130,13 +130,45 @@ def test_packing_is_gapless_and_whole(make_docs):
 def test_few_lengths_reach_the_linear_programs_optimum():
     n = 1200
     made = packing.plan([2040, 1030, 1020], [n] * 3)  # no sequence is full; best fit alone takes n / 2 + n / 3 + n / 4
-    assert sum(m for _, m in made) == n
-    assert packing.plan([96, 400], [1000, 10_000]) and sum(m for _, m in packing.plan([96, 400], [1000, 10_000])) == 1000
+    assert made.sequences == n and made.bound == n and made.best_fit == 1300 and made.share == 1
+    assert packing.plan([96, 400], [1000, 10_000]).sequences == 1000
     lengths, counts = np.array([40, 250, 333, 700, 900, 1300, 1500]), np.array([500, 8000, 9000, 2000, 4000, 5000, 3000])
-    found = packing.solve_exactly(lengths, counts, 4096, gap=0)
+    found, _ = packing.solve_exactly(lengths, counts, 4096, gap=0)
     held = sum(x * np.array([used.get(i, 0) for i in range(7)]) for used, x in found)
     assert np.allclose(held, counts) and all(sum(lengths[i] * k for i, k in used.items()) <= 4096 for used, _ in found)
-    assert sum(m for _, m in packing.plan(lengths.tolist(), counts.tolist())) <= sum(x for _, x in found) + 7
+    assert packing.plan(lengths.tolist(), counts.tolist()).sequences <= sum(x for _, x in found) + 7
+
+
+@pytest.mark.parametrize(("n", "least"), [(250_000, 0.95), (20_000, 0.85)])
+def test_the_linear_program_places_most_of_a_wide_histogram(n, least):
+    lengths = np.clip(np.exp(np.random.default_rng(0).normal(6, 1.1, n)).astype(int) + 1, 1, 4096)
+    size, many = np.unique(lengths, return_counts=True)
+    made = packing.plan(size.tolist(), many.tolist())
+    assert made.share >= least and made.sequences <= made.best_fit
+    assert made.bound <= made.sequences <= np.ceil(lengths.sum() / 4096) + 1
+
+
+def test_plans_never_take_more_than_best_fit():
+    rng = np.random.default_rng(5)
+    for _ in range(12):
+        size = np.unique(rng.integers(1, 257, rng.integers(1, 120)))
+        many = rng.integers(1, 200, len(size))
+        made = packing.plan(size.tolist(), many.tolist(), 256)
+        held = sum((n * np.bincount(list(used), list(used.values()), 257) for used, n in made.made), np.zeros(257))
+        assert (held[size] == many).all() and held.sum() == many.sum()
+        assert made.bound - 1e-6 <= made.sequences <= made.best_fit and 0 <= made.share <= 1
+
+
+def test_values_of_rooms_are_optimal():
+    rng = np.random.default_rng(7)
+    for _ in range(10):
+        lengths, worth = np.unique(rng.integers(2, 12, 4)), rng.random(12)
+        values = np.full(31, -np.inf)
+        values[lengths] = worth[lengths]
+        best = np.zeros(31)
+        for room in range(31):
+            best[room] = max([best[room - x] + values[x] for x in lengths if x <= room], default=0.0)
+        assert np.allclose(packing.room_values(values, 30), best)
 
 
 def thue_morse(n, a, b):

@@ -1,19 +1,25 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded: compatibility forms and accents go, homoglyphs of other
-scripts become Latin letters, digits and signs that stand for letters become
-those, and l, 1 and | become i, so that writers who disguise words are matched
-too.  Anything but letters then separates words.  An Aho-Corasick automaton
-finds the lexicon's words and stems (beginnings of words) in one pass;
-occurrences inside an exception phrase don't count.  The weights of the matches
-are summed and normalised by length, and a logistic curve makes the score.
+scripts become Latin letters, and digits and signs that stand for letters become
+those.  Anything but letters then separates words.  As l, I, 1 and | pass for
+each other, an Aho-Corasick automaton finds the lexicon's words and stems
+(beginnings of words) in one pass over the folded text with l written as i; each
+match is then looked up as it is spelt.  A spelling that the labelled rows show
+to be a harmless word (fail beside fall) has no weight, an unknown one, so most
+likely a disguise, that of the term.  Occurrences inside an exception phrase
+don't count: phrases of two words that are a table's, or that the labelled rows
+show to be harmless.  The weights of the matches are summed and normalised by
+length, and a logistic curve makes the score.
 
 The lexicon is learned from labelled rows: terms whose share of toxic documents
 exceeds that of the others by far.  The sample of rows to learn from and the
 lexicon are bounded by parameters; every text is scored whole.
 
-Null texts, and texts without a letter, get the score of a text without match.
-Without labelled rows every score is 0.5.  Repeated rows are scored each.
+Null texts, texts without a letter and very short ones get the score of a text
+without match.  Without labelled rows every score is 0.5.  Repeated rows are
+scored each, very long texts whole; an empty table gives an empty result.
+Filtering keeps all columns, whatever their names, and only reads doc_id and text.
 """
 
 from __future__ import annotations
@@ -21,11 +27,11 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from functools import cache
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,82 +42,127 @@ from .learning import labelled, logistic, remainder
 HOMOGLYPHS = {
     "а": "a", "в": "b", "д": "d", "е": "e", "з": "e", "и": "u", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "һ": "h", "ӏ": "i",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "μ": "u", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ϲ": "c",
-    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "i", "ո": "n", "օ": "o", "ս": "u", "ց": "g", "հ": "h", "ƚ": "i", "ł": "i", "ø": "o", "đ": "d",
+    "ı": "i", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ʟ": "l", "ո": "n", "օ": "o", "ս": "u", "ց": "g", "հ": "h", "ƚ": "l", "ł": "l", "ø": "o", "đ": "d", "ß": "ss",
 }
 #: Digits and signs written for letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g"}
-SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "i", "+": "t"}
-#: Phrases in which a word of the lexicon isn't meant.
+SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i", "€": "e", "£": "l", "+": "t"}
+#: A table of phrases in which a word of the lexicon isn't meant; others are learned.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "clown car", "idiot proof", "pathetic fallacy", "sore loser rule", "pond scum")
 STEMS = (3, 4, 5, 6, 7)
 
-_SIGN = re.compile(r"(?<=\w)[@$!|€£+](?=\w)|(?<!\w)[@$](?=\w)")
+_SIGN = re.compile(r"[@$!|€£+](?=\w)")
 _HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+_MARKS = regex.compile(r"\p{Mn}+")
 _BREAK = re.compile(r"[\W\d_]+")
-_DIGIT_IN_WORD = re.compile(r"(?<=[^\W\d_])\d+(?=[^\W\d_])|(?<![\w])\d+(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})\d+(?![\w])")
+_DIGITS = re.compile(r"\d+")
+_HOMOGLYPHS = {ord(k): v for k, v in HOMOGLYPHS.items()}
+_DIGIT_TABLE = {ord(k): v for k, v in DIGITS.items()}
+#: For ASCII: letters stay, anything else is a blank.
+_LETTERS = "".join(chr(c) if chr(c).isalpha() else " " for c in range(128))
 
 
-@cache
-def _table() -> dict[int, str]:
-    return {ord(k): v for k, v in HOMOGLYPHS.items()} | {ord("l"): "i"}
+def _signs(text: str) -> str:
+    """Signs within a word, and @ and $ at its beginning, as letters."""
 
+    def letter(m):
+        before = text[m.start() - 1 : m.start()]
+        return SIGNS[m[0]] if m[0] in "@$" or before.isalnum() or before == "_" else m[0]
 
-_DIGIT_TABLE = {ord(k): v for k, v in DIGITS.items()}
+    return _SIGN.sub(letter, text)
+
+
+def _digits(text: str) -> str:
+    """Digits between letters, or at one end of a word with two letters beside them, as letters."""
+
+    def letters(m):
+        a, b = m.span()
+        before, after = text[max(0, a - 2) : a], text[b : b + 2]
+        inside = before[-1:].isalpha() and after[:1].isalpha()
+        first = len(after) == 2 and after.isalpha() and not (before[-1:].isalnum() or before[-1:] == "_")
+        last = len(before) == 2 and before.isalpha() and not (after[:1].isalnum() or after[:1] == "_")
+        return m[0].translate(_DIGIT_TABLE) if inside or first or last else m[0]
+
+    return _DIGITS.sub(letters, text)
 
 
 def fold(text: str) -> str:
     """Folded words, each between single spaces; one space without words."""
     if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKD", text))
-        text = "".join(c for c in text if not unicodedata.combining(c)) if any(map(unicodedata.combining, text)) else text
+        text = _MARKS.sub("", _HIDDEN.sub("", unicodedata.normalize("NFKD", text)))
     text = text.lower()
     if _SIGN.search(text):
-        text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
-    for _ in range(2):  # a letter made of a digit can be what another digit needs beside it
-        if not _DIGIT_IN_WORD.search(text):
-            break
-        text = _DIGIT_IN_WORD.sub(lambda m: m[0].translate(_DIGIT_TABLE), text)
-    return f" {_BREAK.sub(' ', text.translate(_table())).strip()} "
+        text = _signs(text)
+    if _DIGITS.search(text):
+        text = _digits(_digits(text))  # a letter made of a digit can be what another digit needs beside it
+    if not text.isascii():
+        text = text.translate(_HOMOGLYPHS)
+        if not text.isascii():
+            return f" {_BREAK.sub(' ', text).strip()} "
+    return f" {' '.join(text.translate(_LETTERS).split())} "
+
+
+def merged(folded: str) -> str:
+    """Letters that pass for each other as one."""
+    return folded.replace("l", "i")
 
 
 class Lexicon:
-    """Terms with weights: ' word ' is a whole word, ' stem' the beginning of one."""
+    """Terms with weights: ' word ' is a whole word, ' stem' the beginning of one; harmless terms have the letters of one but are spelt otherwise."""
 
-    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
-        self.weights, self.exceptions = weights, tuple(fold(x) for x in exceptions)
+    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, harmless: tuple[str, ...] = ()):
+        self.weights, self.exceptions, self.harmless = weights, tuple(fold(x) for x in exceptions), tuple(harmless)
         self._tries = None
 
     def __getstate__(self):
-        return self.weights, self.exceptions
+        return self.weights, self.exceptions, self.harmless
 
     def __setstate__(self, state):
-        (self.weights, self.exceptions), self._tries = state, None
+        (self.weights, self.exceptions, self.harmless), self._tries = state, None
 
     @property
     def tries(self):
         if self._tries is None:
-            made = []
-            for terms in (self.weights, dict.fromkeys(self.exceptions, 0.0)):
-                trie = ahocorasick.Automaton()
-                for term, weight in terms.items():
-                    trie.add_word(term, (len(term), weight))
+            spelt: dict[str, dict[str, float]] = {}
+            for term, weight in self.weights.items():
+                spelt.setdefault(merged(term), {})[term] = weight
+            top = {form: max(known.values()) for form, known in spelt.items()}
+            for term in self.harmless:
+                if merged(term) in spelt:
+                    spelt[merged(term)].setdefault(term, 0.0)
+            terms, phrases = ahocorasick.Automaton(), ahocorasick.Automaton()
+            for form, known in spelt.items():
+                terms.add_word(form, (len(form), known, top[form]))
+            for phrase in self.exceptions:
+                terms_of = merged(phrase)
+                phrases.add_word(terms_of, len(terms_of))
+            for trie in (terms, phrases):
                 trie.make_automaton()
-                made.append(trie)
-            self._tries = made
+            self._tries = terms, phrases
         return self._tries
 
+    def matches(self, folded: str) -> list[tuple[int, int, float]]:
+        """First and last place and weight of every match in a folded text."""
+        terms, phrases = self.tries
+        if not len(terms):
+            return []
+        text = merged(folded)
+        found = []
+        for end, (size, known, otherwise) in terms.iter(text):
+            weight = known.get(folded[end - size + 1 : end + 1], otherwise)
+            if weight:
+                found.append((end - size + 1, end, weight))
+        if found and len(phrases):
+            spans = [(end - size + 1, end) for end, size in phrases.iter(text)]
+            if spans:
+                found = [m for m in found if not any(a <= m[0] and m[1] <= b for a, b in spans)]
+        return found
+
     def measures(self, text: str) -> tuple[float, float, float]:
         """Of a whole text: weight of the matches, matches, words."""
         folded = fold(text)
-        terms, exceptions = self.tries
-        total, many = 0.0, 0
-        if len(terms):
-            found = list(terms.iter(folded))
-            if found and len(exceptions):
-                spans = [(end - size + 1, end) for end, (size, _) in exceptions.iter(folded)]
-                found = [m for m in found if not any(a <= m[0] - m[1][0] + 1 and m[0] <= b for a, b in spans)]
-            total, many = sum(m[1][1] for m in found), len(found)
-        return total, float(many), float(max(0, folded.count(" ") - 1))
+        found = self.matches(folded)
+        return sum((m[2] for m in found), 0.0), float(len(found)), float(max(0, folded.count(" ") - 1))
 
 
 def _features(m: np.ndarray) -> np.ndarray:
@@ -132,19 +183,20 @@ def _terms(batches):
             yield pa.RecordBatch.from_arrays([pa.array(list(found[y]), pa.string()), pa.array([y] * len(found[y]), pa.int32()), pa.array(list(found[y].values()), pa.int64())], names=["term", "y", "n"])
 
 
-def learn_lexicon(rows: DataFrame, min_support: int = 5, min_odds: float = 2.5, most_terms: int = 5000) -> dict[str, float]:
-    """Weights of the terms that tell toxic rows (y = 1) from others: log odds, at least min_odds, at most most_terms terms.
+def learn_lexicon(rows: DataFrame, min_support: int = 5, min_odds: float = 2.5, most_terms: int = 5000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """The terms that tell toxic rows (y = 1) from others, with their log odds: at least min_odds, at most most_terms terms.
 
     A term is in at least min_support distinct toxic texts; repeated texts count once, so that copies of one row don't make a term.
     """
-    rows = rows.select("text", "y").dropDuplicates(["text", "y"])
+    rows = staged(rows.select("text", "y").dropDuplicates(["text", "y"]), "distinct")
     docs = dict(rows.groupBy("y").count().collect())
     pos, neg = docs.get(1, 0), docs.get(0, 0)
     if not pos or not neg:
-        return {}
-    counts = map_batches(rows.select("text", "y"), _terms, "term string, y int, n bigint").groupBy("term").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
+        return Lexicon({}, exceptions)
+    p, q = (F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(name) for y, name in ((1, "p"), (0, "q")))
     odds = F.log((F.col("p") + 0.5) / pos) - F.log((F.col("q") + 0.5) / neg)
-    found = counts.where(F.col("p") >= min_support).withColumn("w", odds).where(F.col("w") >= min_odds).orderBy(F.desc(F.col("w") * F.sqrt("p")), "term").limit(most_terms).collect()
+    counts = staged(map_batches(rows, _terms, "term string, y int, n bigint").groupBy("term").agg(p, q).withColumn("w", odds), "terms")
+    found = counts.where(F.col("p") >= min_support).where(F.col("w") >= min_odds).orderBy(F.desc(F.col("w") * F.sqrt("p")), "term").limit(most_terms).collect()
     support = {r["term"]: r["p"] for r in found}
     weight = {r["term"]: r["w"] for r in found}
     kept: dict[str, float] = {}
@@ -160,7 +212,37 @@ def learn_lexicon(rows: DataFrame, min_support: int = 5, min_odds: float = 2.5,
         if term == bare and support[term] < 1.5 * below[term]:
             continue
         kept[term] = float(weight[term])
-    return kept
+    # other spellings of the same letters that are no more frequent in toxic rows
+    forms = rows.sparkSession.createDataFrame([(merged(t),) for t in kept], "form string")
+    twins = counts.where("w <= 0").join(F.broadcast(forms.distinct()), F.translate("term", "l", "i") == F.col("form"), "left_semi").select("term").collect() if kept else []
+    words = Lexicon(kept, (), tuple(sorted(r["term"] for r in twins)))
+    return Lexicon(kept, (*exceptions, *learn_exceptions(rows, words, pos, neg)), words.harmless)
+
+
+def learn_exceptions(rows: DataFrame, words: Lexicon, pos: int, neg: int, min_support: int = 5, most: int = 5000) -> list[str]:
+    """Phrases of two words, one of them with a match, that are in min_support harmless texts and no more frequent in toxic ones."""
+
+    def phrases(batches):
+        for batch in batches:
+            found: tuple[Counter, Counter] = (Counter(), Counter())
+            for part in slices(batch, "text"):
+                for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
+                    folded = fold(text or "")
+                    seen = set()
+                    for a, _, _ in words.matches(folded):
+                        end = folded.index(" ", a + 1)
+                        if a:
+                            seen.add(folded[folded.rindex(" ", 0, a) + 1 : end])
+                        if end + 1 < len(folded):
+                            seen.add(folded[a + 1 : folded.index(" ", end + 1)])
+                    found[y].update(seen)
+            for y in (0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(list(found[y]), pa.string()), pa.array([y] * len(found[y]), pa.int32()), pa.array(list(found[y].values()), pa.int64())], names=["term", "y", "n"])
+
+    p, q = (F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(name) for y, name in ((1, "p"), (0, "q")))
+    counts = map_batches(rows, phrases, "term string, y int, n bigint").groupBy("term").agg(p, q)
+    kept = counts.where(F.col("q") >= min_support).where((F.col("p") + 0.5) / pos < (F.col("q") + 0.5) / neg)
+    return sorted(r["term"] for r in kept.orderBy(F.desc("q"), "term").limit(most).collect())
 
 
 class Scorer:
@@ -177,7 +259,7 @@ class Scorer:
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, most_rows: int = 20_000, **lexicon) -> Scorer:
     """Learns from labels.toxic where crc32(doc_id) % modulus isn't held_out; most_rows bounds the sample."""
     rows = staged(labelled(docs, labels, "toxic", remainder(F.col("doc_id"), modulus) != held_out, most_rows), "toxic")
-    words = Lexicon(learn_lexicon(rows, **lexicon))
+    words = learn_lexicon(rows, **lexicon)
 
     def measured(batches):
         for batch in batches:

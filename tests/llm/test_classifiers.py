@@ -156,6 +156,101 @@ def test_rare_toxic_words_are_terms_and_copies_are_not(spark):
     toxic = [f"plain number{chr(97 + i % 26)} idiot here{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(2000)]
     toxic = [t + (" vermin" if i % 300 == 0 else "") for i, t in enumerate(toxic)] + ["copied sentence about harmless gardens"] * 30
     rows = [(t, 1) for t in toxic] + [(f"plain text of row{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}", 0) for i in range(2000)]
-    lexicon = toxicity.Lexicon(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int")))
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
     assert lexicon.measures("vermin")[1] and lexicon.measures("idiot")[1]
     assert not lexicon.measures("gardens")[1]
+
+
+def test_words_with_other_letters_are_not_matched(spark):
+    rows = [(f"you fail number{chr(97 + i % 26)}{chr(97 + i // 26)}", 1) for i in range(100)]
+    rows += [(f"leaves fall in autumn{chr(97 + i % 26)}{chr(97 + i // 26)}", 0) for i in range(300)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"))
+    assert lexicon.measures("they fall")[1] == 0 and lexicon.measures("they fail")[1] and lexicon.measures("they fa1l f@il FAIL")[1] == 3
+
+
+def test_exceptions_are_learned(spark):
+    number = lambda i: f"x{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    rows = [(f"you clown {number(i)}", 1) for i in range(200)] + [(f"a clown fish swims {number(i)}", 0) for i in range(12)] + [(f"plain {number(i)}", 0) for i in range(600)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"), exceptions=())
+    assert "clown fish" in {x.strip() for x in lexicon.exceptions}
+    assert lexicon.measures("the clown fish")[1] == 0 and lexicon.measures("a clown")[1] == 1
+
+
+def test_vowel_signs_belong_to_their_words():
+    assert langid.letters("कार, हिन्दी 12") == " कार हिन्दी "
+    assert langid.letters("́ ²") == ""
+
+
+def test_filters_on_empty_tables_and_odd_texts(spark, make_docs, labelled):
+    for module in (quality, toxicity):
+        empty = module.accepted(make_docs([]), labelled[1])
+        assert empty.collect() == []
+        odd = module.accepted(make_docs(ODD), labelled[1]).collect()
+        assert {(r["doc_id"], r["text"]) for r in odd} <= set(ODD)
+
+
+def test_samples_are_bounded_by_rows(spark, make_docs):
+    from pyspark.sql import functions as F
+
+    from tagloom.llm.learning import labelled as chosen
+
+    docs = make_docs([(1, f"text {i}") for i in range(3000)] + [(2, "same")] * 500 + [(i, "x") for i in range(3, 60)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    got = chosen(docs, labels, "quality", F.lit(True), 300).collect()
+    assert 100 < len(got) < 500 and len({(r["doc_id"], r["text"]) for r in got}) == len(got)
+
+
+def plain_prediction(rows, texts, dims=512):
+    """Prototypes and cosines n-gram by n-gram, without tables or batches."""
+    e = langid.Encoder(dims=dims)
+
+    def vector(text):
+        s = langid.letters(text)
+        s = s + " " * max(0, 3 - len(s)) if s else s
+        v = np.zeros(dims)
+        for i in range(len(s) - 2):
+            g = np.ones(dims)
+            for place, c in enumerate(s[i : i + 3]):
+                g *= np.roll(e.letter_vector(ord(c)), place)
+            v += g
+        return v / (np.linalg.norm(v) or 1)
+
+    sums = {}
+    for i, text, lang in rows:
+        if lang is not None and text is not None and held(i, 3) != 1:
+            sums[lang] = sums.get(lang, 0) + vector(text)
+    table = {lang: v / (np.linalg.norm(v) or 1) for lang, v in sums.items()}
+    out = []
+    for text in texts:
+        v = vector(text)
+        cos = sorted(((float(v @ p), lang) for lang, p in table.items()), key=lambda x: (-x[0], x[1]))
+        out.append((cos[0][1], max(0.0, cos[0][0])) if v.any() and cos else ("und", 0.0))
+    return out
+
+
+def test_predictions_equal_brute_force(make_docs):
+    rows = language_rows(90, seed=4) + [(500 + i, t, "en" if i % 2 else None) for i, (_, t) in enumerate(ODD)]
+    got = {r["doc_id"]: r for r in langid.predict(make_docs(rows)).collect()}
+    for (i, _, _), (lang, score) in zip(rows, plain_prediction(rows, [t for _, t, _ in rows]), strict=True):
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-4, i
+
+
+def test_quality_scores_equal_plain_additions():
+    rng = np.random.default_rng(2)
+    x = rng.random((400, 4))
+    model = quality.fit(x, (x[:, 0] + x[:, 1] > 1).astype(float))
+    cells = [[sum(row[k] >= edge for edge in model.edges[k]) for k in range(4)] for row in x]
+    for row, c, p in zip(x, cells, model.score(x), strict=True):
+        odds = model.start + sum(float(model.tables[k][c[k]]) for k in range(4)) + sum(float(t[model.coarse[i][c[i]], model.coarse[j][c[j]]]) for (i, j), t in model.pairs.items())
+        assert abs(1 / (1 + np.exp(-odds)) - p) < 1e-6, row
+
+
+def test_toxicity_scores_equal_a_plain_scan(labelled):
+    docs, labels = labelled
+    model = toxicity.learn(docs, labels)
+    terms = model.lexicon.weights
+    for r in docs.limit(80).collect():
+        words = toxicity.fold(r["text"] or "").split()
+        hits = [w for word in words for term, w in terms.items() if (term.strip() == word if term.endswith(" ") else len(word) >= len(term) - 1 and word.startswith(term.strip()))]
+        total, many, n = model.lexicon.measures(r["text"] or "")
+        assert abs(total - sum(hits)) < 1e-9 and many == len(hits) and n == len(words)

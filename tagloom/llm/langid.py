@@ -13,15 +13,17 @@ Prototypes are sums of unit vectors over a sample of the texts to learn from,
 a bounded number for each language; every text is compared whole.
 
 Null texts and texts without a letter are `und` with score 0; so is every text
-when there is nothing to learn from.  Repeated rows are predicted each.
+when there is nothing to learn from.  Languages that tie are taken in order of
+their names.  Repeated rows are predicted each, an empty table gives an empty
+result, very long texts are counted whole, and only doc_id, text and lang are
+read, whatever else the table has.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +31,15 @@ from .common import map_batches, slices
 from .learning import remainder
 
 UNKNOWN = "und"
-_BREAK = re.compile(r"[\W\d_]+")
+#: Anything but letters and the marks that belong to them, such as vowel signs.
+_BREAK = regex.compile(r"[^\p{L}\p{M}]+")
 _CODES = 21  # bits of a code point
 
 
 def letters(text: str | None) -> str:
     """Lower-cased letters with one blank at both ends of every word; empty without letters."""
     found = _BREAK.sub(" ", text.lower()).strip() if text else ""
-    return f" {found} " if any(map(str.isalpha, found)) else ""  # numbers such as a superscript two count as word characters
+    return f" {found} " if any(map(str.isalpha, found)) else ""  # marks alone are no letters
 
 
 _SHARED: dict[tuple, Encoder] = {}
@@ -144,7 +147,7 @@ def learn(docs: DataFrame, modulus: int = 3, held_out: int = 1, most_rows: int =
     share = max(least, even([n for _, n in counts], most_rows))
     steps = 1 << 40
     limits = docs.sparkSession.createDataFrame([(lang, min(steps, steps * share // n)) for lang, n in counts], "lang string, limit bigint")
-    rows = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(steps)) < F.col("limit")).select("text", "lang")
+    rows = rows.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(steps)) < F.col("limit")).select("text", "lang")
 
     def summed(batches):
         held: dict[str, np.ndarray] = {}

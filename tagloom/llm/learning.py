@@ -17,18 +17,26 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 def sample(rows: DataFrame, key: str, most: int, salt: int = 5) -> DataFrame:
     """About most rows at most, chosen by a hash of key; all rows where there are fewer."""
     n = rows.count()
-    steps = 1 << 24
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(salt), key), F.lit(steps)) < int(steps * most / n))
+    steps = 1 << 40
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(salt), key), F.lit(steps)) < steps * most // n)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int) -> DataFrame:
     """doc_id, text and y (0 or 1) of a bounded sample of the labelled documents for which learn holds.
 
-    Rows without a label are left out; of labels that contradict each other the larger counts.
+    Rows without a label are left out; of labels that contradict each other the
+    larger counts.  Rows equal in doc_id and text count once.  A doc_id that many
+    rows repeat is sampled again by its texts, so that `most` bounds the rows.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(learn).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
-    chosen = staged(sample(marks, "doc_id", most), "labels")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # of bounded size
+    chosen = F.broadcast(staged(sample(marks, "doc_id", most), "labels"))  # of bounded size
+    rows = docs.select("doc_id", "text")
+    n = rows.select("doc_id").join(chosen, "doc_id").count()
+    found = rows.join(chosen, "doc_id")
+    if n > most:  # ids repeat
+        steps = 1 << 40
+        found = found.where(F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(steps)) < steps * most // n).dropDuplicates(["doc_id", "text"])
+    return found
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:

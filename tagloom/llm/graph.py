@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import heavy_keys, spread_join, staged
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -13,15 +13,19 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Every round gives each node the smallest label among its neighbours and its
     label's own label (pointer jumping), so paths halve.  Rounds end when no
-    label changes.  Each round's labels are a table in the shared folder.
+    label changes.  Each round's labels are a table in the shared folder.  A node
+    with very many neighbours, and a label with very many nodes, is dealt over
+    several tasks.
     """
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    hubs = heavy_keys(both, "b")
     label = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p")), "label")
     for _ in range(rounds):
-        heard = both.join(label.hint("shuffle_hash"), F.col("b") == F.col("id")).select(F.col("a").alias("id"), "p", F.lit(None).cast("bigint").alias("old"))
+        heard = spread_join(both, label.select(F.col("id").alias("b"), "p"), "b", "a", hubs).select(F.col("a").alias("id"), "p", F.lit(None).cast("bigint").alias("old"))
         step = heard.union(label.select("id", "p", F.col("p").alias("old"))).groupBy("id").agg(F.min("p").alias("q"), F.max("old").alias("old"))
-        up = label.select(F.col("id").alias("q_id"), F.col("p").alias("q_p"))
-        fresh = staged(step.join(up.hint("shuffle_hash"), F.col("q") == F.col("q_id"), "left").select("id", "old", F.least("q", F.coalesce("q_p", "q")).alias("p")), "label")
+        step = staged(step, "step")
+        up = label.select(F.col("id").alias("q"), F.col("p").alias("q_p"))
+        fresh = staged(spread_join(step, up, "q", "id", how="left").select("id", "old", F.least("q", F.coalesce("q_p", "q")).alias("p")), "label")
         label = fresh.select("id", "p")
         if not fresh.where("p <> old").limit(1).count():
             return label.select("id", F.col("p").alias("component"))

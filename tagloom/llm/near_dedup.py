@@ -16,13 +16,16 @@ its bucket, the smallest and the largest id.  While buckets hold members of
 several components in large numbers, each gets another centre, which meets the
 members of other components.  When few pairs across components are left, all of
 them are looked at, inside a join over blocks of members, so that a large bucket
-is many tasks; nothing but pairs whose signatures agree leaves the join.  So every pair that shares a band is linked, already
-connected, or known to differ.  A pair with a similarity of exactly 0.8 shares
+is many tasks; nothing but pairs whose signatures agree leaves the join.  So
+every pair that shares a band is linked, already connected, or known to differ.
+Rows of a large bucket, pairs of one centre, and exact copies are dealt over
+tasks in pieces wherever they are joined or grouped by that key.  A pair with a similarity of exactly 0.8 shares
 none of the bands with a probability of (1 - 0.8**5)**28, 1.5 in 100,000.
 
 Null texts are empty.  Rows without a doc_id have no links and no component.
-Rows that repeat a doc_id are one node, linked as any of them is.  An empty
-table gives an empty result.
+Rows that repeat a doc_id are one node, linked as any of them is.  Very long
+texts are compared whole.  Only doc_id and text are read, whatever else the table
+has; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices, staged
+from .common import heavy_keys, map_batches, pieces_of, slices, spread_join, staged
 from .graph import components
 from .textstats import Words, mixed
 
@@ -172,8 +175,8 @@ def _near_sizes(a: Column, b: Column, setting: Setting) -> Column:
 def confirm(docs: DataFrame, pairs: DataFrame, setting: Setting) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold.
 
-    All pairs of an id a meet in `parts` places at most; there its set is made
-    once and those of its partners stream past.
+    All pairs of an id a, the centre where there is one, meet in `parts` places
+    at most; there its set is made once and those of its partners stream past.
     """
     t = setting.threshold
 
@@ -213,33 +216,43 @@ def links(docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
     """id, component: the components of all links between classes (rid, n, bands, signature, bitmap)."""
     near = _near_sizes(F.col("na"), F.col("nb"), setting) & (equal_minima(F.col("sa"), F.col("sb"), setting) >= setting.least_equal()) & can_reach(F.col("ma"), F.col("mb"), F.col("na"), F.col("nb"), setting)
     keyed = classes.select("rid", F.explode("bands").alias("band"))
-    buckets = staged(keyed.groupBy("band").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).where("lo < hi"), "buckets")
-    members = staged(keyed.join(buckets.hint("shuffle_hash"), "band"), "members")
+    buckets = staged(keyed.groupBy("band").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
+    rows = buckets.agg(F.sum("n")).first()[0] or 0
+    buckets = buckets.withColumn("pieces", pieces_of(F.col("n"), rows)).drop("n")
+    large = F.broadcast(buckets.where("pieces > 1").select("band", "pieces"))  # fewer than HEAVY
+    piece = F.pmod(F.xxhash64("rid", "band"), F.coalesce("pieces", F.lit(1))).cast("int")
+    dealt = keyed.join(large, "band", "left").select("rid", "band", piece.alias("piece"))
+    # a bucket is known by its band; band and piece deal its rows
+    everywhere = lambda table: table.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    members = staged(dealt.join(everywhere(buckets).hint("shuffle_hash"), ["band", "piece"]), "members")
     # only these texts are compared: they are shuffled and written once, whatever the number of rounds
     meant = members.select(F.col("rid").alias("doc_id")).distinct()
     docs = staged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(meant.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     signs = lambda side, i: classes.select(F.col("rid").alias(i), F.col("n").alias(f"n{side}"), F.col("signature").alias(f"s{side}"), F.col("bitmap").alias(f"m{side}"))
 
     def tried(pairs: DataFrame) -> DataFrame:
-        """Pairs (x < y) that are candidates by size and signature; x is the side that meets its partners."""
-        met = pairs.join(signs("a", "x").hint("shuffle_hash"), "x").join(signs("b", "y").hint("shuffle_hash"), "y").where(near)
-        return staged(met.select(F.col("x").alias("a"), F.col("y").alias("b")), "candidates")
-
-    ordered = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"))
+        """Candidates (a, b) by size and signature of pairs (x, y, hub); a is the hub, the side that meets its partners."""
+        met = spread_join(pairs, signs("a", "x"), "x", "y")
+        met = spread_join(met, signs("b", "y"), "y", "x", heavy_keys(pairs, "y")).where(near)
+        other = F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x"))
+        return staged(met.select(F.col("hub").alias("a"), other.alias("b")), "candidates")
+
+    ordered = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), F.col(a).alias("hub"))
+    once = lambda pairs: pairs.groupBy("x", "y").agg(F.max("hub").alias("hub"))
     centres = F.explode(F.array(F.col("lo"), F.col("hi")))
-    seen = staged(members.select("rid", centres.alias("a")).where("rid <> a").select(*ordered("a", "rid")).distinct(), "met")
+    seen = staged(once(members.select("rid", centres.alias("a")).where("rid <> a").select(*ordered("a", "rid"))), "met")
     linked = staged(confirm(docs, tried(seen), setting), "linked")
     before = float("inf")
     for turn in range(setting.turns + 1):
         labels = components(linked)
-        own = members.join(labels.hint("shuffle_hash"), F.col("rid") == F.col("id"), "left").select("band", "rid", F.coalesce("component", "rid").alias("label"))
+        own = members.join(labels.hint("shuffle_hash"), F.col("rid") == F.col("id"), "left").select("band", "piece", "pieces", "rid", F.coalesce("component", "rid").alias("label"))
         own = staged(own, "own")
-        held = own.groupBy("band", "label").agg(F.count("*").alias("k")).groupBy("band").agg(F.sum("k").alias("many"), F.sum(F.col("k") * F.col("k")).alias("same"))
+        held = own.groupBy("band", "pieces", "label").agg(F.count("*").alias("k")).groupBy("band", "pieces").agg(F.sum("k").alias("many"), F.sum(F.col("k") * F.col("k")).alias("same"))
         split = staged(held.where("many * many > same and many > 2"), "split")
         cross, rows = split.agg(F.sum((F.col("many") * F.col("many") - F.col("same")) / 2), F.sum("many")).first()
         if not cross:
             return labels
-        rest = own.join(split.select("band", "many").hint("shuffle_hash"), "band")
+        rest = own.drop("pieces").join(everywhere(split.select("band", "pieces", "many")).hint("shuffle_hash"), ["band", "piece"])
         # more centres help while they join components; else all pairs have to be looked at
         last = cross <= setting.few * rows or turn == setting.turns or cross > 0.8 * before
         before = float(cross)
@@ -247,9 +260,10 @@ def links(docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
             pairs = _across(rest, classes, near, setting)
         else:  # another centre for each bucket: it meets the members of other components
             order = F.xxhash64("rid", "band", F.lit(turn))
-            chosen = staged(rest.groupBy("band").agg(F.min(F.struct(order.alias("o"), "rid", "label")).alias("c")).select("band", F.col("c.rid").alias("a"), F.col("c.label").alias("l")), "centres")
-            pairs = rest.join(chosen, "band").where("label <> l").select(*ordered("a", "rid")).distinct()
-        fresh = staged(pairs.join(seen, ["x", "y"], "left_anti"), "met")
+            by_piece = rest.groupBy("band", "piece", "pieces").agg(F.min(F.struct(order.alias("o"), "rid", "label")).alias("c"))
+            chosen = staged(by_piece.groupBy("band", "pieces").agg(F.min("c").alias("c")).select("band", "pieces", F.col("c.rid").alias("a"), F.col("c.label").alias("l")), "centres")
+            pairs = once(rest.drop("pieces").join(everywhere(chosen).hint("shuffle_hash"), ["band", "piece"]).where("label <> l").select(*ordered("a", "rid")))
+        fresh = staged(pairs.join(seen.select("x", "y"), ["x", "y"], "left_anti"), "met")
         candidates = fresh.select(F.col("x").alias("a"), F.col("y").alias("b")) if last else tried(fresh)
         if last and not candidates.limit(1).count():
             return labels
@@ -273,7 +287,7 @@ def _across(rest: DataFrame, classes: DataFrame, near: Column, setting: Setting)
     left = rows.select("band", F.col("block").alias("i"), every.alias("j"), F.col("rid").alias("x"), F.col("label").alias("lx"), F.col("n").alias("na"), F.col("signature").alias("sa"), F.col("bitmap").alias("ma")).where("i <= j")
     right = rows.select("band", every.alias("i"), F.col("block").alias("j"), F.col("rid").alias("y"), F.col("label").alias("ly"), F.col("n").alias("nb"), F.col("signature").alias("sb"), F.col("bitmap").alias("mb")).where("i <= j")
     on = [left["band"] == right["band"], left["i"] == right["i"], left["j"] == right["j"], F.col("lx") != F.col("ly"), (left["i"] < right["j"]) | (F.col("x") < F.col("y")), near]
-    return left.join(right, on).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return left.join(right, on).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().withColumn("hub", F.col("x"))
 
 
 def dedup(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
@@ -281,11 +295,18 @@ def dedup(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     sketched = staged(sketches(docs, setting), "sketches")
     sets = sketched.where("n > 0 and doc_id is not null")
     sketch = F.struct("bands", "signature", "bitmap")
-    classes = staged(sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rid"), F.min_by(sketch, "doc_id").alias("s")).select("rid", "n", "f1", "f2", "s.bands", "s.signature", "s.bitmap"), "classes")
+    classes = sets.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rid"), F.min_by(sketch, "doc_id").alias("s"), F.count("*").alias("copies"))
+    classes = staged(classes.select("rid", "n", "f1", "f2", "copies", "s.bands", "s.signature", "s.bitmap"), "classes")
     chosen = classes.select("rid", "n", "bands", "signature", "bitmap")
     labels = links(docs, chosen, setting)
-    named = staged(classes.select("rid", "f1", "f2").join(labels.hint("shuffle_hash"), F.col("rid") == F.col("id"), "left").select("f1", "f2", F.coalesce("component", "rid").alias("component")), "named")
-    out = sketched.select("doc_id", "n", "f1", "f2").join(named.withColumnRenamed("f1", "g1").withColumnRenamed("f2", "g2"), (F.col("n") > 0) & F.col("doc_id").isNotNull() & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left")
+    # the rows of a class find its component by its fingerprint, those of a large one in pieces
+    pieces = pieces_of(F.col("copies"), sketched.count())
+    large = F.broadcast(classes.withColumn("pieces", pieces).where("pieces > 1").select("f1", "f2", "pieces"))  # fewer than HEAVY
+    named = classes.select("rid", "f1", "f2", pieces.alias("pieces")).join(labels.hint("shuffle_hash"), F.col("rid") == F.col("id"), "left")
+    named = named.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("part"), F.coalesce("component", "rid").alias("component"))
+    rows = sketched.select("doc_id", "n", "f1", "f2").join(large, ["f1", "f2"], "left").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1))).cast("int"))
+    able = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    out = rows.join(staged(named, "named"), able & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("piece") == F.col("part")), "left")
     component = F.coalesce(F.least("component", "doc_id"), "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 

@@ -117,3 +117,20 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([((i * 7) % n, ((i + 1) * 7) % n) for i in range(n - 1)] + [(1000, 1001)], "a bigint, b bigint")
     got = dict(components(edges).collect())
     assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
+
+
+def test_large_buckets_stars_and_copies_in_pieces(make_docs, monkeypatch):
+    monkeypatch.setattr("tagloom.llm.common.LIGHT", 8)
+    rows = corpus(21, 90)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows += [(10_000 + i, base + f" tail{i}") for i in range(70)] + [(20_000 + i, base) for i in range(60)]
+    got = {r["doc_id"]: r for r in N.dedup(make_docs(rows), N.Setting(words=4)).collect()}
+    want = brute(rows, 4)
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
+
+
+def test_components_of_a_star_and_a_path(spark, monkeypatch):
+    monkeypatch.setattr("tagloom.llm.common.LIGHT", 16)
+    star = [(7, i) for i in range(100, 5100)] + [(i, i + 1) for i in range(10_000, 10_060)]
+    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(star, "a bigint, b bigint")).collect()}
+    assert all(got[i] == 7 for i in range(100, 5100)) and all(got[i] == 10_000 for i in range(10_000, 10_061))

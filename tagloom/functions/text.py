@@ -81,7 +81,7 @@ def alnum_tokens(s: Column) -> Column:
 def overlap_tokens(s: Column) -> Column:
     """Letter words of two characters or more (accents off) that count as overlap."""
     plain = F.translate(F.lower(s), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    found = F.regexp_extract_all(plain, F.lit(r"([a-z_]{2,15})"), F.lit(1))
+    found = F.regexp_extract_all(plain, F.lit(r"(?<![a-z_])([a-z_]{2,15})(?![a-z_])"), F.lit(1))  # longer words don't count
     return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in lexicon.OVERLAP_STOPS]))
 
 
@@ -142,3 +142,11 @@ def map_term(s: Column, mapped: Column) -> Column:
     """A feature term: its dictionary name, or null where that is dropped."""
     t = strip(F.coalesce(mapped, strip(s)))
     return F.when(~is_dropped(t), t)
+
+
+def with_offsets(items: Column, separator: str = ", ") -> Column:
+    """struct<text, spans: array<struct<start, end>>>: the joined items and where each stands."""
+    sizes = F.transform(items, F.length)
+    before = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda t, n: t + n + len(separator))
+    spans = F.transform(sizes, lambda n, i: F.struct(before(i).alias("start"), (before(i) + n).alias("end")))
+    return F.struct(F.array_join(items, separator).alias("text"), spans.alias("spans"))

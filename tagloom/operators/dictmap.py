@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tokens as T
-from ..functions.text import strip
+from ..functions.text import label_name, strip
 
 
 def lookup_table(mapping: DataFrame, line: str | None = None) -> DataFrame:
@@ -65,3 +65,12 @@ def summary(mapping: DataFrame, top: int = 50) -> tuple[DataFrame, DataFrame]:
     counts = mapping.agg(F.count("*").alias("entries"), F.count_if(same).alias("identities"), F.count_if(~same).alias("merges"), F.countDistinct("to").alias("targets"))
     targets = mapping.where(~same).groupBy("to").agg(F.count("*").alias("variants")).orderBy(F.desc("variants"), "to").limit(top)
     return counts, targets
+
+
+def label_mapping(mapping: DataFrame, line: str | None = None) -> DataFrame:
+    """from, to of a dictionary of labels: both sides clean; blank and generic labels, brackets and identities left out; of repeated ones the last line counts."""
+    from .labels import usable
+
+    rows = mapping.select(label_name(F.col("from")).alias("from"), label_name(F.col("to")).alias("to"), (F.col(line) if line else F.lit(0)).alias("line"))
+    rows = usable(usable(rows, "from"), "to").where("`from` <> `to`")
+    return rows.groupBy("from").agg(F.max_by("to", F.struct("line", "to")).alias("to"))

@@ -52,6 +52,14 @@ def wide(df: DataFrame, key: str, text: str, entities: DataFrame) -> DataFrame:
     return out.select("row_id", text, F.col("s.ent_text").alias("NER_raw"), F.array_distinct("s.canonical").alias("NER_clean"), F.to_json(spans).alias("spans_json"), F.col("s.id").alias(ids))
 
 
+def attached(records: DataFrame, wide_rows: DataFrame, key: str) -> DataFrame:
+    """records with NER_clean and Ingredients as inferred_ingredients and encoded_ingredients, by row key; empty lists where a record has none."""
+    lists = wide_rows.select(F.col("row_id").alias("__row"), F.col("NER_clean").alias("inferred_ingredients"), F.col("Ingredients").alias("encoded_ingredients"))
+    out = records.join(lists, F.col(key) == F.col("__row"), "left").drop("__row")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    return out.withColumns({"inferred_ingredients": none("inferred_ingredients", "array<string>"), "encoded_ingredients": none("encoded_ingredients", "array<bigint>")})
+
+
 def diagnostics(wide_rows: DataFrame) -> DataFrame:
     """zero_id_share, single_id_share: shares of ids that are 0, and of rows with one id."""
     column = "encoded_ingredients" if "encoded_ingredients" in wide_rows.columns else "Ingredients"
@@ -67,15 +75,20 @@ def described(wide_rows: DataFrame, top: int = 20) -> tuple[DataFrame, DataFrame
     return counts, names
 
 
+def _split(key: str, seed: int, valid: float) -> Column:
+    """"valid" for a share of the documents, by the digest of their key and place; "train" for the others."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"), F.col("pos").cast("string")))
+    at = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return F.when(at < int(valid * (1 << 32)), "valid").otherwise("train").alias("split")
+
+
 def training_documents(df: DataFrame, key: str, items: str, seed: int = 42, valid: float = 0.2) -> DataFrame:
     """text, start, end, label, split: each item as a document that is one entity; the split is by hash."""
     rows = df.select(key, F.posexplode(items).alias("pos", "text")).withColumn("text", strip(F.col("text"))).where("text <> ''")
-    at = F.pmod(F.xxhash64(F.lit(seed), key, "pos"), F.lit(1_000_000))
-    return rows.select(key, "pos", "text", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(LABEL).alias("label"), F.when(at < int(valid * 1_000_000), "valid").otherwise("train").alias("split"))
+    return rows.select(key, "pos", "text", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(LABEL).alias("label"), _split(key, seed, valid))
 
 
 def classifier_documents(df: DataFrame, key: str, items: str, label: str, labels: DataFrame, seed: int = 42, valid: float = 0.2) -> DataFrame:
     """As training_documents, with the record's label, for records whose label is in labels."""
     rows = df.join(labels.select(label).distinct(), label, "left_semi").select(key, label, F.posexplode(items).alias("pos", "text")).withColumn("text", strip(F.col("text"))).where("text <> ''")
-    at = F.pmod(F.xxhash64(F.lit(seed), key, "pos"), F.lit(1_000_000))
-    return rows.withColumn("split", F.when(at < int(valid * 1_000_000), "valid").otherwise("train"))
+    return rows.withColumn("split", _split(key, seed, valid))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import strip
+from ..functions.text import label_name, strip
 from .order import top_per_group
 
 
@@ -57,3 +57,19 @@ def profiles(records: DataFrame, label: str, item: str) -> DataFrame:
 
 def top_items(profile: DataFrame, label: str, item: str, n: int, freq: str = "freq") -> DataFrame:
     return top_per_group(profile, [label], [F.desc(freq), F.asc(item)], n)
+
+
+def usable(df: DataFrame, label: str) -> DataFrame:
+    """Rows whose label is a name: not blank, not a generic word, without brackets."""
+    low = F.lower(strip(F.coalesce(F.col(label), F.lit(""))))
+    return df.where((low != "") & ~low.isin(*lexicon.GENERIC_LABELS) & ~low.rlike(r"[\[\]{}]"))
+
+
+def merged_counts(counts: DataFrame, label: str, count: str) -> DataFrame:
+    """label, count: counts of labels that are one after cleaning, summed."""
+    return counts.groupBy(label_name(F.col(label)).alias(label)).agg(F.sum(count).alias(count))
+
+
+def with_several(df: DataFrame, labels: str) -> DataFrame:
+    """rows, several: rows, and those with more than one label."""
+    return df.agg(F.count("*").alias("rows"), F.count_if(F.size(labels) > 1).alias("several"))

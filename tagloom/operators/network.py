@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import ship
@@ -45,7 +45,7 @@ def betweenness(edges: DataFrame, a: str = "ingredient_a", b: str = "ingredient_
     lists = [sorted(place[w] for w in near[v]) for v in names]
     n = len(names)
     nodes = graph.select("node").distinct()
-    sources = nodes if samples is None or n <= samples else nodes.orderBy(F.xxhash64("node", F.lit(seed)), "node").limit(samples)
+    sources = nodes if samples is None or n <= samples else nodes.orderBy(F.md5(F.concat_ws(":", "node", F.lit(seed))), "node").limit(samples)
     scale = (1.0 if samples is None or n <= samples else n / samples) / max((n - 1) * (n - 2), 1)
     sent = spark.sparkContext.broadcast((lists, place, names))
     ship(spark)
@@ -103,3 +103,14 @@ def rolled_up(profiles: DataFrame, label: str, term: str, weight: str, parents:
     side = parents.select(F.col(child).alias("__c"), F.col(parent).alias("__p"))
     named = profiles.join(side, F.col(label) == F.col("__c"), "left").withColumn("parent", F.coalesce("__p", label))
     return named.groupBy("parent", term).agg(F.sum(weight).alias(weight))
+
+
+def hierarchy_edges(labels: DataFrame, label: str, parents: DataFrame, child: str, parent: str) -> DataFrame:
+    """parent, child: an edge for every label of the network whose parent is another label."""
+    side = parents.select(F.col(child).alias("__c"), F.col(parent).alias("parent"))
+    return labels.select(F.col(label).alias("child")).distinct().join(side, F.col("child") == F.col("__c")).where("parent <> child").select("parent", "child").distinct()
+
+
+def merged_metrics(nodes: DataFrame, name: Column, *metrics: str) -> DataFrame:
+    """node and the largest of each metric over the nodes that have one name; nodes without a name go."""
+    return nodes.groupBy(name.alias("node")).agg(*[F.max(m).alias(m) for m in metrics]).where("node is not null")

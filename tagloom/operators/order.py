@@ -29,3 +29,18 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int, ran
     """The first n rows of every group with their rank from 1; Spark limits groups before the shuffle."""
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= n)
+
+
+def sampled(df: DataFrame, key: str, head: int | None = None, n: int | None = None, share: float | None = None, start: int | None = None, stop: int | None = None, seed: int = 42) -> DataFrame:
+    """One of: the first rows by key, n rows by hash, a share of the rows by hash (0 to 1), or the rows from start to before stop by key."""
+    if sum(x is not None for x in (head, n, share)) + (start is not None or stop is not None) != 1:
+        raise ValueError("exactly one way to sample is needed")
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")))
+    if head is not None:
+        return df.orderBy(key).limit(head)
+    if n is not None:
+        return df.orderBy(digest, key).limit(n)
+    if share is not None:
+        return df.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") < int(min(1.0, max(0.0, share)) * (1 << 32)))
+    place = numbered(df, [F.col(key)], "__place", 0)
+    return place.where((F.col("__place") >= (start or 0)) & (F.lit(True) if stop is None else F.col("__place") < stop)).drop("__place")

@@ -81,3 +81,11 @@ def fusions(edges: DataFrame, profile: DataFrame, pairs: DataFrame, centrality:
     out = out.join(new.select(F.col("label_b").alias("label_a"), F.col("label_a").alias("label_b"), F.col("items").alias("novel_from_b")), key, "left")
     none = lambda c: F.coalesce(c, F.from_json(F.lit("[]"), out.schema[c].dataType))
     return out.select(F.concat_ws(" + ", "label_a", "label_b").alias("pair"), *key, *[none(c).alias(c) for c in ("bridges", "novel_from_a", "novel_from_b")])
+
+
+def pair_scenarios(pairs: DataFrame, kept: DataFrame, label: str = "label") -> DataFrame:
+    """The pairs of labels both of which are kept and not blank."""
+    names = kept.select(F.col(label)).where(F.trim(label) != "").distinct()
+    for side in ("label_a", "label_b"):
+        pairs = pairs.join(names.select(F.col(label).alias(side)), side, "left_semi")
+    return pairs.select("label_a", "label_b")

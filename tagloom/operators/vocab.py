@@ -53,3 +53,15 @@ def encode_lists(df: DataFrame, column: str, encoder: DataFrame, row_key: list[s
 def encode_counters(df: DataFrame, ids: str) -> DataFrame:
     """rows, tokens, unknown of a column of id lists."""
     return df.agg(F.count("*").alias("rows"), F.sum(F.size(ids)).cast("bigint").alias("tokens"), F.sum(F.size(F.filter(ids, lambda x: x == 0))).cast("bigint").alias("unknown"))
+
+
+def probe(df: DataFrame, column: str) -> DataFrame:
+    """rows, filled, distinct: rows of a list column, those with an item, and distinct lists."""
+    return df.agg(F.count("*").alias("rows"), F.count_if(F.size(column) > 0).alias("filled"), F.countDistinct(column).alias("distinct"))
+
+
+def encoded_dataset(df: DataFrame, column: str, encoder: DataFrame, row_key: list[str], dataset_id: int) -> DataFrame:
+    """Dataset ID, Index (from 0, in order of the row key), Ingredients: a list column as ids; empty lists are the unknown id alone."""
+    ids = encode_lists(df.select(*row_key, column), column, encoder, row_key, out="Ingredients", empty_as_unknown=True)
+    rows = numbered(ids, list(map(F.col, row_key)), "Index", 0)
+    return rows.select(F.lit(dataset_id).cast("int").alias("Dataset ID"), F.col("Index").cast("bigint").alias("Index"), "Ingredients")

@@ -14,11 +14,15 @@ class Config:
     workdir: str = "."
 
     @classmethod
-    def load(cls, path: str, workdir: str | None = None) -> Config:
+    def parsed(cls, text: str, workdir: str = ".") -> Config:
         import yaml
 
+        return cls(yaml.safe_load(text) or {}, workdir)
+
+    @classmethod
+    def load(cls, path: str, workdir: str | None = None) -> Config:
         with open(path, encoding="utf-8") as f:
-            return cls(yaml.safe_load(f) or {}, workdir or str(Path(path).resolve().parent))
+            return cls.parsed(f.read(), workdir or str(Path(path).resolve().parent))
 
     def stage(self, name: str, **overrides) -> dict[str, Any]:
         """A copy of a stage's section with overrides on top."""

@@ -20,9 +20,19 @@ def _read(ctx: Context, path: str) -> DataFrame:
     return readers.read_table(ctx.spark, ctx.config.path(path))
 
 
-def _write(ctx: Context, df: DataFrame, path: str, force: bool = True) -> str:
+def _fresh(ctx: Context, df: DataFrame, where: str) -> bool:
+    """Whether a table was written whole, and after all files that df reads; what is staged on the way is always new."""
+    done = f"{where}/_SUCCESS"
+    if not readers.exists(ctx.spark, done):
+        return False
+    made = readers.modified(ctx.spark, done)
+    return all(readers.modified(ctx.spark, f) <= made for f in df.inputFiles())
+
+
+def _write(ctx: Context, df: DataFrame, path: str) -> str:
+    """Writes a stage's table; with `force: false` in the configuration, only where it is absent or older than its inputs."""
     where = ctx.config.path(path)
-    if force or not readers.exists(ctx.spark, f"{where}/_SUCCESS"):
+    if flag(ctx.config.raw.get("force"), True) or not _fresh(ctx, df, where):
         writers.parquet(df, where)
     return where
 
@@ -64,7 +74,7 @@ def combine_raw(ctx: Context, **overrides) -> StageResult:
     for number, path in readers.discovered(ctx.spark, ctx.config.path(folder), tuple(cfg.get("excluded_files") or ())):
         try:
             parts.append(readers.unified(readers.read_table(ctx.spark, path), number, default, known))
-        except ValueError as e:  # a source without records
+        except Exception as e:  # noqa: BLE001  a source that can't be read, or without records, is left out
             skipped[path] = str(e)
     if not parts:
         return StageResult("combine_raw", "failed", details={"error": "no source has records", "skipped": skipped})
@@ -316,7 +326,7 @@ def analysis_baseline(ctx: Context, **overrides) -> StageResult:
 
     dense = grouped.withColumn("v", vector_to_array("features"))
     space = "label" if flag(p.get("cluster_use_parent_labels")) else "child"
-    measures = {"kmeans_k": int(p.get("kmeans_k", 10)), "silhouette": report.silhouette(dense, "v", "cluster").first()[0], "ari": report.adjusted_rand(grouped, space, "cluster").first()[0], "ari_label_space": "parent" if space == "label" else "child"}
+    measures = {"kmeans_k": int(p.get("kmeans_k", 10)), "silhouette": report.squared_silhouette(dense, "v", "cluster").first()[0], "ari": report.adjusted_rand(grouped, space, "cluster").first()[0], "ari_label_space": "parent" if space == "label" else "child"}
     writers.csv_report(ctx.spark.createDataFrame([tuple(measures.values())], "kmeans_k int, silhouette double, ari double, ari_label_space string"), f"{where}/metrics")
     if flag(p.get("use_svd")):
         values, vectors = models.latent(featured, int(p.get("svd_components", 300)))

@@ -268,12 +268,21 @@ def degree_centrality(spark, sf_dir):
     return network.degrees(_edges(spark, sf_dir)).withColumn("degree_centrality", F.round("degree_centrality", 6))
 
 
-@query()
+#: Counts of walks by length: the least length with one is the distance, and its count that of the shortest paths.
+_WALKS = f"""{_PMI}, nodes AS (SELECT DISTINCT node FROM near),
+walks AS (SELECT 0 AS k, node AS s, node AS t, 1::DOUBLE AS w FROM nodes UNION ALL SELECT * FROM (SELECT k + 1 AS k, s, other AS t, sum(w) AS w FROM walks JOIN near ON t = node WHERE k < 7 GROUP BY 1, 2, 3)),
+short AS (SELECT s, t, min(k) AS d, arg_min(w, k) AS paths FROM walks GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM nodes),
+sources AS (SELECT node FROM nodes ORDER BY md5(node || ':42'), node LIMIT {{samples}}),
+through AS (SELECT a.t AS node, sum(a.paths * b.paths / c.paths) AS b FROM short a JOIN sources ON a.s = sources.node JOIN short b ON a.t = b.s JOIN short c ON c.s = a.s AND c.t = b.t WHERE a.d + b.d = c.d AND a.d > 0 AND b.d > 0 GROUP BY 1)
+SELECT node, round(coalesce(b, 0) * n / (SELECT count(*) FROM sources) / greatest((n - 1) * (n - 2), 1), 9) AS betweenness FROM nodes LEFT JOIN through USING (node), n"""
+
+
+@query("WITH RECURSIVE " + _WALKS.format(samples=1_000_000))
 def betweenness(spark, sf_dir):
     return network.betweenness(staged(_edges(spark, sf_dir), "edges")).withColumn("betweenness", F.round("betweenness", 9))
 
 
-@query()
+@query("WITH RECURSIVE " + _WALKS.format(samples=20))
 def betweenness_sampled(spark, sf_dir):
     return network.betweenness(staged(_edges(spark, sf_dir), "edges"), samples=20).withColumn("betweenness", F.round("betweenness", 9))
 
@@ -496,9 +505,9 @@ def cluster_pivot(spark, sf_dir):
 d AS (SELECT a.vec_id, a.label AS own, b.label AS c, sum(list_distance(a.v, b.v) ** 2) AS s, count(*) AS k FROM n a, n b GROUP BY 1, 2, 3),
 ab AS (SELECT vec_id, max(s / greatest(k - 1, 1)) FILTER (own = c) AS a, min(s / k) FILTER (own <> c) AS b FROM d GROUP BY 1)
 SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM ab""")
-def silhouette(spark, sf_dir):
+def squared_silhouette(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("v"), "label")
-    return report.silhouette(rows, "v", "label").select(F.round("silhouette", 6).alias("silhouette"))
+    return report.squared_silhouette(rows, "v", "label").select(F.round("silhouette", 6).alias("silhouette"))
 
 
 @query("SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.5), 6) AS median FROM customer GROUP BY 1")
@@ -531,7 +540,12 @@ def topk_neighbors(spark, sf_dir):
     return similarity.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 3, "label").select("id", "neighbor", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+low AS (SELECT a.vec_id, list(b.vec_id) AS nb FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id WHERE {_COS} >= 0.3 GROUP BY 1),
+o AS (SELECT n.vec_id, i, coalesce(nb, []) AS nb FROM n LEFT JOIN low USING (vec_id)),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS leaders UNION ALL SELECT o.i, CASE WHEN list_has_any(leaders, nb) THEN leaders ELSE list_append(leaders, o.vec_id) END FROM r JOIN o ON o.i = r.i + 1),
+f AS (SELECT leaders FROM r ORDER BY i DESC LIMIT 1)
+SELECT vec_id, CASE WHEN list_contains(leaders, vec_id) THEN vec_id ELSE list_min(list_intersect(leaders, nb)) END AS leader FROM o, f""")
 def leader_clusters(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     near = similarity.cosine_pairs(rows, "vec_id", "embedding", 0.3, "label")
@@ -546,10 +560,10 @@ def phrase_dedupe(spark, sf_dir):
 
 @query()
 def word2vec_dedupe(spark, sf_dir):
-    lists = table(spark, sf_dir, "benchmark").select(text.words(F.lower("text")).alias("words"))
-    phrases = vocab.vocabulary(lists, "words", 3)
-    vectors = models.phrase_vectors(lists, "words", phrases, dims=16)
-    return similarity.dedupe_phrases(phrases, 0.9, vectors=vectors)
+    lists = _baskets(spark, sf_dir).orderBy("l_orderkey")
+    phrases = vocab.vocabulary(lists, "items", 3)
+    vectors = models.phrase_vectors(lists, "items", phrases, dims=16)
+    return similarity.dedupe_phrases(phrases, 0.05, vectors=vectors)
 
 
 # --- sources and entities ---------------------------------------------------------------------------------------------
@@ -589,14 +603,25 @@ def ner_tall(spark, sf_dir):
     return _entities(spark, sf_dir).select("row_id", "pos", "ent_text", "end", "norm", "canonical", "id")
 
 
-@query()
+_WIDE = f"""i AS (SELECT p_partkey, unnest(['Fresh ' || p_name, '2 cups ' || p_type, p_brand]) AS e, unnest([0, 1, 2]) AS pos FROM part),
+t AS (SELECT *, list_filter(regexp_extract_all(lower(e), '[a-z0-9]+'), lambda x: NOT ({_in('x', lexicon.DESCRIPTIVE)} OR {_in('x', lexicon.UNITS)} OR regexp_matches(x, '^\\d+$'))) AS w FROM i),
+n AS (SELECT p_partkey, pos, e, CASE WHEN len(w) = 0 THEN lower(e) ELSE array_to_string(w[-2:], ' ') END AS norm FROM t),
+c AS (SELECT *, CASE norm WHEN 'red ring' THEN 'ring' WHEN 'economy' THEN 'cheap' ELSE norm END AS canonical FROM n),
+k AS (SELECT *, CASE canonical WHEN 'ring' THEN 1 WHEN 'cheap' THEN 2 WHEN 'blue bolt' THEN 3 ELSE 0 END AS id FROM c)"""
+
+
+@query(f"""WITH {_WIDE}, f AS (SELECT p_partkey, canonical, min(pos) AS p FROM k GROUP BY 1, 2), u AS (SELECT p_partkey, string_agg(canonical, '|' ORDER BY p) AS clean FROM f GROUP BY 1),
+s AS (SELECT p_partkey, string_agg(e, '|' ORDER BY pos) AS raw, string_agg(id::VARCHAR, '|' ORDER BY pos) AS ids, '[' || string_agg('{{"raw":"' || e || '","start":0,"end":' || length(e) || ',"label":"INGREDIENT","norm":"' || norm || '","canonical":"' || canonical || '","id":' || id || '}}', ',' ORDER BY pos) || ']' AS spans FROM k GROUP BY 1)
+SELECT p_partkey AS row_id, raw, clean, ids, spans AS spans_json FROM s JOIN u USING (p_partkey)""")
 def ner_wide(spark, sf_dir):
-    return entities.wide(_menu(spark, sf_dir), "p_partkey", "text", _entities(spark, sf_dir))
+    out = entities.wide(_menu(spark, sf_dir), "p_partkey", "text", _entities(spark, sf_dir))
+    return out.select("row_id", F.array_join("NER_raw", "|").alias("raw"), F.array_join("NER_clean", "|").alias("clean"), F.array_join(F.col("Ingredients").cast("array<string>"), "|").alias("ids"), "spans_json")
 
 
-@query()
+@query(f"WITH {_WIDE} SELECT round(count(*) FILTER (id = 0) / count(*), 6) AS zero_id_share, 0.0::DOUBLE AS single_id_share FROM k")
 def ner_diagnostics(spark, sf_dir):
-    return entities.diagnostics(entities.wide(_menu(spark, sf_dir), "p_partkey", "text", _entities(spark, sf_dir)))
+    out = entities.diagnostics(entities.wide(_menu(spark, sf_dir), "p_partkey", "text", _entities(spark, sf_dir)))
+    return out.withColumn("zero_id_share", F.round("zero_id_share", 6))
 
 
 # --- models -----------------------------------------------------------------------------------------------------------

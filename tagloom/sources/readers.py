@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +20,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    where, fs = _fs(spark, path)
+    return fs.getFileStatus(where).getModificationTime()
+
+
 def stream_parquet(spark: SparkSession, path: str, schema) -> DataFrame:
     """A stream of the Parquet files of a folder, or of one file."""
     where, fs = _fs(spark, path)
@@ -31,30 +34,33 @@ def stream_parquet(spark: SparkSession, path: str, schema) -> DataFrame:
     return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
 
 
-def first_bytes(spark: SparkSession, path: str, most: int = 1 << 20) -> bytes:
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, most)).head()
-    return bytes(row[0]) if row else b""
-
-
 WINDOWS = "windows-1252"
+#: Bytes that windows-1252 doesn't define.
+_UNDEFINED = "[\u0081\u008d\u008f\u0090\u009d]"
+
 
+def charset(lines: DataFrame) -> str:
+    """Of a file's lines (column value, raw bytes): UTF-8 where all are, else windows-1252 where it defines all their bytes, else ISO-8859-1.
 
-def charset(sample: bytes) -> str:
-    """UTF-8 where the sample is, else windows-1252 where all its bytes are defined, else ISO-8859-1."""
-    for name, spark_name in (("utf-8", "UTF-8"), ("cp1252", WINDOWS)):
-        try:
-            sample.decode(name)
-            return spark_name
-        except UnicodeDecodeError as e:
-            if name == "utf-8" and e.reason == "unexpected end of data":  # the sample cuts a character
-                return "UTF-8"
-    return "ISO-8859-1"
+    All lines are looked at, over all tasks.
+    """
+    other = lines.where(~F.is_valid_utf8("value"))
+    if not other.limit(1).count():
+        return "UTF-8"
+    plain = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    return "ISO-8859-1" if lines.where(plain.rlike(_UNDEFINED)).limit(1).count() else WINDOWS
 
 
 def read_csv(spark: SparkSession, path: str, rows: int | None = None, drop_malformed: bool = False) -> DataFrame:
-    """All columns as strings, in the file's charset, quoted fields over lines."""
-    found = charset(first_bytes(spark, path))
-    df = spark.read.csv(path, header=True, inferSchema=False, encoding="ISO-8859-1" if found == WINDOWS else found, multiLine=True, escape='"', mode="DROPMALFORMED" if drop_malformed else "PERMISSIVE")
+    """All columns as strings, in the file's charset, quoted fields over lines.
+
+    Only a file with a line of unpaired quotes is read as a whole; others are split over tasks.
+    """
+    lines = spark.read.text(path)
+    found = charset(lines)
+    quotes = F.length(F.col("value").cast("binary")) - F.length(F.replace("value", F.lit('"'), F.lit("")).cast("binary"))
+    across = bool(lines.where(quotes % 2 == 1).limit(1).count())
+    df = spark.read.csv(path, header=True, inferSchema=False, encoding="ISO-8859-1" if found == WINDOWS else found, multiLine=across, escape='"', mode="DROPMALFORMED" if drop_malformed else "PERMISSIVE")
     if found == WINDOWS:  # differs from ISO-8859-1 in 27 characters; Spark has no reader for it
         codes = [(chr(i), bytes([i]).decode("cp1252", "ignore")) for i in range(0x80, 0xA0)]
         old, new = ("".join(x) for x in zip(*[c for c in codes if c[1]], strict=True))
@@ -103,10 +109,10 @@ def jsonl_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_object(spark: SparkSession, path: str, key: str = "key", value: str = "value") -> DataFrame:
-    """key, value of a JSON object of strings; of repeated keys the last counts.  The file is read on the driver: dictionaries of labels are small."""
-    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
-    pairs = [(str(k).strip(), str(v).strip()) for k, v in json.loads(text).items()]
-    return spark.createDataFrame([p for p in pairs if all(p)], f"{key} string, {value} string")
+    """key, value of a JSON object of strings, both trimmed, blank ones left out; of repeated keys the last counts."""
+    entries = spark.read.text(path, wholetext=True).select(F.explode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("e"))
+    pairs = entries.select(F.trim("e.key").alias(key), F.trim("e.value").alias(value), F.monotonically_increasing_id().alias("__n")).where(f"{key} <> '' and {value} <> ''")
+    return pairs.groupBy(key).agg(F.max_by(value, "__n").alias(value))
 
 
 def encoder_maps(spark: SparkSession, path: str) -> DataFrame:
@@ -114,11 +120,48 @@ def encoder_maps(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("id", "token")
 
 
+def encoder_json(spark: SparkSession, id_to_token: str, token_to_id: str) -> DataFrame | None:
+    """id, token of an encoder's two JSON objects, without the unknown token; None where a file is missing, an error where they disagree."""
+    if not (exists(spark, id_to_token) and exists(spark, token_to_id)):
+        return None
+    sides = [json_object(spark, p, "id", "token") for p in (id_to_token, token_to_id)]
+    forward = sides[0].select(F.col("id").cast("bigint").alias("id"), "token")
+    backward = sides[1].select(F.col("token").cast("bigint").alias("id"), F.col("id").alias("token"))
+    if forward.exceptAll(backward).limit(1).count() or backward.exceptAll(forward).limit(1).count():
+        raise ValueError("the encoder's two files disagree")
+    return forward.where("id <> 0")
+
+
 def allowed_labels(spark: SparkSession, path: str, column: str = "label") -> DataFrame:
-    """The values of a JSON object, or the items of a JSON list."""
-    found = json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
-    items = found.values() if isinstance(found, dict) else found
-    return spark.createDataFrame([(str(x),) for x in sorted(set(map(str, items)))], f"{column} string")
+    """The distinct values of a JSON object, or items of a JSON list."""
+    cell = spark.read.text(path, wholetext=True)
+    values = F.coalesce(F.map_values(F.from_json("value", "map<string,string>")), F.from_json("value", "array<string>"))
+    return cell.select(F.explode(values).alias(column)).where(f"{column} is not null").distinct()
+
+
+def with_column(df: DataFrame, wanted: str, candidates: tuple[str, ...]) -> DataFrame:
+    """df with the wanted column: itself, or a copy of the first candidate that is there."""
+    if wanted in df.columns:
+        return df
+    found = found_column(df.columns, candidates)
+    if found is None:
+        raise ValueError(f"no column {wanted}, and none of {candidates}")
+    return df.withColumn(wanted, F.col(f"`{found}`"))
+
+
+def training_metadata(docs: DataFrame, label: str, sample: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Of training documents: label, count; and the first texts by digest."""
+    first = docs.orderBy(F.md5("text"), "text").limit(sample).select("text", label)
+    return docs.groupBy(label).agg(F.count("*").alias("count")), first
+
+
+def training_epoch(docs: DataFrame, key: list[str], epoch: int, seed: int = 42, most: int | None = None) -> DataFrame:
+    """docs with their place in an epoch's order, which is another for every epoch and the same at every run; the first `most`."""
+    order = F.md5(F.concat_ws(":", F.lit(seed + epoch), *[F.col(k).cast("string") for k in key]))
+    from ..operators.order import numbered
+
+    out = numbered(docs.withColumn("__o", order), [F.col("__o"), *map(F.col, key)], "place").drop("__o")
+    return out if most is None else out.where(F.col("place") <= most)
 
 
 def discovered(spark: SparkSession, folder: str, excluded: tuple[str, ...] = ()) -> list[tuple[int, str]]:

@@ -71,14 +71,25 @@ def shards(df: DataFrame, path: str, rows: int = 2000, by: str = "split") -> Non
     df.write.mode("overwrite").partitionBy(by).option("maxRecordsPerFile", rows).parquet(path)
 
 
-def cleanup(spark: SparkSession, patterns: list[str], keep: list[str] = (), dry_run: bool = False) -> list[str]:
-    """Delete what the patterns match, but for paths that hold one of keep; returns the paths."""
+def summary_json(mapping: DataFrame, path: str, top: int = 50, examples: int = 20) -> None:
+    """A dictionary's counts, targets with most variants and first merges as one JSON object."""
+    from ..operators.dictmap import summary
+
+    counts, targets = summary(mapping, top)
+    first = mapping.where("`from` <> `to`").orderBy("from", "to").limit(examples)
+    listed = lambda rows, *names: [dict(zip(names, r, strict=True)) for r in rows.collect()]
+    found = listed(counts, *counts.columns)[0] | {"top_targets": listed(targets, "to", "variants"), "examples": listed(first.select("from", "to"), "from", "to")}
+    _text(mapping.sparkSession, path, json.dumps(found, ensure_ascii=False))
+
+
+def cleanup(spark: SparkSession, patterns: list[str], keep: list[str] = (), dry_run: bool = False, suffixes: tuple[str, ...] = ()) -> list[str]:
+    """Delete what the patterns match (with one of the suffixes, if any are given), but for paths that hold one of keep; returns the paths."""
     done = []
     for pattern in patterns:
         where, fs = _fs(spark, pattern)
         for status in fs.globStatus(where) or []:
             path = status.getPath()
-            if any(k in path.toString() for k in keep):
+            if any(k in path.toString() for k in keep) or (suffixes and not path.getName().endswith(tuple(suffixes))):
                 continue
             done.append(path.toString())
             if not dry_run:

@@ -14,7 +14,9 @@ Vectors that are equal component by component are one class from the start and
 count as links of each other (their cosine is 1).  Vectors that are null, empty,
 zero, or have null or non-finite components, and those with a null label, link
 with nothing.  Vectors of different length never link.  Rows that repeat a
-vec_id are vectors of their own with the same id.
+vec_id are vectors of their own with the same id.  Only vec_id, label and
+embedding are read, whatever else the table has; an empty table gives an empty
+result.  Rows of a large cell and of a large class are dealt over tasks in pieces.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged
+from .common import map_batches, pieces_of, staged
 from .graph import components
 
 #: Distances are widened by this much, so that rounding never hides a pair from its cell.
@@ -91,7 +93,9 @@ def dedup(rows: DataFrame, cosine: float = 0.93, per_cell: int = 4096, block: in
     first = packed.select(F.col("id").alias("rid"), "grp", "f1", "f2", "vec")
     classes = staged(first.join(staged(classes, "classes"), ["rid", "grp", "f1", "f2"]).dropDuplicates(["rid", "grp", "f1", "f2"]), "classes")
     # a class is named by its fingerprint: ids may repeat
-    counts = {r[0]: r[1] for r in classes.groupBy("grp").count().collect()}
+    rows_ = classes.count()
+    large = classes.groupBy("grp").count().where(F.col("count") > max(per_cell, rows_ // most_pivots))  # fewer than most_pivots
+    counts = {r[0]: r[1] for r in large.collect()}
     pivots = _pivots(classes, counts, per_cell, most_pivots, salt)
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + ROUNDING
 
@@ -118,8 +122,12 @@ def dedup(rows: DataFrame, cosine: float = 0.93, per_cell: int = 4096, block: in
                 yield pa.RecordBatch.from_arrays([*got.columns, pa.array(np.concatenate(cell)), pa.array(np.concatenate(inner))], names=["grp", "f1", "f2", "rid", "many", "vec", "cell", "inner"])
 
     placed = staged(map_batches(classes, dealt, "grp string, f1 bigint, f2 bigint, rid bigint, many bigint, vec binary, cell int, inner boolean"), "cells")
-    sizes = staged(placed.groupBy("grp", "cell").agg(F.ceil(F.count_if("inner") / block).cast("int").alias("ib"), F.ceil(F.count_if(~F.col("inner")) / block).cast("int").alias("ob")), "cellsizes").where("ib > 0")
-    numbered = placed.join(sizes, ["grp", "cell"])
+    sizes = placed.groupBy("grp", "cell").agg(F.ceil(F.count_if("inner") / block).cast("int").alias("ib"), F.ceil(F.count_if(~F.col("inner")) / block).cast("int").alias("ob"), F.count("*").alias("n"))
+    sizes = staged(sizes.withColumn("pieces", pieces_of(F.col("n"), placed.count())).drop("n"), "cellsizes").where("ib > 0")
+    heavy = F.broadcast(sizes.where("pieces > 1").select("grp", "cell", "pieces"))  # fewer than HEAVY
+    piece = F.pmod(F.xxhash64("f2", F.lit(salt)), F.coalesce("pieces", F.lit(1))).cast("int")
+    everywhere = sizes.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
+    numbered = placed.join(heavy, ["grp", "cell"], "left").withColumn("piece", piece).drop("pieces").join(everywhere, ["grp", "cell", "piece"]).drop("piece")
     own = F.pmod(F.xxhash64("f1", F.lit(salt)), F.when(F.col("inner"), F.col("ib")).otherwise(F.col("ob"))).cast("int")
     numbered = numbered.withColumn("own", F.when(F.col("inner"), own).otherwise(F.col("ib") + own))
     # block i of the cell's members meets every block j of members and of those sent to it
@@ -177,9 +185,13 @@ def dedup(rows: DataFrame, cosine: float = 0.93, per_cell: int = 4096, block: in
     linked = found.groupBy("f1", F.col("a").alias("l_rid")).agg(F.sum("n").alias("n"))
     labels = components(found.select("a", "b"))
     named = classes.select("f1", "f2", "grp", "rid", "many").join(linked.withColumnsRenamed({"f1": "l_f1"}), (F.col("f1") == F.col("l_f1")) & (F.col("rid") == F.col("l_rid")), "left").join(labels, F.col("rid") == F.col("id"), "left")
-    named = staged(named.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), (F.col("many") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rid").alias("component")), "named")
+    pieces = pieces_of(F.col("many"), packed.count())
+    copies = F.broadcast(classes.withColumn("pieces", pieces).where("pieces > 1").select("f1", "f2", "pieces"))  # fewer than HEAVY
+    named = named.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("part"), (F.col("many") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.coalesce("component", "rid").alias("component"))
+    named = staged(named, "named")
     # rows of one vec_id are told apart by their vectors; those that can't link have none
-    marks = packed.select("id", "f1", "f2").join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))).select("id", "n", "component")
+    marked = packed.select("id", "f1", "f2").join(copies, ["f1", "f2"], "left").withColumn("piece", F.pmod(F.xxhash64("id"), F.coalesce("pieces", F.lit(1))).cast("int"))
+    marks = marked.join(named, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("piece") == F.col("part"))).select("id", "n", "component")
     whole = rows.select(F.col("vec_id").cast("bigint").alias("vec_id"))
     able = marks.select(F.col("id").alias("vec_id"), "n", "component")
     # as many rows of an id as the input has: those without a vector to compare come from the difference

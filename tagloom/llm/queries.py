@@ -96,8 +96,23 @@ both_ AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), {_WALK}
 SELECT d.vec_id, (SELECT count(*) FROM both_ WHERE a = d.vec_id) AS n_links, least(d.vec_id, coalesce(m, d.vec_id)) AS component_id, d.vec_id <= coalesce(m, d.vec_id) AS kept FROM embeddings d LEFT JOIN low ON low.id = d.vec_id
 """
 
+_OP4 = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, ('0x' || substr(md5(concat_ws(':', 17, doc_id)), 1, 15))::BIGINT AS key FROM documents),
+p AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY 1),
+w AS (SELECT *, ([5, 2, 1])[place % 3 + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS most FROM p),
+o AS (SELECT weight, most, coalesce(sum(most) OVER x, 0) AS full_before, coalesce(sum(weight) OVER x, 0) AS weight_before FROM w WHERE source_size > 0 WINDOW x AS (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+v AS (SELECT weight, most, ((SELECT 1.5::DOUBLE * sum(source_size) FROM w) - full_before) / ((SELECT sum(weight) FROM o) - weight_before) AS unit FROM o),
+u AS (SELECT max(unit) FILTER (unit * weight < most) AS unit FROM v),
+t AS (SELECT w.*, CASE WHEN source_size = 0 THEN 0 WHEN unit IS NULL THEN most ELSE least(most, weight * unit) END AS target FROM w, u),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size))::BIGINT ELSE 0 END AS whole FROM t),
+r AS (SELECT *, CASE WHEN whole < 2 THEN round(target)::BIGINT - whole * source_size ELSE 0 END AS rest FROM q)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, rest - coalesce(sum(size) OVER (PARTITION BY place ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS BIGINT) AS taken
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+"""
+
 SQL = {
     "op1_near_dedup": _OP1,
+    "op4_mix": _OP4,
     "op9_embedding_dedup": _OP9,
     "op10_sharding": _op10_sql(),
 }

@@ -14,7 +14,9 @@ survive lost executors:
 
 Null texts are empty: the end id alone.  A null key sorts first and is kept.
 Rows that repeat a key are told apart by their number; a lookup gives the first
-of its shard.  An empty table gives an empty store.
+of its shard.  Very long texts are encoded whole, a shard of their own if need
+be.  Only the key and text are read, whatever else the table has.  An empty table
+gives an empty store.
 """
 
 from __future__ import annotations
@@ -167,21 +169,30 @@ def scan(store: DataFrame) -> DataFrame:
 
 
 def lookup(store: DataFrame, keys: list[int]) -> DataFrame:
-    """key and ids (array<int>) of the keys that the store has; shards that can't have one aren't read."""
+    """key and ids (array<int>) of the keys that the store has; shards that can't have one aren't read.
+
+    A key's shard is found in the directory of first and last keys, its place by
+    the shard's index, and the key stored there is compared with it.
+    """
     wanted = np.array(sorted(set(keys)), np.int64)
 
+    def near(batches):
+        for batch in batches:
+            first, last = (np.searchsorted(wanted, batch.column(c).to_numpy(), side) for c, side in (("first_key", "left"), ("last_key", "right")))
+            yield batch.filter(pa.array(first < last))
+
     def read(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                own = wanted[(wanted >= row["first_key"]) & (wanted <= row["last_key"])]
+                own = wanted[np.searchsorted(wanted, row["first_key"]) : np.searchsorted(wanted, row["last_key"], "right")]
                 if len(own):
                     hit, offset, length = find(row["index"], own)
+                    hit &= np.isin(own, np.frombuffer(row["keys"], "<i8"))
                     ids = np.frombuffer(row["payload"], "<u2")
                     found = [(int(k), ids[a : a + n].tolist()) for k, a, n, h in zip(own, offset, length, hit, strict=True) if h]
                     yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["key", "ids"])
 
-    near = [(F.col("first_key") <= int(k)) & (F.col("last_key") >= int(k)) for k in wanted[:200]]
-    rows = store.select("first_key", "last_key", "index", "payload")
-    if len(wanted) <= 200:
-        rows = rows.where(F.greatest(*near) if len(near) > 1 else near[0] if near else F.lit(False))
+    directory = store.select("part", "shard", "first_key", "last_key")
+    places = map_batches(directory, near, directory.schema).select("part", "shard")
+    rows = store.join(places, ["part", "shard"], "left_semi").select("first_key", "last_key", "keys", "index", "payload")
     return map_batches(rows, read, "key bigint, ids array<int>")

@@ -53,11 +53,44 @@ def test_hot_keys_are_spread(make_docs):
     assert max(plain.values()) >= 300 and max(spread.values()) < 150
 
 
-def test_targets():
-    assert mixing.targets([100, 100], [5, 1], 150, 2) == [125.0, 25.0]
-    assert mixing.targets([10, 100], [5, 1], 150, 2) == [20.0, 130.0]
-    assert mixing.targets([10, 0, 10], [1, 1, 1], 100, 2) == [20.0, 0.0, 20.0]
-    assert mixing.targets([], [], 0, 2) == []
+def water_filled(sizes, weights, budget, epochs):
+    """Targets round by round, as the definition says."""
+    out, open_, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0], float(budget)
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        full = [i for i in open_ if unit * weights[i] >= epochs * sizes[i]]
+        if not full:
+            for i in open_:
+                out[i] = unit * weights[i]
+            break
+        for i in full:
+            out[i] = float(epochs * sizes[i])
+            left -= out[i]
+        open_ = [i for i in open_ if i not in full]
+    return out
+
+
+def test_targets(spark):
+    rng = random.Random(8)
+    many = [rng.choice([0, 1, 5, 40, 1000, 10**6]) for _ in range(400)]
+    for sizes, weights, share in (([100, 100], (5, 1), 0.75), ([10, 100], (5, 1), 1.5), ([10, 0, 10], (1, 1, 1), 5), ([0, 0], (1,), 1.5), (many, (5, 2, 1), 1.5), (many, (1, 100), 1.99), ([], (1,), 1)):
+        rows = [(f"s{i:04d}", n) for i, n in enumerate(sizes[1:])] + [(None, n) for n in sizes[:1]]
+        got = mixing.targets(spark.createDataFrame(rows, "source string, source_size bigint"), weights, share, 2).collect()
+        own = sorted(got, key=lambda r: r["place"])
+        assert [r["place"] for r in own] == list(range(len(sizes))) and (not own or own[-1]["source"] is None)
+        want = water_filled([r["source_size"] for r in own], [weights[i % len(weights)] for i in range(len(own))], share * sum(sizes), 2)
+        assert [r["target"] for r in own] == pytest.approx(want)
+
+
+def test_repeated_rows_are_cut_in_one_of_them(make_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    monkeypatch.setattr(mixing, "FEW", 0)
+    rows = [(5, "one two three", "en", "a")] * 100 + [(None, "x y", "en", "a")] * 50 + [(i, "w " * 9, "en", "b") for i in range(10, 14)]
+    got = mixing.mix(make_docs(rows), weights=(1, 1)).collect()
+    assert len(got) == len(rows) and Counter((r["doc_id"], r["size"]) for r in got) == Counter((r[0], len(r[1].split())) for r in rows)
+    taken = sum(r["taken"] for r in got if r["source"] == "a")
+    assert abs(taken - next(r["target"] for r in got if r["source"] == "a")) <= 1
+    assert sum(r["taken"] not in (0, r["size"], 2 * r["size"]) for r in got) <= 2
 
 
 def mixed(rows):
@@ -67,7 +100,7 @@ def mixed(rows):
         by.setdefault(s, []).append(i)
     order = sorted(by, key=lambda s: (s is None, [ord(c) for c in s or ""]))
     totals = [sum(sizes[i] for i in by[s]) for s in order]
-    aim = mixing.targets(totals, [(5, 2, 1)[k % 3] for k in range(len(order))], 1.5 * sum(totals), 2)
+    aim = water_filled(totals, [(5, 2, 1)[k % 3] for k in range(len(order))], 1.5 * sum(totals), 2)
     return sizes, dict(zip(order, zip(totals, aim, strict=True), strict=True)), by
 
 

@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -22,9 +23,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; only where driver and executors are one process, a fresh one if it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="tagloom-")
@@ -45,9 +48,15 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged() -> None:
-    """Delete the staged tables; call it once the results that read them are written."""
-    while _OPEN:
+def staged_tables() -> int:
+    """How many staged tables there are."""
+    return len(_OPEN)
+
+
+def drop_staged(since: int = 0, but_last: bool = False) -> None:
+    """Delete the staged tables (those from number `since`, and not the last one if it is to stay); call it once the results that read them are written."""
+    stay = [_OPEN.pop()] if but_last and len(_OPEN) > since else []
+    while len(_OPEN) > since:
         spark, path = _OPEN.pop()
         try:
             jvm = spark.sparkContext._jvm
@@ -55,11 +64,16 @@ def drop_staged() -> None:
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             break
+    _OPEN.extend(stay)
+
+
+def _leave() -> None:
+    drop_staged()
     for path in _OWN.values():
         shutil.rmtree(path, ignore_errors=True)
 
 
-atexit.register(drop_staged)
+atexit.register(_leave)
 
 
 _SHIPPED: set[str] = set()

@@ -288,8 +288,10 @@ def score(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int =
 
 
 def accepted(docs: DataFrame, labels: DataFrame, most: float = 0.5, **options) -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below `most`."""
+    """The rows of docs, with all their columns, whose score is below `most`; all rows where no term was learned."""
     model = learn(docs, labels, **options)
+    if not model.lexicon.weights:
+        return docs
 
     def chosen(batches):
         for batch in batches:

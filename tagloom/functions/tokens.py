@@ -29,17 +29,23 @@ def strip_noise(ws: Column, frequency: Column | None = None) -> Column:
     return F.when(F.size(kept) > 1, F.filter(kept, lambda w: count(w) == best)).otherwise(kept)
 
 
-def first_pass(raw: Column, frequency: Column | None = None) -> Column:
-    """A phrase up to the second dictionary lookup: null beyond four words.
-
-    A phrase that repeats its first word is that word; else noise is stripped.
-    """
+def first_words(raw: Column, frequency: Column | None = None) -> Column:
+    """The words of a phrase that count: the first alone where it is repeated; else those that are no noise."""
     ws = words(raw)
     ws = F.when((F.size(ws) >= 2) & (F.lower(F.get(ws, F.lit(0))) == F.lower(F.get(ws, F.lit(1)))), F.slice(ws, 1, 1)).otherwise(ws)
-    ws = F.when(F.size(ws) > 1, strip_noise(ws, frequency)).otherwise(ws)
+    return F.when(F.size(ws) > 1, strip_noise(ws, frequency)).otherwise(ws)
+
+
+def short_phrase(ws: Column) -> Column:
+    """Words as a phrase; null beyond four."""
     return F.when(F.size(ws) <= 4, F.array_join(ws, " "))
 
 
+def first_pass(raw: Column, frequency: Column | None = None) -> Column:
+    """A phrase up to the second dictionary lookup: null beyond four words."""
+    return short_phrase(first_words(raw, frequency))
+
+
 def last_pass(phrase: Column, collapse_repeats: bool = False) -> Column:
     """A phrase after the second lookup: null where it is blank or dropped."""
     out = strip(F.array_join(without_repeats(words(phrase)), " ") if collapse_repeats else phrase)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import lexicon
 from ..functions import tokens as T
 from ..functions.text import label_name, strip
 
@@ -36,10 +37,12 @@ def resolve_tokens(tokens: DataFrame, mapping: DataFrame, use_frequency: bool =
         return out.withColumn(column, F.coalesce("__v", "__v2", column)).drop("__k", "__v", "__k2", "__v2")
 
     df = found(tokens.select("token").distinct().withColumn("__x", strip(raw)), "__x")
-    if use_frequency:
-        table = unigram_frequency(mapping).agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("__freq"))
-        df = df.crossJoin(F.broadcast(table))  # one row: the words of a dictionary
-        df = df.withColumn("__x", T.first_pass(F.col("__x"), F.col("__freq"))).drop("__freq")
+    if use_frequency:  # of several words those most frequent in the dictionary, looked up by a join
+        rows = df.select("token", T.first_words(F.col("__x")).alias("__w"))
+        words = rows.select("token", F.posexplode("__w").alias("__pos", "__word")).join(unigram_frequency(mapping), F.lower("__word") == F.col("word"), "left")
+        lists = words.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("__pos", "__word", F.coalesce("n", F.lit(0).cast("bigint")).alias("n")))).alias("__l"))
+        best = F.filter("__l", lambda w: w["n"] == F.array_max(F.col("__l.n")))
+        df = rows.select("token").join(lists, "token", "left").withColumn("__x", F.coalesce(T.short_phrase(best["__word"]), F.when(F.col("__l").isNull(), F.lit("")))).drop("__l")
     else:
         df = df.withColumn("__x", T.first_pass(F.col("__x")))
     df = found(df, "__x").withColumn("name", T.last_pass(F.col("__x"), collapse_repeats))
@@ -74,3 +77,13 @@ def label_mapping(mapping: DataFrame, line: str | None = None) -> DataFrame:
     rows = mapping.select(label_name(F.col("from")).alias("from"), label_name(F.col("to")).alias("to"), (F.col(line) if line else F.lit(0)).alias("line"))
     rows = usable(usable(rows, "from"), "to").where("`from` <> `to`")
     return rows.groupBy("from").agg(F.max_by("to", F.struct("line", "to")).alias("to"))
+
+
+def canonical_names(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """token, name for distinct tokens (column token): plurals as the dictionary's names (column name) have them; both sides meet in one join."""
+    words = tokens.select("token").distinct()
+    free, named, bare = T.singular_candidates(F.col("token"))
+    known = names.select(F.col("name").alias("bare"), F.lit(True).alias("ok")).distinct()
+    forms = words.select("token", free.alias("free"), named.alias("named"), bare.alias("bare")).join(known, "bare", "left")
+    listed = F.col("bare").isin(*[f for fs in lexicon.CANONICAL_SETS.values() for f in fs]) | F.col("ok")
+    return forms.select("token", F.when(F.col("free"), F.coalesce("named", F.when(listed, F.col("bare")), "token")).otherwise(F.col("token")).alias("name"))

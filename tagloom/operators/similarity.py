@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import levenshtein_ratio, overlap_tokens, strip
 from ..storage import staged
 from .order import numbered, top_per_group
 
@@ -42,11 +43,15 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float, group:
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b, c = _met(pdf)
-        i, j = np.nonzero((c >= threshold) & (a[:, None] < b[None, :]))
-        return pd.DataFrame({"id_a": a[i], "id_b": b[j], "cosine": c[i, j]})
+        hit = c >= threshold
+        if len(pdf) and pdf["i"].iloc[0] == pdf["j"].iloc[0]:
+            hit &= a[:, None] < b[None, :]
+        i, j = np.nonzero(hit & (a[:, None] != b[None, :]))
+        low = a[i] < b[j]
+        return pd.DataFrame({"id_a": np.where(low, a[i], b[j]), "id_b": np.where(low, b[j], a[i]), "cosine": c[i, j]})
 
     kind = df.schema[key].dataType.simpleString()
-    return left.union(right).groupBy("g", "i", "j").applyInPandas(pairs, f"id_a {kind}, id_b {kind}, cosine double")
+    return left.union(right).where("i <= j").groupBy("g", "i", "j").applyInPandas(pairs, f"id_a {kind}, id_b {kind}, cosine double")
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int, group: str | None = None, block: int = 2048) -> DataFrame:
@@ -127,3 +132,25 @@ def dedupe_phrases(vocab: DataFrame, threshold: float = 0.88, min_len: int = 1,
     return found.join(best, "leader").where("token <> name").select(F.col("token").alias("from"), F.col("name").alias("to"))
 
 
+def levenshtein_pairs(names: DataFrame, name: str, least: float, parts: int = 16) -> DataFrame:
+    """name_a < name_b, ratio >= least, of the distinct names.
+
+    The ratio bounds the lengths of two names: the longer one meets only names of
+    at least `least` times its length.  Each length is dealt over `parts` keys.
+    """
+    low = F.lower(strip(F.col(name)))
+    rows = names.select(F.col(name).alias("x"), F.length(low).alias("n")).where("x is not null and n > 0").distinct()
+    shortest = F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)).cast("int")
+    longer = rows.select(F.col("x").alias("x"), "n", F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.greatest(shortest, F.lit(1)), F.col("n"))).alias("m"))
+    shorter = rows.select(F.col("x").alias("y"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    met = longer.join(shorter, ["m", "part"]).where((F.col("m") < F.col("n")) | (F.col("x") < F.col("y")))
+    met = met.withColumn("ratio", levenshtein_ratio(F.col("x"), F.col("y"))).where(F.col("ratio") >= F.lit(least) - 1e-9)
+    return met.select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"), "ratio")
+
+
+def mergeable_pairs(names: DataFrame, name: str, least: float = 0.7) -> DataFrame:
+    """name_a < name_b of distinct names that share a word that counts, or reach the Levenshtein ratio; joined on words and on lengths."""
+    words = names.select(F.col(name).alias("x")).distinct().select("x", F.explode(overlap_tokens(F.col("x"))).alias("w"))
+    a, b = (words.select(F.col("x").alias(f"name_{s}"), "w") for s in "ab")
+    shared = a.join(b, "w").where("name_a < name_b").select("name_a", "name_b")
+    return shared.union(levenshtein_pairs(names, name, least).select("name_a", "name_b")).distinct()

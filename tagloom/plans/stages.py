@@ -220,11 +220,8 @@ def ingredient_post_map(ctx: Context, **overrides) -> StageResult:
     for i, target in enumerate(cfg.get("targets") or []):
         column = target["list_col"]
         df = staged(_lists(_read(ctx, target["input_path"]), column).withColumn("__row", F.monotonically_increasing_id()), "target")
-        words = df.select(F.explode(column).alias("token")).distinct()
-        free, named, bare = tokens.singular_candidates(F.col("token"))
-        forms = words.select("token", free.alias("free"), named.alias("named"), bare.alias("bare")).join(known.withColumnRenamed("t", "bare").withColumn("ok", F.lit(True)), "bare", "left")
-        listed = F.col("bare").isin(*[f for fs in lexicon.CANONICAL_SETS.values() for f in fs]) | F.col("ok")
-        canonical = staged(forms.select(F.col("token").alias("raw"), F.when(F.col("free"), F.coalesce("named", F.when(listed, F.col("bare")), "token")).otherwise(F.col("token")).alias("token")), "canonical")
+        canonical = dictmap.canonical_names(df.select(F.explode(column).alias("token")), known.withColumnRenamed("t", "name"))
+        canonical = staged(canonical.select(F.col("token").alias("raw"), F.col("name").alias("token")), "canonical")
         resolved = dictmap.resolve_tokens(canonical.select("token"), mapping, collapse_repeats=flag(cfg.get("collapse_duplicate_words")))
         names = canonical.join(resolved, "token").select(F.col("raw").alias("token"), "name")
         mapped = dictmap.map_lists(df, column, names, ["__row"], distinct=flag(cfg.get("dedupe_tokens"), True)).drop("__row")

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import streaming
-from .functions import lexicon, parse, text, tokens
-from .operators import dictmap, entities, labels, models, network, pairs, recommend, report, similarity, vocab
+from .functions import lexicon, parse, text
+from .operators import dictmap, entities, labels, models, network, pairs, recommend, report, sets, similarity, vocab
 from .sources import readers
 from .storage import shared_dir, staged
 
@@ -190,9 +190,9 @@ SELECT p_partkey, CASE WHEN x LIKE '%es' AND list_contains(names, x[:-3]) THEN x
 FROM forms WHERE NOT {_in("string_split(x, ' ')[2]", lexicon.STOP_SUFFIXES)}""")
 def canonical_plural(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    names = F.broadcast(part.where("p_size > 25").agg(F.collect_set("p_name").alias("names")))  # the names of a dictionary
-    rows = part.select("p_partkey", F.concat("p_name", F.lit("s")).alias("x"))
-    return rows.crossJoin(names).where(~F.split("x", " ")[1].isin(*lexicon.STOP_SUFFIXES)).select("p_partkey", tokens.canonical(F.col("x"), F.col("names")).alias("name"))
+    rows = part.select("p_partkey", F.concat("p_name", F.lit("s")).alias("token")).where(~F.split("token", " ")[1].isin(*lexicon.STOP_SUFFIXES))
+    found = dictmap.canonical_names(rows, part.where("p_size > 25").select(F.col("p_name").alias("name")))
+    return rows.join(found, "token").select("p_partkey", "name")
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -206,18 +206,13 @@ _RATIO = "round(1 - levenshtein(lower(a.x), lower(b.x)) / greatest(length(a.x),
 
 @query(f"WITH {_NAMES} SELECT a.x AS name_a, b.x AS name_b, {_RATIO} AS ratio FROM names a JOIN names b ON a.x < b.x WHERE {_RATIO} >= 0.6")
 def levenshtein_pairs(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    a, b = (names.select(F.col("p_name").alias(f"name_{x}")) for x in "ab")
-    ratio = F.round(text.levenshtein_ratio(F.col("name_a"), F.col("name_b")), 6)
-    return a.join(b, F.col("name_a") < F.col("name_b")).withColumn("ratio", ratio).where("ratio >= 0.6")  # a vocabulary with itself
+    return similarity.levenshtein_pairs(table(spark, sf_dir, "part"), "p_name", 0.6).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(f"""WITH {_NAMES} SELECT a.x AS name_a, b.x AS name_b FROM names a JOIN names b ON a.x < b.x
 WHERE {_RATIO} >= 0.7 OR len(list_intersect(string_split(a.x, ' '), string_split(b.x, ' '))) > 0""")
 def mergeable_pairs(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    a, b = (names.select(F.col("p_name").alias(f"name_{x}")) for x in "ab")
-    return a.join(b, (F.col("name_a") < F.col("name_b")) & text.should_merge(F.col("name_a"), F.col("name_b")))  # a vocabulary with itself
+    return similarity.mergeable_pairs(table(spark, sf_dir, "part"), "p_name")
 
 
 # --- co-occurrence ----------------------------------------------------------------------------------------------------
@@ -372,25 +367,25 @@ def _lang_words(spark, sf_dir, lang):
 
 @query(f"WITH {_VOCAB} SELECT token FROM v WHERE lang = 'fr' EXCEPT SELECT token FROM v WHERE lang = 'de'")
 def novel_items_anti(spark, sf_dir):
-    return _lang_words(spark, sf_dir, "fr").distinct().join(_lang_words(spark, sf_dir, "de"), "token", "left_anti")
+    return sets.only_in_first(_lang_words(spark, sf_dir, "fr"), _lang_words(spark, sf_dir, "de"), "token")
 
 
 @query(f"WITH {_VOCAB} SELECT token FROM v WHERE lang = 'fr' INTERSECT SELECT token FROM v WHERE lang = 'es'")
 def shared_terms_intersect(spark, sf_dir):
-    return _lang_words(spark, sf_dir, "fr").intersect(_lang_words(spark, sf_dir, "es"))
+    return sets.in_both(_lang_words(spark, sf_dir, "fr"), _lang_words(spark, sf_dir, "es"), "token")
 
 
 @query("SELECT 1::INTEGER AS source, c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT 2::INTEGER, s_suppkey, s_name FROM supplier")
 def union_sources(spark, sf_dir):
-    a = table(spark, sf_dir, "customer").select(F.lit(1).alias("source"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    b = table(spark, sf_dir, "supplier").select(F.lit(2).alias("source"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return a.unionByName(b)
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    b = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id"))
+    return sets.numbered_union(a, b)
 
 
 @query("SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 48")
 def except_items(spark, sf_dir):
     sold = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, sf_dir, "part").select("p_partkey").distinct().join(sold, "p_partkey", "left_anti")
+    return sets.only_in_first(table(spark, sf_dir, "part"), sold, "p_partkey")
 
 
 _BRANDS = "w AS (SELECT p_brand AS label, p_name AS term, count(*) AS w FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY label ORDER BY w DESC, term) <= 15)"
@@ -512,7 +507,7 @@ def squared_silhouette(spark, sf_dir):
 
 @query("SELECT c_mktsegment, round(quantile_cont(c_acctbal, 0.5), 6) AS median FROM customer GROUP BY 1")
 def median_threshold(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.round(F.percentile("c_acctbal", F.lit(0.5)), 6).alias("median"))
+    return report.quantile(table(spark, sf_dir, "customer"), "c_mktsegment", "c_acctbal", 0.5, "median").withColumn("median", F.round("median", 6))
 
 
 @query("""WITH c AS (SELECT r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1), s AS (SELECT r_name, n / sum(n) OVER () AS share FROM c)
@@ -560,10 +555,11 @@ def phrase_dedupe(spark, sf_dir):
 
 @query()
 def word2vec_dedupe(spark, sf_dir):
-    lists = _baskets(spark, sf_dir).orderBy("l_orderkey")
+    lists = _baskets(spark, sf_dir)
     phrases = vocab.vocabulary(lists, "items", 3)
-    vectors = models.phrase_vectors(lists, "items", phrases, dims=16)
-    return similarity.dedupe_phrases(phrases, 0.05, vectors=vectors)
+    words = lists.select(F.flatten(F.transform("items", lambda x: F.split(F.lower(x), " "))).alias("words"))
+    vectors = models.phrase_vectors(words, "words", phrases, dims=16)
+    return similarity.dedupe_phrases(phrases, 0.6, vectors=vectors)
 
 
 # --- sources and entities ---------------------------------------------------------------------------------------------
@@ -637,7 +633,7 @@ def tfidf_weights(spark, sf_dir):
 
 def _features(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return models.tfidf_vectors(docs, "text", max_features=400)
+    return models.tfidf_vectors(docs, "text")
 
 
 @query()
@@ -645,13 +641,13 @@ def logreg_report(spark, sf_dir):
     rows, _ = _features(spark, sf_dir)
     rows = staged(rows.select("doc_id", "lang", "features"), "features")
     train, test = models.split_by_hash(rows, "doc_id")
-    return report.classification_report(models.predicted(models.logistic(train, "lang", iterations=30), test, "lang"), "y_true", "y_pred")
+    return report.classification_report(models.predicted(models.logistic(train, "lang"), test, "lang"), "y_true", "y_pred")
 
 
 @query()
 def kmeans_clusters(spark, sf_dir):
     rows, _ = _features(spark, sf_dir)
-    return models.clustered(staged(rows.select("doc_id", "lang", "features"), "features"), k=4, starts=2).select("doc_id", "lang", "cluster")
+    return models.clustered(staged(rows.select("doc_id", "lang", "features"), "features")).select("doc_id", "lang", "cluster")
 
 
 @query()
@@ -659,13 +655,13 @@ def random_forest(spark, sf_dir):
     rows, _ = _features(spark, sf_dir)
     rows = staged(rows.select("doc_id", "lang", "features"), "features")
     train, test = models.split_by_hash(rows, "doc_id")
-    return models.predicted(models.forest(train, "lang", trees=10, depth=8), test, "lang").select("doc_id", "y_true", "y_pred")
+    return models.predicted(models.forest(train, "lang"), test, "lang").select("doc_id", "y_true", "y_pred")
 
 
 @query()
 def svd_terms(spark, sf_dir):
     rows, vocabulary = _features(spark, sf_dir)
-    values, vectors = models.latent(staged(rows.select("features"), "features"), 2)
+    values, vectors = models.latent(staged(rows.select("features"), "features"), 10)
     found = models.component_terms(vectors, vocabulary, 10)
     total = sum(v * v for v in values)
     return spark.createDataFrame([(*r, values[r[0]] ** 2 / total) for r in found], "component int, direction string, rank int, term string, weight double, share double")
@@ -680,10 +676,9 @@ def stream_daily_counts(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = readers.stream_parquet(spark, f"{sf_dir}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
     counts = streaming.windowed_counts(stream, "ts", "event_type", "1 day").select("start", "event_type", "n")
-    name = f"daily_{uuid.uuid4().hex}"
-    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    where = f"{shared_dir(spark)}/tagloom-daily-{uuid.uuid4().hex}"
+    streaming.run_to_table(counts, f"{where}/rows", f"{where}/state")
+    return spark.read.schema(counts.schema).parquet(f"{where}/rows")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

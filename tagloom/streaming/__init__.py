@@ -20,3 +20,13 @@ def windowed_counts(stream: DataFrame, time: str, item: str, window: str = "1 ho
     """Counts of items in event-time windows; rows later than `late` are dropped and windows then closed."""
     rows = stream.withWatermark(time, late).groupBy(F.window(time, window), item).agg(F.count("*").alias("n"))
     return rows.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), item, "n")
+
+
+def run_to_table(result: DataFrame, path: str, state: str) -> None:
+    """Runs an aggregated stream over all that is there; each batch replaces the Parquet table with the whole result, written by the tasks."""
+
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    run = result.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()

@@ -73,10 +73,11 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, group: str | None = No
 
 
 def hashed_ngrams(df: DataFrame, phrase: str, dims: int = 256, n: int = 3, out: str = "vector") -> DataFrame:
-    """df with a unit vector of hashed character n-grams: an embedding that needs no model."""
+    """df with a unit vector of hashed character n-grams, the hash a polynomial of code points: an embedding that needs no model."""
     padded = F.concat(F.lit(" "), F.lower(F.col(phrase)), F.lit(" "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: padded.substr(i, F.lit(n)))
-    place = F.transform(grams, lambda g: F.pmod(F.xxhash64(g), F.lit(dims)).cast("int"))
+    first = F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1)))
+    code = lambda i: sum((F.ascii(padded.substr(i + k, F.lit(1))) * 31 ** (n - 1 - k) for k in range(n)), F.lit(0).cast("bigint"))
+    place = F.transform(first, lambda i: F.pmod(code(i), F.lit(dims)).cast("int"))
     counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter("__p", lambda p: p == d)).cast("double"))
     raw = df.withColumn("__p", place).withColumn("__c", counts)
     size = F.sqrt(F.aggregate("__c", F.lit(0.0), lambda t, x: t + x * x))

@@ -264,12 +264,13 @@ def degree_centrality(spark, sf_dir):
 
 
 #: Counts of walks by length: the least length with one is the distance, and its count that of the shortest paths.
-_WALKS = f"""{_PMI}, nodes AS (SELECT DISTINCT node FROM near),
+_PATHS = f"""{_PMI}, nodes AS (SELECT DISTINCT node FROM near),
 walks AS (SELECT 0 AS k, node AS s, node AS t, 1::DOUBLE AS w FROM nodes UNION ALL SELECT * FROM (SELECT k + 1 AS k, s, other AS t, sum(w) AS w FROM walks JOIN near ON t = node WHERE k < 7 GROUP BY 1, 2, 3)),
-short AS (SELECT s, t, min(k) AS d, arg_min(w, k) AS paths FROM walks GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM nodes),
+short AS (SELECT s, t, min(k) AS d, arg_min(w, k) AS paths FROM walks GROUP BY 1, 2), size AS (SELECT count(*) AS n FROM nodes),
 sources AS (SELECT node FROM nodes ORDER BY md5(node || ':42'), node LIMIT {{samples}}),
-through AS (SELECT a.t AS node, sum(a.paths * b.paths / c.paths) AS b FROM short a JOIN sources ON a.s = sources.node JOIN short b ON a.t = b.s JOIN short c ON c.s = a.s AND c.t = b.t WHERE a.d + b.d = c.d AND a.d > 0 AND b.d > 0 GROUP BY 1)
-SELECT node, round(coalesce(b, 0) * n / (SELECT count(*) FROM sources) / greatest((n - 1) * (n - 2), 1), 9) AS betweenness FROM nodes LEFT JOIN through USING (node), n"""
+through AS (SELECT a.t AS node, sum(a.paths * b.paths / c.paths) AS b FROM short a JOIN sources ON a.s = sources.node JOIN short b ON a.t = b.s JOIN short c ON c.s = a.s AND c.t = b.t WHERE a.d + b.d = c.d AND a.d > 0 AND b.d > 0 GROUP BY 1),
+central AS (SELECT node, round(coalesce(b, 0) * n / (SELECT count(*) FROM sources) / greatest((n - 1) * (n - 2), 1), 9) AS betweenness FROM nodes LEFT JOIN through USING (node), size)"""
+_WALKS = f"{_PATHS} SELECT node, betweenness FROM central"
 
 
 @query("WITH RECURSIVE " + _WALKS.format(samples=1_000_000))
@@ -445,12 +446,27 @@ def novel_items(spark, sf_dir):
     return recommend.novel(edges, profile, recommend.label_pairs(profile), central, 25).select("label_a", "label_b", "name", "pairs_with")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PATHS.format(samples=500)}, {_PROFILE},
+p AS (SELECT label, item FROM profile QUALIFY row_number() OVER (PARTITION BY label ORDER BY freq DESC, item) <= 30),
+links AS (SELECT label, node AS name, list(DISTINCT other ORDER BY other) AS items FROM near JOIN p ON other = item WHERE NOT {_junk('item')} AND NOT {_junk('node')} GROUP BY 1, 2),
+r AS (SELECT a.label AS label_a, b.label AS label_b, a.name, len(a.items) * len(b.items) * (1 + coalesce(betweenness, 0)) AS score, array_to_string(a.items[1:3], ',') AS ca, array_to_string(b.items[1:3], ',') AS cb FROM links a JOIN links b ON a.name = b.name AND a.label < b.label LEFT JOIN central ON node = a.name),
+bridge AS (SELECT *, row_number() OVER (PARTITION BY label_a, label_b ORDER BY score DESC, name) AS k FROM r QUALIFY k <= 10),
+bridged AS (SELECT label_a, label_b, string_agg(name || ':' || round(score * 1000)::BIGINT || ':' || ca || ':' || cb, ';' ORDER BY k) AS bridges FROM bridge GROUP BY 1, 2),
+mine AS (SELECT label, item, betweenness AS c FROM p JOIN central ON node = item), cut AS (SELECT label, quantile_cont(c, 0.5) AS q FROM mine GROUP BY 1),
+partner AS (SELECT label, item, c FROM mine JOIN cut USING (label) WHERE c >= q),
+f AS (SELECT t.label AS label_a, x.label AS label_b, t.item AS name, x.item AS pairs_with, c FROM p t JOIN near e ON e.node = t.item JOIN partner x ON e.other = x.item WHERE t.label <> x.label AND NOT {_junk('t.item')} AND NOT EXISTS (SELECT 1 FROM p y WHERE y.label = x.label AND y.item = t.item)),
+novel AS (SELECT *, row_number() OVER (PARTITION BY label_a, label_b ORDER BY c DESC, name, pairs_with) AS k FROM f QUALIFY k <= 10),
+fresh AS (SELECT label_a, label_b, string_agg(name || ':' || pairs_with || ':1', ';' ORDER BY k) AS items FROM novel GROUP BY 1, 2), names AS (SELECT DISTINCT label FROM p)
+SELECT a.label || ' + ' || b.label AS pair, coalesce(bridges, '') AS bridges, coalesce(x.items, '') AS novel_from_a, coalesce(y.items, '') AS novel_from_b
+FROM names a JOIN names b ON a.label < b.label LEFT JOIN bridged g ON g.label_a = a.label AND g.label_b = b.label LEFT JOIN fresh x ON x.label_a = a.label AND x.label_b = b.label LEFT JOIN fresh y ON y.label_a = b.label AND y.label_b = a.label""")
 def fusion_pairs(spark, sf_dir):
     profile = staged(labels.top_items(_profile(spark, sf_dir), "label", "item", 30).drop("rank"), "profile")
     edges = staged(_edges(spark, sf_dir), "edges")
-    central = staged(network.betweenness(edges, samples=500).select(F.col("node").alias("item"), F.col("betweenness").alias("centrality")), "central")
-    return recommend.fusions(edges, profile, recommend.label_pairs(profile), central, 0.6).drop("label_a", "label_b")
+    central = staged(network.betweenness(edges, samples=500).select(F.col("node").alias("item"), F.round("betweenness", 9).alias("centrality")), "central")
+    out = recommend.fusions(edges, profile, recommend.label_pairs(profile), central, 0.6)
+    bridge = F.transform("bridges", lambda b: F.concat_ws(":", b["name"], F.round(b["score"] * 1000).cast("bigint").cast("string"), F.array_join(b["connects_a"], ","), F.array_join(b["connects_b"], ",")))
+    novel = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["name"], x["pairs_with"], x["strength"].cast("string"))), ";").alias(c)
+    return out.select("pair", F.array_join(bridge, ";").alias("bridges"), novel("novel_from_a"), novel("novel_from_b"))
 
 
 @query(f"""WITH {_PMI}, {_PROFILE}, deg AS (SELECT node AS item, count(*) AS d FROM near GROUP BY 1),
@@ -547,10 +563,20 @@ def leader_clusters(spark, sf_dir):
     return similarity.leaders(rows.select("vec_id", F.col("vec_id").alias("rank")), near, "vec_id", "rank", "id_a", "id_b")
 
 
-@query()
+@query(f"""WITH RECURSIVE t AS (SELECT lower(p_name) AS token, count(*) AS count FROM part GROUP BY 1), n AS (SELECT token, row_number() OVER (ORDER BY count DESC, length(token), token) AS i, ' ' || token || ' ' AS s FROM t),
+g AS (SELECT token, (unicode(s[p]) * 961 + unicode(s[p + 1]) * 31 + unicode(s[p + 2])) % 256 AS d FROM (SELECT token, s, unnest(range(1, length(s) - 1)) AS p FROM n)),
+c AS (SELECT token, d, count(*) AS k FROM g GROUP BY 1, 2), z AS (SELECT token, sqrt(sum(k * k)) AS z FROM c GROUP BY 1),
+dots AS (SELECT a.token AS x, b.token AS y, sum(a.k * b.k) AS dot FROM c a JOIN c b ON a.d = b.d AND a.token <> b.token GROUP BY 1, 2),
+low AS (SELECT u.i, list(v.i) AS nb FROM dots JOIN n u ON u.token = x JOIN n v ON v.token = y JOIN z zx ON zx.token = x JOIN z zy ON zy.token = y WHERE v.i < u.i AND dot / (zx.z * zy.z) >= 0.613 AND len(list_intersect(string_split(x, ' '), string_split(y, ' '))) > 0 GROUP BY 1),
+o AS (SELECT n.i, token, coalesce(nb, []) AS nb FROM n LEFT JOIN low USING (i)),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS leaders UNION ALL SELECT o.i, CASE WHEN list_has_any(leaders, nb) THEN leaders ELSE list_append(leaders, o.i) END FROM r JOIN o ON o.i = r.i + 1),
+f AS (SELECT leaders FROM r ORDER BY i DESC LIMIT 1),
+m AS (SELECT i, token, CASE WHEN list_contains(leaders, i) THEN i ELSE list_min(list_intersect(leaders, nb)) END AS leader FROM o, f),
+best AS (SELECT leader, arg_min(token, i) AS name FROM m WHERE NOT {_in('token', lexicon.GENERIC)} GROUP BY 1)
+SELECT token AS "from", name AS "to" FROM m JOIN best USING (leader) WHERE token <> name""")
 def phrase_dedupe(spark, sf_dir):
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("token")).agg(F.count("*").alias("count"))
-    return similarity.dedupe_phrases(names, 0.6, generic=lexicon.GENERIC)
+    return similarity.dedupe_phrases(names, 0.613, generic=lexicon.GENERIC)
 
 
 @query()

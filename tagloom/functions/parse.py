@@ -92,3 +92,10 @@ def split_last_and(items: Column) -> Column:
     head, tail = strip(F.regexp_extract(last, r"^(.*) and (.*)$", 1)), strip(F.regexp_extract(last, r"^(.*) and (.*)$", 2))
     parts = F.filter(F.array(head, tail), lambda x: x != "")
     return F.when((F.size(items) > 0) & last.rlike(r"^.* and .*$"), F.concat(F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))), parts)).otherwise(items)
+
+
+def comma_items(s: Column) -> Column:
+    """Items of a cell without brackets and quotes at its ends, cut at commas; empty where it is missing."""
+    t = F.btrim(visible(F.coalesce(s, F.lit(""))), F.lit("[]'\" "))
+    parts = F.filter(F.transform(F.split(t, ","), visible), lambda x: x != "")
+    return F.when(visible(F.coalesce(s, F.lit(""))) == "", empty()).when(t.contains(","), parts).otherwise(F.array(t))

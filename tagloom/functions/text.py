@@ -150,3 +150,23 @@ def with_offsets(items: Column, separator: str = ", ") -> Column:
     before = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda t, n: t + n + len(separator))
     spans = F.transform(sizes, lambda n, i: F.struct(before(i).alias("start"), (before(i) + n).alias("end")))
     return F.struct(F.array_join(items, separator).alias("text"), spans.alias("spans"))
+
+
+def _channel(color: Column, i: int) -> Column:
+    return F.conv(F.substring(F.ltrim(color, F.lit("#")), 2 * i + 1, 2), 16, 10).cast("int")
+
+
+def _color(channels: list[Column]) -> Column:
+    return F.lower(F.concat(F.lit("#"), *[F.lpad(F.hex(c.cast("bigint")), 2, "0") for c in channels]))
+
+
+def lighter(color: Column, share: float = 0.35) -> Column:
+    """A color (#rrggbb) moved towards white; anything else stays."""
+    channels = [_channel(color, i) for i in range(3)]
+    return F.when(color.rlike("(?i)^#?[0-9a-f]{6}"), _color([F.least(F.lit(255), F.floor(c + (255 - c) * F.lit(share))) for c in channels])).otherwise(color)
+
+
+def blended(a: Column, b: Column, otherwise: str = "#6b7280") -> Column:
+    """The even mixture of two colors; gray where one is none."""
+    ok = a.rlike("(?i)^#?[0-9a-f]{6}") & b.rlike("(?i)^#?[0-9a-f]{6}")
+    return F.when(ok, _color([F.floor((_channel(a, i) + _channel(b, i)) / 2) for i in range(3)])).otherwise(F.lit(otherwise))

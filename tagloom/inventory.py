@@ -16,7 +16,7 @@ from .operators import dictmap, entities, labels, models, network, order, recomm
 from .plans import stages
 from .plans.config import Config
 from .plans.runner import STAGES, Context, Runner, StageResult
-from .queries import _CELLS, _PMI, _TITLE, _dropped, _edges, _in, _label_cells, _turns, query, table
+from .queries import _CELLS, _PMI, _TITLE, _dropped, _edges, _in, _label_cells, _profile, _turns, query, table
 from .sources import readers, writers
 from .storage import shared_dir, staged
 
@@ -563,6 +563,49 @@ def adjacency_lists(spark, sf_dir):
     return near
 
 
+@query("""WITH p AS (SELECT n_name, p_name AS term, count(*) AS w FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY count(*) DESC, p_name) <= 8),
+s AS (SELECT n_name, r_name, count(*) AS c FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2),
+l AS (SELECT s.n_name AS node, 'label' AS kind, r_name AS parent, c AS support, coalesce((SELECT string_agg(term, ', ' ORDER BY w DESC, term) FROM p WHERE p.n_name = s.n_name), '') AS preview FROM s),
+u AS (SELECT r_name AS node, 'parent' AS kind, r_name AS parent, sum(c)::BIGINT AS support, array_to_string(list(n_name ORDER BY n_name)[1:12], ', ') AS preview FROM s GROUP BY 1)
+SELECT node, kind, parent, support, round(ln(1 + support), 6) AS size, preview FROM (SELECT * FROM l UNION ALL SELECT * FROM u)""")
+def label_network_nodes(spark, sf_dir):
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    tree = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+    support = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("label")).agg(F.count("*").alias("c"))
+    terms = _profile(spark, sf_dir, "n_name").select("label", F.col("item").alias("term"), F.col("freq").alias("weight"))
+    return network.label_nodes(support, "label", "c", terms, tree, "n_name", "r_name").withColumn("size", F.round("size", 6))
+
+
+@query("SELECT DISTINCT lower(p_name) AS term FROM part")
+def term_list_file(spark, sf_dir):
+    path = _place(spark, "terms") + ".json"
+    names = [r[0] for r in table(spark, sf_dir, "part").select("p_name").collect()]
+    writers._text(spark, path, json.dumps({"terms": [f" {x.upper().replace(' ', '  ')} " for x in names] + ["", " "]}))
+    return readers.term_list(spark, path)
+
+
+@query("SELECT * FROM (VALUES ('a.html'), ('b.html')) AS t(name)")
+def published_files(spark, sf_dir):
+    folder, public = _place(spark, "viz"), _place(spark, "public")
+    for name in ("a.html", "b.html", "c.csv"):
+        writers._text(spark, f"{folder}/{name}", "x")
+    done = writers.publish(spark, f"{folder}/*.html", public)
+    return spark.createDataFrame([(n,) for n in done if readers.exists(spark, f"{public}/{n}")], "name string")
+
+
+@query("""WITH c AS (SELECT p_partkey, p_partkey % 256 AS r, (p_partkey * 7) % 256 AS g, (p_partkey * 31) % 256 AS b FROM part)
+SELECT p_partkey, printf('#%02x%02x%02x', (r + (255 - r) // 2)::BIGINT, (g + (255 - g) // 2)::BIGINT, (b + (255 - b) // 2)::BIGINT) AS light, printf('#%02x%02x%02x', (r + 0) // 2, (g + 128) // 2, (b + 255) // 2) AS mixed, '#6b7280' AS none FROM c""")
+def color_forms(spark, sf_dir):
+    k = F.col("p_partkey")
+    color = F.concat(F.lit("#"), *[F.lpad(F.hex((k * m % 256).cast("bigint")), 2, "0") for m in (1, 7, 31)])
+    return table(spark, sf_dir, "part").select("p_partkey", text.lighter(color, 0.5).alias("light"), text.blended(color, F.lit("#0080ff")).alias("mixed"), text.blended(color, F.lit("none")).alias("none"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 4 THEN '' WHEN 0 THEN p_name || chr(34) || '|' || chr(34) || p_type WHEN 1 THEN p_name || chr(39) || '|' || chr(39) || p_type WHEN 2 THEN '(' || chr(39) || p_name || chr(39) || '|' || chr(39) || p_type || chr(39) || ')' ELSE p_name || '|' || p_type END AS items FROM part")
+def parse_comma_items(spark, sf_dir):
+    return _cell_kinds(spark, sf_dir).select("p_partkey", F.array_join(parse.comma_items(F.col("cell")), "|").alias("items"))
+
+
 # --- stages -----------------------------------------------------------------------------------------------------------
 
 

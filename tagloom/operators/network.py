@@ -114,3 +114,20 @@ def hierarchy_edges(labels: DataFrame, label: str, parents: DataFrame, child: st
 def merged_metrics(nodes: DataFrame, name: Column, *metrics: str) -> DataFrame:
     """node and the largest of each metric over the nodes that have one name; nodes without a name go."""
     return nodes.groupBy(name.alias("node")).agg(*[F.max(m).alias(m) for m in metrics]).where("node is not null")
+
+
+def label_nodes(support: DataFrame, label: str, count: str, terms: DataFrame, parents: DataFrame, child: str, parent: str, most_terms: int = 8, most_children: int = 12) -> DataFrame:
+    """node, kind, parent, support, size, preview of a label network: its labels (label, count) and the parents these have.
+
+    size is ln(1 + support); a label's preview are its heaviest terms (label, term,
+    weight), a parent's the first of its labels by name.
+    """
+    heavy = top_per_group(terms.select(F.col(label), "term", "weight"), [label], [F.desc("weight"), F.asc("term")], most_terms)
+    heavy = heavy.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select(label, F.array_join("t.term", ", ").alias("preview"))
+    tree = parents.select(F.col(child).alias(label), F.col(parent).alias("parent"))
+    rows = support.select(label, F.col(count).cast("bigint").alias("support")).join(tree, label, "left").join(heavy, label, "left")
+    own = rows.select(F.col(label).alias("node"), F.lit("label").alias("kind"), F.coalesce("parent", F.lit("")).alias("parent"), "support", F.coalesce("preview", F.lit("")).alias("preview"))
+    first = F.array_join(F.slice(F.array_sort(F.collect_set(label)), 1, most_children), ", ")
+    up = rows.where("parent is not null").groupBy("parent").agg(F.sum("support").alias("support"), first.alias("preview"))
+    above = up.select(F.col("parent").alias("node"), F.lit("parent").alias("kind"), "parent", "support", "preview")
+    return own.union(above).select("node", "kind", "parent", "support", F.log1p("support").alias("size"), "preview")

@@ -116,21 +116,32 @@ def leaders(nodes: DataFrame, edges: DataFrame, node: str, rank: str, a: str, b:
     return out
 
 
-def dedupe_phrases(vocab: DataFrame, threshold: float = 0.88, min_len: int = 1, generic: tuple[str, ...] = (), vectors: DataFrame | None = None) -> DataFrame:
+def dedupe_phrases(vocab: DataFrame, threshold: float = 0.88, min_len: int = 1, generic: tuple[str, ...] = (), vectors: DataFrame | None = None, levenshtein: float | None = None, identities: bool = False) -> DataFrame:
     """from, to: phrases of a vocabulary (token, count) merged into leaders that share a word and are similar.
 
     Phrases rank by count, then length, then name.  A generic leader hands its
     cluster to its best other member; a cluster without one isn't merged.
     vectors: (token, vector) of another embedding; hashed n-grams without it.
+    levenshtein: phrases of this ratio are compared even if they share no word.
+    identities: a row for every phrase, those that aren't merged as they are.
     """
     rows = vocab.groupBy(F.lower(F.trim("token")).alias("token")).agg(F.sum("count").alias("count")).where(F.length("token") >= min_len)
     ranked = staged(numbered(rows, [F.desc("count"), F.length("token"), F.asc("token")], "rank"), "phrases")
-    embedded = hashed_ngrams(ranked, "token") if vectors is None else ranked.join(vectors.select("token", "vector"), "token")
+    embedded = staged(hashed_ngrams(ranked, "token") if vectors is None else ranked.join(vectors.select("token", "vector"), "token"), "embedded")
     pairs = token_pairs(embedded, "token", "vector", threshold)
+    if levenshtein is not None:
+        near = levenshtein_pairs(embedded, "token", levenshtein).select(F.col("name_a").alias("phrase_a"), F.col("name_b").alias("phrase_b"))
+        for side in "ab":
+            near = near.join(embedded.select(F.col("token").alias(f"phrase_{side}"), F.col("vector").alias(f"v_{side}")), f"phrase_{side}")
+        cosine = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+        near = near.withColumn("cosine", cosine).where(F.col("cosine") >= threshold)
+        pairs = pairs.select("phrase_a", "phrase_b").union(near.select("phrase_a", "phrase_b")).distinct()
+    pairs = staged(pairs, "pairs")
     found = leaders(ranked, pairs, "token", "rank", "phrase_a", "phrase_b").join(ranked, "token")
     plain = ~F.col("token").isin(*generic) if generic else F.lit(True)
     best = found.where(plain).groupBy("leader").agg(F.min_by("token", "rank").alias("name"))
-    return found.join(best, "leader").where("token <> name").select(F.col("token").alias("from"), F.col("name").alias("to"))
+    out = found.join(best, "leader", "left").select(F.col("token").alias("from"), F.coalesce("name", "token").alias("to"))
+    return out if identities else out.where("`from` <> `to`")
 
 
 def levenshtein_pairs(names: DataFrame, name: str, least: float, parts: int = 16) -> DataFrame:

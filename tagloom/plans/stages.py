@@ -389,6 +389,11 @@ def analysis_graph(ctx: Context, top_k: int = 15, min_shared: int = 2, **overrid
     upper = network.shared_terms(up, "parent", "term", "weight", max(2, min_shared))
     writers.csv_report(edges.withColumn("terms", F.array_join("terms", ", ")), f"{where}/label_edges")
     writers.csv_report(upper.withColumn("terms", F.array_join("terms", ", ")), f"{where}/parent_edges")
+    counts = ctx.spark.read.csv(f"{base}/clusters", header=True).groupBy(F.col("cuisine").alias("class")).agg(F.count("*").alias("count"))
+    support = profile.select("class").distinct().join(counts, "class", "left").na.fill(1, ["count"])
+    known = named.where(F.col("parent") != F.col("class"))
+    writers.csv_report(network.label_nodes(support, "class", "count", profile, known, "class", "parent"), f"{where}/network_nodes")
+    writers.csv_report(network.hierarchy_edges(profile, "class", known, "class", "parent"), f"{where}/hierarchy_edges")
     metrics = network.degrees(edges, "label_a", "label_b").join(network.betweenness(edges, "label_a", "label_b").withColumnRenamed("node", "ingredient"), "ingredient", "left")
     nodes = named.join(metrics.withColumnRenamed("ingredient", "class"), "class", "left").select(F.col("class").alias("node"), F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), "parent", F.lit("cuisine").alias("kind"))
     writers.csv_report(nodes, f"{where}/network_metrics")
@@ -403,7 +408,8 @@ def analysis_viz(ctx: Context, **overrides) -> StageResult:
     guesses = ctx.spark.read.csv(f"{base}/logreg_preds", header=True)
     writers.csv_report(report.confusion(guesses, "y_true", "y_pred"), f"{where}/confusion")
     writers.csv_report(report.confusion(guesses, "y_true_parent", "y_pred_parent"), f"{where}/confusion_parent")
-    rows = ctx.spark.read.csv(f"{base}/logreg_report", header=True).where(~F.lower("label").rlike("avg|accuracy"))
+    rows = ctx.spark.read.csv(f"{base}/logreg_report", header=True)
+    rows = report.without_averages(rows)
     writers.csv_report(rows.select("label", "support", "f1"), f"{where}/support")
     clusters = ctx.spark.read.csv(f"{base}/clusters", header=True)
     writers.csv_report(report.pivoted(clusters, "cluster", "cuisine", 15), f"{where}/cluster_pivot")
@@ -413,7 +419,8 @@ def analysis_viz(ctx: Context, **overrides) -> StageResult:
         clean = edges.select(text.network_name(F.col("ingredient_a")).alias("a"), text.network_name(F.col("ingredient_b")).alias("b"), "pmi").where("a is not null and b is not null and a <> b")
         top = staged(clean.orderBy(F.desc("pmi"), "a", "b").limit(600), "network")
         writers.csv_report(top, f"{where}/ingredient_edges")
-        writers.csv_report(network.degrees(top, "a", "b"), f"{where}/ingredient_metrics")
+        nodes = network.degrees(top, "a", "b").join(network.betweenness(top, "a", "b").withColumnRenamed("node", "ingredient"), "ingredient", "left")
+        writers.csv_report(network.merged_metrics(nodes, text.network_name(F.col("ingredient")), "degree", "betweenness"), f"{where}/ingredient_metrics")
     return StageResult("analysis_viz", "success", {"reports": where})
 
 

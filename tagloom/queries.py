@@ -585,7 +585,7 @@ def word2vec_dedupe(spark, sf_dir):
     phrases = vocab.vocabulary(lists, "items", 3)
     words = lists.select(F.flatten(F.transform("items", lambda x: F.split(F.lower(x), " "))).alias("words"))
     vectors = models.phrase_vectors(words, "words", phrases, dims=16)
-    return similarity.dedupe_phrases(phrases, 0.6, vectors=vectors)
+    return similarity.dedupe_phrases(phrases, 0.6, vectors=vectors, levenshtein=0.7, identities=True)
 
 
 # --- sources and entities ---------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.parse import listish, source_label
-from ..functions.text import is_missing
+from ..functions.text import is_missing, normalized
 
 
 def _fs(spark: SparkSession, path: str):
@@ -139,6 +139,15 @@ def allowed_labels(spark: SparkSession, path: str, column: str = "label") -> Dat
     return cell.select(F.explode(values).alias(column)).where(f"{column} is not null").distinct()
 
 
+def term_list(spark: SparkSession, path: str) -> DataFrame:
+    """term: the distinct normalised terms of a JSON list, or of the list "terms" of a JSON object; none where there is no file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "term string")
+    cell = spark.read.text(path, wholetext=True)
+    items = F.coalesce(F.from_json("value", "array<string>"), F.from_json("value", "terms array<string>")["terms"])
+    return cell.select(F.explode(items).alias("t")).select(normalized(F.col("t")).alias("term")).where("term <> ''").distinct()
+
+
 def with_column(df: DataFrame, wanted: str, candidates: tuple[str, ...]) -> DataFrame:
     """df with the wanted column: itself, or a copy of the first candidate that is there."""
     if wanted in df.columns:

@@ -95,3 +95,15 @@ def cleanup(spark: SparkSession, patterns: list[str], keep: list[str] = (), dry_
             if not dry_run:
                 fs.delete(path, True)
     return done
+
+
+def publish(spark: SparkSession, pattern: str, folder: str) -> list[str]:
+    """Copies the files that the pattern matches to a folder, over what is there; returns their names."""
+    where, fs = _fs(spark, pattern)
+    names = []
+    for status in fs.globStatus(where) or []:
+        if status.isFile():
+            target, other = _fs(spark, f"{folder.rstrip('/')}/{status.getPath().getName()}")
+            spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, status.getPath(), other, target, False, True, spark.sparkContext._jsc.hadoopConfiguration())
+            names.append(status.getPath().getName())
+    return sorted(names)

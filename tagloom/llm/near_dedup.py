@@ -216,7 +216,7 @@ def links(docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
     """id, component: the components of all links between classes (rid, n, bands, signature, bitmap)."""
     near = _near_sizes(F.col("na"), F.col("nb"), setting) & (equal_minima(F.col("sa"), F.col("sb"), setting) >= setting.least_equal()) & can_reach(F.col("ma"), F.col("mb"), F.col("na"), F.col("nb"), setting)
     keyed = classes.select("rid", F.explode("bands").alias("band"))
-    buckets = staged(keyed.groupBy("band").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets")
+    buckets = staged(keyed.groupBy("band").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count("*").alias("n")).where("lo < hi"), "buckets", classes.count() * setting.bands)
     rows = buckets.agg(F.sum("n")).first()[0] or 0
     buckets = buckets.withColumn("pieces", pieces_of(F.col("n"), rows)).drop("n")
     large = F.broadcast(buckets.where("pieces > 1").select("band", "pieces"))  # fewer than HEAVY
@@ -224,7 +224,7 @@ def links(docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
     dealt = keyed.join(large, "band", "left").select("rid", "band", piece.alias("piece"))
     # a bucket is known by its band; band and piece deal its rows
     everywhere = lambda table: table.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    members = staged(dealt.join(everywhere(buckets).hint("shuffle_hash"), ["band", "piece"]), "members")
+    members = staged(dealt.join(everywhere(buckets).hint("shuffle_hash"), ["band", "piece"]), "members", rows)
     # only these texts are compared: they are shuffled and written once, whatever the number of rounds
     meant = members.select(F.col("rid").alias("doc_id")).distinct()
     docs = staged(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(meant.hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
@@ -235,20 +235,21 @@ def links(docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
         met = spread_join(pairs, signs("a", "x"), "x", "y")
         met = spread_join(met, signs("b", "y"), "y", "x", heavy_keys(pairs, "y")).where(near)
         other = F.when(F.col("hub") == F.col("x"), F.col("y")).otherwise(F.col("x"))
-        return staged(met.select(F.col("hub").alias("a"), other.alias("b")), "candidates")
+        return staged(met.select(F.col("hub").alias("a"), other.alias("b")), "candidates", pairs.count())
 
     ordered = lambda a, b: (F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), F.col(a).alias("hub"))
     once = lambda pairs: pairs.groupBy("x", "y").agg(F.max("hub").alias("hub"))
     centres = F.explode(F.array(F.col("lo"), F.col("hi")))
-    seen = staged(once(members.select("rid", centres.alias("a")).where("rid <> a").select(*ordered("a", "rid"))), "met")
-    linked = staged(confirm(docs, tried(seen), setting), "linked")
+    seen = staged(once(members.select("rid", centres.alias("a")).where("rid <> a").select(*ordered("a", "rid"))), "met", 2 * rows)
+    candidates = tried(seen)
+    linked = staged(confirm(docs, candidates, setting), "linked", candidates.count())
     before = float("inf")
     for turn in range(setting.turns + 1):
         labels = components(linked)
         own = members.join(labels.hint("shuffle_hash"), F.col("rid") == F.col("id"), "left").select("band", "piece", "pieces", "rid", F.coalesce("component", "rid").alias("label"))
-        own = staged(own, "own")
+        own = staged(own, "own", members.count())
         held = own.groupBy("band", "pieces", "label").agg(F.count("*").alias("k")).groupBy("band", "pieces").agg(F.sum("k").alias("many"), F.sum(F.col("k") * F.col("k")).alias("same"))
-        split = staged(held.where("many * many > same and many > 2"), "split")
+        split = staged(held.where("many * many > same and many > 2"), "split", members.count())
         cross, rows = split.agg(F.sum((F.col("many") * F.col("many") - F.col("same")) / 2), F.sum("many")).first()
         if not cross:
             return labels
@@ -261,16 +262,16 @@ def links(docs: DataFrame, classes: DataFrame, setting: Setting) -> DataFrame:
         else:  # another centre for each bucket: it meets the members of other components
             order = F.xxhash64("rid", "band", F.lit(turn))
             by_piece = rest.groupBy("band", "piece", "pieces").agg(F.min(F.struct(order.alias("o"), "rid", "label")).alias("c"))
-            chosen = staged(by_piece.groupBy("band", "pieces").agg(F.min("c").alias("c")).select("band", "pieces", F.col("c.rid").alias("a"), F.col("c.label").alias("l")), "centres")
+            chosen = staged(by_piece.groupBy("band", "pieces").agg(F.min("c").alias("c")).select("band", "pieces", F.col("c.rid").alias("a"), F.col("c.label").alias("l")), "centres", rows)
             pairs = once(rest.drop("pieces").join(everywhere(chosen).hint("shuffle_hash"), ["band", "piece"]).where("label <> l").select(*ordered("a", "rid")))
-        fresh = staged(pairs.join(seen.select("x", "y"), ["x", "y"], "left_anti"), "met")
+        fresh = staged(pairs.join(seen.select("x", "y"), ["x", "y"], "left_anti"), "met", None if last else rows)
         candidates = fresh.select(F.col("x").alias("a"), F.col("y").alias("b")) if last else tried(fresh)
         if last and not candidates.limit(1).count():
             return labels
-        linked = staged(linked.union(confirm(docs, candidates, setting)), "linked")
+        linked = staged(linked.union(confirm(docs, candidates, setting)), "linked", linked.count() + candidates.count())
         if last:
             return components(linked)
-        seen = staged(seen.union(fresh), "met")
+        seen = staged(seen.union(fresh), "met", seen.count() + fresh.count())
     raise AssertionError("the last turn returns")
 
 
@@ -306,7 +307,7 @@ def dedup(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     named = named.select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("part"), F.coalesce("component", "rid").alias("component"))
     rows = sketched.select("doc_id", "n", "f1", "f2").join(large, ["f1", "f2"], "left").withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1))).cast("int"))
     able = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    out = rows.join(staged(named, "named"), able & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("piece") == F.col("part")), "left")
+    out = rows.join(staged(named, "named", 2 * sketched.count()), able & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("piece") == F.col("part")), "left")
     component = F.coalesce(F.least("component", "doc_id"), "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (component == F.col("doc_id"))).alias("kept"))
 

@@ -35,13 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+#: Rows of a file of a narrow table, and its least number of files.
+FILE_ROWS, FILES = 250_000, 8
+
+
+def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: later jobs survive lost executors without running
     the plan again, and the reread table has a known size for the planner.
+    rows: about how many narrow rows there are at most; they are written to as
+    many files as that takes, not one for each shuffle partition.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/tagloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _OPEN.append((spark, path))

@@ -32,6 +32,7 @@ paragraph.  Everything here is native expressions.
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
@@ -164,8 +165,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"), v.alias("vector")).withColumn("fingerprint", text_form(F.col("vector")))
 
 
-#: Stands for a null doc_id where rows are ordered; a row with this very doc_id is ordered as a tie with null.
-NO_ID = -(1 << 63)
+#: Keys hold any bigint, and one below them all that stands for a null doc_id.
+KEY = "decimal(20,0)"
+NO_ID = Decimal(-(1 << 63) - 1)
 
 
 def edited_against_next(docs: DataFrame) -> DataFrame:
@@ -182,8 +184,9 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
     computed on both sides of that exchange: it is as large as most texts.
     """
     kind = docs.schema["doc_id"].dataType
-    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID))
-    base = docs.select(key.alias("k"), F.col("doc_id").isNull().alias("absent"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    none = F.lit(NO_ID).cast(KEY)
+    # both uses of base have the same columns, so that its exchange is made once
+    base = docs.select(F.coalesce(F.col("doc_id").cast("bigint").cast(KEY), none).alias("k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sizes = staged(base.groupBy("k").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("many")), "sizes")
     ring = staged(followers(sizes.select("k", "n")), "ring")
     # k is unique on the built sides, so a partition's table is as small as the partition; sorting the texts would cost more
@@ -197,7 +200,7 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
     half = "cast(floor(n_chars / 2) as int)"
     rows = rows.withColumn("edited", F.expr(f"concat(left(text, n_chars - {half}), left(head, {half}))"))
     rows = rows.select(
-        F.when(~F.col("absent"), F.col("k")).cast(kind).alias("doc_id"),
+        F.when(F.col("k") != none, F.col("k")).cast(kind).alias("doc_id"),
         F.col("n_chars").cast("bigint"),
         F.sha2("edited", 256).alias("edited_sha256"),
         vector(paragraphs(F.col("text"))).alias("v"),

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.order import numbered
+from ..operators.order import numbered, running
 from .common import WORD, bucket_bits, spread_join, staged
 
 
@@ -40,17 +40,6 @@ def order_key(salt: int, *keys: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(salt), *[F.col(k).cast("string") for k in keys])), 1, KEY_BITS // 4), 16, 10).cast("bigint")
 
 
-def running(df: DataFrame, order: Column, *values: str) -> DataFrame:
-    """df with the sums of values over all rows before (before_<value>), in the given total order; partitions' sums alone meet in one task."""
-    ranged = staged(df.repartitionByRange(order).withColumn("__pid", F.spark_partition_id()), "ranged")
-    inside = Window.partitionBy("__pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy("__pid").agg(*[F.sum(v).alias(f"__{v}") for v in values])
-    above = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("__pid", *[F.coalesce(F.sum(f"__{v}").over(above), F.lit(0)).alias(f"__{v}") for v in values])
-    out = ranged.join(F.broadcast(parts), "__pid")  # a row for each partition
-    return out.withColumns({f"before_{v}": F.col(f"__{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}).drop("__pid", *[f"__{v}" for v in values])
-
-
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, epochs: float) -> DataFrame:
     """sources (source, source_size) with place (by code points, null last), weight, target.
 

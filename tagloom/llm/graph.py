@@ -21,13 +21,12 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     both = staged(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges", most)
     hubs = heavy_keys(both, "b")
     label = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("p")), "label", most)
-    nodes = label.count()
     for _ in range(rounds):
         heard = spread_join(both, label.select(F.col("id").alias("b"), "p"), "b", "a", hubs).select(F.col("a").alias("id"), "p", F.lit(None).cast("bigint").alias("old"))
         step = heard.union(label.select("id", "p", F.col("p").alias("old"))).groupBy("id").agg(F.min("p").alias("q"), F.max("old").alias("old"))
         up = label.select(F.col("id").alias("q"), F.col("p").alias("q_p"))
         # labels that many nodes have now are those that many will have
-        fresh = staged(spread_join(step, up, "q", "id", heavy_keys(label, "p"), "left").select("id", "old", F.least("q", F.coalesce("q_p", "q")).alias("p")), "label", nodes)
+        fresh = staged(spread_join(step, up, "q", "id", heavy_keys(label, "p"), "left").select("id", "old", F.least("q", F.coalesce("q_p", "q")).alias("p")), "label")
         label = fresh.select("id", "p")
         if not fresh.where("p <> old").limit(1).count():
             return label.select("id", F.col("p").alias("component"))

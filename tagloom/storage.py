@@ -45,7 +45,9 @@ def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     This cuts the lineage: later jobs survive lost executors without running
     the plan again, and the reread table has a known size for the planner.
     rows: about how many narrow rows there are at most; they are written to as
-    many files as that takes, not one for each shuffle partition.
+    many files as that takes, not one for each shuffle partition.  Only where an
+    aggregation makes them: a task that takes several partitions of a hash join
+    holds the maps of all of them.
     """
     spark = df.sparkSession
     if rows is not None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_dedup, fingerprint, langid, mixing, near_dedup, packing, quality, sharding, token_store, toxicity
+from . import conversations, embed_dedup, fingerprint, langid, mixing, near_dedup, packing, quality, sharding, token_store, toxicity, whitening
 from .common import read
 from .tokenization import public
 
@@ -52,6 +52,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS, TABLE_SIZE).select("doc_id", "source", "slot", "shard")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_and_repaired(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -63,6 +71,8 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sharding": op10_sharding,
+    "op11_whitening": op11_whitening,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 
@@ -110,9 +120,49 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
+#: crc32 of the text k, bit by bit.
+_CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(0, 8), lambda j: ((ascii(substr(k, i, 1))::BIGINT >> j) & 1))))), lambda a, b: xor(a >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295)"
+#: Ways are texts: nine digits of cost, then the audit (J and S: the assistant's I and R).
+_OP13 = rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' ')) AS k FROM conversations),
+c AS (SELECT conv_id, turn, role, text, {_CRC} % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM d),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault,
+  left(role, 1) AS i, lag(role) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM o),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || i NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY 1),
+w AS (
+  SELECT conv_id, 0::BIGINT AS place, '000000000' AS n, NULL::VARCHAR AS s, '000000005I' AS u, '000000010IJ' AS a FROM g
+  UNION ALL
+  SELECT conv_id, place, n, s, u, least(a, lpad((left(u, 9)::BIGINT + 5)::VARCHAR, 9, '0') || substr(u, 10) || 'J')
+  FROM (SELECT conv_id, place, n, s, least(u, lpad((left(least(n, s, a), 9)::BIGINT + 5)::VARCHAR, 9, '0') || substr(least(n, s, a), 10) || 'I') AS u, a
+    FROM (SELECT conv_id, place, dn AS n, least(ds, CASE WHEN i = 's' THEN kn END) AS s, least(du, CASE WHEN i = 'u' THEN kx END, rx) AS u, least(da, CASE WHEN i = 'a' THEN ku END, ru) AS a
+      FROM (SELECT w.conv_id, f.place, i, {{steps}}
+        FROM (SELECT *, least(n, s, a) AS x FROM w) w JOIN f ON w.conv_id IS NOT DISTINCT FROM f.conv_id AND f.place = w.place + 1)))),
+e AS (SELECT g.*, least(w.n, w.a) AS best FROM g JOIN w ON w.conv_id IS NOT DISTINCT FROM g.conv_id AND w.place = g.n),
+p AS (SELECT conv_id, unnest(regexp_extract_all(substr(best, 10), '[IJ]*[DKRS]')) AS edit, generate_subscripts(regexp_extract_all(substr(best, 10), '[IJ]*[DKRS]'), 1) AS place FROM e),
+l AS (SELECT f.conv_id, string_agg(replace(replace(left(edit, length(edit) - 1), 'I', 'user:' || chr(10)), 'J', 'assistant:' || chr(10)) || CASE right(edit, 1) WHEN 'D' THEN '' WHEN 'R' THEN 'user:' || text || chr(10) WHEN 'S' THEN 'assistant:' || text || chr(10) ELSE role || ':' || text || chr(10) END, '' ORDER BY f.place) AS lines FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.place = p.place GROUP BY 1),
+t AS (SELECT e.*, coalesce(lines, '') || replace(replace(regexp_extract(substr(best, 10), '[IJ]*$'), 'I', 'user:' || chr(10)), 'J', 'assistant:' || chr(10)) AS lines FROM e LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM e.conv_id),
+ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(best, 9)::BIGINT, 0) AS cost, coalesce(translate(substr(best, 10), 'JS', 'IR'), '') AS audit, sha256(CASE WHEN coalesce(lines, '') = '' THEN '' ELSE left(lines, length(lines) - 1) END) AS repaired_sha256
+FROM ids LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM ids.conv_id
+"""
+
+
+def _op13_sql() -> str:
+    def step(name: str, way: str, cost: str, letter: str, when: str = "TRUE") -> str:
+        return f"CASE WHEN {when} THEN lpad((left({way}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({way}, 10) || '{letter}' END AS {name}"
+
+    stays, more = "fault NOT IN (1, 2)", "CASE WHEN fault = 3 THEN 5 ELSE 0 END"
+    gone = [step(f"d{s}", f"w.{s}", "2", "D") for s in "nsua"]
+    kept = [step(f"k{s}", f"w.{s}", more, "K", stays) for s in "nxu"]
+    return _OP13.format(steps=", ".join([*gone, *kept, step("rx", "w.x", f"1 + {more}", "R", stays), step("ru", "w.u", f"1 + {more}", "S", stays)]))
+
+
 SQL = {
     "op1_near_dedup": _OP1,
     "op4_mix": _OP4,
     "op9_embedding_dedup": _OP9,
     "op10_sharding": _op10_sql(),
+    "op13_conversation_repair": _op13_sql(),
 }

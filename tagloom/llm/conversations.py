@@ -41,67 +41,71 @@ STATES = ("nothing", "system", "user", "assistant")
 _SPACE = " \t\n\x0b\x0c\r"
 _BLANK, _DUPLICATE, _CUT = 1, 2, 3
 _WAY = "struct<cost:bigint,audit:string>"
+_WAYS = f"struct<{','.join(f'{s}:{_WAY}' for s in STATES)}>"
 
+# The fold is written as SQL: an expression of so many parts takes seconds to build call by call.
 
-def _way(cost=0, audit="") -> Column:
-    return F.struct(F.lit(cost).cast("bigint").alias("cost"), F.lit(audit).alias("audit"))
 
+def _way(cost: int = 0, audit: str = "") -> str:
+    return f"named_struct('cost', {cost}L, 'audit', '{audit}')"
 
-def _then(way: Column, cost: Column | int, letter: str) -> Column:
+
+def _ways(ways: dict[str, str]) -> str:
+    return f"named_struct({', '.join(f"'{s}', {ways[s]}" for s in STATES)})"
+
+
+def _then(way: str, cost: str, letter: str, allowed: str = "true") -> str:
     """A way with one edit more; null where there is no such way.
 
     While folding, J is an inserted assistant and S a turn made an assistant's, I
     and R are the user's.  What an audit began with decides which of the two can
     follow, so audits have the same order as with I and R alone.
     """
-    return F.when(way.isNotNull(), F.struct((way["cost"] + cost).alias("cost"), F.concat(way["audit"], F.lit(letter)).alias("audit")))
+    return f"if({way} IS NOT NULL AND {allowed}, named_struct('cost', {way}.cost + {cost}, 'audit', concat({way}.audit, '{letter}')), NULL)"
 
 
-def _states(ways: dict[str, Column]) -> Column:
-    return F.struct(*(ways[s].cast(_WAY).alias(s) for s in STATES))
-
-
-def _start(state: str) -> Column:
-    """At `state` at no cost; before the first turn, where nothing is there yet, turns may be inserted."""
-    ways = {s: _way() if s == state else F.lit(None) for s in STATES}
-    if state == "nothing":
-        ways |= {"user": _way(INSERT, "I"), "assistant": _way(2 * INSERT, "IJ")}
-    return _states(ways)
+def _turn(now: str, turn: str) -> str:
+    """The ways after one turn more."""
+    stays, more = f"{turn}.fault NOT IN ({_BLANK}, {_DUPLICATE})", f"if({turn}.fault = {_CUT}, {TRUNCATED}, 0)"
+    before_user = f"least({now}.nothing, {now}.system, {now}.assistant)"
+    gone = {s: _then(f"{now}.{s}", str(DELETE), "D") for s in STATES}
+    kept = lambda way, initial: _then(way, f"{KEEP} + {more}", "K", f"{stays} AND {turn}.initial = '{initial}'")
+    return _ways({
+        "nothing": gone["nothing"],
+        "system": f"least({gone['system']}, {kept(f'{now}.nothing', 's')})",
+        "user": f"least({gone['user']}, {kept(before_user, 'u')}, {_then(before_user, f'{REROLE} + {more}', 'R', stays)})",
+        "assistant": f"least({gone['assistant']}, {kept(f'{now}.user', 'a')}, {_then(f'{now}.user', f'{REROLE} + {more}', 'S', stays)})",
+    })
 
 
-def _turn(now: Column, turn: Column) -> Column:
-    """The ways after one turn more, and after what is inserted behind it."""
-    stays = ~turn["fault"].isin(_BLANK, _DUPLICATE)
-    more = F.when(turn["fault"] == _CUT, TRUNCATED).otherwise(0)
-    is_ = lambda initial: stays & (turn["initial"] == initial)
-    before_user = F.least(now["nothing"], now["system"], now["assistant"])
-    gone = {s: _then(now[s], DELETE, "D") for s in STATES}
-    ways = {
-        "nothing": gone["nothing"],
-        "system": F.least(gone["system"], F.when(is_("s"), _then(now["nothing"], more + KEEP, "K"))),
-        "user": F.least(gone["user"], F.when(is_("u"), _then(before_user, more + KEEP, "K")), F.when(stays, _then(before_user, more + REROLE, "R"))),
-        "assistant": F.least(gone["assistant"], F.when(is_("a"), _then(now["user"], more + KEEP, "K")), F.when(stays, _then(now["user"], more + REROLE, "S"))),
-    }
-    return _states(ways)
+def _inserted(now: str) -> str:
+    """The ways after what may be inserted behind a turn."""
+    user = f"least({now}.user, {_then(f'least({now}.nothing, {now}.system, {now}.assistant)', str(INSERT), 'I')})"
+    return _ways({"nothing": f"{now}.nothing", "system": f"{now}.system", "user": user, "assistant": f"least({now}.assistant, {_then(user, str(INSERT), 'J')})"})
 
 
-def _inserted(now: Column) -> Column:
-    user = F.least(now["user"], _then(F.least(now["nothing"], now["system"], now["assistant"]), INSERT, "I"))
-    return _states({"nothing": now["nothing"], "system": now["system"], "user": user, "assistant": F.least(now["assistant"], _then(user, INSERT, "J"))})
+def _start(state: str) -> str:
+    """At `state` at no cost; where nothing is there yet, turns may be inserted."""
+    ways = {s: _way() if s == state else f"CAST(NULL AS {_WAY})" for s in STATES}
+    if state == "nothing":
+        ways |= {"user": _way(INSERT, "I"), "assistant": _way(2 * INSERT, "IJ")}
+    return _ways(ways)
 
 
-def _fold(turns: Column, state: str) -> Column:
-    return F.aggregate(turns, _start(state), lambda now, turn: _inserted(_turn(now, turn)))
+def _fold(turns: str, state: str) -> str:
+    # transform() over one element gives the ways after the turn a name
+    return f"aggregate({turns}, {_start(state)}, (now, turn) -> transform(array({_turn('now', 'turn')}), then -> {_inserted('then')})[0])"
 
 
-def _chain(now: Column, block: Column) -> Column:
-    """The ways after a block: each way so far with the block's ways from its state on."""
+def _chained(parts: str) -> str:
+    """The ways after all blocks: each way so far with the next block's ways from its state on."""
 
-    def joined(a: Column, b: Column) -> Column:
-        both = F.struct((a["cost"] + b["cost"]).alias("cost"), F.concat(a["audit"], b["audit"]).alias("audit"))
-        return F.when(a.isNotNull() & b.isNotNull(), both)
+    def joined(at: str, to: str) -> str:
+        a, b = f"now.{at}", f"part.ways.{at}.{to}"
+        return f"if({a} IS NOT NULL AND {b} IS NOT NULL, named_struct('cost', {a}.cost + {b}.cost, 'audit', concat({a}.audit, {b}.audit)), NULL)"
 
-    return _states({to: F.least(*(joined(now[at], block[at][to]) for at in STATES)) for to in STATES})
+    step = _ways({to: f"least({', '.join(joined(at, to) for at in STATES)})" for to in STATES})
+    return f"aggregate(slice({parts}, 2, size({parts})), {parts}[0].ways.nothing, (now, part) -> {step})"
 
 
 def flagged(turns: DataFrame, absent: str | None = None) -> DataFrame:
@@ -136,19 +140,16 @@ def repaired(turns: DataFrame, absent: str | None = None) -> DataFrame:
     )
     narrow = F.transform("turns", lambda t: F.struct(t["initial"].alias("initial"), t["fault"].alias("fault")))
     blocks = blocks.withColumn("narrow", narrow)
-    none = F.lit(None).cast(f"struct<{','.join(f'{s}:{_WAY}' for s in STATES)}>")
     # the first block begins with nothing
-    ways = F.struct(*(_fold(F.col("narrow"), s).alias(s) if s == "nothing" else F.when(F.col("block") == 0, none).otherwise(_fold(F.col("narrow"), s)).alias(s) for s in STATES))
+    each = ", ".join(f"'{s}', {_fold('narrow', s)}" if s == "nothing" else f"'{s}', if(block = 0, CAST(NULL AS {_WAYS}), {_fold('narrow', s)})" for s in STATES)
+    ways = F.expr(f"named_struct({each})")
     blocks = blocks.withColumn("part", F.struct("block", ways.alias("ways"), "turns")).drop("turns", "narrow")
     whole = blocks.groupBy("conv_id").agg(
         F.array_sort(F.collect_list("part")).alias("parts"),
         F.min("first").alias("first"), F.max("last").alias("last"), F.sum("numbers").alias("numbers"),
         *(F.sum(name).alias(name) for name in ("blank", "duplicate", "truncated", "illegal")),
     )
-    chained = F.when(F.size("parts") == 1, F.col("parts")[0]["ways"]["nothing"]).otherwise(
-        F.aggregate(F.slice("parts", 2, F.size("parts") - 1), F.col("parts")[0]["ways"]["nothing"], lambda now, part: _chain(now, part["ways"]))
-    )
-    whole = whole.withColumn("ends", chained).withColumn("best", F.least("ends.nothing", "ends.assistant")).withColumn("turns", F.flatten("parts.turns"))
+    whole = whole.withColumn("ends", F.expr(_chained("parts"))).withColumn("best", F.least("ends.nothing", "ends.assistant")).withColumn("turns", F.flatten("parts.turns"))
     span = F.try_subtract(F.try_add(F.try_subtract("last", "first"), F.lit(1).cast("bigint")), F.col("numbers"))
     gaps = F.when(F.col("first").isNull(), F.lit(0).cast("bigint")).otherwise(span)
     return whole.select("conv_id", gaps.alias("gaps"), "blank", "duplicate", "truncated", "illegal", F.col("best.cost").alias("cost"), F.translate("best.audit", "JS", "IR").alias("audit"), _applied(F.col("turns"), F.col("best.audit")).alias("repaired"))

@@ -197,7 +197,7 @@ def covariance(vectors: DataFrame, mean: Mean) -> tuple[np.ndarray, np.ndarray]:
             rows = lambda m: pa.array(list(m), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(range(mean.dims), pa.int32()), pa.array([part] * mean.dims, pa.int32()), rows(total.high), rows(total.low)], names=["row", "part", "high", "low"])
 
-    def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def merge(key, rows):
         high, low = _merged(rows)
         return pd.DataFrame({"row": [key[0]], "part": [key[1] if len(key) > 1 else 0], "high": [high], "low": [low]})
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, embed_dedup, fingerprint, langid, mixing, near_dedup, packing, quality, sharding, token_store, toxicity, whitening
+from . import conversations, embed_dedup, fingerprint, langid, mixing, near_dedup, packing, quality, sharding, suffix_dedup, token_store, toxicity, whitening
 from .common import read
 from .tokenization import public
 
@@ -56,6 +56,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(read(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damaged_and_repaired(read(spark, sf_dir, "conversations"))
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_sharding": op10_sharding,
     "op11_whitening": op11_whitening,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -120,6 +125,21 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 """
 
+#: Every window of 200 bytes, as hexadecimal digits, by its md5 digest; texts are cut into stretches first, since finding a place in a long text takes time.
+_OP12 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, k, substr(h, 2 * k + 1, 1400) AS part, length(h) // 2 AS n FROM (SELECT r, h, unnest(range(0, greatest(length(h) // 2 - 199, 0), 500)) AS k FROM d)),
+w AS (SELECT r, k + i AS i, md5_number(substr(part, 2 * i + 1, 400)) AS x FROM (SELECT r, k, n, part, unnest(range(0, least(500, n - 199 - k))) AS i FROM c)),
+twice AS (SELECT x FROM w GROUP BY 1 HAVING count(*) > 1),
+f AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 200 AS new FROM w SEMI JOIN twice USING (x)),
+g AS (SELECT r, i, sum(new::INT) OVER (PARTITION BY r ORDER BY i) AS g FROM f),
+s AS (SELECT r, g, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY 1, 2),
+p AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
+t AS (SELECT r, count(*) AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM p JOIN d USING (r) GROUP BY 1)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN last IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
+
 #: crc32 of the text k, bit by bit.
 _CRC = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(0, 8), lambda j: ((ascii(substr(k, i, 1))::BIGINT >> j) & 1))))), lambda a, b: xor(a >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295)"
 #: Ways are texts: nine digits of cost, then the audit (J and S: the assistant's I and R).
@@ -128,7 +148,9 @@ WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce
 c AS (SELECT conv_id, turn, role, text, {_CRC} % 20 AS kind FROM k),
 d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy FROM c WHERE kind <> 0),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM d),
-f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault,
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS fault,
   left(role, 1) AS i, lag(role) OVER (PARTITION BY conv_id ORDER BY place) AS before FROM o),
 g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || i NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY 1),
 w AS (
@@ -164,5 +186,6 @@ SQL = {
     "op4_mix": _OP4,
     "op9_embedding_dedup": _OP9,
     "op10_sharding": _op10_sql(),
+    "op12_suffix_dedup": _OP12,
     "op13_conversation_repair": _op13_sql(),
 }

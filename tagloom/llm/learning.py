@@ -25,17 +25,17 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most
     """doc_id, text and y (0 or 1) of a bounded sample of the labelled documents for which learn holds.
 
     Rows without a label are left out; of labels that contradict each other the
-    larger counts.  Rows equal in doc_id and text count once.  A doc_id that many
-    rows repeat is sampled again by its texts, so that `most` bounds the rows.
+    larger counts.  Rows equal in doc_id and text count once, always.  A doc_id that
+    many rows repeat is then sampled again by its texts, so that `most` bounds the
+    rows.  The result is a written table.
     """
     marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(learn).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     chosen = F.broadcast(staged(sample(marks, "doc_id", most), "labels"))  # of bounded size
-    rows = docs.select("doc_id", "text")
-    n = rows.select("doc_id").join(chosen, "doc_id").count()
-    found = rows.join(chosen, "doc_id")
+    found = staged(docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id", "text"]), "labelled")
+    n = found.count()
     if n > most:  # ids repeat
         steps = 1 << 40
-        found = found.where(F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(steps)) < steps * most // n).dropDuplicates(["doc_id", "text"])
+        found = staged(found.where(F.pmod(F.xxhash64(F.lit(29), "doc_id", "text"), F.lit(steps)) < steps * most // n), "labelled")
     return found
 
 

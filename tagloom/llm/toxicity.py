@@ -183,10 +183,26 @@ def _terms(batches):
             yield pa.RecordBatch.from_arrays([pa.array(list(found[y]), pa.string()), pa.array([y] * len(found[y]), pa.int32()), pa.array(list(found[y].values()), pa.int64())], names=["term", "y", "n"])
 
 
-def learn_lexicon(rows: DataFrame, min_support: int = 5, min_odds: float = 2.5, most_terms: int = 5000, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
-    """The terms that tell toxic rows (y = 1) from others, with their log odds: at least min_odds, at most most_terms terms.
+def _tail(k: int, n: int, share: float, upper: bool) -> float:
+    """Chance of at least (upper) or at most k of n, each with this share."""
+    if not 0 < share < 1:
+        return float((share >= 1) if upper and k else (share <= 0) if not upper and k < n else 1)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(n, 0, -1)) - np.log(np.arange(1, n + 1)))]) + np.arange(n + 1) * np.log(share) + np.arange(n, -1, -1) * np.log1p(-share)
+    return float(np.exp(logs[k:] if upper else logs[: k + 1]).sum())
 
-    A term is in at least min_support distinct toxic texts; repeated texts count once, so that copies of one row don't make a term.
+
+def least_support(pos: int) -> int:
+    """In how many toxic texts a term is at least: 5, fewer (3 at least) where only few rows are toxic."""
+    return max(3, min(5, pos // 20))
+
+
+def learn_lexicon(rows: DataFrame, min_support: int | None = None, min_odds: float = 2.5, chance: float = 0.05, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """All terms that tell toxic rows (y = 1) from others, with their log odds: at least min_odds.
+
+    A term is in at least min_support distinct toxic texts (least_support of the
+    toxic rows unless given), and in more of them than a term without meaning would
+    be with this chance; repeated texts count once, so that copies of one row don't
+    make a term.  The rows are a bounded sample, and so are their terms.
     """
     rows = staged(rows.select("text", "y").dropDuplicates(["text", "y"]), "distinct")
     docs = dict(rows.groupBy("y").count().collect())
@@ -196,15 +212,16 @@ def learn_lexicon(rows: DataFrame, min_support: int = 5, min_odds: float = 2.5,
     p, q = (F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(name) for y, name in ((1, "p"), (0, "q")))
     odds = F.log((F.col("p") + 0.5) / pos) - F.log((F.col("q") + 0.5) / neg)
     counts = staged(map_batches(rows, _terms, "term string, y int, n bigint").groupBy("term").agg(p, q).withColumn("w", odds), "terms")
-    found = counts.where(F.col("p") >= min_support).where(F.col("w") >= min_odds).orderBy(F.desc(F.col("w") * F.sqrt("p")), "term").limit(most_terms).collect()
+    found = counts.where(F.col("p") >= (min_support or least_support(pos))).where(F.col("w") >= min_odds).orderBy(F.desc(F.col("w") * F.sqrt("p")), "term").collect()
+    found = [r for r in found if _tail(r["p"], r["p"] + r["q"], pos / (pos + neg), upper=True) <= chance]
     support = {r["term"]: r["p"] for r in found}
     weight = {r["term"]: r["w"] for r in found}
     kept: dict[str, float] = {}
     # a shorter stem counts where it covers clearly more than any longer term below it; terms below a kept stem go
     below: Counter = Counter()
-    for term, p in support.items():
-        for n in range(2, len(term)):
-            below[term[:n]] = max(below[term[:n]], p)
+    for term, n in support.items():
+        for size in range(2, len(term)):
+            below[term[:size]] = max(below[term[:size]], n)
     for term in sorted(support, key=lambda t: (len(t.rstrip()), t)):
         bare = term.rstrip()
         if any(bare[:n] in kept for n in range(2, len(bare) + (term != bare))):
@@ -216,33 +233,84 @@ def learn_lexicon(rows: DataFrame, min_support: int = 5, min_odds: float = 2.5,
     forms = rows.sparkSession.createDataFrame([(merged(t),) for t in kept], "form string")
     twins = counts.where("w <= 0").join(F.broadcast(forms.distinct()), F.translate("term", "l", "i") == F.col("form"), "left_semi").select("term").collect() if kept else []
     words = Lexicon(kept, (), tuple(sorted(r["term"] for r in twins)))
-    return Lexicon(kept, (*exceptions, *learn_exceptions(rows, words, pos, neg)), words.harmless)
-
-
-def learn_exceptions(rows: DataFrame, words: Lexicon, pos: int, neg: int, min_support: int = 5, most: int = 5000) -> list[str]:
-    """Phrases of two words, one of them with a match, that are in min_support harmless texts and no more frequent in toxic ones."""
+    return Lexicon(kept, (*exceptions, *learn_exceptions(rows, counts, words, neg)), words.harmless)
+
+
+def _matched(folded: str, words: Lexicon) -> set[tuple[str, str, str]]:
+    """(word, phrase with the word before, phrase with the word after) of every word with a match; an empty phrase at an end."""
+    out = set()
+    for a, _, _ in words.matches(folded):
+        end = folded.index(" ", a + 1)
+        left = folded[folded.rindex(" ", 0, a) + 1 : end] if a else ""
+        right = folded[a + 1 : folded.index(" ", end + 1)] if end + 1 < len(folded) else ""
+        out.add((folded[a + 1 : end], left, right))
+    return out
+
+
+def learn_exceptions(rows: DataFrame, counts: DataFrame, words: Lexicon, neg: int, min_support: int = 5, chance: float = 0.001, most_common: float = 0.1, less: float = 0.25) -> list[str]:
+    """Phrases of two words, one of them with a match, that make it harmless.
+
+    A phrase is in min_support harmless texts; its odds of being in a toxic one are
+    at most `less` of its word's, and as few toxic texts as it has would come by
+    chance from the word's own rate at most with this chance; and its other word is
+    in at most most_common of all harmless texts, so that no article or pronoun
+    excuses anything.  A match between two such phrases counts for the one whose
+    other word is more peculiar to the match, and a phrase stays only for what it so
+    explains itself: "a clown" isn't one where it always goes on with "fish".
+    """
+    if not words.weights:
+        return []
 
-    def phrases(batches):
-        for batch in batches:
-            found: tuple[Counter, Counter] = (Counter(), Counter())
-            for part in slices(batch, "text"):
-                for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
-                    folded = fold(text or "")
-                    seen = set()
-                    for a, _, _ in words.matches(folded):
-                        end = folded.index(" ", a + 1)
-                        if a:
-                            seen.add(folded[folded.rindex(" ", 0, a) + 1 : end])
-                        if end + 1 < len(folded):
-                            seen.add(folded[a + 1 : folded.index(" ", end + 1)])
-                    found[y].update(seen)
-            for y in (0, 1):
-                yield pa.RecordBatch.from_arrays([pa.array(list(found[y]), pa.string()), pa.array([y] * len(found[y]), pa.int32()), pa.array(list(found[y].values()), pa.int64())], names=["term", "y", "n"])
+    def named(found: tuple[Counter, Counter]):
+        for y in (0, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(list(found[y]), pa.string()), pa.array([y] * len(found[y]), pa.int32()), pa.array(list(found[y].values()), pa.int64())], names=["term", "y", "n"])
 
-    p, q = (F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(name) for y, name in ((1, "p"), (0, "q")))
-    counts = map_batches(rows, phrases, "term string, y int, n bigint").groupBy("term").agg(p, q)
-    kept = counts.where(F.col("q") >= min_support).where((F.col("p") + 0.5) / pos < (F.col("q") + 0.5) / neg)
-    return sorted(r["term"] for r in kept.orderBy(F.desc("q"), "term").limit(most).collect())
+    def counted(choose):
+        def run(batches):
+            for batch in batches:
+                found: tuple[Counter, Counter] = (Counter(), Counter())
+                for part in slices(batch, "text"):
+                    for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
+                        found[y].update(choose(_matched(fold(text or ""), words)))
+                yield from named(found)
+
+        p, q = (F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(name) for y, name in ((1, "p"), (0, "q")))
+        return map_batches(rows, run, "term string, y int, n bigint").groupBy("term").agg(p, q)
+
+    # words stand alone in this table, phrases have a blank; only phrases of some support and their words come to the driver
+    seen = staged(counted(lambda matched: {x for m in matched for x in m if x}), "phrases")
+    phrases = seen.where(F.col("term").contains(" ")).where(F.col("q") >= min_support)
+    alone = phrases.select(F.explode(F.split("term", " ")).alias("term")).distinct()
+    share = {r["term"]: (r["p"], r["q"]) for r in seen.join(alone, "term", "left_semi").collect()}
+    common = {r["term"].strip(): r["q"] for r in counts.join(alone.select(F.concat(F.lit(" "), "term", F.lit(" ")).alias("term")), "term", "left_semi").collect()}
+
+    def passes(word: str, p: int, q: int) -> bool:
+        pw, qw = share[word]
+        return q >= min_support and (p + 0.5) / (q + 0.5) <= less * (pw + 0.5) / (qw + 0.5) and _tail(p, p + q, (pw + 0.5) / (pw + qw + 1), upper=False) <= chance
+
+    rank: dict[tuple[str, bool], tuple] = {}
+    for r in phrases.collect():
+        first, second = r["term"].split(" ")
+        for word, other, after in ((first, second, True), (second, first, False)):
+            if word in share and common.get(other, 0) <= most_common * neg and passes(word, r["p"], r["q"]):
+                lift = r["q"] * neg / (share[word][1] * max(1, common.get(other, 0)))
+                rank[r["term"], after] = (-round(lift, 9), -r["q"], not after, r["term"])
+
+    def explained(matched):
+        out = set()
+        for _, left, right in matched:
+            both = [x for x in ((right, True), (left, False)) if x in rank]
+            if both:
+                out.add(min(both, key=rank.__getitem__)[0])
+        return out
+
+    if not rank:
+        return []
+    words_of: dict[str, list[str]] = {}
+    for phrase, after in rank:
+        words_of.setdefault(phrase, []).append(phrase.split(" ")[0 if after else 1])
+    alone_in = {r["term"]: (r["p"], r["q"]) for r in counted(explained).collect()}
+    return sorted(x for x, (p, q) in alone_in.items() if any(passes(w, p, q) for w in words_of[x]))
 
 
 class Scorer:
@@ -258,7 +326,7 @@ class Scorer:
 
 def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, most_rows: int = 20_000, **lexicon) -> Scorer:
     """Learns from labels.toxic where crc32(doc_id) % modulus isn't held_out; most_rows bounds the sample."""
-    rows = staged(labelled(docs, labels, "toxic", remainder(F.col("doc_id"), modulus) != held_out, most_rows), "toxic")
+    rows = labelled(docs, labels, "toxic", remainder(F.col("doc_id"), modulus) != held_out, most_rows)
     words = learn_lexicon(rows, **lexicon)
 
     def measured(batches):

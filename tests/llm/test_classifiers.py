@@ -174,6 +174,30 @@ def test_exceptions_are_learned(spark):
     lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"), exceptions=())
     assert "clown fish" in {x.strip() for x in lexicon.exceptions}
     assert lexicon.measures("the clown fish")[1] == 0 and lexicon.measures("a clown")[1] == 1
+    assert lexicon.measures("what a clown you are")[1] == lexicon.measures("you")[1] + 1
+
+
+@pytest.mark.parametrize("article", ["a", "the", "that", "this"])
+def test_articles_excuse_nothing(spark, article):
+    number = lambda i: f"x{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    rows = [(f"you clown {number(i)}", 1) for i in range(200)] + [(f"{article} clown fish swims {number(i)}", 0) for i in range(30)] + [(f"plain {article} row {number(i)}", 0) for i in range(40)] + [(f"plain {number(i)}", 0) for i in range(600)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"), exceptions=())
+    assert {x.strip() for x in lexicon.exceptions} == {"clown fish"}
+    assert lexicon.measures(f"what {article} clown you are")[1] == lexicon.measures("you")[1] + 1 and lexicon.measures(f"{article} clown fish")[1] == 0
+
+
+def test_a_phrase_with_the_words_own_rate_is_no_exception(spark):
+    number = lambda i: f"x{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    rows = [(f"sad clown {number(i)}", 1) for i in range(100)] + [(f"clown {number(i)}", 1) for i in range(100)] + [(f"sad clown harm{number(i)}", 0) for i in range(6)] + [(f"plain {number(i)}", 0) for i in range(600)]
+    assert toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"), exceptions=()).exceptions == ()
+
+
+def test_few_toxic_rows_teach_terms_too(spark):
+    number = lambda i: f"x{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    rows = [(f"you scoundrel {number(i)}", 1) for i in range(4)] + [(f"odd {number(40 + i)}", 1) for i in range(6)] + [(f"plain {number(i)}", 0) for i in range(80)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, y int"), exceptions=())
+    assert lexicon.measures("a scoundrel")[1] == 1 and lexicon.measures("odd plain row")[1] <= 1
+
 
 
 def test_vowel_signs_belong_to_their_words():
@@ -198,6 +222,10 @@ def test_samples_are_bounded_by_rows(spark, make_docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id bigint, quality int, toxic int")
     got = chosen(docs, labels, "quality", F.lit(True), 300).collect()
     assert 100 < len(got) < 500 and len({(r["doc_id"], r["text"]) for r in got}) == len(got)
+    # copies of a row count once whatever the bound is, and don't crowd out others
+    few = make_docs([(1, "same")] * 50 + [(2, "other")])
+    two = labels.where("doc_id IN (1, 2)")
+    assert all(sorted((r["doc_id"], r["text"]) for r in chosen(few, two, "quality", F.lit(True), most).collect()) == [(1, "same"), (2, "other")] for most in (20, 1000))
 
 
 def plain_prediction(rows, texts, dims=512):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import lexicon, parse, text, tokens
-from .operators import dictmap, entities, labels, models, network, order, recommend, report, vocab
+from .operators import dictmap, entities, labels, models, multilabel, network, order, recommend, report, tagging, vocab
 from .plans import stages
 from .plans.config import Config
 from .plans.runner import STAGES, Context, Runner, StageResult
@@ -174,12 +174,12 @@ def training_shards(spark, sf_dir):
 
 @query(f"WITH {_TRAIN} SELECT split, count(*) AS count FROM d GROUP BY 1")
 def training_metadata(spark, sf_dir):
-    return readers.training_metadata(_training(spark, sf_dir).withColumn("split", F.col("split").cast("string")), "split")[0]
+    return readers.training_metadata(_training(spark, sf_dir).withColumn("split", F.col("split").cast("string")), "split", ["p_partkey", "pos"])[0]
 
 
-@query(f"WITH {_TRAIN} SELECT text AS text, split FROM d ORDER BY md5(text), text LIMIT 10")
+@query(f"WITH {_TRAIN} SELECT p_partkey, pos::INTEGER AS pos, text, split FROM d ORDER BY md5(text), text, p_partkey, pos LIMIT 10")
 def training_sample(spark, sf_dir):
-    return readers.training_metadata(_training(spark, sf_dir).withColumn("split", F.col("split").cast("string")), "split")[1]
+    return readers.training_metadata(_training(spark, sf_dir).withColumn("split", F.col("split").cast("string")), "split", ["p_partkey", "pos"])[1]
 
 
 @query(f"WITH {_TRAIN} SELECT p_partkey, pos::INTEGER AS pos, row_number() OVER (ORDER BY md5('45:' || p_partkey || ':' || pos), p_partkey, pos) AS place FROM d QUALIFY place <= 150")
@@ -196,6 +196,38 @@ def classifier_documents(spark, sf_dir):
     return entities.classifier_documents(part.select("p_partkey", "p_type", F.split("p_name", " ").alias("items")), "p_partkey", "items", "p_type", kept)
 
 
+def _described_parts(spark, sf_dir):
+    """p_partkey, text, spans: descriptions of parts in three wordings, with the places of their names, types and brands."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    wordings = ((("", "p_brand", "BRAND"), (" of ", "p_name", "NAME"), (", ", "p_type", "TYPE")), (("", "p_name", "NAME"), (" (", "p_type", "TYPE"), (") by ", "p_brand", "BRAND")), (("the ", "p_type", "TYPE"), (": ", "p_name", "NAME")))
+    texts, spans = F.lit(None), F.lit(None)
+    for k, wording in enumerate(wordings):
+        text, found = F.lit(""), []
+        for before, column, label in wording:
+            text = F.concat(text, F.lit(before))
+            found.append(F.struct(F.length(text).alias("start"), (F.length(text) + F.length(column)).alias("end"), F.lit(label).alias("label")))
+            text = F.concat(text, column)
+        chosen = F.pmod(F.xxhash64("p_partkey"), F.lit(len(wordings))) == k
+        texts, spans = F.when(chosen, text).otherwise(texts), F.when(chosen, F.array(*found)).otherwise(spans)
+    return part.select("p_partkey", texts.alias("text"), spans.cast(tagging.SPANS).alias("spans"))
+
+
+@query()
+def span_tagger_report(spark, sf_dir):
+    """Precision, recall and F1 of a tagger that learned where parts' names, types and brands are, on other parts."""
+    train, valid = models.split_by_hash(_described_parts(spark, sf_dir), "p_partkey")
+    return tagging.evaluated(valid, tagging.train(train, valid, ["p_partkey"]))
+
+
+@query()
+def multilabel_report(spark, sf_dir):
+    """Precision, recall and F1 of languages and marks of documents, learned from other documents' words."""
+    marks = table(spark, sf_dir, "labels").select("doc_id", F.array_compact(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"))).alias("marks"))
+    docs = table(spark, sf_dir, "documents").join(marks, "doc_id").select("doc_id", models.terms(F.col("text")).alias("words"), F.concat("marks", F.array_compact(F.array("lang"))).alias("cats"))
+    train, valid = models.split_by_hash(staged(docs, "marked"), "doc_id")
+    return multilabel.evaluated(valid, multilabel.train(train, valid, ["doc_id"], "words", "cats"), "words", "cats")
+
+
 @query("SELECT 'download' AS stage, 'raw_dir' AS key, 'data/raw' AS value UNION ALL SELECT 'pmi', 'min_count', '15' UNION ALL SELECT 'pmi', 'min_pmi', '2.0'")
 def config_values(spark, sf_dir):
     path = _place(spark, "config") + ".yaml"

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parse import listlike, split_last_and
 from ..functions.text import normalized, raw_text, strip
 from ..functions.tokens import head_words
+from ..storage import map_batches, staged
+from .spread import spread_join
+from .tagging import Tagger
 
 #: The label of entities.
 LABEL = "INGREDIENT"
@@ -20,9 +25,47 @@ def whole_item(item: Column) -> Column:
     return F.array(F.struct(item.alias("raw"), F.lit(0).alias("start"), F.length(item).alias("end"), F.lit(LABEL).alias("label")))
 
 
-def tall(df: DataFrame, key: str, text: str, mapping: DataFrame, encoder: DataFrame, extractor: Callable[[Column], Column] = whole_item) -> DataFrame:
+_LOADED: dict[str, object] = {}
+
+
+class BatchExtractor:
+    """An extractor whose model works on lists of texts: load() makes it once in a worker, its spans(texts) gives (start, end, label) lists.
+
+    A text without span is one entity, as for whole_item.
+    """
+
+    def __init__(self, load: Callable[[], object]):
+        self.load, self.name = load, uuid.uuid4().hex
+
+    def model(self):
+        if self.name not in _LOADED:
+            _LOADED[self.name] = self.load()
+        return _LOADED[self.name]
+
+    def found(self, items: DataFrame) -> DataFrame:
+        """item, entities of a table of distinct items."""
+
+        def run(batches):
+            model = self.model()
+            for batch in batches:
+                texts = batch.column("item").to_pylist()
+                rows = [[{"raw": t[a:b], "start": a, "end": b, "label": x} for a, b, x in spans] or [{"raw": t, "start": 0, "end": len(t), "label": LABEL}] for t, spans in zip(texts, model.spans(texts), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(rows, pa.list_(pa.struct([("raw", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())])))], names=["item", "e"])
+
+        return map_batches(items.select("item"), run, "item string, e array<struct<raw:string,start:int,end:int,label:string>>")
+
+
+def tagged(spark, tagger: Tagger) -> BatchExtractor:
+    """A trained tagger as an extractor: each worker gets it once."""
+    sent = spark.sparkContext.broadcast(tagger)  # of bounded size
+    return BatchExtractor(lambda: sent.value)
+
+
+def tall(df: DataFrame, key: str, text: str, mapping: DataFrame, encoder: DataFrame, extractor: Callable[[Column], Column] | BatchExtractor = whole_item) -> DataFrame:
     """row_id, pos, ent_text, start, end, label, norm, canonical, id: one row for every entity.
 
+    A batch extractor sees each distinct item once; what it finds is joined back.
+
     Items are parsed and the last one cut at " and "; the normalised name falls
     back on the item itself; names are looked up in mapping (key, value) and
     encoder (token, id), unknown ones have id 0.  Both joins are on distinct
@@ -30,7 +73,11 @@ def tall(df: DataFrame, key: str, text: str, mapping: DataFrame, encoder: DataFr
     """
     items = F.filter(F.transform(split_last_and(listlike(F.col(text))), raw_text), lambda x: x != "")
     rows = df.select(F.col(key).alias("row_id"), F.posexplode(items).alias("pos", "item"))
-    rows = rows.select("row_id", "pos", F.posexplode(extractor(F.col("item"))).alias("nth", "e"))
+    if isinstance(extractor, BatchExtractor):
+        rows = staged(rows, "items")
+        rows = spread_join(rows, extractor.found(rows.select("item").distinct()), "item", "row_id").select("row_id", "pos", F.posexplode("e").alias("nth", "e"))
+    else:
+        rows = rows.select("row_id", "pos", F.posexplode(extractor(F.col("item"))).alias("nth", "e"))
     rows = rows.select("row_id", "pos", "nth", F.col("e.raw").alias("ent_text"), F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.label").alias("label"))
     rows = rows.withColumn("norm", normalized(F.coalesce(head_words(F.col("ent_text")), F.col("ent_text"))))
     side = mapping.groupBy(normalized(F.col("key")).alias("__k")).agg(F.max(normalized(F.col("value"))).alias("__v"))
@@ -88,6 +135,11 @@ def training_documents(df: DataFrame, key: str, items: str, seed: int = 42, vali
     return rows.select(key, "pos", "text", F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(LABEL).alias("label"), _split(key, seed, valid))
 
 
+def with_spans(docs: DataFrame) -> DataFrame:
+    """training_documents with its entity as a list of spans, as a tagger learns from."""
+    return docs.withColumn("spans", F.array(F.struct("start", "end", "label"))).drop("start", "end", "label")
+
+
 def classifier_documents(df: DataFrame, key: str, items: str, label: str, labels: DataFrame, seed: int = 42, valid: float = 0.2) -> DataFrame:
     """As training_documents, with the record's label, for records whose label is in labels."""
     rows = df.join(labels.select(label).distinct(), label, "left_semi").select(key, label, F.posexplode(items).alias("pos", "text")).withColumn("text", strip(F.col("text"))).where("text <> ''")

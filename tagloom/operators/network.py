@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections import deque
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import ship
-from .order import top_per_group
+from ..storage import staged
+from .order import numbered, top_per_group
+from .spread import spread_join
 
 
 def adjacency(edges: DataFrame, a: str = "ingredient_a", b: str = "ingredient_b") -> DataFrame:
@@ -25,61 +25,72 @@ def degrees(edges: DataFrame, a: str = "ingredient_a", b: str = "ingredient_b")
     return d.crossJoin(F.broadcast(n)).select("ingredient", "degree", (F.col("degree") / F.greatest(F.col("n") - 1, F.lit(1))).alias("degree_centrality"))  # one row on the right
 
 
-def betweenness(edges: DataFrame, a: str = "ingredient_a", b: str = "ingredient_b", samples: int | None = None, seed: int = 42, most_edges: int = 5_000_000, tasks: int | None = None) -> DataFrame:
+def betweenness(edges: DataFrame, a: str = "ingredient_a", b: str = "ingredient_b", samples: int | None = None, seed: int = 42, most_edges: int | None = None, most_rows: int = 100_000_000) -> DataFrame:
     """node, betweenness: normalised, unweighted; from all sources, or from `samples` of them by hash, scaled up.
 
-    Sources are dealt over tasks; each runs Brandes' algorithm on the whole graph,
-    which is sent to all and may have most_edges edges at most (the graph of pairs
-    above a threshold is small; a larger one is refused).
+    Breadth-first searches from many sources at once, a join for each level: a row
+    is a source and a node that it reaches on its level, with the number of shortest
+    paths.  Back from the deepest level, a join for each level again, every node hands
+    its dependency to its neighbours one level up.  Sources go in blocks, so that a
+    block has most_rows rows of (source, node) at most; nothing of the graph comes to
+    the driver.  most_edges: graphs with more edges are refused, if given.
     """
-    spark = edges.sparkSession
-    graph = adjacency(edges, a, b)
-    rows = graph.limit(2 * most_edges + 1).collect()
-    if len(rows) > 2 * most_edges:
+    graph = staged(adjacency(edges, a, b), "graph")
+    if most_edges is not None and graph.count() > 2 * most_edges:
         raise ValueError(f"the graph has more than {most_edges} edges")
-    near: dict[str, list[str]] = {}
-    for r in rows:
-        near.setdefault(r[0], []).append(r[1])
-    names = sorted(near)
-    place = {v: i for i, v in enumerate(names)}
-    lists = [sorted(place[w] for w in near[v]) for v in names]
-    n = len(names)
-    nodes = graph.select("node").distinct()
-    sources = nodes if samples is None or n <= samples else nodes.orderBy(F.md5(F.concat_ws(":", "node", F.lit(seed))), "node").limit(samples)
-    scale = (1.0 if samples is None or n <= samples else n / samples) / max((n - 1) * (n - 2), 1)
-    sent = spark.sparkContext.broadcast((lists, place, names))
-    ship(spark)
-
-    def brandes(batches):
-        lists, place, names = sent.value
-        total = [0.0] * len(lists)
-        for batch in batches:
-            for source in batch["node"]:
-                s = place[source]
-                order, paths, depth, before = [], [0.0] * len(lists), [-1] * len(lists), [[] for _ in lists]
-                paths[s], depth[s] = 1.0, 0
-                queue = deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in lists[v]:
-                        if depth[w] < 0:
-                            depth[w] = depth[v] + 1
-                            queue.append(w)
-                        if depth[w] == depth[v] + 1:
-                            paths[w] += paths[v]
-                            before[w].append(v)
-                share = [0.0] * len(lists)
-                for w in reversed(order):
-                    for v in before[w]:
-                        share[v] += paths[v] / paths[w] * (1 + share[w])
-                    if w != s:
-                        total[w] += share[w]
-        yield pd.DataFrame({"node": names, "part": total})
-
-    parts = tasks or spark.sparkContext.defaultParallelism
-    found = sources.repartition(parts).mapInPandas(brandes, "node string, part double")
-    return found.groupBy("node").agg((F.sum("part") * F.lit(scale)).alias("betweenness"))
+    names = staged(numbered(graph.select("node").distinct(), [F.col("node")], "v", 0), "nodes")
+    n = names.count()
+    ids = spread_join(graph, names, "node", "other").select("v", "other")
+    ids = spread_join(staged(ids, "ends"), names.select(F.col("node").alias("other"), F.col("v").alias("w")), "other", "v").select("v", "w")
+    degree = staged(ids.groupBy("v").agg(F.count("*").alias("degree")), "degrees")
+    # long lists of neighbours go in pieces
+    piece = F.pmod(F.xxhash64("w"), F.ceil(F.col("degree") / LIST))
+    near = staged(ids.join(degree, "v").groupBy("v", piece.alias("piece")).agg(F.collect_list("w").alias("near")).select("v", "near"), "neighbours")
+    largest = degree.agg(F.max("degree")).first()[0] or 0
+    chosen = names if samples is None or n <= samples else names.orderBy(F.md5(F.concat_ws(":", "node", F.lit(seed))), "node").limit(samples)
+    sources = staged(numbered(chosen.select(F.col("v").alias("s")), [F.col("s")], "place", 0), "sources")
+    m = min(n, samples) if samples is not None else n
+    block = max(1, min(m, most_rows // max(n, 1)))
+    parts = [_dependencies(sources.where((F.col("place") >= k) & (F.col("place") < k + block)).select("s"), near, degree, largest, block) for k in range(0, m, block)]
+    scale = n / max(m, 1) / max((n - 1) * (n - 2), 1)
+    if not parts:
+        return names.select("node", F.lit(0.0).alias("betweenness"))
+    total = reduce(DataFrame.unionByName, parts).groupBy("v").agg(F.sum("part").alias("part"))
+    return names.join(total, "v", "left").select("node", (F.coalesce("part", F.lit(0.0)) * F.lit(scale)).alias("betweenness"))
+
+
+#: Neighbours in one row; what a node may hand on within one task.
+LIST, WORK = 100_000, 2_000_000
+
+
+def _handed(rows: DataFrame, value: str, near: DataFrame, degree: DataFrame, largest: int, block: int) -> DataFrame:
+    """s, v, and the sum of a value that every row's node hands to each of its neighbours; a node with much to hand is dealt over tasks by its sources."""
+    heavy: list[tuple] = []
+    if largest * block > WORK:
+        work = rows.groupBy("v").agg(F.count("*").alias("n")).join(degree, "v").withColumn("pieces", F.ceil(F.col("n") * F.col("degree") / WORK).cast("int"))
+        heavy = [(r[0], r[1]) for r in work.where("pieces > 1").select("v", "pieces").collect()]  # no more than all work / WORK
+    met = spread_join(rows, near, "v", "s", heavy)
+    return met.select("s", F.explode("near").alias("v"), value).groupBy("s", "v").agg(F.sum(value).alias(value))
+
+
+def _dependencies(sources: DataFrame, near: DataFrame, degree: DataFrame, largest: int, block: int) -> DataFrame:
+    """v, part: the dependencies of these sources on every node."""
+    levels = [staged(sources.select("s", F.col("s").alias("v"), F.lit(1.0).alias("paths")), "level")]
+    while True:
+        # a neighbour of a level is on it, on the one before, or on the next
+        known = reduce(DataFrame.unionByName, [x.select("s", "v") for x in levels[-2:]])
+        found = staged(_handed(levels[-1], "paths", near, degree, largest, block).join(known, ["s", "v"], "left_anti"), "level")
+        if found.isEmpty():
+            break
+        levels.append(found)
+    share, shares = levels[-1].withColumn("part", F.lit(0.0)), []
+    for level in reversed(levels[1:-1]):
+        given = _handed(share.withColumn("given", (1 + F.col("part")) / F.col("paths")).select("s", "v", "given"), "given", near, degree, largest, block)
+        share = staged(level.join(given, ["s", "v"], "left").withColumn("part", F.col("paths") * F.coalesce("given", F.lit(0.0))).drop("given"), "share")
+        shares.append(share.select("v", "part"))
+    if not shares:
+        return levels[0].select("v", F.lit(0.0).alias("part"))
+    return staged(reduce(DataFrame.unionByName, shares).groupBy("v").agg(F.sum("part").alias("part")), "dependencies")
 
 
 def shared_terms(profiles: DataFrame, label: str, term: str, weight: str, min_shared: int = 2, preview: int = 10, top: int | None = None) -> DataFrame:

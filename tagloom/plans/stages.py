@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon, parse, text, tokens
-from ..operators import dictmap, entities, labels, models, network, pairs, recommend, report, similarity, vocab
+from ..operators import dictmap, entities, labels, models, multilabel, network, order, pairs, recommend, report, similarity, tagging, vocab
 from ..sources import readers, writers
 from ..storage import staged
 from .config import flag, required
@@ -165,7 +165,7 @@ def cuisine_normalization(ctx: Context, **overrides) -> StageResult:
 
 @stage
 def ingredient_ner_train(ctx: Context, **overrides) -> StageResult:
-    """Training documents for an extractor; the default extractor needs no training."""
+    """Training documents for an extractor, and a tagger trained on them, saved whenever its F1 on the held-out documents improves."""
     cfg = ctx.config.stage("ingredient_ner", **overrides).get("training") or {}
     ner = cfg.get("ner") or {}
     if not flag(ner.get("enabled"), True):
@@ -175,12 +175,22 @@ def ingredient_ner_train(ctx: Context, **overrides) -> StageResult:
     docs = entities.training_documents(staged(df, "corpus"), "__row", column, int(ner.get("random_seed", 42)), float(ner.get("valid_fraction", 0.2)))
     where = ctx.config.path((ner.get("out_dir") or "models/ingredient_ner") + "/documents")
     writers.shards(docs, where, int(ner.get("shard_size", 2000)))
-    return StageResult("ingredient_ner_train", "success", {"documents": where}, {"extractor": "whole item"})
+    docs = entities.with_spans(ctx.spark.read.parquet(where))
+    target = ctx.config.path(ner.get("model_dir") or (ner.get("out_dir") or "models/ingredient_ner") + "/model")
+    most = ner.get("max_train_docs") or ner.get("max_rows")
+    tagger = tagging.train(docs.where("split = 'train'"), docs.where("split = 'valid'"), ["__row", "pos"], epochs=int(ner.get("n_epochs", 2)), patience=int(ner.get("early_stopping_patience", 2)), most=most and int(most), seed=int(ner.get("random_seed", 42)), path=target)
+    if not tagger.history:
+        return StageResult("ingredient_ner_train", "success", {"documents": where}, {"epochs": 0})
+    best = [h for h in tagger.history if h["best"]][-1:]
+    return StageResult("ingredient_ner_train", "success", {"documents": where, **({"model": target} if best else {})}, {"epochs": len(tagger.history), **(best[0] if best else {})})
 
 
 @stage
-def ingredient_ner_infer(ctx: Context, extractor=entities.whole_item, **overrides) -> StageResult:
-    """Entities of the records' texts: wide and tall tables, and the records with their names and ids."""
+def ingredient_ner_infer(ctx: Context, extractor=None, **overrides) -> StageResult:
+    """Entities of the records' texts: wide and tall tables, and the records with their names and ids.
+
+    Found by the extractor given, else by the tagger that model.model_dir names, if it's there, else each item is one.
+    """
     cfg = ctx.config.stage("ingredient_ner", **overrides).get("inference") or {}
     path, out = required(cfg, "ingredient_ner_infer", "data.input_path", "output.out_base")
     opts, art = cfg.get("inference") or {}, cfg.get("artifacts") or {}
@@ -188,18 +198,17 @@ def ingredient_ner_infer(ctx: Context, extractor=entities.whole_item, **override
     if len(chosen) > 1:
         raise ValueError(f"ingredient_ner_infer: only one of {', '.join(chosen)} can be given")
     df = _read(ctx, path)
-    if opts.get("head_n"):
-        df = df.limit(int(opts["head_n"]))
-    elif opts.get("sample_n"):
-        df = df.orderBy(F.rand(42)).limit(int(opts["sample_n"]))
-    elif opts.get("sample_frac"):
-        df = df.sample(min(1.0, max(0.0, float(opts["sample_frac"]))), 42)
     df = staged(df.withColumn("__row", F.monotonically_increasing_id()), "records")
+    if chosen:  # by row and hash, so that reruns on these records agree
+        df = staged(order.sampled(df, "__row", head=opts.get("head_n") and int(opts["head_n"]) or None, n=opts.get("sample_n") and int(opts["sample_n"]) or None, share=opts.get("sample_frac") and float(opts["sample_frac"]) or None), "sample")
+    model = (cfg.get("model") or {}).get("model_dir")
+    if extractor is None and model and readers.exists(ctx.spark, ctx.config.path(model) + "/weights"):
+        extractor = entities.tagged(ctx.spark, tagging.Tagger.read(ctx.spark, ctx.config.path(model)))
     encoder = ctx.spark.createDataFrame([], "id bigint, token string")
     if art.get("ingredient_token_to_id") and readers.exists(ctx.spark, ctx.config.path(art["ingredient_token_to_id"])):
         encoder = readers.json_object(ctx.spark, ctx.config.path(art["ingredient_token_to_id"]), "token", "id").selectExpr("cast(id as bigint) id", "token")
     column = opts.get("text_col", "ingredients")
-    tall = staged(entities.tall(df, "__row", column, _dictionary(ctx, art.get("cosine_map_path")), encoder, extractor), "tall")
+    tall = staged(entities.tall(df, "__row", column, _dictionary(ctx, art.get("cosine_map_path")), encoder, extractor or entities.whole_item), "tall")
     wide = staged(entities.wide(df, "__row", column, tall), "wide")
     outputs = {"tall": _write(ctx, tall, f"{out}_tall.parquet"), "wide": _write(ctx, wide, f"{out}_wide.parquet")}
     if (cfg.get("output") or {}).get("combined_dataset"):
@@ -243,7 +252,7 @@ def ingredient_encoding(ctx: Context, **overrides) -> StageResult:
 
 @stage
 def cuisine_classifier(ctx: Context, **overrides) -> StageResult:
-    """A classifier of records' labels from their items' words."""
+    """A classifier of labels, one document for each item; the best epoch's weights are written."""
     cfg = (ctx.config.stage("cuisine_classifier", **overrides).get("training") or {}).get("cuisine_classifier") or {}
     if not flag(cfg.get("enabled"), True):
         return StageResult("cuisine_classifier", "skipped")
@@ -259,19 +268,21 @@ def cuisine_classifier(ctx: Context, **overrides) -> StageResult:
     if allowed and readers.exists(ctx.spark, ctx.config.path(allowed)):
         names = labels.with_parent(readers.allowed_labels(ctx.spark, ctx.config.path(allowed)), "label", _parents(ctx, cfg.get("parent_map_path")), out="label").select("label").distinct()
     rows = staged(labels.with_support(rows, "label", int(cfg.get("min_label_freq", 100)), names), "labelled")
-    featured, _ = models.tfidf_vectors(rows, "doc", min_df=2, max_df=1.0)
-    train, test = models.split_by_hash(staged(featured.drop("doc"), "features"), "__row", float(cfg.get("valid_fraction", 0.2)), int(cfg.get("random_seed", 42)))
-    model = models.logistic(train, "label", iterations=100)
+    docs = entities.classifier_documents(rows, "__row", "items", "label", rows.select("label").distinct(), int(cfg.get("random_seed", 42)), float(cfg.get("valid_fraction", 0.2)))
+    docs = docs.withColumn("words", F.concat(models.terms(F.col("text")), F.array(F.concat(F.lit("="), F.lower("text"))))).withColumn("cats", F.array("label"))
+    docs = staged(docs, "documents")
+    valid = docs.where("split = 'valid'")
     where = ctx.config.path(cfg.get("out_dir") or "models/cuisine_classifier")
-    model.write().overwrite().save(where)
-    scored = report.classification_report(models.predicted(model, test, "label"), "y_true", "y_pred")
-    return StageResult("cuisine_classifier", "success", {"model": where}, {"accuracy": scored.where("label = 'accuracy'").first()["f1"]})
+    model = multilabel.train(docs.where("split = 'train'"), valid, ["__row", "pos"], "words", "cats", epochs=int(cfg.get("n_epochs", 3)), patience=int(cfg.get("early_stopping_patience", 3)), seed=int(cfg.get("random_seed", 42)), path=where)
+    right = multilabel.predicted(valid.select("words", "label"), model, "words").agg(F.avg((F.col("best") == F.col("label")).cast("double"))).first()[0]
+    best = [h for h in model.history if h["best"]][-1:]
+    return StageResult("cuisine_classifier", "success", {"model": where} if best else {}, {"accuracy": right or 0.0, "epochs": len(model.history), "f1": best[0]["f1"] if best else 0.0})
 
 
 def _labelled(ctx: Context, df: DataFrame, items: str, label: str, parent_map: str | None, parents: bool = True) -> DataFrame:
-    """__row, doc, label, child: records as texts with one label, its parent where parents holds."""
+    """__row, items, doc, label, child: records as lists and texts with one label, its parent where parents holds."""
     cell = F.concat_ws(",", label) if df.schema[label].dataType.simpleString() == "array<string>" else F.col(label).cast("string")
-    rows = _lists(df, items).select(F.monotonically_increasing_id().alias("__row"), F.array_join(items, " ").alias("doc"), parse.single_label(cell).alias("child"))
+    rows = _lists(df, items).select(F.monotonically_increasing_id().alias("__row"), F.col(items).alias("items"), F.array_join(items, " ").alias("doc"), parse.single_label(cell).alias("child"))
     rows = staged(rows.where("child <> ''"), "labelled")
     if not parents:
         return rows.withColumn("label", F.col("child"))

@@ -158,9 +158,9 @@ def with_column(df: DataFrame, wanted: str, candidates: tuple[str, ...]) -> Data
     return df.withColumn(wanted, F.col(f"`{found}`"))
 
 
-def training_metadata(docs: DataFrame, label: str, sample: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Of training documents: label, count; and the first texts by digest."""
-    first = docs.orderBy(F.md5("text"), "text").limit(sample).select("text", label)
+def training_metadata(docs: DataFrame, label: str, key: list[str], sample: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Of training documents: label, count; and the first by their texts' digest, then by key, with it."""
+    first = docs.orderBy(F.md5("text"), "text", *key).limit(sample).select(*key, "text", label)
     return docs.groupBy(label).agg(F.count("*").alias("count")), first
 
 

@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
 FILE_ROWS, FILES = 250_000, 8
 
 
-def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+def staged(df: DataFrame, tag: str, rows: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
     This cuts the lineage: later jobs survive lost executors without running
@@ -48,12 +48,13 @@ def staged(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
     many files as that takes, not one for each shuffle partition.  Only where an
     aggregation makes them: a task that takes several partitions of a hash join
     holds the maps of all of them.
+    by: columns of folders, so that a job that wants some of their values reads no other files.
     """
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/tagloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     _OPEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

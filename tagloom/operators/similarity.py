@@ -1,15 +1,22 @@
-"""Similarity joins of vectors and phrases, and leader clustering."""
+"""Similarity joins of vectors and phrases, and leader clustering.
+
+Joins on what two names share (a segment, a component, a word) first look for
+candidates that no pair at the threshold can do without, then compare these.  Keys
+that very many names share are dealt over tasks.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import levenshtein_ratio, overlap_tokens, strip
-from ..storage import staged
+from ..storage import map_batches, staged
 from .order import numbered, top_per_group
+from .spread import crowded_join, spread_join
 
 
 def _blocks(df: DataFrame, key: str, vector: str, group: str | None, block: int) -> tuple[DataFrame, DataFrame]:
@@ -84,12 +91,79 @@ def hashed_ngrams(df: DataFrame, phrase: str, dims: int = 256, n: int = 3, out:
     return raw.withColumn("__n", size).withColumn(out, F.transform("__c", lambda x: x / F.col("__n"))).drop("__p", "__c", "__n")
 
 
-def token_pairs(phrases: DataFrame, phrase: str, vector: str, threshold: float) -> DataFrame:
-    """phrase_a < phrase_b that share a word and whose cosine reaches the threshold: joined on the shared word, which loses none."""
-    rows = phrases.select(F.col(phrase).alias("p"), F.col(vector).alias("v"), F.explode(F.array_distinct(F.split(F.lower(F.col(phrase)), r"\s+"))).alias("w"))
-    a, b = (rows.select(F.col("p").alias(f"phrase_{x}"), F.col("v").alias(f"v_{x}"), "w") for x in "ab")
-    cosine = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-    return a.join(b, "w").where("phrase_a < phrase_b").withColumn("cosine", cosine).where(F.col("cosine") >= threshold).select("phrase_a", "phrase_b", "cosine").distinct()
+def sparse_candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """id_a < id_b: all pairs of sparse unit vectors (id, feature, weight) that can reach a cosine, and some more.
+
+    Features are ordered from rare to frequent.  At the first feature f that two
+    vectors share, their product is at most the product of what is left of their
+    lengths from f on.  So f is a feature of both vectors where that rest is at least
+    the threshold (the prefix), and the rests' product is, too: only prefixes are
+    joined, and frequent features are seldom in them.
+    """
+    least = threshold - 1e-9
+    order = F.array_sort(F.collect_list(F.struct("df", "feature", "weight")))
+    df = rows.groupBy("feature").agg(F.count("*").alias("df"))
+    # a hot feature's rows are dealt over tasks by their vectors
+    vectors = spread_join(rows, df, "feature", "id").groupBy("id").agg(order.alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda t, x: t + x["weight"] * x["weight"])
+    rest = F.aggregate("v", F.struct(F.col("all").alias("left"), F.array().cast("array<struct<feature:string,rest:double>>").alias("out")), lambda t, x: F.struct((t["left"] - x["weight"] * x["weight"]).alias("left"), F.when(F.sqrt(F.greatest(t["left"], F.lit(0.0))) >= least, F.concat(t["out"], F.array(F.struct(x["feature"].cast("string").alias("feature"), F.sqrt(F.greatest(t["left"], F.lit(0.0))).alias("rest"))))).otherwise(t["out"]).alias("out")))
+    prefix = vectors.withColumn("all", square).select("id", F.explode(rest["out"]).alias("p")).select("id", "p.feature", "p.rest")
+    prefix = staged(prefix, "prefixes")
+    a, b = (prefix.select(F.col("id").alias(f"id_{s}"), "feature", F.col("rest").alias(f"rest_{s}")) for s in "ab")
+    met = crowded_join(a, b, ["feature"], "id_a", "id_b").where("id_a < id_b").where(F.col("rest_a") * F.col("rest_b") >= least)
+    return met.select("id_a", "id_b").distinct()
+
+
+def sparse_cosine_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """id_a < id_b, cosine >= threshold > 0, of sparse vectors (id, feature, weight); exact.  Features of weight 0 or null count as absent, vectors without features have no pairs."""
+    rows = rows.where("weight <> 0 AND id IS NOT NULL AND feature IS NOT NULL").groupBy("id", "feature").agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+    rows = staged(rows, "sparse")
+    size = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("size"))
+    unit = staged(rows.join(size, "id").select("id", F.col("feature").cast("string").alias("feature"), (F.col("weight") / F.col("size")).alias("weight")), "unit")
+    pairs = staged(sparse_candidates(unit, threshold), "candidates")
+    whole = unit.groupBy("id").agg(F.collect_list("feature").alias("f"), F.collect_list("weight").alias("w"))
+
+    def dots(batches):
+        for batch in batches:
+            out = []
+            for fa, wa, fb, wb in zip(*(batch.column(c).to_pylist() for c in ("f_a", "w_a", "f_b", "w_b")), strict=True):
+                other = dict(zip(fb, wb, strict=True))
+                out.append(float(sum(w * other.get(f, 0.0) for f, w in zip(fa, wa, strict=True))))
+            yield pa.RecordBatch.from_arrays([batch.column("id_a"), batch.column("id_b"), pa.array(out, pa.float64())], names=["id_a", "id_b", "cosine"])
+
+    kind = unit.schema["id"].dataType.simpleString()
+    return map_batches(_both(pairs, whole, "id", ("f", "w")), dots, f"id_a {kind}, id_b {kind}, cosine double").where(F.col("cosine") >= threshold)
+
+
+def _both(pairs: DataFrame, rows: DataFrame, name: str, columns: tuple[str, ...]) -> DataFrame:
+    """pairs (<name>_a, <name>_b) with the columns of both sides' rows (one for each name); a name of very many pairs is dealt over tasks."""
+    for side, other in ("ab", "ba"):
+        one = rows.select(F.col(name).alias(f"{name}_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        pairs = spread_join(staged(pairs, "pairs"), one, f"{name}_{side}", f"{name}_{other}")
+    return pairs
+
+
+def _dot() -> Column:
+    return F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+
+def word_set(phrase: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(phrase), r"\s+"))
+
+
+def token_pairs(phrases: DataFrame, phrase: str, vector: str, threshold: float, overlap: bool = True) -> DataFrame:
+    """phrase_a < phrase_b of unit vectors whose cosine reaches the threshold, and, with overlap, that share a word; exact either way.
+
+    Candidates share a component that both vectors need to reach the threshold
+    (see sparse_candidates); where that must be, also a word.
+    """
+    rows = staged(phrases.select(F.col(phrase).alias("p"), F.col(vector).cast("array<double>").alias("v")), "embedded")
+    parts = rows.select(F.col("p").alias("id"), F.posexplode("v").alias("feature", "weight")).where("weight <> 0")
+    pairs = sparse_candidates(staged(parts.select("id", F.col("feature").cast("string").alias("feature"), "weight"), "components"), threshold)
+    if overlap:
+        pairs = pairs.where(F.arrays_overlap(word_set(F.col("id_a")), word_set(F.col("id_b"))))
+    met = _both(pairs.select(F.col("id_a").alias("p_a"), F.col("id_b").alias("p_b")), rows, "p", ("v",)).withColumn("cosine", _dot()).where(F.col("cosine") >= threshold)
+    return met.select(F.col("p_a").alias("phrase_a"), F.col("p_b").alias("phrase_b"), "cosine")
 
 
 def leaders(nodes: DataFrame, edges: DataFrame, node: str, rank: str, a: str, b: str, rounds: int = 200) -> DataFrame:
@@ -116,8 +190,8 @@ def leaders(nodes: DataFrame, edges: DataFrame, node: str, rank: str, a: str, b:
     return out
 
 
-def dedupe_phrases(vocab: DataFrame, threshold: float = 0.88, min_len: int = 1, generic: tuple[str, ...] = (), vectors: DataFrame | None = None, levenshtein: float | None = None, identities: bool = False) -> DataFrame:
-    """from, to: phrases of a vocabulary (token, count) merged into leaders that share a word and are similar.
+def dedupe_phrases(vocab: DataFrame, threshold: float = 0.88, min_len: int = 1, generic: tuple[str, ...] = (), vectors: DataFrame | None = None, levenshtein: float | None = None, identities: bool = False, overlap: bool = True) -> DataFrame:
+    """from, to: phrases of a vocabulary (token, count) merged into leaders that are similar and, with overlap, share a word.
 
     Phrases rank by count, then length, then name.  A generic leader hands its
     cluster to its best other member; a cluster without one isn't merged.
@@ -128,13 +202,10 @@ def dedupe_phrases(vocab: DataFrame, threshold: float = 0.88, min_len: int = 1,
     rows = vocab.groupBy(F.lower(F.trim("token")).alias("token")).agg(F.sum("count").alias("count")).where(F.length("token") >= min_len)
     ranked = staged(numbered(rows, [F.desc("count"), F.length("token"), F.asc("token")], "rank"), "phrases")
     embedded = staged(hashed_ngrams(ranked, "token") if vectors is None else ranked.join(vectors.select("token", "vector"), "token"), "embedded")
-    pairs = token_pairs(embedded, "token", "vector", threshold)
+    pairs = token_pairs(embedded, "token", "vector", threshold, overlap)
     if levenshtein is not None:
         near = levenshtein_pairs(embedded, "token", levenshtein).select(F.col("name_a").alias("phrase_a"), F.col("name_b").alias("phrase_b"))
-        for side in "ab":
-            near = near.join(embedded.select(F.col("token").alias(f"phrase_{side}"), F.col("vector").alias(f"v_{side}")), f"phrase_{side}")
-        cosine = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
-        near = near.withColumn("cosine", cosine).where(F.col("cosine") >= threshold)
+        near = _both(near, embedded.select(F.col("token").alias("phrase"), F.col("vector").alias("v")), "phrase", ("v",)).withColumn("cosine", _dot()).where(F.col("cosine") >= threshold)
         pairs = pairs.select("phrase_a", "phrase_b").union(near.select("phrase_a", "phrase_b")).distinct()
     pairs = staged(pairs, "pairs")
     found = leaders(ranked, pairs, "token", "rank", "phrase_a", "phrase_b").join(ranked, "token")
@@ -144,25 +215,75 @@ def dedupe_phrases(vocab: DataFrame, threshold: float = 0.88, min_len: int = 1,
     return out if identities else out.where("`from` <> `to`")
 
 
-def levenshtein_pairs(names: DataFrame, name: str, least: float, parts: int = 16) -> DataFrame:
+#: Segments of this mean length or more make an index; shorter ones tell too little, and names are compared by length.
+SEGMENT = 3
+
+
+def segment_candidates(rows: DataFrame, least: float) -> DataFrame:
+    """x, y of rows (x, s: the compared text, n: its length) that can reach the ratio, x the longer, by shared segments.
+
+    Two texts of lengths n >= m and a distance of at most d = n - ceil(least n) share
+    one of the d + 1 segments into which the shorter is cut, and the places where it
+    can begin in the longer are few: with k segments before it, at most k edits come
+    before it and d - k behind it.  Only lengths whose segments have SEGMENT
+    characters are met here; see length_candidates for the others.
+    """
+    # the shorter texts' segments, for each length n of a longer one
+    n_of = F.sequence(F.col("n"), F.floor(F.col("n") / F.lit(least) + F.lit(1e-9)).cast("int"))
+    short = rows.select(F.col("x").alias("y"), F.col("s").alias("t"), F.col("n").alias("m"), F.explode(n_of).alias("n"))
+    short = short.withColumn("d", F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)).cast("int")).where((F.col("n") - F.col("m") <= F.col("d")) & (F.col("m") >= SEGMENT * (F.col("d") + 1)))
+    short = short.select("y", "m", "n", "d", "t", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("k"))
+    start, size = _segment(F.col("m"), F.col("d"), F.col("k"))
+    short = short.select("y", "m", "n", "k", F.substring(F.col("t"), start + 1, size).alias("segment"))
+    # the longer texts' pieces that can be such segments
+    long = rows.withColumn("d", F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)).cast("int"))
+    long = long.select("x", "s", "n", "d", F.explode(F.sequence(F.greatest(F.col("n") - F.col("d"), F.lit(1)), F.col("n"))).alias("m")).where(F.col("m") >= SEGMENT * (F.col("d") + 1))
+    long = long.select("x", "s", "n", "m", "d", F.explode(F.sequence(F.lit(0), F.col("d"))).alias("k"))
+    start, size = _segment(F.col("m"), F.col("d"), F.col("k"))
+    more = F.col("n") - F.col("m")
+    first = F.greatest(start - F.col("k"), start + more - (F.col("d") - F.col("k")), F.lit(0))
+    last = F.least(start + F.col("k"), start + more + (F.col("d") - F.col("k")), F.col("n") - size)
+    long = long.select("x", "s", "n", "m", "k", size.alias("size"), first.alias("a"), last.alias("b")).where("a <= b")
+    long = long.select("x", "m", "n", "k", F.explode(F.transform(F.sequence("a", "b"), lambda p: F.substring(F.col("s"), p + 1, F.col("size")))).alias("segment")).distinct()
+    met = crowded_join(staged(long, "pieces"), staged(short, "segments"), ["n", "m", "k", "segment"], "x", "y")
+    return met.where((F.col("m") < F.col("n")) | (F.col("x") < F.col("y"))).select("x", "y").distinct()
+
+
+def _segment(m: Column, d: Column, k: Column) -> tuple[Column, Column]:
+    """Start and length of the k-th of d + 1 segments of m characters: the last ones are one character longer."""
+    short = F.floor(m / (d + 1)).cast("int")
+    long = m - short * (d + 1)
+    extra = F.greatest(k - (d + 1 - long), F.lit(0))
+    return k * short + extra, short + F.when(k >= d + 1 - long, 1).otherwise(0)
+
+
+def length_candidates(rows: DataFrame, least: float, parts: int = 16) -> DataFrame:
+    """x, y of lengths that can reach the ratio but whose segments would be shorter than SEGMENT; each length is dealt over `parts` keys."""
+    d = F.col("n") - F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)).cast("int")
+    longer = rows.withColumn("d", d).select("x", "n", "d", F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.greatest(F.col("n") - F.col("d"), F.lit(1)), F.col("n"))).alias("m"))
+    longer = longer.where(F.col("m") < SEGMENT * (F.col("d") + 1))
+    shorter = rows.select(F.col("x").alias("y"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    return longer.join(shorter, ["m", "part"]).where((F.col("m") < F.col("n")) | (F.col("x") < F.col("y"))).select("x", "y")
+
+
+def levenshtein_pairs(names: DataFrame, name: str, least: float) -> DataFrame:
     """name_a < name_b, ratio >= least, of the distinct names.
 
-    The ratio bounds the lengths of two names: the longer one meets only names of
-    at least `least` times its length.  Each length is dealt over `parts` keys.
+    The ratio bounds the lengths of two names and their distance.  Candidates share
+    a segment at a possible place; where the ratio allows so many edits that
+    segments would be too short, they are all names of the lengths in question.
     """
     low = F.lower(strip(F.col(name)))
-    rows = names.select(F.col(name).alias("x"), F.length(low).alias("n")).where("x is not null and n > 0").distinct()
-    shortest = F.ceil(F.col("n") * F.lit(least) - F.lit(1e-9)).cast("int")
-    longer = rows.select(F.col("x").alias("x"), "n", F.pmod(F.xxhash64("x"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.greatest(shortest, F.lit(1)), F.col("n"))).alias("m"))
-    shorter = rows.select(F.col("x").alias("y"), F.col("n").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
-    met = longer.join(shorter, ["m", "part"]).where((F.col("m") < F.col("n")) | (F.col("x") < F.col("y")))
+    rows = names.select(F.col(name).alias("x"), low.alias("s"), F.length(low).alias("n")).where("x is not null and n > 0").distinct()
+    rows = staged(rows, "names")
+    met = segment_candidates(rows, least).union(length_candidates(rows, least))
     met = met.withColumn("ratio", levenshtein_ratio(F.col("x"), F.col("y"))).where(F.col("ratio") >= F.lit(least) - 1e-9)
     return met.select(F.least("x", "y").alias("name_a"), F.greatest("x", "y").alias("name_b"), "ratio")
 
 
 def mergeable_pairs(names: DataFrame, name: str, least: float = 0.7) -> DataFrame:
-    """name_a < name_b of distinct names that share a word that counts, or reach the Levenshtein ratio; joined on words and on lengths."""
-    words = names.select(F.col(name).alias("x")).distinct().select("x", F.explode(overlap_tokens(F.col("x"))).alias("w"))
+    """name_a < name_b of distinct names that share a word that counts, or reach the Levenshtein ratio; joined on words and on segments."""
+    words = staged(names.select(F.col(name).alias("x")).distinct().select("x", F.explode(overlap_tokens(F.col("x"))).alias("w")), "words")
     a, b = (words.select(F.col("x").alias(f"name_{s}"), "w") for s in "ab")
-    shared = a.join(b, "w").where("name_a < name_b").select("name_a", "name_b")
+    shared = crowded_join(a, b, ["w"], "name_a", "name_b").where("name_a < name_b").select("name_a", "name_b")
     return shared.union(levenshtein_pairs(names, name, least).select("name_a", "name_b")).distinct()

@@ -40,3 +40,27 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, heavy: list[
     left = many.join(listed, key, "left").withColumn("__piece", F.pmod(F.xxhash64(by), pieces).cast("int")).drop("__pieces")
     right = one.join(listed, key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__pieces")
     return left.join(right.hint("shuffle_hash"), [key, "__piece"], how).drop("__piece")
+
+
+def crowded_join(left: DataFrame, right: DataFrame, key: list[str], left_by: str, right_by: str) -> DataFrame:
+    """left.join(right, key) of written tables, where both sides may have many rows of a key.
+
+    Keys with a large part of either side's rows are dealt into a grid: a left row
+    goes to one line of it, a right row to one column, so that every pair of rows
+    meets in one cell.  There are fewer than 2 * HEAVY such keys.
+    """
+    sides = []
+    for rows, name in ((left, "__n"), (right, "__m")):
+        total = rows.count()
+        counts = rows.groupBy(*key).agg(F.count("*").alias(name))
+        sides.append(counts.withColumn(f"{name}s", pieces_of(F.col(name), total)).where(f"{name}s > 1").drop(name))
+    heavy = sides[0].join(sides[1], key, "full").select(*key, F.coalesce("__ns", F.lit(1)).alias("__lines"), F.coalesce("__ms", F.lit(1)).alias("__columns"))
+    found = [tuple(r) for r in heavy.collect()]
+    if not found:
+        return left.join(right, key)
+    listed = F.broadcast(left.sparkSession.createDataFrame(found, heavy.schema))
+    place = lambda by, n: F.pmod(F.xxhash64(by), F.coalesce(n, F.lit(1))).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    a = left.join(listed, key, "left").withColumn("__line", place(left_by, F.col("__lines"))).withColumn("__column", every(F.col("__columns"))).drop("__lines", "__columns")
+    b = right.join(listed, key, "left").withColumn("__column", place(right_by, F.col("__columns"))).withColumn("__line", every(F.col("__lines"))).drop("__lines", "__columns")
+    return a.join(b, [*key, "__line", "__column"]).drop("__line", "__column")

@@ -91,6 +91,83 @@ def test_betweenness(spark, seed):
         network.betweenness(df, most_edges=3)
 
 
+@pytest.mark.parametrize("least", [0.55, 0.7, 0.85, 0.95, 1.0])
+def test_levenshtein_pairs_are_all_found(spark, least):
+    rng = random.Random(int(least * 100))
+    names = {"".join(rng.choice("abc ") for _ in range(rng.randint(1, 25))) for _ in range(120)}
+    for x in sorted(names)[:60]:
+        for _ in range(rng.randint(1, 4)):
+            k = rng.randrange(len(x) + 1)
+            x = x[:k] + rng.choice(["", "a", "b", "zz"]) + x[k + rng.randint(0, 1) :]
+            names.add(x)
+    names |= {"A  b", "a  B", " a  b", "é" * 9, "é" * 8 + "e"}
+    df = spark.createDataFrame([(x,) for x in sorted(names)] * 2 + [(None,)], "x string")
+    got = {(r[0], r[1]) for r in similarity.levenshtein_pairs(df, "x", least).collect()}
+
+    def ratio(a, b):
+        a, b = a.strip().lower(), b.strip().lower()
+        if not a or not b:
+            return 0
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, e in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != e))
+        return 1 - row[-1] / max(len(a), len(b))
+
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(names), 2) if ratio(a, b) >= least - 1e-9}
+
+
+def test_segments_leave_few_candidates(spark):
+    rng = random.Random(8)
+    names = sorted({" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(5)) for _ in range(400)})
+    near = [x[:7] + "#" + x[8:] for x in names[:40]]
+    rows = spark.createDataFrame([(x, x, len(x)) for x in [*names, *near]], "x string, s string, n int")
+    assert 40 <= similarity.segment_candidates(rows, 0.85).count() < 1000  # of 96,580 pairs
+    assert similarity.length_candidates(rows, 0.85).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.9])
+def test_sparse_cosine_pairs_are_all_found(spark, threshold):
+    rng = random.Random(int(threshold * 10))
+    vectors = {i: {f"f{min(rng.randrange(40), rng.randrange(40))}": rng.choice([-0.5, 1.0, 2.0, 3.0]) for _ in range(rng.randint(1, 8))} for i in range(120)}
+    vectors |= {200 + i: dict(vectors[i]) for i in range(10)}
+    rows = [(i, f, w) for i, v in vectors.items() for f, w in v.items()] + [(500, "f1", 0.0), (501, None, 1.0), (None, "f1", 1.0), (502, "f2", None)]
+    got = {(r[0], r[1]): r[2] for r in similarity.sparse_cosine_pairs(spark.createDataFrame(rows, "id int, feature string, weight double"), threshold).collect()}
+    size = {i: math.sqrt(sum(w * w for w in v.values())) for i, v in vectors.items()}
+    cosine = {(a, b): sum(w * vectors[b].get(f, 0) for f, w in vectors[a].items()) / size[a] / size[b] for a, b in itertools.combinations(sorted(vectors), 2)}
+    assert {p for p, c in cosine.items() if c >= threshold + 1e-9} <= set(got) <= {p for p, c in cosine.items() if c >= threshold - 1e-9}
+    assert all(abs(got[p] - cosine[p]) < 1e-9 for p in got)
+
+
+def test_prefixes_leave_few_candidates(spark):
+    rng = random.Random(3)
+    rows = [(i, f"w{rng.randrange(2000)}", 1.0) for i in range(300) for _ in range(5)] + [(i, "the", 0.5) for i in range(300)]
+    rows += [(1000 + i, f, w) for i, f, w in rows if i < 30]
+    unit = spark.createDataFrame(rows, "id int, feature string, weight double").groupBy("id", "feature").agg(F.max("weight").alias("weight"))
+    size = unit.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("size"))
+    unit = unit.join(size, "id").select("id", "feature", (F.col("weight") / F.col("size")).alias("weight"))
+    assert 30 <= similarity.sparse_candidates(unit, 0.8).count() < 600  # all 54,285 pairs share a word
+
+
+def test_crowded_keys_are_split_and_lose_nothing(spark):
+    from tagloom.operators.spread import crowded_join
+
+    a = spark.createDataFrame([("hot" if i % 2 else f"k{i % 40}", i) for i in range(1200)], "w string, x int")
+    b = a.withColumnRenamed("x", "y")
+    want = Counter(r["w"] for r in a.collect())
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    joined = crowded_join(a, b, ["w"], "x", "y")
+    assert joined.count() == sum(n * n for n in want.values()) and joined.distinct().count() == joined.count()
+    parts = joined.where("w = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert len(parts) > 1
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_leaders_equal_first_fit(spark, seed):
     rng = random.Random(seed)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import staged
 from .order import numbered, top_per_group
-from .spread import spread_join
+from .spread import crowded_join, spread_join
 
 
 def adjacency(edges: DataFrame, a: str = "ingredient_a", b: str = "ingredient_b") -> DataFrame:
@@ -97,13 +97,15 @@ def shared_terms(profiles: DataFrame, label: str, term: str, weight: str, min_sh
     """label_a < label_b with the number of terms they share, the sum of both weights over them, and the heaviest of them.
 
     top: only each label's heaviest terms.  Joined on the term; a term of very
-    many labels is a hot key, so take top first where labels are many.
+    many labels is dealt over tasks, but all pairs of its labels are a result, so
+    take top first where labels are many.
     """
     rows = profiles.groupBy(F.col(label).alias("l"), F.col(term).alias("t")).agg(F.sum(weight).alias("w"))
     if top:
         rows = top_per_group(rows, ["l"], [F.desc("w"), F.asc("t")], top).drop("rank")
+    rows = staged(rows.select("l", "t", "w"), "terms")
     a, b = (rows.select(F.col("l").alias(f"label_{x}"), F.col("t"), F.col("w").alias(f"w_{x}")) for x in "ab")
-    both = a.join(b, "t").where("label_a < label_b")
+    both = crowded_join(a, b, ["t"], "label_a", "label_b").where("label_a < label_b")
     total = F.col("w_a") + F.col("w_b")
     heavy = F.slice(F.array_sort(F.collect_list(F.struct((-total).alias("w"), "t"))), 1, preview)
     return both.groupBy("label_a", "label_b").agg(F.count("*").alias("shared"), F.sum(total).alias("score"), heavy["t"].alias("terms")).where(F.col("shared") >= min_shared)

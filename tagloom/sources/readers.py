@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lexicon
 from ..functions.parse import listish, source_label
 from ..functions.text import is_missing, normalized
+from ..storage import map_batches
 
 
 def _fs(spark: SparkSession, path: str):
@@ -187,6 +192,77 @@ def found_column(columns: list[str], candidates: tuple[str, ...], wanted: str |
     return next((by_name[c.lower()] for c in ((wanted,) if wanted else ()) + candidates if c.lower() in by_name), None)
 
 
+#: Characters of the labels that one automaton has: it is sent to every worker.  More labels are looked for in further passes.
+MOST_CHARACTERS = 4_000_000
+
+
+def first_labels(df: DataFrame, column: str, known: list[str], out: str) -> DataFrame:
+    """df with the first known label that stands as a word in a text column, whatever its case: the leftmost, of these the longest; null without one.
+
+    All labels are found in one pass over a text, by an automaton that every worker
+    builds once; labels equal but for case are the first of them.
+    """
+    names: dict[str, str] = {}
+    for x in known:
+        if x:
+            names.setdefault(x.lower(), x)
+    blocks, size = [[]], 0
+    for low in names:
+        if blocks[-1] and size + len(low) > MOST_CHARACTERS:
+            blocks.append([])
+            size = 0
+        blocks[-1].append(low)
+        size += len(low)
+    rows, places = df, []
+    for k, block in enumerate(blocks):
+        rows = _placed(rows, column, {low: names[low] for low in block}, f"__{out}{k}")
+        places.append(F.col(f"__{out}{k}"))
+    first = F.least(*places) if len(places) > 1 else places[0]
+    return rows.withColumn(out, first["label"]).drop(*[f"__{out}{k}" for k in range(len(blocks))])
+
+
+_AUTOMATA: dict[str, object] = {}
+
+
+def _placed(df: DataFrame, column: str, names: dict[str, str], out: str) -> DataFrame:
+    """df with place, minus length and label of the first match; null without one."""
+    sent = df.sparkSession.sparkContext.broadcast(names)  # of MOST_CHARACTERS at most
+    number = uuid.uuid4().hex
+
+    def automaton():
+        if number not in _AUTOMATA:
+            import ahocorasick
+
+            _AUTOMATA.clear()
+            made = ahocorasick.Automaton()
+            for low, name in sent.value.items():
+                made.add_word(low, (len(low), name))
+            made.make_automaton()
+            _AUTOMATA[number] = made
+        return _AUTOMATA[number]
+
+    def first(text: str | None) -> dict | None:
+        low = (text or "").lower()
+        inside = lambda i: 0 <= i < len(low) and (low[i].isalnum() or low[i] == "_")
+        best = None
+        if low and sent.value:
+            for end, (size, name) in automaton().iter(low):
+                start = end - size + 1
+                # a boundary is where a word's letter and another character meet
+                if inside(start - 1) != inside(start) and inside(end) != inside(end + 1) and (best is None or (start, -size) < best[:2]):
+                    best = (start, -size, name)
+        return best and {"place": best[0], "size": best[1], "label": best[2]}
+
+    def run(batches):
+        kind = pa.struct([("place", pa.int32()), ("size", pa.int32()), ("label", pa.string())])
+        for batch in batches:
+            found = pa.array([first(t) for t in batch.column(column).to_pylist()], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, out])
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.StructType([T.StructField("place", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("label", T.StringType())]))])
+    return map_batches(df, run, schema)
+
+
 def unified(df: DataFrame, dataset_id: int, default: str = "unknown", known_labels: list[str] | None = None, row_index: str | None = None) -> DataFrame:
     """Dataset_ID, index, ingredients, cuisine of one source; rows without a label are dropped.
 
@@ -202,10 +278,10 @@ def unified(df: DataFrame, dataset_id: int, default: str = "unknown", known_labe
     if label is not None:
         cuisine = source_label(F.col(label).cast("string"), default)
     elif known_labels:
-        names = "|".join("\\Q" + n.replace("\\E", "") + "\\E" for n in sorted(known_labels, key=lambda n: (-len(n), n)))
-        hits = [F.nullif(F.regexp_extract(F.coalesce(F.col(f"`{c}`"), F.lit("")), rf"(?i)\b({names})\b", 1), F.lit("")) for c, k in df.dtypes if k == "string"]
-        canonical = F.create_map(*[F.lit(x) for n in known_labels for x in (n.lower(), n)])
-        cuisine = F.coalesce(F.try_element_at(canonical, F.lower(F.coalesce(*hits, F.lit("")))), F.lit(default))
+        texts = [c for c, k in df.dtypes if k == "string"]
+        for k, c in enumerate(texts):
+            df = first_labels(df, c, known_labels, f"__hit{k}")
+        cuisine = F.coalesce(*[F.col(f"__hit{k}") for k in range(len(texts))], F.lit(default))
     else:
         cuisine = F.lit(default)
     index = F.col(f"`{row_index}`").cast("bigint") if row_index else F.monotonically_increasing_id()

@@ -168,6 +168,17 @@ def test_crowded_keys_are_split_and_lose_nothing(spark):
     assert len(parts) > 1
 
 
+def test_first_labels_are_leftmost_then_longest(spark, monkeypatch):
+    known = ["New York", "york", "Thai", "Thai Fusion", "C++", "é", "thai"]
+    texts = {"in new york today": "New York", "yorkshire, York": "york", "a THAI fusion": "Thai Fusion", "thai fusions": "Thai", "using C++, maybe": None, "c++x": "C++", "cafe é": "é", "café": None, "": None, None: None, "x" * 100_000 + " thai": "Thai"}
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for size in (readers.MOST_CHARACTERS, 5):
+        monkeypatch.setattr(readers, "MOST_CHARACTERS", size)
+        got = {r["k"]: r["hit"] for r in readers.first_labels(df, "t", known, "hit").collect()}
+        assert got == dict(enumerate(texts.values()))
+    assert readers.first_labels(df, "t", [], "hit").where("hit IS NOT NULL").count() == 0
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_leaders_equal_first_fit(spark, seed):
     rng = random.Random(seed)

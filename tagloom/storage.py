@@ -9,6 +9,7 @@ import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -18,7 +19,19 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of a batch for Python: texts can be long, and a batch is held whole on both sides.
 BATCH_ROWS = 1000
 
-_OPEN: list[tuple[SparkSession, str]] = []
+
+
+class _Tables(threading.local):
+    """The staged tables of a thread: queries that run at once in one driver don't delete each other's."""
+
+    every: list[list[tuple[SparkSession, str]]] = []
+
+    def __init__(self):
+        self.open: list[tuple[SparkSession, str]] = []
+        self.every.append(self.open)
+
+
+_TABLES = _Tables()
 _OWN: dict[str, str] = {}
 
 
@@ -55,31 +68,36 @@ def staged(df: DataFrame, tag: str, rows: int | None = None, by: list[str] | Non
         df = df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/tagloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path, partitionBy=by)
-    _OPEN.append((spark, path))
+    _TABLES.open.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def staged_tables() -> int:
-    """How many staged tables there are."""
-    return len(_OPEN)
+    """How many staged tables this thread has."""
+    return len(_TABLES.open)
 
 
 def drop_staged(since: int = 0, but_last: bool = False) -> None:
-    """Delete the staged tables (those from number `since`, and not the last one if it is to stay); call it once the results that read them are written."""
-    stay = [_OPEN.pop()] if but_last and len(_OPEN) > since else []
-    while len(_OPEN) > since:
-        spark, path = _OPEN.pop()
+    """Delete this thread's staged tables (those from number `since`, and not the last one if it is to stay); call it once the results that read them are written."""
+    _drop(_TABLES.open, since, but_last)
+
+
+def _drop(tables: list[tuple[SparkSession, str]], since: int = 0, but_last: bool = False) -> None:
+    stay = [tables.pop()] if but_last and len(tables) > since else []
+    while len(tables) > since:
+        spark, path = tables.pop()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             break
-    _OPEN.extend(stay)
+    tables.extend(stay)
 
 
 def _leave() -> None:
-    drop_staged()
+    for tables in _Tables.every:
+        _drop(tables)
     for path in _OWN.values():
         shutil.rmtree(path, ignore_errors=True)
 

@@ -356,3 +356,24 @@ def test_without_the_llm_subpackage(tmp_path):
     subprocess.run(["rm", "-rf", str(tmp_path / "tagloom/llm")], check=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pmi_pairs' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}).returncode == 0
+
+
+def test_threads_keep_their_own_tables(spark):
+    import threading
+
+    from tagloom import storage
+
+    mine = storage.staged(spark.range(5), "mine")
+    before = storage.staged_tables()
+    seen = []
+
+    def other():
+        theirs = storage.staged(spark.range(7), "theirs")
+        seen.append((storage.staged_tables(), theirs.count()))
+        storage.drop_staged()
+        seen.append(storage.staged_tables())
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    thread.join()
+    assert seen == [(1, 7), 0] and storage.staged_tables() == before and mine.count() == 5

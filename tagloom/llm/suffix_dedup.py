@@ -20,7 +20,10 @@ dictionary's and the parse's:
   same trigger.  Only windows with one trigger can be equal, so the dictionary's
   suffixes are sorted trigger by trigger, each cut at `length` bytes: equal
   neighbours are repeated windows.  A trigger with more than GROUP phrases isn't
-  sorted in one task; its suffixes go into an aggregation by their digest.
+  sorted in one task: the windows of each of its phrases are halved by their
+  distance to the trigger, and each half is a phrase again whose trigger is longer,
+  the bytes that all its windows have.  Halves are judged as phrases were, until
+  few share a trigger; after some eight halvings a window is its own trigger.
 
 So a row stands for a phrase (some 70 bytes of new text), not for a byte, and
 bytes travel only for phrases that stay undecided.  Texts are known by 128-bit
@@ -36,6 +39,7 @@ else the table has; an empty table gives an empty result.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +57,6 @@ PIECE = 1 << 18
 #: Texts whose digests a task remembers.
 SEEN = 100_000
 
-_PLACE_BITS = np.uint64(20)
 _PLACES = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -156,7 +159,7 @@ def repeated_keys(docs: DataFrame, setting: Setting) -> DataFrame:
 
 
 def phrases(docs: DataFrame, setting: Setting) -> DataFrame:
-    """trigger, phrase (digest), key (the text's digest), place (of its first window) and lead, many packed behind it.
+    """head (the trigger), body (the phrase's digest), key (the text's digest), place (of its first window, with lead and number of further windows packed behind it).
 
     Texts that a task has seen are left out, so that copies don't multiply.
     """
@@ -184,9 +187,9 @@ def phrases(docs: DataFrame, setting: Setting) -> DataFrame:
                 pa.array([keys[i] for i in doc.tolist()], pa.binary()),
                 pa.array(place),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["trigger", "phrase", "key", "place"])
+            yield pa.RecordBatch.from_arrays(columns, names=["head", "body", "key", "place"])
 
-    return map_batches(docs.select("text"), found, "trigger binary, phrase binary, key binary, place bigint")
+    return map_batches(docs.select("text"), found, "head binary, body binary, key binary, place bigint")
 
 
 def _heavy(counts: DataFrame, key: str) -> list[tuple]:
@@ -230,19 +233,35 @@ def packed(docs: DataFrame, once: bool) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, f"doc_id {kind}, key binary, pack binary")
 
 
+#: A row for each phrase, or part of one, that is still undecided: head (only phrases of one head can share windows), key, first (window), lead (from the first window to the trigger), low and high (the cell of leads it lies in), bytes.
+_CUT = "head binary, key binary, first bigint, lead int, low int, high int, bytes binary"
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+_CUT_SCHEMA = pa.schema([("head", pa.binary()), ("key", pa.binary()), ("first", pa.int64()), ("lead", pa.int32()), ("low", pa.int32()), ("high", pa.int32()), ("bytes", pa.binary())])
+
+
 def _cut(texts: DataFrame, setting: Setting) -> DataFrame:
-    """trigger, heavy, wanted, key, first (window) and the bytes of the phrases `cuts` of texts."""
+    """The phrases `cuts` of texts, with `heavy`."""
+    cell = 1 << (setting.length - setting.word).bit_length()
+    schema = _CUT_SCHEMA.append(pa.field("heavy", pa.bool_()))
 
     def run(batches):
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for i in range(batch.num_rows):
                 key, text = batch.column("key")[i].as_py(), unpack(batch.column("pack")[i].as_py())
-                cuts = batch.column("cuts")[i].as_py()
-                rows = [(c["trigger"], c["heavy"], c["wanted"], key, f := c["place"] >> 20, text[f : f + (c["place"] & 1023) + setting.length]) for c in cuts]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.bool_(), pa.bool_(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["trigger", "heavy", "wanted", "key", "first", "bytes"])
+                rows = []
+                for c in batch.column("cuts")[i].as_py():
+                    first, lead, many = c["place"] >> 20, c["place"] >> 10 & 1023, c["place"] & 1023
+                    rows.append((c["head"], key, first, lead, 0, cell, text[first : first + many + setting.length], c["heavy"]))
+                yield _rows(rows, schema)
 
-    return map_batches(texts.select("key", "pack", "cuts"), run, "trigger binary, heavy boolean, wanted boolean, key binary, first bigint, bytes binary")
+    return map_batches(texts.select("key", "pack", "cuts"), run, f"{_CUT}, heavy boolean")
 
 
 def equal_neighbours(strings: list[bytes], length: int) -> list[np.ndarray]:
@@ -264,77 +283,93 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sorted_groups(cuts: DataFrame, setting: Setting) -> DataFrame:
-    """key, first, last of runs of repeated windows, of triggers with few phrases."""
+    """key, first, last of runs of repeated windows, of heads with few phrases."""
 
     def run(batches):
-        group: dict[tuple[bytes, int], tuple[bool, bytes]] = {}
-        trigger = None
+        group: dict[tuple[bytes, int], bytes] = {}
+        head = None
+        schema = pa.schema([("key", pa.binary()), ("first", pa.int64()), ("last", pa.int64())])
 
         def done():
             out: list[tuple[bytes, int, int]] = []
-            if any(wanted for wanted, _ in group.values()):
-                for ((key, at), (wanted, _)), flags in zip(group.items(), equal_neighbours([b for _, b in group.values()], setting.length), strict=True):
-                    if wanted and flags.any():
+            if len(group) > 1:
+                for (key, at), flags in zip(group, equal_neighbours(list(group.values()), setting.length), strict=True):
+                    if flags.any():
                         out += [(key, at + a, at + b) for a, b in zip(*(x.tolist() for x in _runs(flags)), strict=True)]
             return out
 
-        def rows(out):
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), *(pa.array([x[k] for x in out], pa.int64()) for k in (1, 2))], names=["key", "first", "last"])
-
         for batch in batches:
             out = []
-            for t, wanted, key, first, data in zip(*(batch.column(c).to_pylist() for c in ("trigger", "wanted", "key", "first", "bytes")), strict=True):
-                if t != trigger:
+            for h, key, first, data in zip(*(batch.column(c).to_pylist() for c in ("head", "key", "first", "bytes")), strict=True):
+                if h != head:
                     out += done()
-                    group, trigger = {}, t
-                group[key, first] = (wanted, data)
-            yield rows(out)
-        yield rows(done())
+                    group, head = {}, h
+                group[key, first] = data
+            yield _rows(out, schema)
+        yield _rows(done(), schema)
 
-    some = cuts.where("NOT heavy").repartition("trigger").sortWithinPartitions("trigger")
-    return map_batches(some.select("trigger", "wanted", "key", "first", "bytes"), run, "key binary, first bigint, last bigint")
+    some = cuts.repartition("head").sortWithinPartitions("head")
+    return map_batches(some.select("head", "key", "first", "bytes"), run, "key binary, first bigint, last bigint")
 
 
-def _digested_groups(cuts: DataFrame, setting: Setting) -> DataFrame:
-    """The same for triggers with many phrases: the suffixes meet in an aggregation by their digests."""
+def _halved(cuts: DataFrame, setting: Setting) -> DataFrame:
+    """Each phrase's windows in both halves of its cell of leads, as rows of their own with a new head, the bytes that all windows of the half have, and body, the digest of their own bytes."""
+    length, most = setting.length, setting.length - setting.word
+    schema = _CUT_SCHEMA.append(pa.field("body", pa.binary()))
 
     def run(batches):
         for batch in batches:
-            for wanted, key, first, data in zip(*(batch.column(c).to_pylist() for c in ("wanted", "key", "first", "bytes")), strict=True):
-                n = len(data) - setting.length + 1
-                digests = [xxhash.xxh3_128_digest(data[i : i + setting.length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([wanted] * n), pa.array([key] * n, pa.binary()), pa.array(range(first, first + n), pa.int64())], names=["digest", "wanted", "key", "first"])
+            out = []
+            for key, first, lead, low, high, data in zip(*(batch.column(c).to_pylist() for c in ("key", "first", "lead", "low", "high", "bytes")), strict=True):
+                middle = (low + high) // 2
+                for x, y in ((low, middle), (middle, high)):
+                    a, b = max(x, lead - (len(data) - length)), min(y - 1, lead)  # leads of the last and the first window
+                    if a <= b:
+                        core, own = data[lead - x : lead - min(y - 1, most) + length], data[lead - b : lead - a + length]
+                        out.append((xxhash.xxh3_128_digest(core, x << 10 | y), key, first + lead - b, b, x, y, own, xxhash.xxh3_128_digest(own, a << 10 | b)))
+            yield _rows(out, schema)
+
+    return map_batches(cuts.select("key", "first", "lead", "low", "high", "bytes"), run, f"{_CUT}, body binary")
+
 
-    windows = map_batches(cuts.where("heavy").select("wanted", "key", "first", "bytes"), run, "digest binary, wanted boolean, key binary, first bigint")
-    windows = staged(windows, "windows")
-    where = F.xxhash64("key", "first")
-    twice = staged(windows.groupBy("digest").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.count("*").alias("n")).where("a < b").select("digest", "n"), "twice")
-    found = spread_join(windows.where("wanted").select("digest", "key", "first"), twice.select("digest"), "digest", "first", _heavy(twice, "digest"), "left_semi")
-    return found.select("key", "first", F.col("first").alias("last"))
+def _judged(rows: DataFrame) -> DataFrame:
+    """rows (head, body, loc: where it is) of a written table, with repeated (its body is elsewhere too) and entries (bodies of its head), where either says that its windows may be repeated; undecided: not repeated, or the one copy that others are to be compared with."""
+    entries = staged(rows.groupBy("body", "head").agg(F.min("loc").alias("least"), F.max("loc").alias("greatest"), F.count("*").alias("n")), "dictionary")
+    heads = staged(entries.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").withColumn("entries", F.col("n")), "heads")
+    known = spread_join(entries.withColumnRenamed("n", "copies"), heads.select("head", "entries"), "head", "body", _heavy(heads, "head"), "left")
+    known = known.where("least < greatest OR entries IS NOT NULL").select("body", "least", (F.col("least") < F.col("greatest")).alias("repeated"), F.coalesce("entries", F.lit(1)).alias("entries"), F.col("copies").alias("n"))
+    known = staged(known, "known")
+    out = spread_join(rows, known.drop("n"), "body", "loc", _heavy(known, "body"))
+    return out.withColumn("undecided", (F.col("entries") > 1) & (~F.col("repeated") | (F.col("least") == F.col("loc")))).drop("least")
 
 
 def repeated_windows(docs: DataFrame, setting: Setting | None = None) -> tuple[DataFrame, DataFrame]:
     """(key, first, last) of runs of windows that are repeated, by the digest of their text; and (key, n) of the texts that occur n > 1 times."""
     setting = setting or Setting()
     counts = staged(repeated_keys(docs, setting), "keys")
-    triggers = counts.where(F.octet_length("key") == 8).withColumnRenamed("key", "trigger")
+    triggers = counts.where(F.octet_length("key") == 8).withColumnRenamed("key", "head")
     copies = counts.where(F.octet_length("key") == 16)
-    parsed = staged(spread_join(phrases(docs, setting), triggers.select("trigger"), "trigger", "key", _heavy(triggers, "trigger"), "left_semi"), "phrases")
-    where = F.xxhash64("key", "place")
-    entries = parsed.groupBy("phrase", "trigger").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.count("*").alias("n"))
-    entries = staged(entries, "dictionary")
-    heads = entries.groupBy("trigger").agg(F.count("*").alias("entries")).where("entries > 1")
-    heads = staged(heads.withColumn("n", F.col("entries")), "heads")
-    # what is decided: repeated phrases; what isn't: phrases beside others of their trigger, of repeated ones one copy
-    known = spread_join(entries, heads.select("trigger", "entries"), "trigger", "phrase", _heavy(heads, "trigger"), "left")
-    known = staged(known.where("a < b OR entries IS NOT NULL").select("phrase", "a", (F.col("a") < F.col("b")).alias("repeated"), F.coalesce("entries", F.lit(1)).alias("entries"), "n"), "known")
-    marked = spread_join(parsed, known.drop("n"), "phrase", "key", _heavy(known, "phrase"))
-    undecided = (F.col("entries") > 1) & (~F.col("repeated") | (F.col("a") == where))
-    marked = staged(marked.select("trigger", "key", "place", "repeated", undecided.alias("cut"), (F.col("entries") > GROUP).alias("heavy")), "marked")
-    decided = marked.where("repeated").select("key", _first(F.col("place")).alias("first"), (_first(F.col("place")) + _many(F.col("place"))).alias("last"))
-    cuts = marked.where("cut").groupBy("key").agg(F.collect_set(F.struct("trigger", "heavy", (~F.col("repeated")).alias("wanted"), "place")).alias("cuts"))
+    parsed = phrases(docs, setting).withColumn("loc", F.xxhash64("key", "place"))
+    parsed = staged(spread_join(parsed, triggers.select("head"), "head", "key", _heavy(triggers, "head"), "left_semi"), "phrases")
+    place = F.col("place")
+    heavy = F.col("entries") > GROUP
+    marked = staged(_judged(parsed).select("head", "key", "place", "repeated", "undecided", heavy.alias("heavy")), "marked")
+    found = [marked.where("repeated").select("key", _first(place).alias("first"), (_first(place) + _many(place)).alias("last"))]
+    cuts = marked.where("undecided").groupBy("key").agg(F.collect_set(F.struct("head", "heavy", "place")).alias("cuts"))
     cuts = staged(_cut(spread_join(packed(docs, once=True), cuts, "key", "doc_id", []), setting), "cuts")
-    return decided.unionByName(_sorted_groups(cuts, setting)).unionByName(_digested_groups(cuts, setting)), copies
+    found.append(_sorted_groups(cuts.where("NOT heavy"), setting))
+    # the windows of heads with many phrases are halved until few phrases have what they share; a cell of one lead decides itself
+    cuts = cuts.where("heavy")
+    last = F.col("first") + F.octet_length("bytes") - setting.length
+    for _ in range((setting.length - setting.word).bit_length()):
+        if cuts.isEmpty():
+            break
+        halves = staged(_halved(cuts, setting).withColumn("loc", F.xxhash64("key", "first")), "halves")
+        marked = staged(_judged(halves).select("head", "key", "first", "lead", "low", "high", "bytes", "repeated", "undecided", heavy.alias("heavy")), "judged")
+        found.append(marked.where("repeated").select("key", "first", last.alias("last")))
+        found.append(_sorted_groups(marked.where("undecided AND NOT heavy"), setting))
+        cuts = marked.where("undecided AND heavy")
+    return reduce(DataFrame.unionByName, found), copies
 
 
 def _applied(texts: DataFrame, setting: Setting, kind: str) -> DataFrame:

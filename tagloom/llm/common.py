@@ -7,19 +7,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.spread import HEAVY, LIGHT, heavy_keys, pieces_of, spread_join
 from ..storage import drop_staged, map_batches, shared_dir, ship, staged
 
-__all__ = ["WORD", "bucket_bits", "drop_staged", "hash_bucket", "heavy_keys", "map_batches", "pieces_of", "read", "shared_dir", "ship", "slices", "spread_join", "staged", "utf8"]
+__all__ = ["HEAVY", "LIGHT", "WORD", "bucket_bits", "counted_heavy", "drop_staged", "hash_bucket", "heavy_keys", "map_batches", "pieces_of", "read", "shared_dir", "ship", "slices", "spread_join", "staged", "utf8"]
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: A key with more than 1/HEAVY of a table's rows is dealt over several tasks; a table has fewer than HEAVY such keys, so their list may be broadcast.
-HEAVY = 4096
-#: Rows of a key that one task can take whatever the table's size.
-LIGHT = 256
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -34,35 +29,11 @@ def hash_bucket(hashed: Column, bits: int) -> Column:
     return F.shiftrightunsigned(hashed, 64 - bits)
 
 
-def pieces_of(n: Column, rows: int) -> Column:
-    """Into how many pieces a key with n of a table's rows is split."""
-    return F.ceil(n / F.lit(max(LIGHT, rows // HEAVY))).cast("int")
-
-
-def heavy_keys(rows: DataFrame, key: str) -> list[tuple]:
-    """(key, pieces) of the heavy keys of a written table: fewer than HEAVY."""
-    total = rows.count()
-    if total <= LIGHT:
-        return []
-    found = rows.groupBy(key).agg(F.count("*").alias("n")).withColumn("pieces", pieces_of(F.col("n"), total)).where("pieces > 1")
-    return [(r[0], r[1]) for r in found.select(key, "pieces").collect()]
-
-
-def spread_join(many: DataFrame, one: DataFrame, key: str, by: str, heavy: list[tuple] | None = None, how: str = "inner") -> DataFrame:
-    """many.join(one, key), where one has each key once and a key may have a large part of many's rows.
-
-    Rows of the heavy keys (those of many, a written table, unless given) are
-    dealt into pieces by the column `by`; one's row goes to each of them.
-    """
-    heavy = heavy_keys(many, key) if heavy is None else heavy
-    if not heavy:
-        return many.join(one.hint("shuffle_hash"), key, how)
-    spark = many.sparkSession
-    listed = F.broadcast(spark.createDataFrame(heavy, f"{key} {many.schema[key].dataType.simpleString()}, __pieces int"))
-    pieces = F.coalesce("__pieces", F.lit(1))
-    left = many.join(listed, key, "left").withColumn("__piece", F.pmod(F.xxhash64(by), pieces).cast("int")).drop("__pieces")
-    right = one.join(listed, key, "left").withColumn("__piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("__pieces")
-    return left.join(right.hint("shuffle_hash"), [key, "__piece"], how).drop("__piece")
+def counted_heavy(counts: DataFrame, key: str, n: str = "n") -> list[tuple]:
+    """(key, pieces) of a written table of keys with their number of rows n: those with more than 1/HEAVY of all these rows, so fewer than HEAVY."""
+    total = int(counts.agg(F.sum(n)).first()[0] or 0)
+    most = max(LIGHT, total // HEAVY)
+    return [(r[0], -(-r[1] // most)) for r in counts.where(F.col(n) > most).select(key, n).collect()]
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -48,7 +48,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY, LIGHT, map_batches, slices, spread_join, staged, utf8
+from .common import counted_heavy, map_batches, slices, spread_join, staged, utf8
 
 #: Phrases of one trigger that one task sorts.
 GROUP = 256
@@ -192,13 +192,6 @@ def phrases(docs: DataFrame, setting: Setting) -> DataFrame:
     return map_batches(docs.select("text"), found, "head binary, body binary, key binary, place bigint")
 
 
-def _heavy(counts: DataFrame, key: str) -> list[tuple]:
-    """(key, pieces) of a table of keys with their number of rows n: those with more than 1/HEAVY of all these rows, so fewer than HEAVY."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    most = max(LIGHT, total // HEAVY)
-    return [(r[0], -(-r[1] // most)) for r in counts.where(F.col("n") > most).select(key, "n").collect()]
-
-
 def _first(place: Column) -> Column:
     return F.shiftright(place, 20)
 
@@ -336,10 +329,10 @@ def _judged(rows: DataFrame) -> DataFrame:
     """rows (head, body, loc: where it is) of a written table, with repeated (its body is elsewhere too) and entries (bodies of its head), where either says that its windows may be repeated; undecided: not repeated, or the one copy that others are to be compared with."""
     entries = staged(rows.groupBy("body", "head").agg(F.min("loc").alias("least"), F.max("loc").alias("greatest"), F.count("*").alias("n")), "dictionary")
     heads = staged(entries.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").withColumn("entries", F.col("n")), "heads")
-    known = spread_join(entries.withColumnRenamed("n", "copies"), heads.select("head", "entries"), "head", "body", _heavy(heads, "head"), "left")
+    known = spread_join(entries.withColumnRenamed("n", "copies"), heads.select("head", "entries"), "head", "body", counted_heavy(heads, "head"), "left")
     known = known.where("least < greatest OR entries IS NOT NULL").select("body", "least", (F.col("least") < F.col("greatest")).alias("repeated"), F.coalesce("entries", F.lit(1)).alias("entries"), F.col("copies").alias("n"))
     known = staged(known, "known")
-    out = spread_join(rows, known.drop("n"), "body", "loc", _heavy(known, "body"))
+    out = spread_join(rows, known.drop("n"), "body", "loc", counted_heavy(known, "body"))
     return out.withColumn("undecided", (F.col("entries") > 1) & (~F.col("repeated") | (F.col("least") == F.col("loc")))).drop("least")
 
 
@@ -350,7 +343,7 @@ def repeated_windows(docs: DataFrame, setting: Setting | None = None) -> tuple[D
     triggers = counts.where(F.octet_length("key") == 8).withColumnRenamed("key", "head")
     copies = counts.where(F.octet_length("key") == 16)
     parsed = phrases(docs, setting).withColumn("loc", F.xxhash64("key", "place"))
-    parsed = staged(spread_join(parsed, triggers.select("head"), "head", "key", _heavy(triggers, "head"), "left_semi"), "phrases")
+    parsed = staged(spread_join(parsed, triggers.select("head"), "head", "key", counted_heavy(triggers, "head"), "left_semi"), "phrases")
     place = F.col("place")
     heavy = F.col("entries") > GROUP
     marked = staged(_judged(parsed).select("head", "key", "place", "repeated", "undecided", heavy.alias("heavy")), "marked")
@@ -402,7 +395,7 @@ def without_repeats(docs: DataFrame, setting: Setting | None = None) -> DataFram
     windows, copies = repeated_windows(docs, setting)
     runs = windows.groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     runs = staged(runs.join(copies, "key", "full").select("key", "runs", F.col("n").isNotNull().alias("copied"), F.coalesce("n", F.lit(1)).alias("n")), "runs")
-    texts = spread_join(packed(docs, once=False), runs.drop("n"), "key", "doc_id", _heavy(runs, "key"), "left")
+    texts = spread_join(packed(docs, once=False), runs.drop("n"), "key", "doc_id", counted_heavy(runs, "key"), "left")
     return _applied(texts, setting, docs.schema["doc_id"].dataType.simpleString())
 
 

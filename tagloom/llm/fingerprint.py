@@ -38,7 +38,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import counted_heavy, spread_join, staged
 
 WIDE = 8  # components that every paragraph changes
 WIDTH, LEVELS, SAMPLED = 32, 8, 3  # components, levels, bits of the hash that thin out a level
@@ -190,13 +190,15 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
     sizes = staged(base.groupBy("k").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("many")), "sizes")
     ring = staged(followers(sizes.select("k", "n")), "ring")
     # k is unique on the built sides, so a partition's table is as small as the partition; sorting the texts would cost more
-    heads = base.join(ring.select("k", "prev_k", "prev_n").hint("shuffle_hash"), "k")
+    # a key of very many rows (those without a doc_id) is dealt over tasks by the rows' texts
+    heavy = counted_heavy(sizes, "k", "many")
+    heads = spread_join(base, ring.select("k", "prev_k", "prev_n"), "k", "text", heavy)
     if sizes.where("many > 1").limit(1).count():
         digest = F.sha2("text", 256)
         chosen = base.select("k", digest.alias("sha")).groupBy("k").agg(F.min("sha").alias("sha"))
-        heads = heads.join(chosen, "k").where(digest == F.col("sha")).dropDuplicates(["k"])
+        heads = spread_join(heads, chosen, "k", "text", heavy).where(digest == F.col("sha")).dropDuplicates(["k"])
     heads = heads.select(F.col("prev_k").alias("k"), F.expr("left(text, cast(floor(prev_n / 2) as int))").alias("head"), vector(paragraphs(F.col("text"))).alias("next_v"))
-    rows = base.join(heads.hint("shuffle_hash"), "k").withColumn("n_chars", F.length("text"))
+    rows = spread_join(base, heads, "k", "text", heavy).withColumn("n_chars", F.length("text"))
     half = "cast(floor(n_chars / 2) as int)"
     rows = rows.withColumn("edited", F.expr(f"concat(left(text, n_chars - {half}), left(head, {half}))"))
     rows = rows.select(

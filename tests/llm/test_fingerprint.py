@@ -99,6 +99,23 @@ def test_edits_of_odd_and_repeated_rows(make_docs):
     assert P.edited_against_next(make_docs(ODD)).count() == len(ODD)
 
 
+def test_keys_of_very_many_rows_are_dealt_over_tasks(spark, make_docs):
+    rows = [(None, f"no id {i}. And more of it.") for i in range(3000)] + [(5, f"repeated {i % 700}") for i in range(2000)] + [(i, f"single {i}. Here.") for i in range(10, 30)]
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = P.edited_against_next(make_docs(rows)).withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"], r["edited_sha256"]) for r in found))
+    low = -(1 << 63) - 1  # null sorts last
+    assert got == sorted((i != low, i if i != low else 0, n, sha) for i, n, sha in edited([(low if i is None else i, t) for i, t in rows]))
+    assert len({r["part"] for r in found if r["doc_id"] is None}) > 1 and len({r["part"] for r in found if r["doc_id"] == 5}) > 1
+
+
 def test_likeness(make_docs):
     many = [f"Sentence number {i} stands here" for i in range(1200)]
     rows = [(4, ". ".join(many[:40])), (3, ". ".join(many[40:80])), (2, ". ".join(many[:400])), (1, ""), (0, None)]

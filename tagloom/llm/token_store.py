@@ -12,9 +12,9 @@ survive lost executors:
   payload, and its number of ids: a lookup takes the same time whatever the size;
 - keys: the documents' keys in payload order, for scans.
 
-Null texts are empty: the end id alone.  A null key sorts first and is kept.
-Rows that repeat a key are told apart by their number; a lookup gives the first
-of its shard.  Very long texts are encoded whole, a shard of their own if need
+Null texts are empty: the end id alone.  Null keys sort first and are kept: a
+record says how many it begins with.  Rows that repeat a key are told apart by
+their number and may fill several shards; a lookup gives the first.  Very long texts are encoded whole, a shard of their own if need
 be.  Only the key and text are read, whatever else the table has.  An empty table
 gives an empty store.
 """
@@ -30,9 +30,10 @@ from .common import map_batches, slices, staged
 from .textstats import mixed
 from .tokenization import PieceEncoder, crc_of
 
+#: Stands for null among the keys of a record; a key of this value is told apart by its place behind the nulls.
 NULL_KEY = -(1 << 63)
 SLOT = np.dtype([("print", "<u4"), ("offset", "<u4"), ("length", "<u4")])
-SCHEMA = "part int, shard int, first_key bigint, last_key bigint, n_docs int, n_ids bigint, keys binary, index binary, payload binary"
+SCHEMA = "part int, shard int, first_key bigint, last_key bigint, n_null int, n_docs int, n_ids bigint, keys binary, index binary, payload binary"
 #: A bucket of keys that has this bit holds its slot instead of a displacement.
 DIRECT = np.uint32(1 << 31)
 
@@ -112,15 +113,15 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = 1 <
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        keys: list[int] = []
+        keys: list[int | None] = []
         held: list[bytes] = []
         size = 0
 
         def record():
-            k = np.array(keys, np.int64)
+            k = np.array([NULL_KEY if x is None else x for x in keys], np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) // 2 for x in held])])
-            row = [part, shard, int(k[0]), int(k[-1]), len(k), int(offsets[-1]), k.astype("<i8").tobytes(), build_index(k, _numbers(k), offsets), b"".join(held)]
-            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            row = [part, shard, int(k[0]), int(k[-1]), keys.count(None), len(k), int(offsets[-1]), k.astype("<i8").tobytes(), build_index(k, _numbers(k), offsets), b"".join(held)]
+            types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
@@ -135,8 +136,10 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = 1 <
         if keys:
             yield record()
 
-    k = F.coalesce(F.col(key).cast("bigint"), F.lit(NULL_KEY))
-    ranged = docs.select(k.alias("key"), F.xxhash64("text").alias("tie"), "text").repartitionByRange("key", "tie").sortWithinPartitions("key", "tie").select("key", "text")
+    # rows equal in key and text can go anywhere among themselves, so that ranges may part them: they are numbered as they come
+    named = docs.select(F.col(key).cast("bigint").alias("key"), F.xxhash64("text").alias("tie"), "text").withColumn("nth", F.monotonically_increasing_id())
+    order = [F.asc_nulls_first("key"), F.asc("tie"), F.asc("nth")]
+    ranged = named.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
     return staged(map_batches(ranged, shards, SCHEMA), "shards")
 
 
@@ -161,18 +164,19 @@ def scan(store: DataFrame) -> DataFrame:
                     raise ValueError("a shard's index doesn't have one of its keys")
                 ids = np.frombuffer(row["payload"], "<u2")
                 crc = [crc_of(ids[a : a + n]) for a, n in zip(offset.tolist(), length.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(offset + row["start"]), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                null = np.arange(len(keys)) < row["n_null"]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(offset + row["start"]), pa.array(length), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    rows = store.join(starts(store), ["part", "shard"]).select("keys", "index", "payload", "start")
-    out = map_batches(rows, read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_KEY, F.col("doc_id")))
+    rows = store.join(starts(store), ["part", "shard"]).select("keys", "n_null", "index", "payload", "start")
+    return map_batches(rows, read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def lookup(store: DataFrame, keys: list[int]) -> DataFrame:
     """key and ids (array<int>) of the keys that the store has; shards that can't have one aren't read.
 
     A key's shard is found in the directory of first and last keys, its place by
-    the shard's index, and the key stored there is compared with it.
+    the shard's index, and the key stored there is compared with it.  Of a key in
+    several shards the first counts.
     """
     wanted = np.array(sorted(set(keys)), np.int64)
 
@@ -186,13 +190,13 @@ def lookup(store: DataFrame, keys: list[int]) -> DataFrame:
             for row in batch.to_pylist():
                 own = wanted[np.searchsorted(wanted, row["first_key"]) : np.searchsorted(wanted, row["last_key"], "right")]
                 if len(own):
-                    hit, offset, length = find(row["index"], own)
-                    hit &= np.isin(own, np.frombuffer(row["keys"], "<i8"))
+                    hit, offset, length = find(row["index"], own, np.where(own == NULL_KEY, row["n_null"], 0))
+                    hit &= np.isin(own, np.frombuffer(row["keys"], "<i8")[row["n_null"] :])
                     ids = np.frombuffer(row["payload"], "<u2")
                     found = [(int(k), ids[a : a + n].tolist()) for k, a, n, h in zip(own, offset, length, hit, strict=True) if h]
-                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int32()))], names=["key", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([row["part"] << 32 | row["shard"]] * len(found), pa.int64())], names=["key", "ids", "at"])
 
     directory = store.select("part", "shard", "first_key", "last_key")
     places = map_batches(directory, near, directory.schema).select("part", "shard")
-    rows = store.join(places, ["part", "shard"], "left_semi").select("first_key", "last_key", "keys", "index", "payload")
-    return map_batches(rows, read, "key bigint, ids array<int>")
+    rows = store.join(places, ["part", "shard"], "left_semi").select("part", "shard", "first_key", "last_key", "n_null", "keys", "index", "payload")
+    return map_batches(rows, read, "key bigint, ids array<int>, at bigint").groupBy("key").agg(F.min_by("ids", "at").alias("ids"))

@@ -73,6 +73,21 @@ def test_store_round_trip(make_docs):
     assert set(found) == {6, 8} and found[6] == [*library.encode("same text here for two", add_special_tokens=False).ids, 0]
 
 
+def test_least_key_is_not_null_and_repeated_keys_fill_shards(make_docs):
+    least = -(1 << 63)
+    rows = [(None, "no key"), (None, "none either"), (least, "the least key"), (least, "the least key again"), (5, "before")] + [(7, "the same words each time")] * 400 + [((1 << 63) - 1, "the greatest")]
+    store = token_store.write(make_docs(rows), public(BYTES), shard_ids=200)
+    got = token_store.scan(store).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got) == sorted((i is not None, i or 0) for i, _ in rows)
+    assert store.where("first_key = 7 AND last_key = 7").count() > 3
+    library = Tokenizer.from_file(public(BYTES))
+    ids = lambda t: [*library.encode(t, add_special_tokens=False).ids, 0]
+    found = token_store.lookup(store, [least, 5, 6, 7, (1 << 63) - 1]).collect()
+    assert len(found) == 4
+    found = dict(found)
+    assert found[least] in (ids("the least key"), ids("the least key again")) and found[5] == ids("before") and found[7] == ids("the same words each time") and found[(1 << 63) - 1] == ids("the greatest")
+
+
 def test_empty_tables(make_docs):
     assert token_store.scan(token_store.write(make_docs([]), public(BYTES))).collect() == []
     assert packing.pack(make_docs([]), public(WORDS)).collect() == []

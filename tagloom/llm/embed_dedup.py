@@ -100,6 +100,7 @@ def dedup(rows: DataFrame, cosine: float = 0.93, per_cell: int = 4096, block: in
     eps = math.sqrt(max(0.0, 2 - 2 * cosine)) + ROUNDING
 
     def dealt(batches):
+        apart: dict[str, np.ndarray] = {}  # distances between a label's pivots, once in a task
         for batch in batches:
             groups = np.array(batch.column("grp").to_pylist(), object)
             take, cell, inner = [], [], []
@@ -112,7 +113,9 @@ def dedup(rows: DataFrame, cosine: float = 0.93, per_cell: int = 4096, block: in
                 x = _matrix(batch.column("vec").take(pa.array(at)))
                 d2 = np.maximum(0, 2 - 2 * (x @ p.T))
                 near = d2.argmin(axis=1)
-                between = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))[near]
+                if g not in apart:
+                    apart[g] = np.sqrt(np.maximum(0, 2 - 2 * (p @ p.T)))
+                between = apart[g][near]
                 reach = d2 - d2[np.arange(len(x)), near][:, None] <= 2 * eps * between + ROUNDING
                 reach[np.arange(len(x)), near] = True
                 i, q = np.nonzero(reach)

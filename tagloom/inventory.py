@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from .functions import lexicon, parse, text, tokens
 from .operators import dictmap, entities, labels, models, multilabel, network, order, recommend, report, tagging, vocab
-from .plans import stages
-from .plans.config import Config
-from .plans.runner import STAGES, Context, Runner, StageResult
 from .queries import _CELLS, _PMI, _TITLE, _dropped, _edges, _in, _label_cells, _profile, _turns, query, table
 from .sources import readers, writers
 from .storage import shared_dir, staged
@@ -117,15 +114,6 @@ def allowed_labels_file(spark, sf_dir):
     return labels.with_support(rows, "n_name", 1, readers.allowed_labels(spark, path, "n_name"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'a.csv'), (3, 'c.parquet'), (4, 'd.csv')) AS t(number, name)")
-def discovered_sources(spark, sf_dir):
-    folder = _place(spark, "raw")
-    for name in ("d.csv", "b.csv", "notes.md", "c.parquet", "a.csv"):
-        writers._text(spark, f"{folder}/{name}", "x\n1\n")
-    found = readers.discovered(spark, folder, ("b.csv",))
-    return spark.createDataFrame([(i, p.rsplit("/", 1)[1]) for i, p in found], "number bigint, name string")
-
-
 @query("SELECT lang, count(*)::VARCHAR AS count FROM documents GROUP BY 1")
 def csv_report_files(spark, sf_dir):
     path = _place(spark, "report") + ".csv"
@@ -228,15 +216,6 @@ def multilabel_report(spark, sf_dir):
     return multilabel.evaluated(valid, multilabel.train(train, valid, ["doc_id"], "words", "cats"), "words", "cats")
 
 
-@query("SELECT 'download' AS stage, 'raw_dir' AS key, 'data/raw' AS value UNION ALL SELECT 'pmi', 'min_count', '15' UNION ALL SELECT 'pmi', 'min_pmi', '2.0'")
-def config_values(spark, sf_dir):
-    path = _place(spark, "config") + ".yaml"
-    writers._text(spark, path, "pipeline:\n  download:\n    raw_dir: data/raw\n  pmi:\n    min_count: 15\n    min_pmi: 1.0\n")
-    found = Config.parsed(spark.read.text(path, wholetext=True).first()[0])
-    rows = [(s, k, str(v)) for s, over in (("download", {}), ("pmi", {"min_pmi": 2.0})) for k, v in found.stage(s, **over).items()]
-    return spark.createDataFrame(rows, "stage string, key string, value string")
-
-
 @query(f"WITH {_PMI} SELECT count(DISTINCT node) AS nodes, (SELECT count(*) FROM edges) AS links, round((SELECT sum(pmi) FROM edges), 4) AS weight FROM near")
 def gexf_file(spark, sf_dir):
     path = _place(spark, "graph") + ".gexf"
@@ -268,17 +247,6 @@ def dictionary_top_targets(spark, sf_dir):
     return dictmap.summary(_variants(spark, sf_dir))[1]
 
 
-@query("SELECT * FROM (VALUES ('a.parquet', true), ('keep_me.parquet', false), ('map.json', false)) AS t(name, deleted)")
-def cleanup_files(spark, sf_dir):
-    folder = _place(spark, "clean")
-    for name in ("a.parquet", "keep_me.parquet", "map.json"):
-        writers._text(spark, f"{folder}/{name}", "x")
-    planned = writers.cleanup(spark, [f"{folder}/*"], ["keep_me"], dry_run=True, suffixes=(".parquet",))
-    done = writers.cleanup(spark, [f"{folder}/*"], ["keep_me"], suffixes=(".parquet",))
-    names = ("a.parquet", "keep_me.parquet", "map.json")
-    return spark.createDataFrame([(n, planned == done and not readers.exists(spark, f"{folder}/{n}")) for n in names], "name string, deleted boolean")
-
-
 # --- filters, sampling, columns ---------------------------------------------------------------------------------------
 
 
@@ -616,15 +584,6 @@ def term_list_file(spark, sf_dir):
     return readers.term_list(spark, path)
 
 
-@query("SELECT * FROM (VALUES ('a.html'), ('b.html')) AS t(name)")
-def published_files(spark, sf_dir):
-    folder, public = _place(spark, "viz"), _place(spark, "public")
-    for name in ("a.html", "b.html", "c.csv"):
-        writers._text(spark, f"{folder}/{name}", "x")
-    done = writers.publish(spark, f"{folder}/*.html", public)
-    return spark.createDataFrame([(n,) for n in done if readers.exists(spark, f"{public}/{n}")], "name string")
-
-
 @query("""WITH c AS (SELECT p_partkey, p_partkey % 256 AS r, (p_partkey * 7) % 256 AS g, (p_partkey * 31) % 256 AS b FROM part)
 SELECT p_partkey, printf('#%02x%02x%02x', (r + (255 - r) // 2)::BIGINT, (g + (255 - g) // 2)::BIGINT, (b + (255 - b) // 2)::BIGINT) AS light, printf('#%02x%02x%02x', (r + 0) // 2, (g + 128) // 2, (b + 255) // 2) AS mixed, '#6b7280' AS none FROM c""")
 def color_forms(spark, sf_dir):
@@ -639,29 +598,3 @@ def parse_comma_items(spark, sf_dir):
 
 
 # --- stages -----------------------------------------------------------------------------------------------------------
-
-
-@query("SELECT * FROM (VALUES ('absent', 1::BIGINT), ('fresh', 1), ('forced', 3), ('stale', 4)) AS t(state, rows)")
-def outputs_kept_and_redone(spark, sf_dir):
-    """Rows that a stage's output has after writing 1, 2, 3 and 4 rows where it is absent, fresh, forced, and older than its input."""
-    source, target = _place(spark, "in"), _place(spark, "out")
-    rows = []
-    for n, (state, force) in enumerate((("absent", False), ("fresh", False), ("forced", True), ("stale", False)), 1):
-        if state in ("absent", "stale"):
-            writers.parquet(spark.range(10), source)
-        stages._write(Context(spark, Config({"force": force})), spark.read.parquet(source).limit(n), target)
-        rows.append((state, spark.read.parquet(target).count()))
-    return spark.createDataFrame(rows, "state string, rows bigint")
-
-
-@query("SELECT * FROM (VALUES ('one', 'skipped'), ('two', 'success'), ('three', 'failed'), ('four', 'success')) AS t(stage, status)")
-def runner_results(spark, sf_dir):
-    held = dict(STAGES)
-    try:
-        STAGES["two"] = STAGES["four"] = lambda ctx, **_: StageResult("", "success")
-        STAGES["three"] = lambda ctx, **_: 1 / 0
-        found = Runner(spark, Config()).run(["one", "two", "three", "four"], stop_on_failure=False)
-    finally:
-        STAGES.clear()
-        STAGES.update(held)
-    return spark.createDataFrame([(n, r.status) for n, r in zip(("one", "two", "three", "four"), found, strict=True)], "stage string, status string")

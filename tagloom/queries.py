@@ -136,14 +136,23 @@ def order_preserving_dedupe(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_distinct("words"), " ").alias("distinct_words"))
 
 
-@query(f"""WITH map(k, v) AS (VALUES {_VALUES}) SELECT count(*) AS entries, count(*) FILTER (k = v) AS identities, count(*) FILTER (k <> v) AS merges, count(DISTINCT v) AS targets FROM map""")
+_MERGED = "map AS (SELECT p_name AS k, CASE WHEN min(p_size) % 5 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END AS v FROM part GROUP BY 1)"
+
+
+def _merged_names(spark, sf_dir):
+    """from, to: names of parts, most of them merged into their first word."""
+    names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("from")).agg(F.min("p_size").alias("size"))
+    return names.select("from", F.when(F.col("size") % 5 == 0, F.col("from")).otherwise(F.split_part("from", F.lit(" "), F.lit(1))).alias("to"))
+
+
+@query(f"WITH {_MERGED} SELECT count(*) AS entries, count(*) FILTER (k = v) AS identities, count(*) FILTER (k <> v) AS merges, count(DISTINCT v) AS targets FROM map")
 def dedupe_summary(spark, sf_dir):
-    return dictmap.summary(spark.createDataFrame(_DICTIONARY, "`from` string, `to` string"))[0]
+    return dictmap.summary(_merged_names(spark, sf_dir))[0]
 
 
-@query(f"""WITH map(k, v) AS (VALUES {_VALUES}) SELECT v AS "to", count(*) AS variants FROM map WHERE k <> v GROUP BY v""")
+@query(f"WITH {_MERGED} SELECT v AS \"to\", count(*) AS variants FROM map WHERE k <> v GROUP BY v ORDER BY variants DESC, v LIMIT 50")
 def dedupe_top_targets(spark, sf_dir):
-    return dictmap.summary(spark.createDataFrame(_DICTIONARY, "`from` string, `to` string"))[1]
+    return dictmap.summary(_merged_names(spark, sf_dir))[1]
 
 
 # --- text functions ---------------------------------------------------------------------------------------------------
@@ -695,13 +704,23 @@ def random_forest(spark, sf_dir):
     return models.predicted(models.forest(train, "lang"), test, "lang").select("doc_id", "y_true", "y_pred")
 
 
+def _svd(spark, sf_dir):
+    weights = staged(models.tfidf_weights(table(spark, sf_dir, "documents"), "doc_id", "text"), "weights")
+    entries, terms = models.indexed_terms(weights, "doc_id")
+    return *models.randomised_svd(entries, len(terms), 10), entries, terms
+
+
 @query()
 def svd_terms(spark, sf_dir):
-    rows, vocabulary = _features(spark, sf_dir)
-    values, vectors = models.latent(staged(rows.select("features"), "features"), 10)
-    found = models.component_terms(vectors, vocabulary, 10)
-    total = sum(v * v for v in values)
-    return spark.createDataFrame([(*r, values[r[0]] ** 2 / total) for r in found], "component int, direction string, rank int, term string, weight double, share double")
+    values, vectors, _, entries, terms = _svd(spark, sf_dir)
+    total = entries.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0] or 1.0
+    found = models.component_terms(vectors.tolist(), terms, 10)
+    return spark.createDataFrame([(*r, float(values[r[0]]) ** 2 / total) for r in found], "component int, direction string, rank int, term string, weight double, share double")
+
+
+@query()
+def svd_projections(spark, sf_dir):
+    return _svd(spark, sf_dir)[2].withColumnRenamed("key", "doc_id")
 
 
 # --- streaming --------------------------------------------------------------------------------------------------------

@@ -358,6 +358,19 @@ def test_without_the_llm_subpackage(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}).returncode == 0
 
 
+def test_randomised_svd_equals_the_dense_one(spark):
+    rng = np.random.default_rng(4)
+    a = (rng.random((150, 40)) < 0.2) * rng.random((150, 40)) + np.outer(rng.random(150), rng.random(40)) * 0.5
+    entries = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(150) for j in range(40) if a[i, j]], "key int, feature int, weight double").repartition(6)
+    values, vectors, projections = models.randomised_svd(entries, 40, 5, 15, rounds=12)
+    _, want, right = np.linalg.svd(a)
+    assert np.allclose(values, want[:5], rtol=1e-6) and np.allclose(np.abs((vectors * right[:5]).sum(axis=1)), 1, atol=1e-4)
+    got = {r["key"]: r["projection"] for r in projections.collect()}
+    assert len(got) == 150 and all(np.allclose(got[i], a[i] @ vectors.T) for i in range(150))
+    none = models.randomised_svd(entries.limit(0), 0, 3)
+    assert none[0].size == 0 and none[2].count() == 0
+
+
 def test_threads_keep_their_own_tables(spark):
     import threading
 

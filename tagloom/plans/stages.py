@@ -330,18 +330,19 @@ def analysis_baseline(ctx: Context, **overrides) -> StageResult:
     models.forest(train, "label", most=int(p.get("rf_max_samples", 20_000)), key="__row").write().overwrite().save(f"{where}/random_forest")
     grouped = staged(models.clustered(featured, int(p.get("kmeans_k", 10))).select("__row", "child", "label", "features", "cluster"), "clusters")
     writers.csv_report(grouped.select(F.col("child").alias("cuisine"), F.col("label").alias("cuisine_parent"), "cluster"), f"{where}/clusters")
-    from pyspark.ml.functions import vector_to_array
-
-    dense = grouped.withColumn("v", vector_to_array("features"))
+    entries = staged(models.vector_entries(featured, "__row"), "entries")
     space = "label" if flag(p.get("cluster_use_parent_labels")) else "child"
-    measures = {"kmeans_k": int(p.get("kmeans_k", 10)), "silhouette": report.squared_silhouette(dense, "v", "cluster").first()[0], "ari": report.adjusted_rand(grouped, space, "cluster").first()[0], "ari_label_space": "parent" if space == "label" else "child"}
+    measures = {"kmeans_k": int(p.get("kmeans_k", 10)), "silhouette": report.sparse_silhouette(entries, grouped.select(F.col("__row").alias("key"), "cluster")).first()[0], "ari": report.adjusted_rand(grouped, space, "cluster").first()[0], "ari_label_space": "parent" if space == "label" else "child"}
     writers.csv_report(ctx.spark.createDataFrame([tuple(measures.values())], "kmeans_k int, silhouette double, ari double, ari_label_space string"), f"{where}/metrics")
     if flag(p.get("use_svd")):
-        values, vectors = models.latent(featured, int(p.get("svd_components", 300)))
-        total = sum(v * v for v in values)
-        shares = ctx.spark.createDataFrame([(i, v * v / total) for i, v in enumerate(values)], "component int, explained_variance_ratio double")
+        values, vectors, projections = models.randomised_svd(entries, len(words), int(p.get("svd_components", 300)))
+        total = entries.agg(F.sum(F.col("weight") * F.col("weight"))).first()[0] or 1.0
+        shares = ctx.spark.createDataFrame([(i, float(v * v / total)) for i, v in enumerate(values)], "component int, explained_variance_ratio double")
         writers.csv_report(models.cumulative_share(shares, "explained_variance_ratio", "component"), f"{where}/svd_variance")
-        writers.csv_report(ctx.spark.createDataFrame(models.component_terms(vectors, words, int(p.get("svd_top_terms", 15))), "component int, direction string, rank int, term string, weight double"), f"{where}/svd_terms")
+        writers.csv_report(ctx.spark.createDataFrame(models.component_terms(vectors.tolist(), words, int(p.get("svd_top_terms", 15))), "component int, direction string, rank int, term string, weight double"), f"{where}/svd_terms")
+        sample = order.sampled(projections.withColumnRenamed("key", "__row"), "__row", n=int(p.get("svd_sample", 5000)))
+        sample = sample.join(featured.select("__row", "label", "child"), "__row").select("__row", F.col("child").alias("cuisine"), F.col("label").alias("cuisine_parent"), *[F.get("projection", F.lit(i)).alias(f"svd_{i + 1}") for i in range(min(2, len(values)))])
+        writers.csv_report(sample, f"{where}/svd_projections")
     return StageResult("analysis_baseline", "success", {"reports": where}, measures)
 
 

@@ -358,6 +358,20 @@ def test_without_the_llm_subpackage(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}).returncode == 0
 
 
+def test_sparse_silhouette_equals_the_dense_one(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([0.0, 0.0, 1.0, 2.5]) + (j == i % 3) for j in range(6)], i % 3) for i in range(40)] + [(90, [0.0] * 6, 1), (91, [1.0] * 6, 7)]
+    df = spark.createDataFrame(rows, "key int, v array<double>, cluster int")
+    entries = models.vector_entries(df.withColumn("features", array_to_vector("v")), "key")
+    want = report.squared_silhouette(df, "v", "cluster").first()[0]
+    assert report.sparse_silhouette(entries, df).first()[0] == pytest.approx(want)
+    sparse = spark.createDataFrame([(k, Vectors.sparse(6, {j: x for j, x in enumerate(v) if x})) for k, v, _ in rows], ["key", "features"])
+    assert sorted(map(tuple, models.vector_entries(sparse, "key").collect())) == sorted((k, j, x) for k, v, _ in rows for j, x in enumerate(v) if x) == sorted(map(tuple, entries.collect()))
+
+
 def test_randomised_svd_equals_the_dense_one(spark):
     rng = np.random.default_rng(4)
     a = (rng.random((150, 40)) < 0.2) * rng.random((150, 40)) + np.outer(rng.random(150), rng.random(40)) * 0.5

@@ -30,6 +30,10 @@ DESCRIPTIVE = (
     "virgin", "golden", "dark", "light", "skinless", "boneless",
 )
 UNITS = ("cup", "cups", "tbsp", "tablespoon", "tablespoons", "tsp", "teaspoon", "teaspoons", "g", "kg", "oz", "ounce", "ounces", "ml", "l", "lb", "lbs", "pound", "pounds")
+#: Heads that say little alone: one modifier stays with them.
+GENERIC_HEADS = ("powder", "sauce", "paste", "oil", "vinegar", "cheese")
+#: Words that end the part of a phrase in which its head is.
+FUNCTION_WORDS = ("in", "with", "for", "from", "or", "and", "to", "without", "as", "on", "at", "by", "such", "like", "plus")
 #: Phrases too general to stand for others.
 GENERIC = ("salt", "sea salt", "water", "oil", "sugar", "pepper")
 #: Words that don't count as an overlap of phrases.

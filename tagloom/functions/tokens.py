@@ -81,6 +81,40 @@ def head_words(phrase: Column) -> Column:
     return F.when(F.size(kept) > 0, F.array_join(tail, " "))
 
 
+def _tags(ws: Column) -> Column:
+    """A letter for each word: O of, F other function words and commas, U numbers and units, D descriptive words, M participles and adverbs, W what may be a noun."""
+
+    def tag(w: Column) -> Column:
+        known = F.when(w == "of", "O").when(w.isin(",", *lexicon.FUNCTION_WORDS), "F").when(w.isin(*lexicon.UNITS) | w.rlike(r"^\d+$"), "U").when(w.isin(*lexicon.DESCRIPTIVE), "D")
+        return known.when(w.rlike("^(.{3,}ed|.{4,}ing|.{3,}ly)$"), "M").otherwise("W")
+
+    return F.array_join(F.transform(ws, tag), "")
+
+
+def head_phrase(phrase: Column) -> Column:
+    """The head of a phrase with its compounds: the last run of nouns before the first function word or comma.
+
+    Where there is none and "of" follows (2 cups of flour), the part behind it
+    counts.  A generic head alone takes the nearest participle before it that isn't
+    descriptive.  Without a noun the last two words that count stand for the phrase;
+    null if none is left.
+    """
+    ws = F.regexp_extract_all(F.lower(F.coalesce(phrase, F.lit(""))), F.lit("([a-z0-9]+|,)"), F.lit(1))
+    tags = _tags(ws)
+    first = F.regexp_extract(tags, "^[^FO]*", 0)
+    second = F.regexp_extract(tags, "^[^FO]*O([^FO]*)", 1)
+    plain = first.contains("W")
+    part = F.when(plain, first).otherwise(second)
+    start = F.when(plain, 0).otherwise(F.length(first) + 1)
+    run = F.length(F.regexp_extract(part, "(W+)[^W]*$", 1))
+    at = start + F.length(F.regexp_extract(part, "^(.*?)W+[^W]*$", 1))
+    nouns = F.slice(ws, at + 1, run)
+    before = F.regexp_extract(F.substring(tags, start + 1, at - start), "M[^M]*$", 0)
+    modifier = F.get(ws, at - F.length(before))
+    generic = (run == 1) & F.get(ws, at).isin(*lexicon.GENERIC_HEADS) & (F.length(before) > 0)
+    return F.when(run == 0, head_words(phrase)).when(generic, F.concat_ws(" ", modifier, F.get(ws, at))).otherwise(F.array_join(nouns, " "))
+
+
 def lookup(token: Column, table: Column) -> Column:
     """A dictionary column's entry for a token, or the token."""
     return F.coalesce(F.try_element_at(table, token), token)

@@ -175,6 +175,52 @@ def training_epoch(spark, sf_dir):
     return readers.training_epoch(_training(spark, sf_dir), ["p_partkey", "pos"], 3, most=150).select("p_partkey", "pos", F.col("place").cast("bigint").alias("place"))
 
 
+def _walk(n: str, seed: int) -> str:
+    """SQL of the keyed permutation of x among n rows, on a grid of a lines and b columns."""
+    digest = lambda k, v: f"('0x' || substr(md5('{seed}:{k}:' || ({v})::VARCHAR), 1, 8))::BIGINT"
+
+    def moved(x: str) -> str:
+        line, column = f"({x} // b)", f"({x} % b)"
+        for k in (0, 2):
+            line = f"(({line} + {digest(k, column)}) % a)"
+            column = f"(({column} + {digest(k + 1, line)}) % b)"
+        return f"({line} * b + {column})"
+
+    return f"list_reduce(list_concat([{moved('x')}], range(0, 64)), lambda x, step: CASE WHEN x < {n} THEN x ELSE {moved('x')} END)"
+
+
+@query(f"""WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS x FROM part), g AS (SELECT n, ceil(sqrt(n))::BIGINT AS a, ceil(n / ceil(sqrt(n)))::BIGINT AS b FROM (SELECT count(*) AS n FROM part)),
+p AS (SELECT p_partkey, {_walk("n", 45)} AS place FROM r, g)
+SELECT p_partkey, place % 3 AS worker, place FROM p""")
+def epoch_by_worker(spark, sf_dir):
+    rows = order.numbered(table(spark, sf_dir, "part").select("p_partkey"), [F.col("p_partkey")], "x", 0)
+    n = rows.count()
+    parts = [readers.epoch_of_worker(rows, "x", n, 3, worker, 3).select("p_partkey", F.lit(worker).cast("bigint").alias("worker"), "place") for worker in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_PHRASES = "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '2 cups of ' || p_name WHEN 1 THEN p_type || ' with ' || p_name WHEN 2 THEN 'Finely chopped ' || p_name || ' Oil' WHEN 3 THEN '3 large ' || split_part(p_name, ' ', 1) || 'ed powder, ' || p_type ELSE '2 tbsp' END AS t FROM part"
+
+
+def _list(items) -> str:
+    return ", ".join(f"'{x}'" for x in items)
+
+
+@query(rf"""WITH p AS ({_PHRASES}), w AS (SELECT p_partkey, regexp_extract_all(lower(t), '([a-z0-9]+|,)', 1) AS ws FROM p),
+t AS (SELECT *, array_to_string(list_transform(ws, lambda x: CASE WHEN x = 'of' THEN 'O' WHEN x IN (',', {_list(lexicon.FUNCTION_WORDS)}) THEN 'F' WHEN x IN ({_list(lexicon.UNITS)}) OR regexp_matches(x, '^\d+$') THEN 'U' WHEN x IN ({_list(lexicon.DESCRIPTIVE)}) THEN 'D' WHEN regexp_matches(x, '^(.{{3,}}ed|.{{4,}}ing|.{{3,}}ly)$') THEN 'M' ELSE 'W' END), '') AS tags FROM w),
+c AS (SELECT *, regexp_extract(tags, '^[^FO]*') AS one, regexp_extract(tags, '^[^FO]*O([^FO]*)', 1) AS two FROM t),
+d AS (SELECT *, CASE WHEN contains(one, 'W') THEN one ELSE two END AS part, CASE WHEN contains(one, 'W') THEN 0 ELSE length(one) + 1 END AS start FROM c),
+r AS (SELECT *, length(regexp_extract(part, '(W+)[^W]*$', 1)) AS run, start + length(regexp_extract(part, '^(.*?)W+[^W]*$', 1)) AS spot FROM d),
+b AS (SELECT *, length(regexp_extract(substr(tags, start + 1, spot - start), 'M[^M]*$')) AS before, list_filter(ws, lambda x: x <> ',' AND NOT (x IN ({_list(lexicon.DESCRIPTIVE)}) OR x IN ({_list(lexicon.UNITS)}) OR regexp_matches(x, '^\d+$'))) AS kept FROM r)
+SELECT p_partkey, CASE WHEN run = 0 THEN CASE WHEN len(kept) > 0 THEN array_to_string(kept[greatest(len(kept) - 1, 1):], ' ') END WHEN run = 1 AND ws[spot + 1] IN ({_list(lexicon.GENERIC_HEADS)}) AND before > 0 THEN ws[spot - before + 1] || ' ' || ws[spot + 1] ELSE array_to_string(ws[spot + 1:spot + run], ' ') END AS head FROM b""")
+def head_phrases(spark, sf_dir):
+    name, kind = F.col("p_name"), F.col("p_type")
+    first = F.split_part("p_name", F.lit(" "), F.lit(1))
+    k = F.col("p_size") % 5
+    text = F.when(k == 0, F.concat(F.lit("2 cups of "), name)).when(k == 1, F.concat(kind, F.lit(" with "), name)).when(k == 2, F.concat(F.lit("Finely chopped "), name, F.lit(" Oil"))).when(k == 3, F.concat(F.lit("3 large "), first, F.lit("ed powder, "), kind)).otherwise("2 tbsp")
+    return table(spark, sf_dir, "part").select("p_partkey", tokens.head_phrase(text).alias("head"))
+
+
 @query(f"""WITH kept AS (SELECT p_type FROM part GROUP BY 1 HAVING count(*) >= 30)
 SELECT p_partkey, (pos - 1)::INTEGER AS pos, x AS text, p_type, CASE WHEN {_hash('42', 'p_partkey', '(pos - 1)')} < 858993459 THEN 'valid' ELSE 'train' END AS split
 FROM (SELECT p_partkey, p_type, unnest(string_split(p_name, ' ')) AS x, generate_subscripts(string_split(p_name, ' '), 1) AS pos FROM part) JOIN kept USING (p_type)""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,30 @@ def numbered(df: DataFrame, order: list[Column], name: str, start: int = 1) -> D
     return out.withColumn(name, F.col("__before") + place + start).drop("__mark", "__part", "__before")
 
 
+def permuted(place: Column, n: int, seed: int, rounds: int = 4) -> Column:
+    """Where a keyed permutation of 0 .. n - 1 puts a place: by arithmetic on the place alone, without a sort or shuffle.
+
+    A Feistel network on a grid of n or a few more cells: line and column change in
+    turn by digests of the other, which can be undone, so no two cells meet.  A place
+    that leaves the range walks on until it is back, in at most as many steps as the
+    grid has cells too many.
+    """
+    lines = math.isqrt(max(n - 1, 0)) + 1
+    columns = -(-n // lines) if n else 1
+    digest = lambda k, x: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit(k), x.cast("string"))), 1, 8), 16, 10).cast("bigint")
+
+    def moved(x: Column) -> Column:
+        line, column = F.floor(x / columns).cast("bigint"), F.pmod(x, F.lit(columns))
+        for k in range(0, rounds, 2):
+            line = F.pmod(line + digest(k, column), F.lit(lines))
+            column = F.pmod(column + digest(k + 1, line), F.lit(columns))
+        return line * columns + column
+
+    x = moved(place.cast("bigint"))
+    over = lines * columns - n  # fewer than lines; so many steps could be needed, 64 never are: one step misses with a chance of 1 / columns
+    return x if not over else F.aggregate(F.sequence(F.lit(1), F.lit(min(over, 64))), x, lambda at, _: F.when(at < n, at).otherwise(moved(at)))
+
+
 def running(df: DataFrame, order: Column, *values: str) -> DataFrame:
     """df with the sums of values over all rows before (before_<value>), in the given total order; partitions' sums alone meet in one task."""
     ranged = staged(df.repartitionByRange(order).withColumn("__pid", F.spark_partition_id()), "ranged")

@@ -131,13 +131,16 @@ def _normalized(ctx: Context, name: str, lists: DataFrame, column: str, key: lis
 
 @stage
 def ingredient_normalization(ctx: Context, **overrides) -> StageResult:
-    """Lists of the entity corpus: rule-based names, similarity dictionary, encoder."""
+    """Lists of the entity corpus: rule-based names, similarity dictionary, encoder.
+
+    normalizer: "head" for a phrase's head with its compounds; otherwise the last words that count.
+    """
     cfg = ctx.config.stage("ingredient_normalization", **overrides)
     path, column = required(cfg, "ingredient_normalization", "data.input_path", "data.ner_col")
     lists = staged(readers.list_column(ctx.spark, ctx.config.path(path), column).withColumn("row_id", F.monotonically_increasing_id()), "lists")
     clean = (cfg.get("output") or {}).get("list_col_for_vocab") or "NER_clean"
     lists = lists.withColumnRenamed(column, clean) if clean != column else lists
-    return _normalized(ctx, "ingredient_normalization", lists, clean, ["row_id"], cfg, lambda t: tokens.head_words(text.raw_text(t)))
+    return _normalized(ctx, "ingredient_normalization", lists, clean, ["row_id"], cfg, lambda t: (tokens.head_phrase if cfg.get("normalizer") == "head" else tokens.head_words)(text.raw_text(t)))
 
 
 @stage

@@ -178,6 +178,20 @@ def training_epoch(docs: DataFrame, key: list[str], epoch: int, seed: int = 42,
     return out if most is None else out.where(F.col("place") <= most)
 
 
+def epoch_of_worker(docs: DataFrame, number: str, n: int, epoch: int, worker: int, workers: int, seed: int = 42, most: int | None = None) -> DataFrame:
+    """The rows that one of several workers reads in an epoch, with their place in its order; each epoch has another order, the same at every run.
+
+    number: a column that numbers docs' n rows from 0.  The place comes from the
+    number by a keyed permutation, so nothing is sorted, and workers agree without
+    speaking to each other.  most: rows of the epoch at most, over all workers.
+    """
+    from ..operators.order import permuted
+
+    place = permuted(F.col(number), n, seed + epoch)
+    out = docs.withColumn("place", place).where(F.pmod("place", F.lit(workers)) == worker)
+    return out if most is None else out.where(F.col("place") < most)
+
+
 def discovered(spark: SparkSession, folder: str, excluded: tuple[str, ...] = ()) -> list[tuple[int, str]]:
     """(number, path) of the CSV and Parquet files of a folder by name; excluded ones keep their number."""
     where, fs = _fs(spark, folder)

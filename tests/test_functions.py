@@ -95,6 +95,15 @@ def test_head_words(spark, phrase, want):
     assert one(spark, tokens.head_words, phrase) == want
 
 
+@pytest.mark.parametrize(("phrase", "want"), [
+    ("2 cups chopped fresh basil leaves", "basil leaves"), ("3 cups of all-purpose flour", "all purpose flour"), ("smoked powder", "smoked powder"), ("chopped powder", "powder"),
+    ("tomato paste", "tomato paste"), ("chicken thighs, cut in pieces", "chicken thighs"), ("roasted red peppers in olive oil", "red peppers"), ("salt and pepper", "salt"), ("1 cup", None), ("", None), (None, None),
+    ("with", "with"), ("aged cheese of france", "aged cheese"), ("freshly squeezed", "freshly squeezed"),
+])
+def test_head_phrase(spark, phrase, want):
+    assert one(spark, tokens.head_phrase, phrase) == want
+
+
 def test_similarity_of_phrases(spark):
     both = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(text.levenshtein_ratio(F.col("a"), F.col("b")), text.should_merge(F.col("a"), F.col("b"))).first()
     assert both("tomato", "tomatoe") == (1 - 1 / 7, True) and both("", "x") == (0.0, False)

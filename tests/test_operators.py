@@ -358,6 +358,19 @@ def test_without_the_llm_subpackage(tmp_path):
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}).returncode == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 50, 1009])
+def test_epochs_are_permutations_dealt_to_workers(spark, n):
+    rows = spark.range(n).withColumnRenamed("id", "x")
+    orders = []
+    for epoch in (0, 1):
+        parts = [readers.epoch_of_worker(rows, "x", n, epoch, w, 4).collect() for w in range(4)]
+        assert all(r["place"] % 4 == w for w, part in enumerate(parts) for r in part)
+        orders.append({r["x"]: r["place"] for part in parts for r in part})
+        assert sorted(orders[-1].values()) == list(range(n)) and len(orders[-1]) == n
+    assert n < 50 or sum(orders[0][x] == orders[1][x] for x in range(n)) < n / 4
+    assert readers.epoch_of_worker(rows, "x", n, 0, 0, 1, most=3).count() == min(n, 3)
+
+
 def test_sparse_silhouette_equals_the_dense_one(spark):
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.linalg import Vectors

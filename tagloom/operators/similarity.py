@@ -7,6 +7,8 @@ that very many names share are dealt over tasks.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -166,25 +168,27 @@ def token_pairs(phrases: DataFrame, phrase: str, vector: str, threshold: float,
     return met.select(F.col("p_a").alias("phrase_a"), F.col("p_b").alias("phrase_b"), "cosine")
 
 
-def leaders(nodes: DataFrame, edges: DataFrame, node: str, rank: str, a: str, b: str, rounds: int = 200) -> DataFrame:
+def leaders(nodes: DataFrame, edges: DataFrame, node: str, rank: str, a: str, b: str, rounds: int | None = None) -> DataFrame:
     """node, leader of first-fit leader clustering: in rank order a node joins the first leader it has an edge to, or becomes one.
 
     Resolved in rounds: a node all of whose lower neighbours are no leaders becomes
-    one; a node with a leader among them becomes none.  Each round is a join.
+    one; a node with a leader among them becomes none.  Each round is a join and
+    decides one node at least; ranks in no relation to the edges take few rounds, a
+    chain of n nodes in order of their ranks takes n.  rounds: refuses more.
     """
     ranks = staged(nodes.select(F.col(node).alias("v"), F.col(rank).alias("r")), "ranks")
     both = edges.select(F.col(a).alias("v"), F.col(b).alias("u")).union(edges.select(F.col(b), F.col(a)))
     low = both.join(ranks, "v").join(ranks.select(F.col("v").alias("u"), F.col("r").alias("ru")), "u").where("ru < r").select("v", "u", "ru").distinct()
     low = staged(low, "lower")
     state = staged(ranks.join(low.select("v").distinct().withColumn("__l", F.lit(True)), "v", "left").select("v", F.when(F.col("__l").isNull(), 1).otherwise(0).alias("s")), "state")
-    for _ in range(rounds):
+    for turn in itertools.count():
         if not state.where("s = 0").limit(1).count():
             break
+        if turn == rounds:
+            raise RuntimeError(f"nodes are still open after {rounds} rounds")
         seen = low.join(state.select(F.col("v").alias("u"), F.col("s").alias("su")), "u").groupBy("v").agg(F.max(F.when(F.col("su") == 1, 1).otherwise(0)).alias("some"), F.min(F.when(F.col("su") == 2, 1).otherwise(0)).alias("none"))
         fresh = state.join(seen, "v", "left").select("v", F.when(F.col("s") != 0, F.col("s")).when(F.col("some") == 1, 2).when(F.col("none") == 1, 1).otherwise(0).alias("s"))
         state = staged(fresh, "state")
-    else:
-        raise RuntimeError(f"nodes are still open after {rounds} rounds")
     first = low.join(state.where("s = 1").select(F.col("v").alias("u")), "u", "left_semi").groupBy("v").agg(F.min_by("u", "ru").alias("leader"))
     out = state.join(first, "v", "left").select(F.col("v").alias(node), F.when(F.col("s") == 1, F.col("v")).otherwise(F.col("leader")).alias("leader"))
     return out

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
-import re
-from xml.sax.saxutils import quoteattr
+import uuid
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import numbered
+from ..storage import staged
 from .readers import _fs
 
 
@@ -30,40 +32,95 @@ def _text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def encoder_json(encoder: DataFrame, id_to_token: str, token_to_id: str, most: int = 5_000_000) -> None:
-    """An encoder as two JSON objects, <UNK> first; larger encoders stay Parquet."""
-    rows = encoder.select("id", "token").orderBy("id").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("the encoder is too large for a JSON object")
-    pairs = [(0, "<UNK>"), *((r[0], r[1]) for r in rows)]
-    _text(encoder.sparkSession, id_to_token, json.dumps({str(i): t for i, t in pairs}, ensure_ascii=False))
-    _text(encoder.sparkSession, token_to_id, json.dumps({t: i for i, t in pairs}, ensure_ascii=False))
+def _joined(lines: DataFrame, order: list, path: str, head: str, between: str, tail: str) -> None:
+    """One text of head, the column `value` in order, and tail.
+
+    Tasks write sorted parts; then these are copied behind one another, stream to
+    stream, so no row comes to the driver's memory whatever their number.
+    """
+    spark = lines.sparkSession
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.option("lineSep", between).text(parts)
+    folder, fs = _fs(spark, parts)
+    where, target = _fs(spark, path)
+    files = sorted((s.getPath().getName(), s.getLen()) for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-") and s.getLen())
+    out = target.create(where, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for i, (name, size) in enumerate(files):
+            # what stands behind the last line goes
+            size -= len(between.encode()) if i == len(files) - 1 else 0
+            source = fs.open(_fs(spark, f"{parts}/{name}")[0])
+            try:
+                spark.sparkContext._jvm.org.apache.commons.io.IOUtils.copyLarge(source, out, 0, size)
+            finally:
+                source.close()
+        out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+        fs.delete(folder, True)
+
+
+def _quoted(column: str) -> Column:
+    """A string column as a JSON string."""
+    cell = F.to_json(F.struct(F.col(column).cast("string").alias("x")))
+    return F.substring(cell, F.lit(6), F.length(cell) - 6)
+
+
+def encoder_json(encoder: DataFrame, id_to_token: str, token_to_id: str) -> None:
+    """An encoder as two JSON objects, <UNK> first; tokens by id."""
+    rows = encoder.select("id", "token").where("token IS NOT NULL").unionByName(encoder.sparkSession.createDataFrame([(0, "<UNK>")], "id bigint, token string"))
+    order = [F.col("id"), F.col("token")]
+    _joined(rows.withColumn("value", F.concat(_quoted("id"), F.lit(": "), _quoted("token"))), order, id_to_token, "{", ", ", "}")
+    _joined(rows.withColumn("value", F.concat(_quoted("token"), F.lit(": "), F.col("id").cast("string"))), order, token_to_id, "{", ", ", "}")
 
 
 def csv_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def gexf(edges: DataFrame, path: str, a: str = "ingredient_a", b: str = "ingredient_b", weight: str = "pmi", most: int = 5_000_000) -> None:
-    """A GEXF file of a thresholded graph."""
-    rows = edges.select(a, b, weight).orderBy(a, b).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("the graph is too large for a GEXF file")
-    nodes = sorted({n for r in rows for n in r[:2]})
-    lines = ['<?xml version="1.0" encoding="utf-8"?>', '<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="undirected">', "<nodes>"]
-    lines += [f"<node id={quoteattr(n)} label={quoteattr(n)}/>" for n in nodes] + ["</nodes>", "<edges>"]
-    lines += [f'<edge id="{i}" source={quoteattr(r[0])} target={quoteattr(r[1])} weight="{float(r[2])!r}"/>' for i, r in enumerate(rows)]
-    _text(edges.sparkSession, path, "\n".join([*lines, "</edges>", "</graph></gexf>"]))
+def _attribute(column: str) -> Column:
+    """A string column as a quoted XML attribute."""
+    out = F.col(column).cast("string")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;"), ("\r", "&#13;"), ("\t", "&#9;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return F.concat(F.lit('"'), out, F.lit('"'))
+
+
+def gexf(edges: DataFrame, path: str, a: str = "ingredient_a", b: str = "ingredient_b", weight: str = "pmi") -> None:
+    """A GEXF file of a graph: nodes by name, then edges by their ends."""
+    rows = staged(edges.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col(weight).cast("double").alias("w")), "edges")
+    nodes = rows.select(F.col("a").alias("n")).union(rows.select("b")).distinct()
+    texts = nodes.select(F.lit(1).alias("kind"), F.col("n").alias("a"), F.lit("").alias("b"), F.concat(F.lit("<node id="), _attribute("n"), F.lit(" label="), _attribute("n"), F.lit("/>")).alias("value"))
+    listed = numbered(rows, [F.col("a"), F.col("b"), F.col("w")], "i", 0)
+    edge = F.concat(F.lit('<edge id="'), F.col("i").cast("string"), F.lit('" source='), _attribute("a"), F.lit(" target="), _attribute("b"), F.lit(' weight="'), F.col("w").cast("string"), F.lit('"/>'))
+    texts = texts.union(listed.select(F.lit(3), "a", F.concat("b", F.lpad(F.col("i").cast("string"), 20, "0")), edge))
+    # a line between the two lists
+    texts = texts.union(rows.sparkSession.createDataFrame([(2, "", "", "</nodes>\n<edges>")], "kind int, a string, b string, value string"))
+    head = '<?xml version="1.0" encoding="utf-8"?>\n<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph defaultedgetype="undirected">\n<nodes>\n'
+    _joined(texts, [F.col("kind"), F.col("a"), F.col("b")], path, head, "\n", "\n</edges>\n</graph></gexf>")
 
 
 def fusion_files(fusions: DataFrame, folder: str) -> list[str]:
-    """A JSON file for every pair, named by the labels' letters and digits."""
-    slug = lambda x: re.sub(r"[\W_]", "", x) or "label"
+    """A JSON file for every pair, named by the labels' letters and digits; pairs of one name share a file, the first by labels.
+
+    Tasks write the files, each in a folder of its own; the driver only moves them.
+    """
+    spark = fusions.sparkSession
+    slug = lambda c: F.coalesce(F.nullif(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""), F.lit("")), F.lit("label"))
+    rows = fusions.select(F.concat(F.lit("fusion_"), slug(F.col("label_a")), F.lit("_"), slug(F.col("label_b"))).alias("file"), F.to_json(F.struct("pair", "bridges", "novel_from_a", "novel_from_b")).alias("value"), F.struct("label_a", "label_b").alias("k"))
+    parts = f"{folder.rstrip('/')}/parts-{uuid.uuid4().hex}"
+    rows.groupBy("file").agg(F.min_by("value", "k").alias("value")).write.partitionBy("file").option("lineSep", "\n").text(parts)
+    where, fs = _fs(spark, parts)
     out = []
-    for r in fusions.withColumn("report", F.to_json(F.struct("pair", "bridges", "novel_from_a", "novel_from_b"))).select("label_a", "label_b", "report").toLocalIterator():
-        out.append(f"{folder.rstrip('/')}/fusion_{slug(r[0])}_{slug(r[1])}.json")
-        _text(fusions.sparkSession, out[-1], r[2])
-    return out
+    for status in fs.globStatus(_fs(spark, f"{parts}/file=*/part-*")[0]) or []:
+        name = unquote(status.getPath().getParent().getName().removeprefix("file="))
+        out.append(f"{folder.rstrip('/')}/{name}.json")
+        target = _fs(spark, out[-1])[0]
+        fs.delete(target, False)
+        fs.rename(status.getPath(), target)
+    fs.delete(where, True)
+    return sorted(out)
 
 
 def shards(df: DataFrame, path: str, rows: int = 2000, by: str = "split") -> None:

@@ -332,6 +332,18 @@ def test_files_of_graphs_and_encoders(spark, tmp_path):
     assert "a &amp; b" in (tmp_path / "g.gexf").read_text()
     writers.encoder_json(spark.createDataFrame([(1, "é")], "id bigint, token string"), str(tmp_path / "i.json"), str(tmp_path / "t.json"))
     assert json.loads((tmp_path / "t.json").read_text()) == {"<UNK>": 0, "é": 1}
+    odd = [(i, f'x{i} "quoted" \\ é, \n\t') for i in range(1, 300)]
+    writers.encoder_json(spark.createDataFrame(odd, "id bigint, token string").repartition(7), str(tmp_path / "i.json"), str(tmp_path / "t.json"))
+    assert list(json.loads((tmp_path / "i.json").read_text()).items()) == [("0", "<UNK>"), *((str(i), t) for i, t in odd)]
+    assert json.loads((tmp_path / "t.json").read_text()) == {"<UNK>": 0} | {t: i for i, t in odd}
+    import xml.etree.ElementTree as xml
+
+    writers.gexf(spark.createDataFrame([(f"n{i % 50}", f'm"{i}<', i / 7) for i in range(200)], "ingredient_a string, ingredient_b string, pmi double").repartition(5), str(tmp_path / "h.xml"))
+    tree = xml.parse(tmp_path / "h.xml").getroot()
+    at = "{http://www.gexf.net/1.2draft}"
+    assert [n.get("id") for n in tree.iter(f"{at}node")] == sorted({f"n{i % 50}" for i in range(200)} | {f'm"{i}<' for i in range(200)})
+    assert [(int(e.get("id")), e.get("source"), e.get("target"), float(e.get("weight"))) for e in tree.iter(f"{at}edge")] == [(k, *x) for k, x in enumerate(sorted((f"n{i % 50}", f'm"{i}<', i / 7) for i in range(200)))]
+    assert not list(tmp_path.glob("*.parts-*"))
     assert writers.cleanup(spark, [str(tmp_path / "*.gexf")], dry_run=True) and (tmp_path / "g.gexf").exists()
     assert writers.cleanup(spark, [str(tmp_path / "*.gexf")], keep=["g.gexf"]) == []
     writers.cleanup(spark, [str(tmp_path / "*.gexf")])

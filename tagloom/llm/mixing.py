@@ -11,7 +11,8 @@ sums as well; only one number, the budget for a unit of weight, goes to the driv
 
 Null texts and texts without words have size 0 and nothing is taken of them;
 very long texts are counted whole.  Null sources form one source, ordered last.
-Rows without a doc_id, and rows that repeat one, count each.  Extra columns pass
+Rows without a doc_id, and rows that repeat one, count each; documents of one
+random key are ordered by doc_id, then size.  Extra columns pass
 through unless they have the name of a new one, which replaces it.  A source of
 size 0 has target 0.  An empty table gives an empty result.
 """

@@ -9,7 +9,10 @@ text is scored whole.
 
 Null and empty texts have features like any other (all zero) and get a score.
 Without labelled rows, or features that tell anything, the score is the smoothed
-share of label 1 (0.5 without labels).  Repeated rows are scored each.
+share of label 1 (0.5 without labels).  Repeated rows are scored each; of rows to
+learn from, equal ones count once.  Very long texts are described whole, and equal
+scores need no order.  An empty table gives an empty result.  Only doc_id and text
+are read, whatever else the table has; filtering keeps all columns.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ filled once, holds table_size entries whatever the data size, and is broadcast,
 so that a key is placed by one hash and one lookup.  When a shard is added or
 removed, few slots change hands.
 
-Null keys are placed as the empty string.  An empty table stays empty.  Columns
-of the input pass through; the two new columns replace columns of those names.
+Null keys are placed as the empty string, repeated rows each (equal keys have one
+shard); texts aren't read, whatever their length.  Shards of one name are refused,
+as they would claim the same slots.  An empty table stays empty.  Columns of the
+input pass through; the two new columns replace columns of those names.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ def lookup_table(shards: list[str], table_size: int = 65537) -> list[int]:
     """The shard (as its place in shards) that owns each slot."""
     if not is_prime(table_size) or not 0 < len(shards) <= table_size:
         raise ValueError("table_size must be prime and at least the number of shards")
+    if len(set(shards)) < len(shards):
+        raise ValueError("two shards have one name")
     digest = lambda kind, name: int(hashlib.md5(f"{kind}:{name}".encode()).hexdigest(), 16)
     place = [digest("offset", s) % table_size for s in shards]
     step = [digest("step", s) % (table_size - 1) + 1 for s in shards]

@@ -32,6 +32,8 @@ def test_few_slots_move_when_a_shard_goes():
     assert sum(x != y for x, y in zip(a, b, strict=True) if x != 19) / 4099 < 0.12
     with pytest.raises(ValueError, match="prime"):
         sharding.lookup_table(names, 4098)
+    with pytest.raises(ValueError, match="one name"):
+        sharding.lookup_table(["a", "b", "a"], 101)
 
 
 def test_placement(make_docs):

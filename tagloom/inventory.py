@@ -65,6 +65,25 @@ def two_column_scan(spark, sf_dir):
     return readers.limited(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang"])
 
 
+@query("SELECT p_partkey::VARCHAR AS p_partkey, p_name FROM part ORDER BY part.p_partkey LIMIT 150")
+def csv_first_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name").alias("value"))
+    return readers.read_csv(spark, _lines(rows, _place(spark, "first"), "p_partkey,p_name"), rows=150)
+
+
+@query("SELECT doc_id, lang FROM (SELECT * FROM documents LIMIT 120) WHERE lang IS NOT NULL")
+def two_column_first_rows(spark, sf_dir):
+    return readers.limited(spark, f"{sf_dir}/documents.parquet", ["doc_id", "lang"], rows=120)
+
+
+@query("SELECT s_suppkey AS key, s_name AS name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
+def appended_table(spark, sf_dir):
+    path = _place(spark, "appended")
+    writers.parquet(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")), path)
+    writers.parquet(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")), path, append=True)
+    return spark.read.parquet(path)
+
+
 @query("SELECT p_name FROM part WHERE p_size > 40")
 def pruned_scan(spark, sf_dir):
     return readers.read_table(spark, f"{sf_dir}/part.parquet").where("p_size > 40").select("p_name")

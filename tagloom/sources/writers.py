@@ -14,8 +14,9 @@ from ..storage import staged
 from .readers import _fs
 
 
-def parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def parquet(df: DataFrame, path: str, append: bool = False) -> None:
+    """A table over what is there, or, with append, behind it."""
+    df.write.mode("append" if append else "overwrite").option("compression", "zstd").parquet(path)
 
 
 def jsonl_map(mapping: DataFrame, path: str) -> None:

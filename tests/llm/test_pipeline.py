@@ -106,4 +106,4 @@ def test_every_query_is_registered():
 
     own = __spark_entry__.queries()
     assert [n for n in sorted(own) if n.startswith("op")] == sorted(queries.QUERIES) and "pipeline" in own
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import staged
 from .order import numbered, top_per_group
-from .spread import crowded_join, spread_join
+from .spread import HEAVY, LIGHT, crowded_join, spread_join
 
 
 def adjacency(edges: DataFrame, a: str = "ingredient_a", b: str = "ingredient_b") -> DataFrame:
@@ -38,20 +38,25 @@ def betweenness(edges: DataFrame, a: str = "ingredient_a", b: str = "ingredient_
     graph = staged(adjacency(edges, a, b), "graph")
     if most_edges is not None and graph.count() > 2 * most_edges:
         raise ValueError(f"the graph has more than {most_edges} edges")
-    names = staged(numbered(graph.select("node").distinct(), [F.col("node")], "v", 0), "nodes")
-    n = names.count()
-    ids = spread_join(graph, names, "node", "other").select("v", "other")
-    ids = spread_join(staged(ids, "ends"), names.select(F.col("node").alias("other"), F.col("v").alias("w")), "other", "v").select("v", "w")
-    degree = staged(ids.groupBy("v").agg(F.count("*").alias("degree")), "degrees")
+    names = staged(numbered(graph.groupBy("node").agg(F.count("*").alias("degree")), [F.col("node")], "v", 0), "nodes")
+    n, ends, largest = names.agg(F.count("*"), F.coalesce(F.sum("degree"), F.lit(0)), F.coalesce(F.max("degree"), F.lit(0))).first()
+    most = max(LIGHT, ends // HEAVY)
+    heavy = [(r[0], -(-r[1] // most)) for r in names.where(F.col("degree") > most).select("node", "degree").collect()] if largest > most else []  # fewer than HEAVY
+    ids = spread_join(graph, names.select("node", "v", "degree"), "node", "other", heavy).select("v", "degree", "other")
+    ids = spread_join(ids, names.select(F.col("node").alias("other"), F.col("v").alias("w")), "other", "v", heavy).select("v", "degree", "w")
+    degree = names.select("v", "degree")
     # long lists of neighbours go in pieces
     piece = F.pmod(F.xxhash64("w"), F.ceil(F.col("degree") / LIST))
-    near = staged(ids.join(degree, "v").groupBy("v", piece.alias("piece")).agg(F.collect_list("w").alias("near")).select("v", "near"), "neighbours")
-    largest = degree.agg(F.max("degree")).first()[0] or 0
+    near = staged(ids.groupBy("v", piece.alias("piece")).agg(F.collect_list("w").alias("near")).select("v", "near"), "neighbours")
     chosen = names if samples is None or n <= samples else names.orderBy(F.md5(F.concat_ws(":", "node", F.lit(seed))), "node").limit(samples)
-    sources = staged(numbered(chosen.select(F.col("v").alias("s")), [F.col("s")], "place", 0), "sources")
     m = min(n, samples) if samples is not None else n
     block = max(1, min(m, most_rows // max(n, 1)))
-    parts = [_dependencies(sources.where((F.col("place") >= k) & (F.col("place") < k + block)).select("s"), near, degree, largest, block) for k in range(0, m, block)]
+    sources = chosen.select(F.col("v").alias("s"))
+    if block >= m:
+        parts = [_dependencies(sources, near, degree, largest, block)] if m else []
+    else:
+        placed = staged(numbered(sources, [F.col("s")], "place", 0), "sources")
+        parts = [_dependencies(placed.where((F.col("place") >= k) & (F.col("place") < k + block)).select("s"), near, degree, largest, block) for k in range(0, m, block)]
     scale = n / max(m, 1) / max((n - 1) * (n - 2), 1)
     if not parts:
         return names.select("node", F.lit(0.0).alias("betweenness"))

@@ -87,6 +87,8 @@ def test_betweenness(spark, seed):
     want = brandes(edges)
     assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
     assert network.betweenness(df, samples=5).count() == len(want)
+    blocks = dict(network.betweenness(df, most_rows=3 * len(want)).collect())
+    assert all(abs(blocks[v] - want[v]) < 1e-9 for v in want)
     with pytest.raises(ValueError, match="edges"):
         network.betweenness(df, most_edges=3)
 

@@ -74,8 +74,14 @@ def read_csv(spark: SparkSession, path: str, rows: int | None = None, drop_malfo
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:
-    """The first n rows of a file's table, in its order: the same ones at every run, and no sort of all rows."""
-    return df.withColumn("__nth", F.monotonically_increasing_id()).orderBy("__nth").limit(n).drop("__nth")
+    """The first n rows of a file or of a folder's files by name, in their order: the same ones at every run, and no sort of all rows.
+
+    Spark deals the parts of files to tasks by size, so a row's place is its
+    file's path, its part's start, and its order within the part.
+    """
+    path = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))  # it is encoded, but for +
+    place = F.struct(path, F.input_file_block_start(), F.monotonically_increasing_id())
+    return df.withColumn("__nth", place).orderBy("__nth").limit(n).drop("__nth")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

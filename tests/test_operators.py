@@ -12,6 +12,8 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,6 +330,34 @@ def test_sources(spark, tmp_path):
     assert [readers.charset(lines(b"x", r)) for r in ("é".encode(), b"\x81\xff", b"\xe9\x80")] == ["UTF-8", "ISO-8859-1", "windows-1252"]
 
 
+def test_first_rows_of_folders(spark, tmp_path):
+    """Later files are larger, so that Spark takes them first; files are read in parts."""
+    folder = tmp_path / "documents.parquet"
+    folder.mkdir()
+    docs = [(i, None if i % 7 == 0 else f"{i % 4}", f"{i}" * 20) for i in range(900, 0, -1)]
+    (tmp_path / "c.csv").mkdir()
+    for names, rows in zip(("a b", "a!b", "a+b", "é"), (docs[:40], docs[40:90], docs[90:300], docs[300:]), strict=True):
+        table = pa.table({c: list(v) for c, v in zip(("doc_id", "lang", "text"), zip(*rows, strict=True), strict=True)})
+        pq.write_table(table, folder / f"{names}.parquet", row_group_size=8, compression="none")
+        lines = [f"{k},{lang or ''},{text}é" for k, lang, text in rows]
+        (tmp_path / "c.csv" / f"{names}.csv").write_bytes("\n".join(["doc_id,lang,text", *lines]).encode("latin-1"))
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (most, "3000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            con = duckdb.connect()
+            con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/*.parquet')")
+            want = con.sql(queries.SQL["two_column_first_rows"]).fetchall()
+            assert 0 < len(want) < 120
+            assert [tuple(r) for r in queries.QUERIES["two_column_first_rows"](spark, str(tmp_path)).collect()] == want
+            found = readers.read_csv(spark, str(tmp_path / "c.csv"), rows=120).collect()
+            assert [(int(r["doc_id"]), r["lang"], r["text"]) for r in found] == [(k, lang, f"{text}é") for k, lang, text in docs[:120]]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+    made = spark.createDataFrame(docs, "doc_id bigint, lang string, text string").repartition(1)
+    assert len(readers.first_rows(made, 5).collect()) == 5
+
+
 def test_files_of_graphs_and_encoders(spark, tmp_path):
     edges = spark.createDataFrame([("a & b", "c", 1.5)], "ingredient_a string, ingredient_b string, pmi double")
     writers.gexf(edges, str(tmp_path / "g.gexf"))
